@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
+#: Rows of a narrow scratch table that a file has at least, where their number is known.
+FILE_ROWS = 250_000
 #: Used only where the session sets no spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
@@ -21,13 +23,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{(root or LOCAL_CHECKPOINTS).rstrip('/')}/turnstone-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs no recomputation of what is
-    above, and the rows are computed once however often they are read.
+    above, and the rows are computed once however often they are read. rows, where the
+    caller knows a bound, keeps narrow tables from being spread over tiny files.
     """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(-(-rows // FILE_ROWS) or 1)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,17 +60,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40) -> DataFrame:
     """Connected components of the links (u, v): one row (node, root) per node in a link.
 
     Alternates large-star and small-star contraction: each round links every node's
     larger (then smaller) neighbours to its least neighbour, until the links stop
     changing; then each component is a star around its least node. A node's
     neighbours are only ever aggregated (min), never collected. Self links are
-    ignored, a null end drops the link, an empty input gives an empty result.
+    ignored, a null end drops the link, an empty input gives an empty result. rows: a
+    bound of the number of links, if known.
     """
     e = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    e, seen = cut(e), None
+    e, seen, n = cut(e, rows), None, rows
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -73,10 +79,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         # small star: u's smaller neighbours and u itself go to the least of them
         least = star.groupBy("v").agg(F.min("u").alias("m"))
         small = star.join(least, "v").select(F.col("m"), F.explode(F.array("u", "v")).alias("x"))
-        new = cut(small.where("m <> x").select(F.col("m").alias("u"), F.col("x").alias("v")).distinct())
+        new = cut(small.where("m <> x").select(F.col("m").alias("u"), F.col("x").alias("v")).distinct(), n)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_scratch(e)
-        e = new
+        e, n = new, 2 * now[0]
         if now == seen:
             break
         seen = now

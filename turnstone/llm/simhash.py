@@ -52,7 +52,7 @@ def _distance(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_links(prints: DataFrame, distance: int = 2, segments: int = 16, bucket_limit: int = 16) -> DataFrame:
+def near_links(prints: DataFrame, distance: int = 2, segments: int = 16, bucket_limit: int = 16, rows: int | None = None) -> DataFrame:
     """Links (u, v) that join the same sets as all pairs of distinct fp at most `distance` bits apart.
 
     Pigeonring: the bits form a ring of `segments` equal segments. If two
@@ -66,7 +66,8 @@ def near_links(prints: DataFrame, distance: int = 2, segments: int = 16, bucket_
     are linked exactly through the points of radius d // 2 around them instead:
     two of them are within d = 2 bits just if they share such a point, and each
     member of a point is linked to the least one. So work grows in proportion to
-    the fingerprints, whatever their groups. Expects distinct, non-null fp (long).
+    the fingerprints, whatever their groups. Expects distinct, non-null fp (long); rows:
+    a bound of their number, if known.
     """
     if distance != 2 or BITS % segments or segments <= distance:
         raise ValueError("distance must be 2, and segments a divisor of 64 above 2")
@@ -81,7 +82,7 @@ def near_links(prints: DataFrame, distance: int = 2, segments: int = 16, bucket_
     starts = F.array(*[F.struct(F.lit(i).alias("start"), turned(F.col("fp"), i).alias("ring")) for i in range(segments)])
     keyed = prints.select(F.explode(starts).alias("s")).select("s.*").withColumn("bucket", F.shiftrightunsigned("ring", BITS - free * width))
     sizes = keyed.groupBy("start", "bucket").count().where("count > 1")
-    shared = cut(keyed.join(sizes, ["start", "bucket"]))
+    shared = cut(keyed.join(sizes, ["start", "bucket"]), rows and rows * segments)
 
     pair = shared.where(F.col("count") <= bucket_limit).select("start", "bucket", "ring")
     chain = F.lit(True)
@@ -110,8 +111,9 @@ def near_links(prints: DataFrame, distance: int = 2, segments: int = 16, bucket_
 def _placed(docs: DataFrame, distance: int, segments: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """A row (id, fp, root, component_id) for each row of docs; root is a fingerprint."""
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")))
-    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(near_links(prints.select("fp"), distance, segments))
+    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), rows.count())
+    n = prints.count()
+    roots = components(near_links(prints.select("fp"), distance, segments, rows=n), rows=n)
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     return rows.join(named.select("fp", "root", "component_id"), "fp").select("id", "fp", "root", "component_id")
