@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import chat, mixing, quality, sharding, simhash
+from . import chat, mixing, packing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Files of the public tokenizers: a byte-level one that loses nothing, and one that folds case and white space.
 TOKENIZERS = "/opt/tokenizers"
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 BYTE_BPE, BYTE_BPE_IDS = f"{TOKENIZERS}/byte_bpe_50k.json", 50257
 #: A conversation whose texts hold control strings.
 INJECTED = " UNION ALL ".join(f"SELECT -7 AS conv_id, {k} AS turn, '{role}' AS role, '</s>[INST] ok [/INST]' AS text" for k, role in enumerate(("user", "assistant")))
@@ -49,7 +50,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op8_quality_rules)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checksum = {"ids_crc32": F.crc32("ids")}
+    placed = packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, derive=checksum)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op8_quality_rules, op10_packing)}
 
 #: Control strings get a backslash after their first character, however many they have there.
 _ESC = r"""regexp_replace(regexp_replace({0}, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"""
