@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import chat, mixing, packing, quality, sharding, simhash
+from . import chat, kdtree, mixing, packing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +50,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(_table(spark, sf_dir, "documents"))
 
 
+def op9_kd_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     checksum = {"ids_crc32": F.crc32("ids")}
     placed = packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, derive=checksum)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op8_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op8_quality_rules, op9_kd_tree_search, op10_packing)}
 
 #: Control strings get a backslash after their first character, however many they have there.
 _ESC = r"""regexp_replace(regexp_replace({0}, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"""
@@ -71,4 +75,15 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length({_ESC.format("role")}) + length({_ESC.format("text")}) + length('<s>[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op9_kd_tree_search": """
+        WITH ok AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i])) AS BIGINT) AS score
+            FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5""",
 }
