@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import chat, kdtree, langid, mixing, packing, quality, sharding, simhash
+from . import chat, kdtree, langid, mixing, packing, quality, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), weights=[1.0] * 24)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op7_language_id, op8_quality_rules, op9_kd_tree_search, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op6_warc, op7_language_id, op8_quality_rules, op9_kd_tree_search, op10_packing)}
 
 #: Control strings get a backslash after their first character, however many they have there.
 _ESC = r"""regexp_replace(regexp_replace({0}, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"""
@@ -79,6 +83,14 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length({_ESC.format("role")}) + length({_ESC.format("text")}) + length('<s>[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first, payload_bytes >= 1000 AS large FROM p)
+        SELECT page_id, url, payload_bytes, payload_digest,
+               CASE WHEN large AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN large AND page_id <> first THEN first END AS refers_to
+        FROM g""",
     "op9_kd_tree_search": """
         WITH ok AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
