@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import chat, kdtree, langid, mixing, packing, quality, sharding, simhash, warc
+from . import chat, html, kdtree, langid, mixing, packing, quality, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), weights=[1.0] * 24)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -68,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op6_warc, op7_language_id, op8_quality_rules, op9_kd_tree_search, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op5_html_extraction, op6_warc, op7_language_id, op8_quality_rules, op9_kd_tree_search, op10_packing)}
 
 #: Control strings get a backslash after their first character, however many they have there.
 _ESC = r"""regexp_replace(regexp_replace({0}, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"""
