@@ -4,16 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import simhash
+from turnstone.llm import langid, mixing, quality, queries, simhash
 from turnstone.llm.common import cut
 
+#: Words of a block of the mix: documents are cut only where the mix takes part of one.
+MIX_BLOCK = 512
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that fail the base or that the voting rules find bad."""
+    return quality.keep_good(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letter, or no language that leads clearly."""
+    return langid.keep_identified(docs)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents, or the parts of them, as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs, block=MIX_BLOCK)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in windows of 4096 tokens."""
+    return queries.packed(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_dedup", near_dedup), ("mixing", mix), ("packing", pack)]
 #: The stages learn models, tokenize and hash in ways that SQL doesn't express.
 ORACLE_SQL = None
 

@@ -66,12 +66,16 @@ def op9_kd_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
     checksum = {"ids_crc32": F.crc32("ids")}
-    placed = packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, derive=checksum)
+    placed = packing.pack_documents(docs, WORD_BPE, end_id=2, derive=checksum)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op5_html_extraction, op6_warc, op7_language_id, op8_quality_rules, op9_kd_tree_search, op10_packing)}
 
 #: Control strings get a backslash after their first character, however many they have there.
