@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,6 +20,10 @@ PLAIN = r"(<(?=\\*/?s>)|\[(?=\\*/?INST\]))"
 ESCAPED = re.compile(r"(<(?=\\+/?s>)|\[(?=\\+/?INST\]))\\")
 
 
+#: Bytes of text that are tokenized at once, which bounds a task's memory.
+CHUNK = 1 << 18
+
+
 @functools.cache
 def _tokenizer(path: str) -> Tokenizer:
     found = Tokenizer.from_file(path)
@@ -38,10 +43,22 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+def _runs(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of neighbouring rows whose lengths sum up to about CHUNK at most."""
+    group = np.cumsum(lengths) // CHUNK
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist()]
+    return list(zip(starts, [*starts[1:], len(lengths)])) if len(lengths) else []
+
+
 def _encoded(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([e.ids for e in _tokenizer(path).encode_batch(texts.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+        found, sizes = [np.empty(0, np.int32)], [0]
+        for a, b in _runs(np.array(pc.binary_length(texts))):
+            for e in _tokenizer(path).encode_batch_fast(texts[a:b].to_pylist(), add_special_tokens=False):
+                found.append(np.array(e.ids, dtype=np.int32))
+                sizes.append(len(found[-1]))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(found)))
 
     return run(text)
 
@@ -119,8 +136,11 @@ def read_back(chats: DataFrame, tokenizer: str, reserved: int) -> DataFrame:
 
     @F.arrow_udf("struct<turns: array<struct<role: string, text: string>>, loss_text: string>")
     def run(ids: pa.Array, mask: pa.Array) -> pa.Array:
-        rows = [_parsed(np.array(i.values), np.array(m.values), _tokenizer(tokenizer), reserved) for i, m in zip(ids, mask)]
-        return pa.array(rows, pa.struct({"turns": pa.list_(pa.struct({"role": pa.string(), "text": pa.string()})), "loss_text": pa.string()}))
+        kind, parts = pa.struct({"turns": pa.list_(pa.struct({"role": pa.string(), "text": pa.string()})), "loss_text": pa.string()}), []
+        for a, b in _runs(np.array(pc.list_value_length(ids), dtype=np.int64)):
+            rows = [_parsed(np.array(i.values), np.array(m.values), _tokenizer(tokenizer), reserved) for i, m in zip(ids[a:b], mask[a:b])]
+            parts.append(pa.array(rows, kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     read = chats.select("conv_id", "formatted", run("input_ids", "loss_mask").alias("read"))
     return read.select("conv_id", "read.turns", "read.loss_text", "formatted")
