@@ -112,9 +112,8 @@ def format_chats(turns: DataFrame, tokenizer: str, reserved: int, train_roles: t
     has to fit into a task; texts are encoded before turns are brought together.
     """
     clean = turns.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")])
-    clean = clean.withColumns({"esc_role": escape(F.col("role")), "esc_text": escape(F.col("text"))})
-    coded = clean.withColumns({"role_ids": _encoded(F.col("esc_role"), tokenizer), "text_ids": _encoded(F.col("esc_text"), tokenizer)})
-    turn = F.struct("turn", "role", "text", "esc_role", "esc_text", "role_ids", "text_ids")
+    coded = clean.withColumns({"role_ids": _encoded(escape(F.col("role")), tokenizer), "text_ids": _encoded(escape(F.col("text")), tokenizer)})
+    turn = F.struct("turn", "role", "text", "role_ids", "text_ids")
     chats = coded.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     @F.arrow_udf("struct<input_ids: array<int>, loss_mask: array<tinyint>>")
@@ -122,7 +121,7 @@ def format_chats(turns: DataFrame, tokenizer: str, reserved: int, train_roles: t
         return assemble(chat_turns, reserved)
 
     segments = F.transform("turns", lambda t: F.struct(t["role"].isin(*train_roles).alias("train"), t["role_ids"].alias("role_ids"), t["text_ids"].alias("text_ids")))
-    text = F.transform("turns", lambda t: F.concat(F.lit("<s>[INST]"), t["esc_role"], F.lit("[/INST]"), t["esc_text"], F.lit("</s>")))
+    text = F.transform("turns", lambda t: F.concat(F.lit("<s>[INST]"), escape(t["role"]), F.lit("[/INST]"), escape(t["text"]), F.lit("</s>")))
     built = chats.select("conv_id", F.array_join(text, "").alias("formatted"), run(segments).alias("tokens"))
     return built.select("conv_id", "formatted", "tokens.input_ids", "tokens.loss_mask")
 

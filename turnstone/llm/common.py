@@ -1,48 +1,16 @@
-"""Helpers shared by the operators: scratch tables, guarded broadcasts, components."""
+"""Helpers shared by the operators: guarded broadcasts, components."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnstone.plans.scratch import cut, drop_scratch, scratch_dir  # noqa: F401
+
 #: The word separators of every operator: the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
-#: Rows of a narrow scratch table that a file has at least, where their number is known.
-FILE_ROWS = 250_000
-#: Used only where the session sets no spark.checkpoint.dir, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder name inside the shared checkpoint folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(root or LOCAL_CHECKPOINTS).rstrip('/')}/turnstone-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs no recomputation of what is
-    above, and the rows are computed once however often they are read. rows, where the
-    caller knows a bound, keeps narrow tables from being spread over tiny files.
-    """
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    if rows is not None:
-        df = df.coalesce(-(-rows // FILE_ROWS) or 1)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files behind a table that cut() returned and that no plan still needs."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_counted(big: DataFrame, small: DataFrame, on, how: str = "left", rows: int | None = None) -> DataFrame:
