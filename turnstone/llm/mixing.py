@@ -144,8 +144,12 @@ class Mix:
         return table.withColumn("epoch", epoch).withColumn("block", _block(F.col("slot") - F.col("epoch") * F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(self.seed), "rank", "epoch"))).drop("blocks")
 
     def drawn(self) -> DataFrame:
-        """A row (rank, block, times) for each block that was drawn."""
-        return self.slots().groupBy("rank", "block").agg(F.count("*").alias("times"))
+        """A row (rank, block, times) for each block that was drawn.
+
+        The slots grow from a small local table, which the planner's sizes don't show;
+        the hint keeps it from broadcasting them.
+        """
+        return self.slots().groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")
 
     def pieces(self, *columns: str) -> DataFrame:
         """A row for each block that a document has words in: the block, and the words from .. to - 1 there."""
