@@ -2,32 +2,416 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnstone.functions import text as texts
+from turnstone.operators import inspecting, lineage, timeline
+from turnstone.plans.scratch import cut, scratch_dir
+from turnstone.sources import lines, records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that has the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.read_table(spark, sf_dir, "conversations")
+
+
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.read_table(spark, sf_dir, "events")
+
+
+def forked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with branches, derived from the linear conversations: every third turn goes back one further."""
+    parent = F.when(F.col("turn") == 0, None).when(F.col("turn") % 3 == 0, F.col("turn") - 2).otherwise(F.col("turn") - 1)
+    return turns_of(spark, sf_dir).select(F.col("conv_id").alias("source"), F.col("turn").alias("record_id"), parent.alias("parent_id"))
+
+
+def knotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with faults: every fifth conversation starts with a cycle, every seventh has an orphan at turn 2."""
+    base = forked(spark, sf_dir)
+    parent = F.when((F.col("source") % 5 == 0) & (F.col("record_id") == 0), F.lit(1).cast("bigint"))
+    parent = parent.when((F.col("source") % 7 == 0) & (F.col("record_id") == 2), F.lit(999).cast("bigint")).otherwise(F.col("parent_id"))
+    return base.select("source", "record_id", parent.alias("parent_id"))
+
+
+# The same tables in SQL.
+FORKED = "forked AS (SELECT conv_id AS source, turn AS record_id, CASE WHEN turn = 0 THEN NULL WHEN turn % 3 = 0 THEN turn - 2 ELSE turn - 1 END AS parent_id FROM conversations)"
+KNOTTED = f"""{FORKED}, knotted AS (
+    SELECT source, record_id, CASE WHEN source % 5 = 0 AND record_id = 0 THEN 1 WHEN source % 7 = 0 AND record_id = 2 THEN 999 ELSE parent_id END AS parent_id FROM forked)"""
+
+
+def walked(table: str) -> str:
+    """SQL for the records that a root (or orphan) of a table reaches: `line`."""
+    return f"""line AS (
+        SELECT source, record_id, record_id AS root_id, 0 AS depth, [record_id] AS path FROM {table} r
+        WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM {table} p WHERE p.source = r.source AND p.record_id = r.parent_id)
+        UNION ALL
+        SELECT c.source, c.record_id, l.root_id, l.depth + 1, list_append(l.path, c.record_id)
+        FROM line l JOIN {table} c ON c.source = l.source AND c.parent_id = l.record_id)"""
+
+
+LEAVES = "leaves AS (SELECT * FROM forked r WHERE NOT EXISTS (SELECT 1 FROM forked c WHERE c.source = r.source AND c.parent_id = r.record_id))"
+ACTIVE = f"WITH RECURSIVE {FORKED}, {walked('forked')}, {LEAVES}, tip AS (SELECT source, max(record_id) AS record_id FROM leaves GROUP BY source), active AS (SELECT l.source, CAST(unnest(range(len(l.path))) AS INTEGER) AS position, unnest(l.path) AS record_id FROM line l JOIN tip t USING (source, record_id))"
+OTHER = "other_tip AS (SELECT source, min(record_id) AS record_id FROM leaves GROUP BY source), other AS (SELECT l.source, CAST(unnest(range(len(l.path))) AS INTEGER) AS position, unnest(l.path) AS record_id FROM line l JOIN other_tip t USING (source, record_id))"
+
+
+# --- timelines
+
+
+@query("""
+    SELECT conv_id, turn, role,
+           lag(role) OVER w AS prev_role, lead(role) OVER w AS next_role,
+           CAST(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_chars
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def w1_outline(spark, sf_dir):
+    return timeline.outline(turns_of(spark, sf_dir))
+
+
+@query("""
+    WITH kept AS (SELECT * FROM conversations WHERE turn % 4 <> 1), b AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_turn FROM kept)
+    SELECT conv_id, turn, prev_turn, turn - prev_turn - 1 AS missing FROM b WHERE turn - prev_turn > 1""")
+def w2_sequence_gaps(spark, sf_dir):
+    return timeline.gaps(turns_of(spark, sf_dir).where("turn % 4 <> 1"))
+
+
+@query("""
+    SELECT from_role, to_role, count(*) AS n
+    FROM (SELECT lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS from_role, role AS to_role FROM conversations) GROUP BY ALL""")
+def w3_role_transitions(spark, sf_dir):
+    return timeline.transitions(turns_of(spark, sf_dir))
+
+
+@query("""
+    SELECT event_id, user_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS wait_us FROM events""")
+def w4_waits(spark, sf_dir):
+    return timeline.waits(events_of(spark, sf_dir))
+
+
+@query("""
+    WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+         g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+    SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 12 HOUR AS ended, count(*) AS n FROM g GROUP BY user_id, k""")
+def w5_sessions(spark, sf_dir):
+    return timeline.sessions(events_of(spark, sf_dir), "12 hours")
+
+
+@query("""
+    SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS began, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def w6_tumbling_counts(spark, sf_dir):
+    return timeline.tumbling(events_of(spark, sf_dir))
+
+
+# --- inspection
+
+
+@query("""
+    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50""")
+def f1_json_path(spark, sf_dir):
+    return inspecting.by_path(events_of(spark, sf_dir), "props", "$.k", "bigint").where("value > 50").select("event_id", "value")
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND turn BETWEEN 2 AND 5")
+def f2_role_and_range(spark, sf_dir):
+    return turns_of(spark, sf_dir).where("role = 'user' AND turn BETWEEN 2 AND 5").select("conv_id", "turn", "text")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'thing')")
+def f3_substring_search(spark, sf_dir):
+    return inspecting.search(turns_of(spark, sf_dir), "Thing").select("conv_id", "turn")
+
+
+@query(r"""
+    SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[a-z]+ing\b')) AS INTEGER) AS matches
+    FROM conversations WHERE regexp_matches(text, '[a-z]+ing\b')""")
+def f4_pattern_search(spark, sf_dir):
+    return inspecting.search_pattern(turns_of(spark, sf_dir), r"[a-z]+ing\b").select("conv_id", "turn", "matches")
+
+
+@query("""
+    WITH hit AS (SELECT conv_id, turn, text, instr(lower(text), 'thing') AS pos FROM conversations WHERE contains(lower(text), 'thing'))
+    SELECT conv_id, turn, substr(text, greatest(pos - 20, 1), pos + 25 - greatest(pos - 20, 1)) AS snippet FROM hit""")
+def f5_snippets(spark, sf_dir):
+    return inspecting.search(turns_of(spark, sf_dir), "thing").select("conv_id", "turn", "snippet")
+
+
+@query("""
+    SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(length(text)) AS INTEGER) AS longest, count(*) FILTER (role = 'user') AS user_turns
+    FROM conversations GROUP BY conv_id""")
+def a1_conversation_summary(spark, sf_dir):
+    return inspecting.summary(turns_of(spark, sf_dir))
+
+
+@query("SELECT date_trunc('day', ts) AS at, event_type, count(*) AS n FROM events GROUP BY ALL")
+def a2_counts_over_time(spark, sf_dir):
+    return inspecting.counts_over_time(events_of(spark, sf_dir))
+
+
+@query("""
+    SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_conv FROM documents GROUP BY text HAVING count(*) > 1""")
+def a3_duplicates(spark, sf_dir):
+    return inspecting.duplicates(records.read_table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "conv_id"))
+
+
+@query("SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+def a4_key_inventory(spark, sf_dir):
+    return inspecting.key_inventory(events_of(spark, sf_dir), "props")
+
+
+@query("""
+    SELECT CASE json_type(props, '$.k') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE CASE WHEN json_type(props, '$.k') IS NULL THEN 'absent' ELSE 'number' END END AS kind, count(*) AS n
+    FROM events GROUP BY ALL""")
+def a5_value_types(spark, sf_dir):
+    return inspecting.value_types(events_of(spark, sf_dir), "props", "$.k")
+
+
+@query()  # the schema's spelling is Spark's own
+def a6_merged_schema(spark, sf_dir):
+    return inspecting.merged_schema(events_of(spark, sf_dir), "props")
+
+
+@query("""
+    SELECT role, turn, CAST(grouping(role) * 2 + grouping(turn) AS INTEGER) AS level, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
+    FROM conversations GROUP BY CUBE (role, turn)""")
+def a7_subtotals(spark, sf_dir):
+    return inspecting.subtotals(turns_of(spark, sf_dir), "role", "turn")
+
+
+@query("SELECT role, round(CAST(quantile_cont(length(text), 0.5) AS DOUBLE), 6) AS q50, round(CAST(quantile_cont(length(text), 0.9) AS DOUBLE), 6) AS q90 FROM conversations GROUP BY role")
+def a8_quantiles(spark, sf_dir):
+    return inspecting.quantiles(turns_of(spark, sf_dir), [0.5, 0.9])
+
+
+@query()  # an estimate
+def a9_distinct_estimate(spark, sf_dir):
+    return inspecting.distinct_estimate(turns_of(spark, sf_dir))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id")
+def a10_role_lists(spark, sf_dir):
+    return inspecting.role_lists(turns_of(spark, sf_dir))
+
+
+@query("""
+    SELECT conv_id, CAST(sum(length(text)) FILTER (role = 'system') AS BIGINT) AS system, CAST(sum(length(text)) FILTER (role = 'user') AS BIGINT) AS user, CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT) AS assistant
+    FROM conversations GROUP BY conv_id""")
+def a11_role_pivot(spark, sf_dir):
+    return inspecting.role_pivot(turns_of(spark, sf_dir), ["system", "user", "assistant"])
+
+
+@query("""
+    SELECT conv_id, turn FROM conversations u
+    WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > u.turn)""")
+def j4_unanswered(spark, sf_dir):
+    return inspecting.unanswered(turns_of(spark, sf_dir))
+
+
+@query("""
+    SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS INTEGER) AS rank, turn, CAST(length(text) AS INTEGER) AS chars
+    FROM conversations QUALIFY rank <= 2""")
+def k1_longest(spark, sf_dir):
+    return inspecting.longest(turns_of(spark, sf_dir), 2)
+
+
+@query("SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 20 OFFSET 40")
+def k2_page(spark, sf_dir):
+    return inspecting.page(turns_of(spark, sf_dir).select("conv_id", "turn", "role"), ["conv_id", "turn"], 40, 20)
+
+
+@query(r"""
+    SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS chars, CAST(strlen(text) AS INTEGER) AS bytes, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines
+    FROM conversations""")
+def x1_sizes(spark, sf_dir):
+    return inspecting.sizes(turns_of(spark, sf_dir))
+
+
+@query("""SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS pretty FROM events""")
+def x2_pretty(spark, sf_dir):
+    return events_of(spark, sf_dir).select("event_id", texts.pretty(F.parse_json("props")).alias("pretty"))
+
+
+@query("SELECT event_id, CAST(0 AS INTEGER) AS pos, 'k' AS name, CAST(json_extract(props, '$.k') AS VARCHAR) AS json FROM events")
+def x3_unfolded(spark, sf_dir):
+    return inspecting.unfolded(events_of(spark, sf_dir), "event_id", "props")
+
+
+@query("""SELECT conv_id, turn, '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS json FROM conversations""")
+def x4_row_to_json(spark, sf_dir):
+    return turns_of(spark, sf_dir).select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("json"))
+
+
+# --- lines and records: the conversations are written as JSON lines and read back
+
+MAPPING = {"conv_id": ("$.conv_id", "bigint"), "turn": ("$.turn", "bigint"), "role": ("$.role", "string"), "text": ("$.text", "string")}
+
+
+def _as_lines(spark, sf_dir) -> str:
+    path = scratch_dir(spark)
+    records.write_jsonl(turns_of(spark, sf_dir), path)
+    return path
+
+
+@query("SELECT 'ok' AS status, count(*) AS n FROM conversations")
+def s1_lines(spark, sf_dir):
+    return lines.read_lines(spark, _as_lines(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def s2_records(spark, sf_dir):
+    return records.read_records(spark, _as_lines(spark, sf_dir), MAPPING).select(*MAPPING)
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def s3_typed(spark, sf_dir):
+    return records.read_typed(spark, _as_lines(spark, sf_dir), "conv_id bigint, turn bigint, role string, text string").where("_corrupt_record IS NULL").drop("_corrupt_record")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def s6_parquet(spark, sf_dir):
+    return cut(turns_of(spark, sf_dir))
+
+
+# The broken lines: a third of the turns are cut short, a third repeat a key, a third are numbers.
+@query("""
+    SELECT CASE turn % 3 WHEN 0 THEN 'malformed' WHEN 1 THEN 'duplicate_key' ELSE 'non_object' END AS status, count(*) AS n FROM conversations GROUP BY ALL""")
+def f6_line_status(spark, sf_dir):
+    k = F.col("turn") % 3
+    value = F.when(k == 0, F.lit('{"id":"r3","parent":"r2"')).when(k == 1, F.lit('{"id":"r5","id":"r5b"}')).otherwise(F.col("turn").cast("string"))
+    return turns_of(spark, sf_dir).select(lines.line_status(value).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT conv_id, turn, role FROM conversations
+    UNION ALL SELECT -1 - event_id, NULL, event_type FROM events""")
+def u3_many_as_one(spark, sf_dir):
+    others = events_of(spark, sf_dir).select((-1 - F.col("event_id")).alias("conv_id"), F.col("event_type").alias("role"))
+    return records.union_of([turns_of(spark, sf_dir).select("conv_id", "turn", "role"), others])
+
+
+# --- chains and rewinds
+
+
+@query(f"""
+    WITH {KNOTTED}
+    SELECT r.source, r.record_id, r.parent_id, p.record_id IS NOT NULL AS has_parent, r.parent_id IS NOT NULL AND p.record_id IS NULL AS is_orphan
+    FROM knotted r LEFT JOIN knotted p ON p.source = r.source AND p.record_id = r.parent_id""")
+def j1_record_to_parent(spark, sf_dir):
+    return lineage.with_parent(knotted(spark, sf_dir))
+
+
+@query(f"WITH {FORKED}, {LEAVES} SELECT source, record_id, parent_id FROM leaves")
+def j2_leaves(spark, sf_dir):
+    return lineage.leaves(forked(spark, sf_dir))
+
+
+@query(f"""
+    WITH {KNOTTED}
+    SELECT * FROM knotted r WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM knotted p WHERE p.source = r.source AND p.record_id = r.parent_id)""")
+def j3_orphans(spark, sf_dir):
+    return lineage.orphans(knotted(spark, sf_dir))
+
+
+@query("""
+    WITH old AS (SELECT * FROM conversations WHERE turn < 5), new AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN text || '!' ELSE text END AS text FROM conversations WHERE turn > 0)
+    SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn,
+           CASE WHEN a.conv_id IS NULL THEN 'added' WHEN b.conv_id IS NULL THEN 'removed' WHEN a.role = b.role AND a.text = b.text THEN 'same' ELSE 'changed' END AS change
+    FROM old a FULL JOIN new b ON a.conv_id = b.conv_id AND a.turn = b.turn""")
+def j5_version_diff(spark, sf_dir):
+    turns = turns_of(spark, sf_dir)
+    edited = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return lineage.compared(turns.where("turn < 5"), turns.where("turn > 0").withColumn("text", edited))
+
+
+@query("""
+    SELECT k.conv_id, k.turn, count(c.turn) AS kept_turns, CAST(coalesce(sum(length(c.text)), 0) AS BIGINT) AS kept_chars
+    FROM conversations k LEFT JOIN conversations c ON c.conv_id = k.conv_id AND c.turn < k.turn WHERE k.role = 'user' GROUP BY k.conv_id, k.turn""")
+def j6_rewind_cost(spark, sf_dir):
+    return lineage.cost_at(turns_of(spark, sf_dir))
+
+
+@query(f"WITH {FORKED} SELECT source, parent_id AS record_id, count(*) AS children FROM forked WHERE parent_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def r1_forks(spark, sf_dir):
+    return lineage.forks(forked(spark, sf_dir))
+
+
+@query(f"""
+    WITH RECURSIVE {KNOTTED}, {walked("knotted")}
+    SELECT r.source, r.record_id, l.root_id, l.depth, l.path,
+           NOT EXISTS (SELECT 1 FROM knotted c WHERE c.source = r.source AND c.parent_id = r.record_id) AS is_leaf,
+           r.parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM knotted p WHERE p.source = r.source AND p.record_id = r.parent_id) AS is_orphan,
+           l.record_id IS NULL AS is_cyclic
+    FROM knotted r LEFT JOIN line l USING (source, record_id)""")
+def r2_lineage(spark, sf_dir):
+    return lineage.lineage(knotted(spark, sf_dir))
+
+
+def _active(spark, sf_dir) -> DataFrame:
+    rows = forked(spark, sf_dir)
+    return lineage.branch(lineage.lineage(rows), lineage.active_leaf(rows))
+
+
+def _other(spark, sf_dir) -> DataFrame:
+    rows = forked(spark, sf_dir)
+    ends = lineage.leaves(rows).groupBy("source").agg(F.min("record_id").alias("record_id"))
+    return lineage.branch(lineage.lineage(rows), ends)
+
+
+@query(f"{ACTIVE} SELECT source, position, record_id FROM active")
+def r3_active_branch(spark, sf_dir):
+    return _active(spark, sf_dir)
+
+
+# Rewinds of every conversation of four turns or more to its second user turn.
+CUTS = "cuts AS (SELECT conv_id, nth_turn AS cut FROM (SELECT conv_id, turn AS nth_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user') WHERE k = 2)"
+
+
+def _cuts(spark, sf_dir) -> DataFrame:
+    users = turns_of(spark, sf_dir).where("role = 'user'").withColumn("k", F.row_number().over(timeline.TURNS))
+    return users.where("k = 2").select("conv_id", F.col("turn").alias("cut"))
+
+
+@query(f"WITH {CUTS} SELECT c.* FROM conversations c LEFT JOIN cuts USING (conv_id) WHERE cut IS NULL OR turn < cut")
+def r4_cut(spark, sf_dir):
+    return lineage.cut_before(turns_of(spark, sf_dir), _cuts(spark, sf_dir))
+
+
+@query(f"""
+    WITH RECURSIVE {KNOTTED}, {walked("knotted")}
+    SELECT source, record_id FROM knotted r WHERE NOT EXISTS (SELECT 1 FROM line l WHERE l.source = r.source AND l.record_id = r.record_id)""")
+def r5_cycles(spark, sf_dir):
+    return lineage.lineage(knotted(spark, sf_dir)).where("is_cyclic").select("source", "record_id")
+
+
+@query(f"{ACTIVE}, {OTHER} SELECT source, max(record_id) AS record_id FROM active JOIN other USING (source, record_id) GROUP BY source")
+def r6_common_ancestor(spark, sf_dir):
+    return lineage.common_ancestor(_active(spark, sf_dir), _other(spark, sf_dir))
+
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+@query(f"WITH {CUTS} SELECT conv_id, turn, CASE WHEN cut IS NOT NULL AND turn >= cut THEN 'discarded' ELSE 'kept' END AS effect FROM conversations LEFT JOIN cuts USING (conv_id)")
+def r7_what_if(spark, sf_dir):
+    return lineage.what_if(turns_of(spark, sf_dir), _cuts(spark, sf_dir))
 
 
-def w1_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = W.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select(
-        "conv_id",
-        "turn",
-        "role",
-        F.lag("role").over(turns).alias("prev_role"),
-        F.lead("role").over(turns).alias("next_role"),
-        F.sum(F.length("text")).over(turns.rowsBetween(W.unboundedPreceding, 0)).alias("running_chars"),
-    )
+@query(f"{ACTIVE} SELECT source, record_id FROM forked EXCEPT SELECT source, record_id FROM active")
+def u1_abandoned(spark, sf_dir):
+    return lineage.abandoned(forked(spark, sf_dir), _active(spark, sf_dir))
 
 
-QUERIES = {"w1_outline": w1_outline}
-ORACLE_SQL = {
-    "w1_outline": """
-        SELECT conv_id, turn, role,
-               lag(role) OVER w AS prev_role, lead(role) OVER w AS next_role,
-               CAST(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_chars
-        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
-}
+@query(f"{ACTIVE}, {OTHER} SELECT source, record_id FROM active INTERSECT SELECT source, record_id FROM other")
+def u2_shared_history(spark, sf_dir):
+    return lineage.shared(_active(spark, sf_dir), _other(spark, sf_dir))
