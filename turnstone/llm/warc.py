@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from turnstone.sources.lines import opened
+
 from .common import cut, join_counted, scratch_dir
 
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload string"
@@ -32,11 +34,6 @@ FILE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI (local, HDFS or an object store), and the path there."""
-    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-
-
 def _line(value: str) -> str:
     """A header's value: a line break would end the header, so it is percent-encoded."""
     return value.replace("\r", "%0D").replace("\n", "%0A")
@@ -113,21 +110,23 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        fs, root = _opened(self.path)
+        fs, root = opened(self.path)
         if fs.get_file_info(root).type == pafs.FileType.File:
             return [_File(root)]
         found = fs.get_file_info(pafs.FileSelector(root))
         listed = [x.path for x in found if x.base_name.startswith(MANIFEST)]
         if listed:
             names = b"\n".join(fs.open_input_stream(x).readall() for x in listed).decode().split("\n")
-            return [_File(f"{root}/{x}") for x in names if x]
-        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and not x.base_name.startswith((".", "_"))]
+            return [_File(f"{root}/{x}") for x in names if x] or [_File("")]
+        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and not x.base_name.startswith((".", "_"))] or [_File("")]
 
     def wanted(self, row: dict) -> bool:
         return all(row[k] is not None if values is None else row[k] in values for k, values in self.tests)
 
     def read(self, partition: _File):
-        fs, _ = _opened(self.path)
+        if not partition.path:  # an empty folder
+            return
+        fs, _ = opened(self.path)
         names, kinds, rows, held = HEADERS | {"payload": ""}, {"payload_bytes": pa.int64()}, [], 0
 
         def batch() -> pa.RecordBatch:
@@ -136,7 +135,7 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(partition.path) as raw:
             gzipped = raw.read(2) == b"\x1f\x8b"
             raw.seek(0)
-            for row in read_records(gzip.GzipFile(fileobj=raw) if gzipped else raw, self.wanted):
+            for row in read_records(gzip.GzipFile(fileobj=raw) if gzipped else io.BufferedReader(raw), self.wanted):
                 row["payload"] = row["payload"].decode() if self.payload and row["payload"] is not None else None
                 rows.append(row)
                 held += len(row["payload"] or "")
@@ -159,7 +158,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.compress = path, compress
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        fs, root = _opened(self.path)
+        fs, root = opened(self.path)
         fs.create_dir(root)
         files, out = [], None
         for batch in iterator:
@@ -175,13 +174,13 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(files)
 
     def commit(self, messages: list) -> None:
-        fs, root = _opened(self.path)
+        fs, root = opened(self.path)
         fs.create_dir(root)
         with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}") as out:
             out.write("\n".join([*(f for m in messages if m for f in m.files), ""]).encode())
 
     def abort(self, messages: list) -> None:
-        fs, root = _opened(self.path)
+        fs, root = opened(self.path)
         for name in (f for m in messages if m for f in m.files):
             fs.delete_file(f"{root}/{name}")
 
