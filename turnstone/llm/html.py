@@ -203,8 +203,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         return pa.array([extract(x.as_py(), p.as_py()) for x, p in zip(html, path)], pa.string())
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
-    votes = rows.where("host IS NOT NULL").select("host", voted("html").alias("v")).where("v.path IS NOT NULL")
-    counts = votes.groupBy("host", "v.path").agg(F.count("*").alias("n"), F.round(F.sum("v.score")).cast("bigint").alias("total"))
-    agreed = cut(counts.groupBy("host").agg(F.max(F.struct("n", "total", "path")).getField("path").alias("path")))
+    votes = rows.where("host IS NOT NULL").select("host", voted("html").alias("v")).select("host", "v.*")
+    # pages without a path lose in the end: a filter on the path would have the votes cast twice
+    counts = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("score")).cast("bigint").alias("total"))
+    most = F.max(F.when(F.col("path").isNotNull(), F.struct("n", "total", "path")))
+    agreed = cut(counts.groupBy("host").agg(most.getField("path").alias("path")))
     found = join_counted(rows, agreed, "host").select("id", "url", extracted("html", "path").alias("text"))
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))
