@@ -79,10 +79,9 @@ def measures(text: Column) -> Column:
     )
 
 
-def with_measures(docs: DataFrame, text_col: str = "text", name: str = "m") -> DataFrame:
-    """docs with a struct column `name`: the measures, flat, with base_failed and the shares."""
-    m = let(measures(F.col(text_col)), _flat)
-    return docs.withColumn(name, m)
+def measured(text: Column) -> Column:
+    """The measures as a flat struct, with base_failed and the shares that the rules judge."""
+    return let(measures(text), _flat)
 
 
 def _flat(m: Column) -> Column:
@@ -106,10 +105,14 @@ def _flat(m: Column) -> Column:
     )
 
 
-def votes(m: str = "m") -> list[Column]:
-    """A column per rule: GOOD, BAD or 0 (the rule abstains)."""
-    under = [F.when(F.col(f"{m}.{x}") > bad, BAD).when(F.col(f"{m}.{x}") <= good, GOOD).otherwise(0).alias(r) for r, (x, good, bad) in AT_MOST.items()]
-    return under + [F.when(F.col(f"{m}.{x}") < bad, BAD).when(F.col(f"{m}.{x}") >= good, GOOD).otherwise(0).alias(r) for r, (x, good, bad) in AT_LEAST.items()]
+def votes(m: Column) -> dict[str, Column]:
+    """Each rule's vote on a struct of measured(): GOOD, BAD or 0 (the rule abstains)."""
+    under = {r: F.when(m[x] > bad, BAD).when(m[x] <= good, GOOD).otherwise(0) for r, (x, good, bad) in AT_MOST.items()}
+    return under | {r: F.when(m[x] < bad, BAD).when(m[x] >= good, GOOD).otherwise(0) for r, (x, good, bad) in AT_LEAST.items()}
+
+
+def _named(found: dict[str, Column]) -> list[Column]:
+    return [v.alias(r) for r, v in found.items()]
 
 
 @dataclass
@@ -121,12 +124,12 @@ class Accuracies:
     bad_if_good: dict[str, float]
     bad_if_bad: dict[str, float]
 
-    def posterior(self, within: str = "") -> Column:
-        """The probability that a document is good, from its vote columns (or fields of the struct `within`)."""
+    def posterior(self, found: dict[str, Column] | None = None) -> Column:
+        """The probability that a document is good, from its votes (the rules' columns, if none are given)."""
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for r in RULES:
             p, q = self.bad_if_good[r], self.bad_if_bad[r]
-            vote = F.col(f"{within}.{r}" if within else r)
+            vote = found[r] if found else F.col(r)
             odds += F.when(vote == BAD, math.log(p / q)).when(vote == GOOD, math.log((1 - p) / (1 - q))).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
@@ -171,8 +174,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     table gives no rows. Repeated rows, null ids and other columns change nothing.
     """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    measured = with_measures(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    rows = cut(measured.select("id", *[f"m.{c}" for c in base], *votes()))
+    looked = docs.select(F.col(id_col).alias("id"), measured(F.col(text_col)).alias("m"))
+    rows = cut(looked.select("id", *[f"m.{c}" for c in base], *_named(votes(F.col("m")))))
     judged = rows.withColumn("p_good", learn(rows).posterior())
     kept = (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept")
     return judged.select(F.col("id").alias(id_col), *base, kept, "p_good")
@@ -180,8 +183,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that judge() keeps, with their columns."""
-    name = "_turnstone_quality"
-    rows = with_measures(docs, text_col, name)
-    learned = learn(with_measures(docs.select(F.col(text_col).alias("text"))).select(*votes()))
-    voted = rows.select(*docs.columns, F.struct(*votes(name), F.col(f"{name}.base_failed").alias("base_failed")).alias(name))
-    return voted.where(~F.col(f"{name}.base_failed") & (learned.posterior(name) >= threshold)).select(*docs.columns)
+    looked = docs.select(measured(F.col(text_col)).alias("m"))
+    learned = learn(looked.select(*_named(votes(F.col("m")))))
+    # bound once per row: a filter on the struct's fields would measure the text for each of them
+    return docs.where(let(measured(F.col(text_col)), lambda m: ~m["base_failed"] & (learned.posterior(votes(m)) >= threshold)))
