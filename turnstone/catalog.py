@@ -381,7 +381,7 @@ CUTS = "cuts AS (SELECT conv_id, nth_turn AS cut FROM (SELECT conv_id, turn AS n
 
 
 def _cuts(spark, sf_dir) -> DataFrame:
-    users = turns_of(spark, sf_dir).where("role = 'user'").withColumn("k", F.row_number().over(timeline.TURNS))
+    users = turns_of(spark, sf_dir).where("role = 'user'").withColumn("k", F.row_number().over(timeline.in_order()))
     return users.where("k = 2").select("conv_id", F.col("turn").alias("cut"))
 
 

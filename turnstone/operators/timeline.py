@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TURNS = W.partitionBy("conv_id").orderBy("turn")
+
+def in_order():
+    """The window of a conversation's turns."""
+    return W.partitionBy("conv_id").orderBy("turn")
 
 
 def outline(turns: DataFrame) -> DataFrame:
@@ -15,21 +18,21 @@ def outline(turns: DataFrame) -> DataFrame:
         "conv_id",
         "turn",
         "role",
-        F.lag("role").over(TURNS).alias("prev_role"),
-        F.lead("role").over(TURNS).alias("next_role"),
-        F.sum(F.length("text")).over(TURNS.rowsBetween(W.unboundedPreceding, 0)).alias("running_chars"),
+        F.lag("role").over(in_order()).alias("prev_role"),
+        F.lead("role").over(in_order()).alias("next_role"),
+        F.sum(F.length("text")).over(in_order().rowsBetween(W.unboundedPreceding, 0)).alias("running_chars"),
     )
 
 
 def gaps(turns: DataFrame) -> DataFrame:
     """Turns whose number doesn't follow the one before: the number before, and how many are missing."""
-    before = turns.select("conv_id", "turn", F.lag("turn").over(TURNS).alias("prev_turn"))
+    before = turns.select("conv_id", "turn", F.lag("turn").over(in_order()).alias("prev_turn"))
     return before.where("turn - prev_turn > 1").withColumn("missing", F.col("turn") - F.col("prev_turn") - 1)
 
 
 def transitions(turns: DataFrame) -> DataFrame:
     """How often each role follows each other one; null at a conversation's start."""
-    pairs = turns.select(F.lag("role").over(TURNS).alias("from_role"), F.col("role").alias("to_role"))
+    pairs = turns.select(F.lag("role").over(in_order()).alias("from_role"), F.col("role").alias("to_role"))
     return pairs.groupBy("from_role", "to_role").agg(F.count("*").alias("n"))
 
 
