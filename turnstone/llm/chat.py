@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import re
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import slices
+
 #: Control strings of the template, in the order of their reserved ids.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 OPEN, CLOSE, HEAD, BODY = range(4)
@@ -26,6 +29,7 @@ CHUNK = 1 << 18
 
 @functools.cache
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True  # their strings in a text are ordinary text
     return found
@@ -43,18 +47,11 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
-def _runs(lengths: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of neighbouring rows whose lengths sum up to about CHUNK at most."""
-    group = np.cumsum(lengths) // CHUNK
-    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist()]
-    return list(zip(starts, [*starts[1:], len(lengths)])) if len(lengths) else []
-
-
 def _encoded(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         found, sizes = [np.empty(0, np.int32)], [0]
-        for a, b in _runs(np.array(pc.binary_length(texts))):
+        for a, b in slices(pc.binary_length(texts), CHUNK):
             for e in _tokenizer(path).encode_batch_fast(texts[a:b].to_pylist(), add_special_tokens=False):
                 found.append(np.array(e.ids, dtype=np.int32))
                 sizes.append(len(found[-1]))
@@ -136,7 +133,7 @@ def read_back(chats: DataFrame, tokenizer: str, reserved: int) -> DataFrame:
     @F.arrow_udf("struct<turns: array<struct<role: string, text: string>>, loss_text: string>")
     def run(ids: pa.Array, mask: pa.Array) -> pa.Array:
         kind, parts = pa.struct({"turns": pa.list_(pa.struct({"role": pa.string(), "text": pa.string()})), "loss_text": pa.string()}), []
-        for a, b in _runs(np.array(pc.list_value_length(ids), dtype=np.int64)):
+        for a, b in slices(pc.list_value_length(ids), CHUNK):
             rows = [_parsed(np.array(i.values), np.array(m.values), _tokenizer(tokenizer), reserved) for i, m in zip(ids[a:b], mask[a:b])]
             parts.append(pa.array(rows, kind))
         return pa.concat_arrays(parts) if parts else pa.array([], kind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,15 @@ def join_counted(big: DataFrame, small: DataFrame, on, how: str = "left", rows:
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
+def slices(lengths, most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring rows whose lengths sum up to about `most` at most, or hold one row."""
+    if not len(lengths):
+        return []
+    group = np.cumsum(np.array(lengths, dtype=np.int64)) // most
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist()]
+    return list(zip(starts, [*starts[1:], len(lengths)]))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, also where a lambda uses it repeatedly."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
+import os
+import sys
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut
+from .common import cut, slices
 
 WINDOW = 4096
 #: Pieces that are packed together; each group is one task's work and leaves at most a few windows unfilled.
 GROUP = 4096
-#: Words whose ids a task keeps at once.
-CACHE = 300_000
+#: Words of a generation whose ids a task keeps; there are two.
+CACHE = 400_000
+#: Bytes of text that are tokenized together.
+SLICE = 1 << 20
 
 
 @functools.cache
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Tokenizer.from_file(path)
 
 
@@ -30,22 +38,32 @@ class WordIds:
 
     So a text's ids are those of its words, and frequent words are encoded once.
     Upper-case ASCII letters are folded beforehand (the tokenizer does so anyway),
-    unless the text may hold the string of a special token.
+    unless the text may hold the string of a special token. Words are kept in two
+    generations: when the young one is full, it becomes the old one, and of that
+    only what occurs again lives on.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        """The ids, as little-endian unsigned 32-bit numbers."""
-        raw = text.encode()
-        words = (raw if b"<|" in raw else raw.lower()).split()
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        self.tokenizer, self.young, self.old = _tokenizer(path), {}, {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as little-endian unsigned 32-bit numbers."""
+        raw = [t.encode() for t in texts]
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for w in set(itertools.chain.from_iterable(split)):
+            if w not in young:
+                if ids := old.get(w):
+                    young[w] = ids
+                else:
+                    new.append(w)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            young[w] = array.array("I", e.ids).tobytes()
+        if sys.byteorder != "little":
+            raise NotImplementedError("ids are kept as the machine has them, which is taken to be little-endian")
+        return [b"".join(map(young.__getitem__, words)) for words in split]
 
 
 @functools.cache
@@ -64,12 +82,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, i
 
     @F.arrow_udf("array<struct<start: bigint, length: bigint, ids: binary>>")
     def run(texts: pa.Array) -> pa.Array:
-        encode = _word_ids(tokenizer) if per_word else lambda t: np.array(_tokenizer(tokenizer).encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        last, out = np.array([end_id], dtype="<u4").tobytes(), []
-        for text in texts:
-            ids = encode(text.as_py() or "") + last
-            out.append([{"start": k // 4, "length": len(ids[k : k + 4 * window]) // 4, "ids": ids[k : k + 4 * window]} for k in range(0, len(ids), 4 * window)])
-        return pa.array(out, pa.list_(pa.struct({"start": pa.int64(), "length": pa.int64(), "ids": pa.binary()})))
+        encode = _word_ids(tokenizer) if per_word else lambda some: [np.array(_tokenizer(tokenizer).encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in some]
+        last, kind, out = np.array([end_id], dtype="<u4").tobytes(), pa.list_(pa.struct({"start": pa.int64(), "length": pa.int64(), "ids": pa.binary()})), []
+        for a, b in slices(pc.fill_null(pc.binary_length(texts), 0), SLICE):
+            whole = [ids + last for ids in encode([t or "" for t in texts[a:b].to_pylist()])]
+            out.append(pa.array([[{"start": k // 4, "length": len(ids[k : k + 4 * window]) // 4, "ids": ids[k : k + 4 * window]} for k in range(0, len(ids), 4 * window)] for ids in whole], kind))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
 
     found = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("copy"), run(text_col).alias("found"))
     found = found.withColumn("doc_tokens", F.aggregate("found", F.lit(0).cast("bigint"), lambda a, p: a + p["length"]))
