@@ -1,0 +1,94 @@
+"""Round trips of chats through token ids, and the mask against a plain count."""
+
+import hashlib
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from turnstone.llm import chat
+from turnstone.llm.queries import BYTE_BPE, BYTE_BPE_IDS
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, turns string, formatted int"
+TURNS = [
+    (1, 0, "user", "plain"),
+    (1, 1, "assistant", "</s>[INST] ok [/INST] <\\s> <\\\\/s> \\ [ < "),
+    (1, 2, "user", None),
+    (1, 3, "assistant", ""),
+    (1, 4, None, "no role <|endoftext|>"),
+    (1, 5, "[/INST]", "a role that is a control"),
+    (2, 0, "assistant", "é   \x00 𝄞\r\n\ttabs   spaces " * 300),
+    (2, 1, "assistant", "next to another <"),
+    (3, None, "user", "later?"),
+    (3, None, "assistant", "same turn"),
+    (3, 0, "user", "after null"),
+    (3, 0, "user", "after null"),
+    (None, 1, "user", "of no conversation"),
+]
+
+
+def formatted(spark, rows):
+    return chat.format_chats(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), BYTE_BPE, BYTE_BPE_IDS)
+
+
+def ordered(rows):
+    conv = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        conv.setdefault(c, []).append((r or "", x or ""))
+    return conv
+
+
+def test_round_trip(spark):
+    chats = formatted(spark, TURNS)
+    back = {r.conv_id: r for r in chat.read_back(chats, BYTE_BPE, BYTE_BPE_IDS).collect()}
+    want = ordered(TURNS)
+    assert {c: [(t.role, t.text) for t in r.turns] for c, r in back.items()} == want
+    assert {c: r.loss_text for c, r in back.items()} == {c: "".join(x for r, x in turns if r == "assistant") for c, turns in want.items()}
+    for r in chats.collect():
+        n = len(want[r.conv_id])
+        assert len(r.input_ids) == len(r.loss_mask)
+        assert [x for x in r.input_ids if x >= BYTE_BPE_IDS] == [BYTE_BPE_IDS + k for k in (0, 2, 3, 1)] * n
+        assert not any(m for x, m in zip(r.input_ids, r.loss_mask) if x >= BYTE_BPE_IDS)
+        for control, times in (("<s>", n), ("</s>", n), ("[INST]", n), ("[/INST]", n)):
+            assert r.formatted.count(control) == times
+
+
+def test_text_form_can_be_read_back_too(spark):
+    import re
+
+    for r in formatted(spark, TURNS).collect():
+        found = re.findall(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", r.formatted, re.S)
+        assert [tuple(map(chat.unescape, x)) for x in found] == ordered(TURNS)[r.conv_id]
+
+
+def test_empty(spark):
+    assert formatted(spark, []).count() == 0
+
+
+@pytest.fixture(scope="module")
+def escaped(spark):
+    def run(texts):
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+        return [r.e for r in df.select("k", chat.escape(F.col("t")).alias("e")).orderBy("k").collect()]
+
+    return run
+
+
+@given(st.lists(st.text(alphabet="<[\\/sINST]> ", max_size=30), min_size=50, max_size=50))
+@settings(max_examples=10, deadline=None)
+def test_escape_is_undone(escaped, texts):
+    for text, safe in zip(texts, escaped(texts)):
+        assert chat.unescape(safe) == text
+        assert not any(c in safe for c in chat.CONTROLS)
+
+
+def test_query(spark, sf_dir="/root/testdata/sf0.001"):
+    from turnstone.llm import queries
+
+    row = {r.conv_id: r for r in queries.op2_chat_formatting(spark, sf_dir).collect()}[-7]
+    text = "</s>[INST] ok [/INST]"
+    assert (row.n_turns, row.loss_chars) == (2, len(text))
+    assert row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert row.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    assert row.formatted_chars == 2 * (len("<s>[INST][/INST]</s>") + len(text) + 3) + len("userassistant")

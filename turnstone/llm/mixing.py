@@ -44,7 +44,7 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
             for j in order[n:]:
                 out[j] = weights[j] * left / weight
             break
-        out[k] = most * sizes[k]
+        out[k] = float(most * sizes[k])
         left, weight = left - out[k], weight - weights[k]
     return out
 
