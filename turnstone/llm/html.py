@@ -22,20 +22,30 @@ CONTAINER = frozenset("article body center div main section td".split())
 APART = frozenset("aside audio button canvas dialog footer form head iframe menu nav noscript object script select style svg template textarea title video".split())
 #: Words in a class, id or role that mark what isn't the article.
 APART_WORDS = frozenset(
-    "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad adbox ads adsbygoogle adslot alert banner breadcrumb breadcrumbs complementary consent contentinfo copyright disqus gdpr login masthead menu menubar modal nav navbar notice notices notification notifications pager pagination popup promo promoted recommended related replies reply respond search share sharing sidenav signup social toolbar topbar topnav widget".split()
 )
+#: Beginnings of such words.
+APART_STEMS = ("advert", "comment", "cookie", "footer", "navigation", "newsletter", "sidebar", "sponsor", "subscri")
+#: With one of these, a header is an article's own.
+OWN_HEADER = frozenset("article content entry page post story".split())
+#: What a head holds; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 #: An open one of these ends where another of its row starts.
 ENDED_BY = {x: group for group in ({"li"}, {"dd", "dt"}, {"td", "th"}, {"tr"}, {"option"}) for x in group} | {"tr": {"td", "th", "tr"}}
 WHOLE = frozenset("article main".split())
+TITLE = frozenset(["h1"])
+LIST = frozenset("ol ul".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # a comment
     r"|<(?P<raw>script|style|textarea|noscript|template|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"  # not markup inside
     r"|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|</?[a-zA-Z][^>]*\Z",  # cut off
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 @dataclass
@@ -54,17 +64,45 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def _names(rest: str) -> tuple[list[str], list[str], bool]:
-    """The generalised classes of a tag, the words of its class, id and role, and whether it is hidden."""
-    classes, words, hidden = [], [], False
+@dataclass
+class Tag:
+    """What the attributes of a tag say: its generalised classes, whole names and their words, and whether it is hidden."""
+
+    classes: list[str] = field(default_factory=list)
+    names: set[str] = field(default_factory=set)
+    words: set[str] = field(default_factory=set)
+    hidden: bool = False
+
+
+def _described(rest: str) -> Tag:
+    found = Tag()
     if "=" in rest or "hidden" in rest.lower():
         for m in _ATTRIBUTE.finditer(rest):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            hidden |= kind == "hidden"
-            words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if kind == "class":
-                classes += [re.sub(r"\d+", "#", c) for c in value.lower().split()]
-    return sorted(set(classes)), words, hidden
+            if kind in ("class", "id", "role"):
+                found.names.update(value.lower().split())
+                found.words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                if kind == "class":
+                    found.classes = sorted({re.sub(r"\d+", "#", c) for c in value.lower().split()})
+            found.hidden |= kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and bool(_UNSEEN.search(value))
+    return found
+
+
+def _is_apart(word: str) -> bool:
+    return word in APART_WORDS or word.startswith(APART_STEMS)
+
+
+def _apart(tag: str, said: Tag, inside: bool) -> bool:
+    """Whether an element is no part of an article; inside: it is in an article or main element."""
+    if said.hidden or tag in APART:
+        return True
+    if tag in ("html", "body", "main"):
+        return False
+    if tag == "article":  # a comment or teaser may be an article, but words like comments-open don't make one
+        return any(map(_is_apart, said.names & said.words))
+    if not inside and (tag == "header" or "header" in said.words) and said.words.isdisjoint(OWN_HEADER):
+        return True
+    return any(map(_is_apart, said.words))
 
 
 def parse(text: str) -> Page:
@@ -86,10 +124,10 @@ def parse(text: str) -> Page:
     def add(raw: str) -> None:
         nonlocal links
         if raw:
-            said = entities.unescape(raw) if "&" in raw else raw
-            parts.append(said)
+            shown = entities.unescape(raw) if "&" in raw else raw
+            parts.append(shown)
             if any(page.nodes[k].tag == "a" for k in open_[-3:]):
-                links += len(said)
+                links += len(shown)
 
     for m in _TOKEN.finditer(text):
         add(text[last : m.start()])
@@ -107,11 +145,17 @@ def parse(text: str) -> Page:
                     break
                 if not block and own in BLOCK:
                     break
+            else:
+                if block:  # a stray end still parts what stands on its two sides
+                    flush()
             continue
         above = page.nodes[open_[-1]]
-        classes, words, hidden = _names(m["rest"])
-        inside = any(page.nodes[k].tag in WHOLE for k in open_)
-        apart = above.apart or hidden or tag in APART or (tag == "header" and not inside) or (tag not in ("html", *CONTAINER - {"div", "section", "td", "center"}) and not APART_WORDS.isdisjoint(words))
+        if tag not in IN_HEAD and any(page.nodes[k].tag == "head" for k in open_[1:3]):  # a head need not be closed
+            flush()
+            del open_[next(k for k in (1, 2) if page.nodes[open_[k]].tag == "head") :]
+            above = page.nodes[open_[-1]]
+        said = _described(m["rest"])
+        apart = above.apart or _apart(tag, said, any(page.nodes[k].tag in WHOLE for k in open_))
         if block or apart != above.apart:
             flush()
         if block:
@@ -125,11 +169,23 @@ def parse(text: str) -> Page:
             above = page.nodes[open_[-1]]
         if tag in VOID or m["rest"].endswith("/") and not block:
             continue
-        path = f"{above.path}/{'.'.join([tag, *classes])}" if tag in CONTAINER or tag == "html" else above.path
+        path = f"{above.path}/{'.'.join([tag, *said.classes])}" if tag in CONTAINER or tag == "html" else above.path
         page.nodes.append(Node(tag, path, open_[-1], apart))
         open_.append(len(page.nodes) - 1)
     add(text[last:])
     flush()
+    return _without_menus(page)
+
+
+def _without_menus(page: Page) -> Page:
+    """The page without lists of nothing but links, unless they are in an article or main element."""
+    linked: dict[int, list[bool]] = {}
+    for node, text, links in page.blocks:
+        if (at := _within(page, node, LIST)) and not _within(page, at, WHOLE):
+            linked.setdefault(at, []).append(links >= len(text))
+    menus = {at for at, found in linked.items() if len(found) > 1 and all(found)}
+    if menus:
+        page.blocks = [x for x in page.blocks if _within(page, x[0], LIST) not in menus]
     return page
 
 
@@ -137,7 +193,8 @@ def scores(page: Page) -> dict[str, float]:
     """How much running text each container path holds; words in links count against it.
 
     The nearest container has all of a block, those further out ever less; but an
-    article or main element has all that is inside.
+    article or main element has all that is inside, and a plain section's text is all
+    the container's that it is a section of.
     """
     found: dict[str, float] = {}
     for node, text, links in page.blocks:
@@ -148,7 +205,7 @@ def scores(page: Page) -> dict[str, float]:
             if own.tag in CONTAINER and own.path not in seen:
                 seen.add(own.path)
                 found[own.path] = found.get(own.path, 0.0) + value * (1.2 if own.tag in WHOLE else share)
-                share /= 2
+                share /= 1 if own.path.endswith("/section") and not own.path.endswith("/body/section") else 2
             node = own.parent
     return found
 
@@ -158,12 +215,29 @@ def best_path(found: dict[str, float]) -> str | None:
     return min((p for p in found if found[p] > 0), key=lambda p: (-found[p], -p.count("/"), p), default=None)
 
 
+def _within(page: Page, node: int, tags: frozenset[str]) -> int:
+    """The nearest of a node and those around it that has one of the tags; 0 if none has."""
+    while node > 0 and page.nodes[node].tag not in tags:
+        node = page.nodes[node].parent
+    return max(node, 0)
+
+
 def text_under(page: Page, path: str | None) -> str:
-    """The blocks inside the elements of a path, in page order, by line; of no path, all blocks."""
-    inside = [path is None]
-    for n in page.nodes[1:]:
+    """The blocks inside the elements of a path, in page order, by line; of no path, all blocks.
+
+    A title (h1) above the first of these elements belongs to them if it stands right in a
+    container around it, other than the body.
+    """
+    inside, around = [path is None], set()
+    for k, n in enumerate(page.nodes[1:], 1):
+        if n.path == path and not around:
+            around = {k}
+            while (k := page.nodes[k].parent) > 0:
+                around.add(k)
         inside.append(inside[n.parent] or n.path == path)
-    return "\n".join(text for node, text, _ in page.blocks if inside[node])
+    title = [bool(around) and not inside[n] and _within(page, n, TITLE) and (at := _within(page, n, CONTAINER)) in around and page.nodes[at].tag != "body" for n, _, _ in page.blocks]
+    first = next((k for k, (n, _, _) in enumerate(page.blocks) if inside[n]), 0)
+    return "\n".join(text for k, (n, text, _) in enumerate(page.blocks) if inside[n] or title[k] and k < first)
 
 
 def vote(html: str | None) -> tuple[str | None, float]:
