@@ -6,6 +6,7 @@ import array
 import functools
 import itertools
 import os
+import string
 import sys
 
 import numpy as np
@@ -24,7 +25,10 @@ GROUP = 4096
 #: Words of a generation whose ids a task keeps; there are two.
 CACHE = 400_000
 #: Bytes of text that are tokenized together.
-SLICE = 1 << 20
+SLICE = 1 << 22
+#: The start of every special token's string.
+MARK = "<|"
+SYMBOLS, ALPHANUMERIC = string.punctuation, frozenset(string.ascii_letters + string.digits)
 
 
 @functools.cache
@@ -36,9 +40,11 @@ def _tokenizer(path: str) -> Tokenizer:
 class WordIds:
     """Token ids of texts, for a tokenizer that never joins what white space parts.
 
-    So a text's ids are those of its words, and frequent words are encoded once.
-    Upper-case ASCII letters are folded beforehand (the tokenizer does so anyway),
-    unless the text may hold the string of a special token. Words are kept in two
+    So a text's ids are those of its words, and frequent words are encoded once. The
+    tokenizer also has to part an ASCII letter or digit from a symbol that follows, so
+    a word's closing symbols are looked up apart. Upper-case ASCII letters are
+    folded beforehand (the tokenizer does so anyway), unless the text may hold the string
+    of a special token; nor is such a word taken apart. Words are kept in two
     generations: when the young one is full, it becomes the old one, and of that
     only what occurs again lives on.
     """
@@ -46,24 +52,38 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer, self.young, self.old = _tokenizer(path), {}, {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as little-endian unsigned 32-bit numbers."""
-        raw = [t.encode() for t in texts]
-        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids, as little-endian unsigned 32-bit numbers; a null text has none."""
+        if sys.byteorder != "little":
+            raise NotImplementedError("ids are kept as the machine has them, which is taken to be little-endian")
+        texts = texts.fill_null("")
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, MARK), texts, pc.ascii_lower(texts)))
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array(self._of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[np.array(words.offsets)].tolist() if len(ids) else [0] * (len(texts) + 1)
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in itertools.pairwise(ends)]
+
+    def _of(self, words: list[str]) -> list[bytes]:
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for w in set(itertools.chain.from_iterable(split)):
+        young, old, new, parted = self.young, self.old, {}, []
+        for w in words:
             if w not in young:
-                if ids := old.get(w):
+                if (ids := old.get(w)) is not None:
                     young[w] = ids
+                    continue
+                stem = w.rstrip(SYMBOLS)
+                if stem and stem is not w and stem[-1] in ALPHANUMERIC and MARK not in w:
+                    parted.append((w, stem, w[len(stem) :]))
+                    new.update((x, None) for x in parted[-1][1:] if x not in young)
                 else:
-                    new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+                    new[w] = None
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)):
             young[w] = array.array("I", e.ids).tobytes()
-        if sys.byteorder != "little":
-            raise NotImplementedError("ids are kept as the machine has them, which is taken to be little-endian")
-        return [b"".join(map(young.__getitem__, words)) for words in split]
+        for w, stem, end in parted:
+            young[w] = young[stem] + young[end]
+        return [young[w] for w in words]
 
 
 @functools.cache
@@ -76,16 +96,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, i
 
     A document is its text's ids by the tokenizer file, then end_id; one of more than
     `window` ids is cut into full windows and a rest. ids: binary, little-endian
-    unsigned 32-bit. A null or empty text has just end_id. per_word: the tokenizer
-    doesn't look across white space. copy tells apart rows with the same id.
+    unsigned 32-bit. A null or empty text has just end_id. per_word: WordIds fits the
+    tokenizer. copy tells apart rows with the same id.
     """
 
     @F.arrow_udf("array<struct<start: bigint, length: bigint, ids: binary>>")
     def run(texts: pa.Array) -> pa.Array:
-        encode = _word_ids(tokenizer) if per_word else lambda some: [np.array(_tokenizer(tokenizer).encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in some]
+        encode = _word_ids(tokenizer) if per_word else lambda some: [np.array(_tokenizer(tokenizer).encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in some.to_pylist()]
         last, kind, out = np.array([end_id], dtype="<u4").tobytes(), pa.list_(pa.struct({"start": pa.int64(), "length": pa.int64(), "ids": pa.binary()})), []
         for a, b in slices(pc.fill_null(pc.binary_length(texts), 0), SLICE):
-            whole = [ids + last for ids in encode([t or "" for t in texts[a:b].to_pylist()])]
+            whole = [ids + last for ids in encode(texts[a:b])]
             out.append(pa.array([[{"start": k // 4, "length": len(ids[k : k + 4 * window]) // 4, "ids": ids[k : k + 4 * window]} for k in range(0, len(ids), 4 * window)] for ids in whole], kind))
         return pa.concat_arrays(out) if out else pa.array([], kind)
 
