@@ -1,0 +1,99 @@
+"""Held-out accuracy, codewords and decoding, and the defined results of odd texts."""
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from turnstone.llm import langid
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, held_out string, p int, score string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "s", 1, "x", 2, "y") for r in rows], SCHEMA)
+
+
+def trigrams(text):
+    folded = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in text.encode())
+    return [((folded[i] << 16 | folded[i + 1] << 8 | folded[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(folded) - 2)]
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab", "abc", "Größe, 12 мир!", "x" * 100])
+def test_features(text, monkeypatch):
+    whole = np.concatenate([np.empty(0, int), *langid.features(text)])
+    assert whole.tolist() == trigrams(text)
+    monkeypatch.setattr(langid, "CHUNK", 7)  # chunks overlap, so that none is lost
+    assert np.concatenate([np.empty(0, int), *langid.features(text)]).tolist() == trigrams(text)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 20, 100])
+def test_codewords_are_far_apart(n):
+    code = langid.codewords(n)
+    assert code.shape[0] == n and set(np.unique(code)) <= {1, -1}
+    apart = [(code[a] != code[b]).sum() for a in range(n) for b in range(a)]
+    assert min(apart) >= max(1, code.shape[1] // 4)
+
+
+def test_decoding_weighs_sure_bits_more():
+    code = np.array([[1, 1, 1, -1], [-1, -1, 1, 1], [1, -1, -1, 1]], dtype=np.int8)
+    weights = np.zeros((langid.BUCKETS, 4), dtype=np.float32)
+    model = langid.Model(["a", "b", "c"], code, weights)
+    margins = {"near a": [5, 0.1, 5, -5], "near b": [-0.1, -9, 0.1, 9], "one bit lies": [9, 9, -0.5, -9]}
+    for text, want in (("near a", "a"), ("near b", "b"), ("one bit lies", "a")):
+        model.margins = lambda t: np.array(margins[t])
+        got = model.predict(text, 1.0)
+        losses = [sum(np.log1p(np.exp(-c * m)) for c, m in zip(row, margins[text])) for row in code]
+        assert got["lang_pred"] == want == "abc"[int(np.argmin(losses))]
+        assert got["score"] == pytest.approx(np.exp(-min(losses)) / sum(np.exp(-np.array(losses))))
+    model.margins = lambda t: np.zeros(4)
+    assert model.predict("no evidence", 1.0) == {"lang_pred": "a", "score": pytest.approx(1 / 3), "ambiguous": True}
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.01", 0.97), ("sf0.1", 0.97)])
+def test_held_out_accuracy(spark, sf, least):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = langid.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert all(r.lang_pred == langid.UNDETERMINED for r in rows if not any(c.isalpha() for c in r.text or ""))
+    held = [r for r in rows if r.held_out and any(c.isalpha() for c in r.text or "")]
+    assert sum(r.lang_pred == r.lang for r in held) >= least * len(held)
+    clear = [r for r in held if len(r.text.split()) >= 20]
+    assert sum(r.lang_pred == r.lang for r in clear) >= 0.99 * len(clear)
+
+
+def test_predictions_depend_on_text_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = langid.held_out()
+    changed = docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit("other"))
+    one = sorted(map(tuple, langid.identify(docs).collect()))
+    assert one == sorted(map(tuple, langid.identify(changed).collect()))
+
+
+ENGLISH, GERMAN = "the cat and the dog went over to that house with them", "der Hund und die Katze gingen zu dem Haus mit ihnen über die Straße"
+
+
+def test_odd_rows(spark):
+    rows = [(k, ENGLISH, "en") for k in range(9)] + [(k, GERMAN, "de") for k in range(9, 18)]
+    rows += [(30, None, "en"), (31, "", "en"), (32, "12 34 !?", "de"), (33, "the dog", None), (None, GERMAN, "de"), (3, ENGLISH, "en"), (34, "́ €", None), (35, GERMAN * 20_000, None)]
+    got = langid.identify(table(spark, rows)).collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(repr(i) for i, _, _ in rows)
+    found = {r.doc_id: r for r in got}
+    assert [found[k].lang_pred for k in (30, 31, 32, 34)] == ["und"] * 4
+    assert all(found[k].score == 0 and found[k].ambiguous for k in (30, 31, 32, 34))
+    assert [found[k].lang_pred for k in (0, 10, None, 35)] == ["en", "de", "de", "de"]
+    assert {r.lang_pred for r in got} == {"en", "de", "und"}
+    kept = langid.keep_identified(table(spark, rows))
+    assert kept.columns == table(spark, rows).columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert set(ids) == {r.doc_id for r in got if r.lang_pred != "und" and not r.ambiguous} and ids.count(3) == 2
+
+
+def test_no_labels_and_empty(spark):
+    got = langid.identify(table(spark, [(1, ENGLISH, None), (2, GERMAN, None)])).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * 2
+    assert langid.identify(table(spark, [])).count() == 0
+    one = langid.identify(table(spark, [(k, ENGLISH, "en") for k in range(9)])).collect()
+    assert {r.lang_pred for r in one} == {"en"}

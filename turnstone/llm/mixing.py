@@ -17,8 +17,9 @@ from .common import WORD, cut
 MAX_SOURCES = 10_000
 #: Each source's documents are laid out in this many parts, so that no source is one task's work.
 PARTS = 256
-#: Slots that one task row unfolds.
+#: Slots that one task row unfolds, and those that one task does about.
 RUN = 8192
+TASK_SLOTS = 1 << 18
 
 
 @dataclass
@@ -137,7 +138,9 @@ class Mix:
         first = np.cumsum(self.counts, axis=0) - self.counts
         runs = [(k, s.rank, s.blocks, int(first[k, s.rank]), int(n)) for s in self.sources for k, n in enumerate(self.counts[:, s.rank]) if n]
         table = self._table(runs, "shard int, rank int, blocks bigint, first bigint, n bigint")
-        table = table.select("*", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / RUN).cast("bigint"))).alias("run")).repartition("rank", "shard", "run")
+        table = table.select("*", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / RUN).cast("bigint"))).alias("run"))
+        # runs are tiny rows that unfold: their number of tasks is given, as sizes would put them all into one
+        table = table.repartition(-(-int(self.counts.sum()) // TASK_SLOTS) or 1, "rank", "shard", "run")
         last = F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1
         table = table.select("shard", "rank", "blocks", F.explode(F.sequence(F.col("first") + F.col("run") * RUN, F.col("first") + last)).alias("slot"))
         epoch = F.floor(F.col("slot") / F.col("blocks")).cast("bigint")
