@@ -85,6 +85,8 @@ def test_word_by_word_ids_are_those_of_whole_texts(tokenizer):
     rng = random.Random(2)
     texts = [words(rng) for _ in range(400)] + ["it's we'll I'M DON'T o ' s", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>", "tab\tnew\nline\x0bv\x0cf\rr", "\x1c\x1d\x1e\x1f\x85 x", "\x00nul\x00", "İstanbul ǅ Ω K"]
     ids = packing.WordIds(queries.WORD_BPE)
+    assert set("azéßÿ") <= set(map(chr, ids.letters))
+    texts += ["".join(rng.choice("abcdeßéñüøÿ") for _ in range(rng.randrange(1, 30))) for _ in range(500)] + ["x" * 5000, "é" * 3000, "÷", "a÷b", "ŉ", "é", "naïve", "ÀÉ"]
     texts += [stem + end for stem in ("cat", "don't", "x1", "é", "Σ", "á", ")", "it'", "'", "") for end in (",", "'", "'s", "''", ").", "$$$", "...", "≠", "|>", "<|", "<|endoftext|>", ".'ll")]
     for got, text in zip(ids(pa.array(texts)), texts):
         assert np.frombuffer(got, dtype="<u4").tolist() == encoded(tokenizer, text)[:-1], repr(text)

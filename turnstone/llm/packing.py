@@ -6,6 +6,7 @@ import array
 import functools
 import itertools
 import os
+import re
 import string
 import sys
 
@@ -28,7 +29,9 @@ CACHE = 400_000
 SLICE = 1 << 22
 #: The start of every special token's string.
 MARK = "<|"
-SYMBOLS, ALPHANUMERIC = string.punctuation, frozenset(string.ascii_letters + string.digits)
+SYMBOLS = string.punctuation
+#: Runs of lower-case Latin letters, which most words are.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 
 
 @functools.cache
@@ -41,16 +44,18 @@ class WordIds:
     """Token ids of texts, for a tokenizer that never joins what white space parts.
 
     So a text's ids are those of its words, and frequent words are encoded once. The
-    tokenizer also has to part an ASCII letter or digit from a symbol that follows, so
+    tokenizer also has to part a Latin letter or digit from an ASCII symbol that follows, so
     a word's closing symbols are looked up apart. Upper-case ASCII letters are
     folded beforehand (the tokenizer does so anyway), unless the text may hold the string
-    of a special token; nor is such a word taken apart. Words are kept in two
+    of a special token; nor is such a word taken apart. Words of plain letters go
+    straight to the tokenizer's model. Words are kept in two
     generations: when the young one is full, it becomes the old one, and of that
     only what occurs again lives on.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.young, self.old = _tokenizer(path), {}, {}
+        self.model, self.letters = self.tokenizer.model, _letters(self.tokenizer)
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers; a null text has none."""
@@ -59,7 +64,7 @@ class WordIds:
         texts = texts.fill_null("")
         words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, MARK), texts, pc.ascii_lower(texts)))
         coded = words.flatten().dictionary_encode()
-        ids = pa.array(self._of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ids = pa.array(self._of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[np.array(words.offsets)].tolist() if len(ids) else [0] * (len(texts) + 1)
         data = memoryview(ids.buffers()[2] or b"")
         return [bytes(data[a:b]) for a, b in itertools.pairwise(ends)]
@@ -67,23 +72,49 @@ class WordIds:
     def _of(self, words: list[str]) -> list[bytes]:
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        young, old, new, parted = self.young, self.old, {}, []
+        young, old, new, parted = self.young, self.old, [], []
         for w in words:
             if w not in young:
                 if (ids := old.get(w)) is not None:
                     young[w] = ids
                     continue
                 stem = w.rstrip(SYMBOLS)
-                if stem and stem is not w and stem[-1] in ALPHANUMERIC and MARK not in w:
-                    parted.append((w, stem, w[len(stem) :]))
-                    new.update((x, None) for x in parted[-1][1:] if x not in young)
+                if len(stem) < len(w) and stem and _closes(stem[-1]) and MARK not in w:
+                    end = w[len(stem) :]
+                    parted.append((w, stem, end))
+                    if stem not in young:
+                        new.append(stem)
+                    if end not in young:
+                        new.append(end)
                 else:
-                    new[w] = None
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)):
+                    new.append(w)
+        rest = []
+        for w in new:
+            if w not in young:
+                if self.letters and PLAIN(w):
+                    young[w] = array.array("I", [t.id for t in self.model.tokenize(w.translate(self.letters))]).tobytes()
+                else:
+                    rest.append(w)
+        rest = list(dict.fromkeys(rest))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             young[w] = array.array("I", e.ids).tobytes()
         for w, stem, end in parted:
             young[w] = young[stem] + young[end]
-        return [young[w] for w in words]
+        return list(map(young.__getitem__, words))
+
+
+def _letters(tokenizer: Tokenizer) -> dict[int, str]:
+    """How the tokenizer spells each lower-case Latin letter for its model, if it spells runs of them letter by letter."""
+    letters, spelled = [chr(c) for c in range(0x100) if PLAIN(chr(c))], lambda text: [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
+    if not (tokenizer.normalizer and tokenizer.pre_tokenizer):
+        return {}
+    found = {ord(c): "".join(spelled(c)) for c in letters}
+    return found if spelled("".join(letters)) == ["".join(found.values())] else {}
+
+
+def _closes(last: str) -> bool:
+    """Whether a symbol after this character surely starts a new token: it is a digit or a Latin letter."""
+    return last < "\u0250" and (last.isalpha() or last in string.digits)
 
 
 @functools.cache
