@@ -1,0 +1,130 @@
+"""Line sources, statuses and streams against small files with known traps."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from turnstone.sources import lines, records
+from turnstone.streaming import follow
+
+CORPUS = [
+    (b'\xef\xbb\xbf{"id":"r0","kind":"first"}\r\n', "ok"),
+    (b'{"id":"r1","parent":null,"kind":"user","body":"hello"}\n', "ok"),
+    (b'{"id":"r2","parent":"r1","kind":"reply","body":{"n":12345678901234567890123}}\n', "ok"),
+    (b"\n", "blank"),
+    (b'{"id":"r3","parent":"r2"\n', "malformed"),
+    (b'{"id":"r4","kind":"user","Kind":"x"}\n', "ok"),
+    (b'{"id":"r5","id":"r5b"}\n', "duplicate_key"),
+    (b"42\n", "non_object"),
+    (b"[1, 2]\r\n", "non_object"),
+    (b'{"id":"r6","parent":"zz","kind":"\xc3\xa9"}', "ok"),
+]
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"".join(x for x, _ in CORPUS))
+    (tmp_path / "b.jsonl").write_bytes(b'{"id":"b1"}\n{"id":"b2"}\n')
+    (tmp_path / "_hidden").write_bytes(b"not a line of ours\n")
+    return tmp_path
+
+
+def test_every_line_with_number_offset_and_status(spark, folder):
+    rows = lines.read_lines(spark, str(folder)).where(F.col("source_file").endswith("a.jsonl")).orderBy("line_no").collect()
+    assert [r.status for r in rows] == [s for _, s in CORPUS]
+    assert [r.line_no for r in rows] == list(range(len(CORPUS)))
+    at = 0
+    for r, (raw, _) in zip(rows, CORPUS):
+        assert r.byte_offset == at
+        assert r.value == raw.decode("utf-8-sig").rstrip("\r\n")
+        at += len(raw)
+
+
+def test_batches_of_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lines, "BATCH_LINES", 7)
+    (tmp_path / "x").write_text("".join(f"line {k}\n" for k in range(50)))
+    span = lines.LinesReader(str(tmp_path)).partitions()
+    rows = [r for b in lines.read_span(str(tmp_path), span[0]) for r in b.to_pylist()]
+    assert [(r["line_no"], r["value"]) for r in rows] == [(k, f"line {k}") for k in range(50)]
+
+
+def test_empty_folder_and_empty_file(spark, tmp_path):
+    assert lines.read_lines(spark, str(tmp_path)).count() == 0
+    (tmp_path / "empty").write_bytes(b"")
+    assert lines.read_lines(spark, str(tmp_path)).count() == 0
+
+
+def test_locate(spark, folder):
+    found = lines.locate(lines.read_lines(spark, str(folder)), "a.jsonl", 4).collect()
+    assert [r.value for r in found] == ['{"id":"r3","parent":"r2"']
+
+
+def test_records_by_mapping(spark, folder):
+    mapping = {"record_id": ("$.id", "string"), "parent_id": ("$.parent", "string"), "n": ("$.body.n", "decimal(23,0)"), "kind": ("$.kind", "bigint")}
+    rows = {r.record_id: r for r in records.read_records(spark, str(folder), mapping).collect()}
+    assert sorted(rows) == ["b1", "b2", "r0", "r1", "r2", "r4", "r6"]
+    assert rows["r6"].parent_id == "zz" and rows["r1"].parent_id is None
+    assert str(rows["r2"].n) == "12345678901234567890123" and rows["r1"].n is None
+    assert all(r.kind is None for r in rows.values())  # text doesn't cast
+
+
+def test_typed_reads_tell_what_does_not_fit(spark, folder):
+    rows = records.read_typed(spark, str(folder / "a.jsonl"), "id string, parent string").collect()
+    assert {r.id for r in rows if r._corrupt_record is None} >= {"r1", "r2", "r4", "r6"}
+    assert '{"id":"r3","parent":"r2"' in {r._corrupt_record for r in rows}
+
+
+def test_jsonl_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb", None), (2, None, 2.5), (3, 'é"\\', -0.0)], "k bigint, t string, x double")
+    records.write_jsonl(df, str(tmp_path / "out"))
+    assert sorted(map(tuple, records.read_typed(spark, str(tmp_path / "out"), "k bigint, t string, x double").drop("_corrupt_record").collect())) == sorted(map(tuple, df.collect()))
+    raw = [json.loads(x) for p in (tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()]
+    assert all(set(r) == {"k", "t", "x"} for r in raw)
+    records.write_parquet(df, str(tmp_path / "pq"))
+    assert records.read_table(spark, str(tmp_path), "pq").count() == 0 if (tmp_path / "pq.parquet").exists() else spark.read.parquet(str(tmp_path / "pq")).count() == 3
+
+
+def test_union_of_many(spark):
+    a = spark.createDataFrame([(1, "x")], "k int, t string")
+    b = spark.createDataFrame([("y", 2.0)], "t string, z double")
+    rows = records.union_of([a, b, a]).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(1, "x", None), (None, "y", 2.0), (1, "x", None)], key=repr)
+
+
+def drained(spark, rows, tmp_path):
+    follow.drained(rows, str(tmp_path / "sink"), str(tmp_path / "ckpt"))
+    return spark.read.parquet(str(tmp_path / "sink"))
+
+
+def test_new_files_are_picked_up_once(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a").write_text('{"id":1}\n')
+    assert drained(spark, follow.new_files(spark, str(logs)), tmp_path).count() == 1
+    (logs / "b").write_text('{"id":2}\nbad\n')
+    rows = drained(spark, follow.new_files(spark, str(logs)), tmp_path)
+    assert sorted(r.status for r in rows.collect()) == ["malformed", "ok", "ok"]
+
+
+def test_growing_files_give_each_line_once(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a").write_bytes(b'{"id":1}\n{"id"')
+    assert [(r.line_no, r.value) for r in drained(spark, follow.growing_files(spark, str(logs)), tmp_path).collect()] == [(0, '{"id":1}')]
+    with (logs / "a").open("ab") as f:
+        f.write(b':2}\n{"id":3}\nunfinished')
+    (logs / "b").write_bytes(b'{"id":9}\n')
+    rows = drained(spark, follow.growing_files(spark, str(logs)), tmp_path).collect()
+    assert sorted((r.source_file[-1], r.line_no, r.byte_offset, r.value) for r in rows) == [("a", 0, 0, '{"id":1}'), ("a", 1, 9, '{"id":2}'), ("a", 2, 18, '{"id":3}'), ("b", 0, 0, '{"id":9}')]
+
+
+def test_windowed_counts_as_a_stream(spark, tmp_path):
+    source = tmp_path / "events"
+    spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 7) AS ts, if(id % 2 = 0, 'a', 'b') AS event_type FROM range(100)").write.parquet(str(source))
+    batch = follow.windowed_counts(spark.read.parquet(str(source)))
+    assert sum(r.n for r in batch.collect()) == 100
+    stream = spark.readStream.schema(spark.read.parquet(str(source)).schema).parquet(str(source))
+    closed = drained(spark, follow.windowed_counts(stream), tmp_path)  # append mode: only windows that the watermark has closed
+    want = {tuple(r) for r in batch.collect()}
+    assert {tuple(r) for r in closed.collect()} <= want
