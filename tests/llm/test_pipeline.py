@@ -1,0 +1,100 @@
+"""The pipeline's stages on a small table: contracts, effects of each decision, and odd rows."""
+
+import random
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from turnstone.llm import langid, mixing, packing, quality, queries, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Each stage's rows, written and read again as the next one's input."""
+    docs, found = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path_factory.mktemp("stages") / str(k))
+        stage(spark, docs, SF).write.parquet(path)
+        found.append((docs, spark.read.parquet(path)))
+        docs = found[-1][1]
+    return found
+
+
+def test_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_dedup", "mixing", "packing"]
+
+
+def test_all_but_the_last_return_documents(stages):
+    for before, after in stages[:-1]:
+        assert after.dtypes == before.dtypes
+
+
+def ids(df):
+    return Counter(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_quality(stages):
+    before, after = stages[0]
+    assert ids(after) == ids(quality.judge(before).where("kept")) and ids(after) != ids(before)
+
+
+def test_language(stages):
+    before, after = stages[1]
+    assert ids(after) == ids(langid.identify(before).where("NOT ambiguous AND lang_pred <> 'und'"))
+    assert sum(ids(after).values()) >= 0.98 * sum(ids(before).values())  # clean documents stay
+
+
+def test_near_duplicates(stages):
+    before, after = stages[2]
+    groups = simhash.near_duplicates(before)
+    assert ids(after) == ids(groups.where("doc_id = component_id"))
+    assert set(ids(after)) == {r.component_id for r in groups.collect()}
+
+
+def test_mix(stages):
+    before, after = stages[3]
+    taken, found = Counter(), Counter()
+    for r in mixing.words_taken(before, block=corpus_pipeline.MIX_BLOCK).collect():
+        taken[r.doc_id] += r.taken
+    for r in after.collect():
+        found[r.doc_id] += len(r.text.encode().split())
+    assert +found == +taken
+
+
+def test_pack(stages):
+    before, after = stages[4]
+    want = Counter()
+    ids_of = packing.WordIds(queries.WORD_BPE)
+    import pyarrow as pa
+
+    for r in before.collect():
+        want[r.doc_id] += len(ids_of(pa.array([r.text]))[0]) // 4 + 1
+    found = Counter()
+    for r in after.collect():
+        found[r.doc_id] += r.length
+    assert found == want
+
+
+def test_run_is_the_stages_one_after_the_other(spark, stages):
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
+    assert key(corpus_pipeline.run(spark, SF)) == key(stages[-1][1])
+
+
+def test_odd_rows_go_through(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randrange(2, 8))) for _ in range(80))
+    same = text()
+    rows = [(k, text(), "en", f"s{k % 2}") for k in range(40)] + [(50, None, None, None), (51, "", "en", None), (None, text(), None, None), (52, same, "en", "s0"), (53, same, "en", "s1"), (53, same, "en", "s1")]
+    docs = spark.createDataFrame([(i, t, x, s, len(t or ""), "extra", 1) for i, t, x, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, part string, size int")
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, empty, SF).count() == 0, name
+        if name != "packing":
+            assert out.columns == docs.columns, name
+            out.write.parquet(str(tmp_path / name))
+            docs = spark.read.parquet(str(tmp_path / name))
+    assert out.count() > 0

@@ -24,9 +24,9 @@ WINDOW = 4096
 #: Pieces that are packed together; each group is one task's work and leaves at most a few windows unfilled.
 GROUP = 4096
 #: Words of a generation whose ids a task keeps; there are two.
-CACHE = 400_000
+CACHE = 100_000
 #: Bytes of text that are tokenized together.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: The start of every special token's string.
 MARK = "<|"
 SYMBOLS = string.punctuation
