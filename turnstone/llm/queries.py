@@ -91,6 +91,23 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length({_ESC.format("role")}) + length({_ESC.format("text")}) + length('<s>[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    # text_crc32: the reflected polynomial's table, then a step for each byte of the UTF-8 text
+    "op3_rendezvous_sharding": """
+        WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), list_transform(range(8), lambda i: CAST(0 AS BIGINT))), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        d AS (
+            SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, coalesce(text, '') AS text FROM documents),
+        h AS (
+            SELECT doc_id, key, CAST(strlen(text) + 8 AS BIGINT) AS size,
+                   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32
+            FROM d, steps),
+        times AS (
+            SELECT *, list_transform(range(25), lambda s: -ln((CAST('0x' || substr(md5(key || '/' || CAST(s AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)) AS race,
+                   CAST('0x' || substr(md5(key || '/part'), 1, 12) AS BIGINT) % 256 AS part
+            FROM h),
+        won AS (SELECT *, CAST(list_position(race[1:24], list_min(race[1:24])) - 1 AS INTEGER) AS shard, CAST(list_position(race, list_min(race)) - 1 AS INTEGER) AS grown_shard FROM times)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+        FROM won""",
     "op6_warc": """
         WITH p AS (
             SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
