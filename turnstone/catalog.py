@@ -104,7 +104,7 @@ def w4_waits(spark, sf_dir):
 
 
 @query("""
-    WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    WITH s AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
          g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
     SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 12 HOUR AS ended, count(*) AS n FROM g GROUP BY user_id, k""")
 def w5_sessions(spark, sf_dir):

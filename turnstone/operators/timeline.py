@@ -44,7 +44,7 @@ def waits(events: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Runs of a user's events with less than gap between neighbours."""
+    """Runs of a user's events with gap or less between neighbours."""
     found = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return found.select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
 
