@@ -2,14 +2,12 @@
 
 A table of records has the columns source, record_id and parent_id (null at a root);
 ids are taken within their source. Deep chains are resolved by pointer doubling: each
-round joins every open record with what its present ancestor has found, so a
-chain of length n takes about log2 n rounds.
+round joins every open record with what its present ancestor has found, so the
+rounds are about log2 of the longest chain's length, cycles or not.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,7 +52,6 @@ def lineage(records: DataFrame) -> DataFrame:
     first = W.partitionBy(*KEYS).orderBy(F.col("parent_id").asc_nulls_first())
     one = records.select(*KEYS, "parent_id").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     known = cut(with_parent(one))
-    rounds = math.ceil(math.log2(max(2, known.count()))) + 1
     state = cut(
         known.select(
             *KEYS,
@@ -64,16 +61,16 @@ def lineage(records: DataFrame) -> DataFrame:
             (~F.col("has_parent")).alias("done"),
         )
     )
-    for _ in range(rounds):
-        open_ = state.where("NOT done")
-        if open_.isEmpty():
-            break
+    open_, left = state.where("NOT done"), None
+    # after k rounds all records less than 2 ** k deep are done; a round that ends none leaves only cycles
+    while (now := open_.count()) and now != left:
+        left = now
         above = state.select("source", F.col("record_id").alias("at"), F.col("at").alias("up"), F.col("depth").alias("more"), F.col("path").alias("between"), F.col("done").alias("ends"))
         moved = open_.join(above, ["source", "at"]).select(*KEYS, F.col("up").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("between", "path").alias("path"), F.col("ends").alias("done"))
         new = cut(state.where("done").unionByName(moved))
         drop_scratch(state)
         state = new
-    # what still is open goes round; paths that go round are cut short by the number of rounds
+        open_ = state.where("NOT done")
     is_leaf = leaves(records).select(*KEYS, F.lit(True).alias("leaf")).distinct()
     rows = state.join(known.select(*KEYS, "is_orphan"), KEYS).join(is_leaf, KEYS, "left")
     done = F.col("done")
