@@ -11,6 +11,7 @@ from turnstone.functions import text as texts
 from turnstone.operators import inspecting, lineage, timeline
 from turnstone.plans.scratch import cut, scratch_dir
 from turnstone.sources import lines, records
+from turnstone.streaming import follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -281,6 +282,21 @@ def s3_typed(spark, sf_dir):
     return records.read_typed(spark, _as_lines(spark, sf_dir), "conv_id bigint, turn bigint, role string, text string").where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def x5_new_files(spark, sf_dir):
+    sink = scratch_dir(spark)
+    follow.drained(follow.new_files(spark, _as_lines(spark, sf_dir)), sink, scratch_dir(spark))
+    found = spark.read.parquet(sink).withColumn("line_no", F.lit(None).cast("bigint"))
+    return records.to_records(found, MAPPING).select(*MAPPING)
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def x6_growing_files(spark, sf_dir):
+    sink = scratch_dir(spark)
+    follow.drained(follow.growing_files(spark, _as_lines(spark, sf_dir)), sink, scratch_dir(spark))
+    return records.to_records(spark.read.parquet(sink), MAPPING).select(*MAPPING)
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def s6_parquet(spark, sf_dir):
     return cut(turns_of(spark, sf_dir))
