@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import langid, mixing, quality, queries, simhash
+from turnstone.llm import langid, mixing, quality, queries, similar
 from turnstone.llm.common import cut
 
 #: Words of a block of the mix: documents are cut only where the mix takes part of one.
@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_one(docs)
+    """One document of each group stays that 5-word shingles with a Jaccard similarity of 0.8 or more link."""
+    return similar.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

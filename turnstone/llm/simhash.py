@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -140,11 +140,16 @@ def keep_one(docs: DataFrame, distance: int = 2, segments: int = 16, width: int
     of a group in which every id is null), any one stays. The texts of the rows
     are matched to the decisions by id and fingerprint, which spreads copies out.
     """
+    return keep_least(docs, _placed(docs, distance, segments, width, id_col, text_col), fingerprint_column(F.col(text_col), width), id_col)
+
+
+def keep_least(docs: DataFrame, placed: DataFrame, print_: Column, id_col: str) -> DataFrame:
+    """keep_one for groups (id, fp, root, component_id) that were found; print_ gives a row's fp."""
     fp, names = "_turnstone_fp", docs.columns
-    found = _placed(docs, distance, segments, width, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
+    found = placed.where(F.col("id").eqNullSafe(F.col("component_id")))
     keep = found.groupBy("root", "id").agg(F.count("*").alias("n"), F.collect_set("fp").alias("fps"))
     keep = cut(keep.select("root", "id", "n", F.explode("fps").alias("fp")).select([F.col(c).alias(f"{fp}_{c}") for c in ("root", "id", "n", "fp")]))
-    mine = docs.withColumn(fp, fingerprint_column(F.col(text_col), width))
+    mine = docs.withColumn(fp, print_)
     on = (F.col(fp) == F.col(f"{fp}_fp")) & F.col(id_col).eqNullSafe(F.col(f"{fp}_id"))
     once = mine.join(keep.where(F.col(f"{fp}_n") == 1), on).select(*names)
     many = keep.where(F.col(f"{fp}_n") > 1)
