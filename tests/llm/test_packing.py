@@ -92,6 +92,13 @@ def test_word_by_word_ids_are_those_of_whole_texts(tokenizer):
         assert np.frombuffer(got, dtype="<u4").tolist() == encoded(tokenizer, text)[:-1], repr(text)
 
 
+def test_capitals_whose_small_letters_alone_have_a_composed_form(tokenizer):
+    texts = [f"{before}{c}{mark}{after}" for c in "JHTWYjhtwyI" for mark in "\u0308\u030a\u030c\u0331\u0344\u0307" for before in ("", "see A", "THE ") for after in ("", "a,", "\u0323B")]
+    got = packing.WordIds(queries.WORD_BPE)(pa.array(texts))
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [encoded(tokenizer, t)[:-1] for t in texts]
+    assert np.frombuffer(packing.WordIds(queries.WORD_BPE)(pa.array(["J\u030c"]))[0], dtype="<u4").tolist() == [329, 136, 490]
+
+
 def test_known_words_age(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 5)
     ids = packing.WordIds(queries.WORD_BPE)

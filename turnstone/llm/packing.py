@@ -45,9 +45,11 @@ class WordIds:
 
     So a text's ids are those of its words, and frequent words are encoded once. The
     tokenizer also has to part a Latin letter or digit from an ASCII symbol that follows, so
-    a word's closing symbols are looked up apart. Upper-case ASCII letters are
-    folded beforehand (the tokenizer does so anyway), unless the text may hold the string
-    of a special token; nor is such a word taken apart. Words of plain letters go
+    a word's closing symbols are looked up apart. Words of ASCII characters are
+    lower-cased beforehand (the tokenizer does so anyway), unless they may hold the string
+    of a special token; nor is such a word taken apart. Other words aren't: some
+    capitals have no precomposed form with a mark that their small letter has one with,
+    and the tokenizer composes before it lower-cases. Words of plain letters go
     straight to the tokenizer's model. Words are kept in two
     generations: when the young one is full, it becomes the old one, and of that
     only what occurs again lives on.
@@ -62,9 +64,11 @@ class WordIds:
         if sys.byteorder != "little":
             raise NotImplementedError("ids are kept as the machine has them, which is taken to be little-endian")
         texts = texts.fill_null("")
-        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, MARK), texts, pc.ascii_lower(texts)))
+        words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        ids = pa.array(self._of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        known = coded.dictionary
+        known = pc.if_else(pc.and_not(pc.string_is_ascii(known), pc.match_substring(known, MARK)), pc.ascii_lower(known), known)
+        ids = pa.array(self._of(known.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[np.array(words.offsets)].tolist() if len(ids) else [0] * (len(texts) + 1)
         data = memoryview(ids.buffers()[2] or b"")
         return [bytes(data[a:b]) for a, b in itertools.pairwise(ends)]
