@@ -46,6 +46,10 @@ BODIES = [
     "<article class='post comments-open'><header><h1>Title</h1></header><div><p>{0}</p></div><div><p>{1}</p></div></article>",
     "<table><tr><td><h1>Title</h1>{0}<br>{1}</td></tr></table>",
 ]
+NAMED_BODIES = [
+    *[f"<div class='{c}'><h1>Title</h1><p>{{0}}</p><p>{{1}}</p></div>" for c in ("content has-sidebar", "site-content no-sidebar", "post comments-open", "search-results", "withSidebar", "sidebar-layout")],
+    "<article><h1>Title</h1><div class='has-sidebar'><p>{0}</p></div><div class='text comments-closed'><p>{1}</p></div></article>",
+]
 
 
 def extracted(body):
@@ -61,6 +65,17 @@ def test_layouts(body, chrome):
         assert extracted(page) == f"Title\n{T1}\n{T2}", page
 
 
+@pytest.mark.parametrize("body", NAMED_BODIES)
+@pytest.mark.parametrize("chrome", CHROME)
+def test_names_that_tell_of_layout_or_hold_the_text(body, chrome):
+    test_layouts(body, chrome)
+
+
+def test_long_comments_are_no_article():
+    page = f"<div class='post'><p>{P1}</p></div><div class='comments'><p>{P1} {P1} {P1} {P1}</p></div>"
+    assert extracted(page) == T1
+
+
 def test_broken_markup():
     assert extracted("<html><head><title>x</title><body><div><p>One <b>two<p>three</div>") == "One two\nthree"  # the head isn't closed
     assert extracted("<div>one</p>two</div></div></section>") == "one\ntwo"

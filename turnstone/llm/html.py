@@ -26,6 +26,10 @@ APART_WORDS = frozenset(
 )
 #: Beginnings of such words.
 APART_STEMS = ("advert", "comment", "cookie", "footer", "navigation", "newsletter", "sidebar", "sponsor", "subscri")
+#: With one of these, a name tells of a page's state or layout (has-sidebar, comments-open) or of what was found (search-results), not of a part.
+STATES = frozenset("closed disabled enabled has hide no off on open result results show with without".split())
+#: Beginnings of such words for what readers, sponsors or lawyers wrote, which isn't the article however long it is.
+OTHERS_STEMS = ("ad", "comment", "consent", "cookie", "disqus", "gdpr", "promo", "repl", "respond", "sponsor")
 #: With one of these, a header is an article's own.
 OWN_HEADER = frozenset("article content entry page post story".split())
 #: What a head holds; anything else ends it.
@@ -53,24 +57,26 @@ class Node:
     tag: str
     path: str
     parent: int
-    apart: bool
+    #: No part of an article: 0 if it may be one, 1 by its name alone, 2 for good.
+    apart: int
 
 
 @dataclass
 class Page:
     """The open elements that were met, and the text blocks: (node, text, characters in links)."""
 
-    nodes: list[Node] = field(default_factory=lambda: [Node("", "", -1, False)])
+    nodes: list[Node] = field(default_factory=lambda: [Node("", "", -1, 0)])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
 @dataclass
 class Tag:
-    """What the attributes of a tag say: its generalised classes, whole names and their words, and whether it is hidden."""
+    """What the attributes of a tag say: its generalised classes, whole names and their words (parts: of the names that tell of no state), and whether it is hidden."""
 
     classes: list[str] = field(default_factory=list)
     names: set[str] = field(default_factory=set)
     words: set[str] = field(default_factory=set)
+    parts: set[str] = field(default_factory=set)
     hidden: bool = False
 
 
@@ -81,7 +87,11 @@ def _described(rest: str) -> Tag:
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if kind in ("class", "id", "role"):
                 found.names.update(value.lower().split())
-                found.words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                for name in value.split():
+                    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+                    found.words.update(words)
+                    if STATES.isdisjoint(words):
+                        found.parts.update(words)
                 if kind == "class":
                     found.classes = sorted({re.sub(r"\d+", "#", c) for c in value.lower().split()})
             found.hidden |= kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and bool(_UNSEEN.search(value))
@@ -92,17 +102,18 @@ def _is_apart(word: str) -> bool:
     return word in APART_WORDS or word.startswith(APART_STEMS)
 
 
-def _apart(tag: str, said: Tag, inside: bool) -> bool:
-    """Whether an element is no part of an article; inside: it is in an article or main element."""
+def _apart(tag: str, said: Tag, inside: bool) -> int:
+    """Whether an element is no part of an article, as Node has it; inside: it is in an article or main element."""
     if said.hidden or tag in APART:
-        return True
+        return 2
     if tag in ("html", "body", "main"):
-        return False
+        return 0
     if tag == "article":  # a comment or teaser may be an article, but words like comments-open don't make one
-        return any(map(_is_apart, said.names & said.words))
+        return 2 * any(map(_is_apart, said.names & said.words))
     if not inside and (tag == "header" or "header" in said.words) and said.words.isdisjoint(OWN_HEADER):
-        return True
-    return any(map(_is_apart, said.words))
+        return 2
+    marks = [w for w in said.parts if _is_apart(w)]
+    return 2 if any(w.startswith(OTHERS_STEMS) for w in marks) else int(bool(marks))
 
 
 def parse(text: str) -> Page:
@@ -112,11 +123,11 @@ def parse(text: str) -> Page:
     block element, list items and table cells at the next of their kind, and a closing
     tag ends all that was opened since its opening one; without one it is ignored.
     """
-    page, open_, parts, links, last = Page(), [0], [], 0, 0
+    page, open_, parts, links, last, named = Page(), [0], [], 0, 0, []
 
     def flush() -> None:
         nonlocal links
-        if parts and (joined := " ".join("".join(parts).split())) and not page.nodes[open_[-1]].apart:
+        if parts and (joined := " ".join("".join(parts).split())) and page.nodes[open_[-1]].apart < 2:
             page.blocks.append((open_[-1], joined, links))
         parts.clear()
         links = 0
@@ -155,7 +166,8 @@ def parse(text: str) -> Page:
             del open_[next(k for k in (1, 2) if page.nodes[open_[k]].tag == "head") :]
             above = page.nodes[open_[-1]]
         said = _described(m["rest"])
-        apart = above.apart or _apart(tag, said, any(page.nodes[k].tag in WHOLE for k in open_))
+        own_apart = _apart(tag, said, any(page.nodes[k].tag in WHOLE for k in open_))
+        apart = max(above.apart, own_apart)
         if block or apart != above.apart:
             flush()
         if block:
@@ -172,9 +184,33 @@ def parse(text: str) -> Page:
         path = f"{above.path}/{'.'.join([tag, *said.classes])}" if tag in CONTAINER or tag == "html" else above.path
         page.nodes.append(Node(tag, path, open_[-1], apart))
         open_.append(len(page.nodes) - 1)
+        if own_apart == 1:
+            named.append(open_[-1])
     add(text[last:])
     flush()
-    return _without_menus(page)
+    return _without_menus(_without_parts(page, named))
+
+
+def _without_parts(page: Page, named: list[int]) -> Page:
+    """The page without what elements hold that their names set apart, unless one holds most of the running text, and all that is in article or main elements."""
+    if named:
+        held, total, whole = dict.fromkeys(named, 0), 0, []
+        for node, text, links in page.blocks:
+            value = max(0, len(text) - 3 * links)
+            total += value
+            around = set()
+            while node > 0:
+                around.add(node)
+                if node in held:
+                    held[node] += value
+                node = page.nodes[node].parent
+            if any(page.nodes[k].tag in WHOLE for k in around):
+                whole.append(around)
+        own, gone = {k for k in named if 2 * held[k] <= total or any(k not in around for around in whole)}, [False]
+        for k, n in enumerate(page.nodes[1:], 1):
+            gone.append(gone[n.parent] or k in own)
+        page.blocks = [x for x in page.blocks if not gone[x[0]]]
+    return page
 
 
 def _without_menus(page: Page) -> Page:
