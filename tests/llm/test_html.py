@@ -50,6 +50,11 @@ NAMED_BODIES = [
     *[f"<div class='{c}'><h1>Title</h1><p>{{0}}</p><p>{{1}}</p></div>" for c in ("content has-sidebar", "site-content no-sidebar", "post comments-open", "search-results", "withSidebar", "sidebar-layout")],
     "<article><h1>Title</h1><div class='has-sidebar'><p>{0}</p></div><div class='text comments-closed'><p>{1}</p></div></article>",
 ]
+SPREAD_BODIES = [
+    "<div class='entry'><h1>Title</h1><div class='lead'><p>{0}</p></div><div class='text'><p>{1}</p></div></div>",
+    "<div class='entry'><h1>Title</h1><p>{0}</p><div class='text'><p>{1}</p></div></div>",
+    "<div class='entry'><h1>Title</h1><div class='lead'><p>{0}</p></div><div class='rest'><div class='text'><p>{1}</p></div></div></div>",
+]
 
 
 def extracted(body):
@@ -71,6 +76,19 @@ def test_names_that_tell_of_layout_or_hold_the_text(body, chrome):
     test_layouts(body, chrome)
 
 
+@pytest.mark.parametrize("body", SPREAD_BODIES)
+@pytest.mark.parametrize("chrome", CHROME)
+def test_text_in_containers_of_different_classes(body, chrome):
+    test_layouts(body, chrome)
+
+
+def test_lead_and_body_of_any_length():
+    for lead, rest in ((200, 2000), (1000, 1000), (2000, 200)):
+        lead, rest = ("Some words of it. " * (n // 18) for n in (lead, rest))
+        body = f"<div class='entry'><div class='lead'>{lead}</div><div class='text'>{rest}</div><div class='links'><a href='/'>Elsewhere, and more.</a></div></div>"
+        assert extracted(f"<div class='menu-bar'>Home</div>{body}").startswith(f"{lead.strip()}\n{rest.strip()}")
+
+
 def test_long_comments_are_no_article():
     page = f"<div class='post'><p>{P1}</p></div><div class='comments'><p>{P1} {P1} {P1} {P1}</p></div>"
     assert extracted(page) == T1

@@ -39,6 +39,9 @@ ENDED_BY = {x: group for group in ({"li"}, {"dd", "dt"}, {"td", "th"}, {"tr"}, {
 WHOLE = frozenset("article main".split())
 TITLE = frozenset(["h1"])
 LIST = frozenset("ol ul".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What ends a sentence, and what may follow.
+ENDS, CLOSING = frozenset(".!?…:;。！？؟।"), "\"'”’»)]」 "
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # a comment
@@ -276,18 +279,63 @@ def text_under(page: Page, path: str | None) -> str:
     return "\n".join(text for k, (n, text, _) in enumerate(page.blocks) if inside[n] or title[k] and k < first)
 
 
+def _running(page: Page, block: tuple[int, str, int]) -> bool:
+    """Whether a block is running text: no heading, few links, and a sentence's end or some length."""
+    node, text, links = block
+    return 3 * links < len(text) and not _within(page, node, HEADING) and (len(text) >= 80 or len(text) >= 20 and text.rstrip(CLOSING)[-1:] in ENDS)
+
+
+def _under(page: Page, path: str | None) -> list[bool]:
+    """Of each node, whether it is inside an element of the path."""
+    inside = [path is None]
+    for n in page.nodes[1:]:
+        inside.append(inside[n.parent] or n.path == path)
+    return inside
+
+
+def widened(page: Page, path: str | None) -> str | None:
+    """The path of the outermost container around a path that adds running text, short of the body.
+
+    It goes on through containers that add nothing, and ends at one that adds other things alone,
+    as it does at an article or main element.
+    """
+    at = next((k for k, n in enumerate(page.nodes) if k and n.path == path and n.tag in CONTAINER), 0)
+    tried = path
+    inside = _under(page, path)
+    while at > 0 and page.nodes[at].tag not in WHOLE:
+        at = page.nodes[at].parent
+        while at > 0 and (page.nodes[at].tag not in CONTAINER or page.nodes[at].path == tried):
+            at = page.nodes[at].parent
+        if at <= 0 or page.nodes[at].tag == "body":
+            break
+        tried = page.nodes[at].path
+        around = _under(page, tried)
+        added = [x for x in page.blocks if around[x[0]] and not inside[x[0]]]
+        if any(_running(page, x) for x in added):
+            path, inside = tried, around
+        elif added and not all(_within(page, x[0], HEADING) for x in added):
+            break
+    return path
+
+
+def _amount(page: Page, path: str | None) -> int:
+    inside = _under(page, path)
+    return sum(max(0, len(text) - 3 * links) for node, text, links in page.blocks if inside[node])
+
+
 def vote(html: str | None) -> tuple[str | None, float]:
-    found = scores(parse(html or ""))
+    page = parse(html or "")
+    found = scores(page)
     path = best_path(found)
-    return path, found.get(path, 0.0)
+    return widened(page, path), found.get(path, 0.0)
 
 
 def extract(html: str | None, agreed: str | None) -> str:
     """The text under the host's path, if it holds at least half of what the page's own best does; else under that."""
     page = parse(html or "")
-    found = scores(page)
-    own = best_path(found)
-    return text_under(page, agreed if own and found.get(agreed, 0.0) >= found[own] / 2 else own)
+    own = widened(page, best_path(scores(page)))
+    fits = own and agreed and 2 * _amount(page, agreed) >= _amount(page, own)
+    return text_under(page, agreed if fits else own)
 
 
 def host(url: Column) -> Column:
@@ -297,7 +345,8 @@ def host(url: Column) -> Column:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row (id, url, text, n_chars) for each row of pages.
 
-    Each page votes for its best container's path (tags and classes, digits folded);
+    Each page votes for its best container's path (tags and classes, digits folded), widened
+    to the containers around it that add running text;
     a host's path is the one with most votes, then with most text. Only votes are
     grouped, so a host of any size is no one's task. Pages without a host in their url
     follow their own best path. A null or empty html gives '', as does a page without
