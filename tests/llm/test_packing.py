@@ -77,13 +77,13 @@ def test_every_id_of_every_document(spark, tokenizer):
 
 
 def words(rng):
-    letters = "abcXYZ019éÜßñ中文ﬁ'’.,!?-_<|>endoftext  ̀﻿"
+    letters = "abcXYZİΣ019éÜßñ\u0307\u0308\u0338中文ﬁ'’.,!?-_<|>endoftext  ̀﻿"
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(60)))
 
 
 def test_word_by_word_ids_are_those_of_whole_texts(tokenizer):
     rng = random.Random(2)
-    texts = [words(rng) for _ in range(400)] + ["it's we'll I'M DON'T o ' s", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>", "tab\tnew\nline\x0bv\x0cf\rr", "\x1c\x1d\x1e\x1f\x85 x", "\x00nul\x00", "İstanbul ǅ Ω K"]
+    texts = [words(rng) for _ in range(400)] + ["it's we'll I'M DON'T o ' s", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>", "tab\tnew\nline\x0bv\x0cf\rr", "\x1c\x1d\x1e\x1f\x85 x", "\x00nul\x00", "İstanbul ǅ Ω K", "ALİ.", "DEVLETİ, SON", "(İ) i̇! I\u0307\u0307?"]
     ids = packing.WordIds(queries.WORD_BPE)
     assert set("azéßÿ") <= set(map(chr, ids.letters))
     texts += ["".join(rng.choice("abcdeßéñüøÿ") for _ in range(rng.randrange(1, 30))) for _ in range(500)] + ["x" * 5000, "é" * 3000, "÷", "a÷b", "ŉ", "é", "naïve", "ÀÉ"]
@@ -92,6 +92,16 @@ def test_word_by_word_ids_are_those_of_whole_texts(tokenizer):
         assert np.frombuffer(got, dtype="<u4").tolist() == encoded(tokenizer, text)[:-1], repr(text)
 
 
+def test_every_code_point_beside_letters_digits_and_symbols(tokenizer):
+    ids = packing.WordIds(queries.WORD_BPE)
+    points = [c for c in [*range(0x3100), *range(0x3100, 0x110000, 61)] if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 4000):
+        texts = [f"ab{c}cd. x{c}! 7{c}), {c}. A{c}a\u0307; {c}\u0301,{c}" for c in map(chr, points[k : k + 4000])]
+        want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [np.frombuffer(x, dtype="<u4").tolist() for x in ids(pa.array(texts))]
+        assert got == want, [(t, g, w) for t, g, w in zip(texts, got, want) if g != w][:5]
+
+
 def test_capitals_whose_small_letters_alone_have_a_composed_form(tokenizer):
     texts = [f"{before}{c}{mark}{after}" for c in "JHTWYjhtwyI" for mark in "\u0308\u030a\u030c\u0331\u0344\u0307" for before in ("", "see A", "THE ") for after in ("", "a,", "\u0323B")]
     got = packing.WordIds(queries.WORD_BPE)(pa.array(texts))

@@ -43,9 +43,9 @@ def _tokenizer(path: str) -> Tokenizer:
 class WordIds:
     """Token ids of texts, for a tokenizer that never joins what white space parts.
 
-    So a text's ids are those of its words, and frequent words are encoded once. The
-    tokenizer also has to part a Latin letter or digit from an ASCII symbol that follows, so
-    a word's closing symbols are looked up apart. Words of ASCII characters are
+    So a text's ids are those of its words, and frequent words are encoded once. A
+    word's closing symbols are looked up apart where the tokenizer itself, asked about
+    what stands before them, starts a new token there. Words of ASCII characters are
     lower-cased beforehand (the tokenizer does so anyway), unless they may hold the string
     of a special token; nor is such a word taken apart. Other words aren't: some
     capitals have no precomposed form with a mark that their small letter has one with,
@@ -83,7 +83,7 @@ class WordIds:
                     young[w] = ids
                     continue
                 stem = w.rstrip(SYMBOLS)
-                if len(stem) < len(w) and stem and _closes(stem[-1]) and MARK not in w:
+                if len(stem) < len(w) and stem and MARK not in w and self._closes(stem):
                     end = w[len(stem) :]
                     parted.append((w, stem, end))
                     if stem not in young:
@@ -106,19 +106,26 @@ class WordIds:
             young[w] = young[stem] + young[end]
         return list(map(young.__getitem__, words))
 
+    def _closes(self, stem: str) -> bool:
+        """Whether an ASCII symbol after this stem starts a new token."""
+        if stem[-1].isascii():
+            return stem[-1].isalnum()
+        return _spelled(self.tokenizer, f"{stem}.")[-1:] == ["."]
 
-def _letters(tokenizer: Tokenizer) -> dict[int, str]:
-    """How the tokenizer spells each lower-case Latin letter for its model, if it spells runs of them letter by letter."""
-    letters, spelled = [chr(c) for c in range(0x100) if PLAIN(chr(c))], lambda text: [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
+
+def _spelled(tokenizer: Tokenizer, text: str) -> list[str]:
+    """The parts of a text that the tokenizer hands to its model one by one; none if it can't tell."""
     if not (tokenizer.normalizer and tokenizer.pre_tokenizer):
-        return {}
-    found = {ord(c): "".join(spelled(c)) for c in letters}
-    return found if spelled("".join(letters)) == ["".join(found.values())] else {}
+        return []
+    return [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
 
 
-def _closes(last: str) -> bool:
-    """Whether a symbol after this character surely starts a new token: it is a digit or a Latin letter."""
-    return last < "\u0250" and (last.isalpha() or last in string.digits)
+def _letters(tokenizer: Tokenizer) -> dict[int, str]:
+    """How the tokenizer spells each lower-case Latin letter for its model, if it spells runs of them letter by letter."""
+    letters = [chr(c) for c in range(0x100) if PLAIN(chr(c))]
+    found = {ord(c): "".join(_spelled(tokenizer, c)) for c in letters}
+    whole = "".join(found.values())
+    return found if whole and _spelled(tokenizer, "".join(letters)) == [whole] else {}
 
 
 @functools.cache
