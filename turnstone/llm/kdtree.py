@@ -3,28 +3,51 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
-#: Vectors of a shard, and queries of a block: what one task holds at once.
+#: Vectors of a shard, queries that meet a shard in one task, and boxes that meet a block of queries.
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
+BLOCK_BOXES = 4096
+#: The shards' regions are fitted on so many vectors at most (those of least hash); every row is put into one.
+FIT_ROWS = 8192
 LEAF = 128
-#: Sums of products up to this are exact in double precision.
+#: Sums of products under this are exact in double precision.
 EXACT = 2**53
+#: Scores saturate here, on both sides.
+MOST = 2**63 - 1
+
+
+def whole(values: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) of each value, as doubles (which hold it exactly up to 2**53)."""
+    with np.errstate(over="ignore"):
+        return np.floor(values * scale)
+
+
+def exact(values: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) of each value as Python ints, whatever their size. scale is a power of two."""
+    return np.array([int(np.floor(x * scale)) if abs(x) < EXACT else int(x) * int(scale) for x in values.ravel().tolist()], dtype=object).reshape(values.shape)
+
+
+def small(values: np.ndarray, scale: float) -> np.ndarray:
+    """Of each row, whether inner products with other such rows are exact in doubles."""
+    return (np.abs(values).max(axis=1, initial=0.0) * scale + 1) ** 2 * max(1, values.shape[1]) < EXACT
 
 
 class KDTree:
-    """Median splits of integer vectors along the widest side, with tight bounding boxes.
+    """Median splits of vectors along the widest side, with tight bounding boxes.
 
-    Nodes are stored in preorder; a leaf covers rows begin .. end - 1 of `order`. Equal
-    vectors are split by position, so copies don't deepen the tree.
+    Nodes are stored in preorder; a leaf covers rows begin .. end - 1. Equal vectors are
+    split by position, so copies don't deepen the tree. vectors are doubles or Python ints.
     """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
@@ -48,18 +71,24 @@ class KDTree:
             self.right[node] = self._split(vectors, order, begin + half, end, leaf)
         return node
 
+    def exactly(self) -> KDTree:
+        """The same tree over Python ints."""
+        found = object.__new__(KDTree)
+        found.__dict__ = self.__dict__ | {k: _ints(self.__dict__[k]) for k in ("low", "high", "vectors")}
+        return found
+
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """bounds[q, node]: the most that a vector in the node's box can score."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return bounds(queries, self.low, self.high)
 
-    def search(self, query: np.ndarray, own: int, bounds: np.ndarray, k: int, kth: float) -> tuple[list[tuple[int, int]], float]:
-        """The best (score, -id) that may be in the overall k best, and the new kth score.
+    def search(self, query: np.ndarray, bounds: np.ndarray, k: int, kth: float) -> tuple[list[tuple[int, int, int]], float]:
+        """The best (score, -id, row) that may be in the overall k best, and the new kth score.
 
-        kth: a score that k other candidates are known to reach; boxes that can't are
-        left out. Boxes are opened in the order of their bounds, so the search ends at
-        the first one under the kth score. own: the id that is no candidate.
+        kth: a score that k candidates are known to reach; boxes that can't are left out.
+        Boxes are opened in the order of their bounds, so the search ends at the first one
+        under the kth score.
         """
-        best: list[tuple[int, int]] = []
+        best: list[tuple[int, int, int]] = []
         heap = [(-bounds[0], 0)]
         while heap and -heap[0][0] >= kth:
             _, node = heapq.heappop(heap)
@@ -69,84 +98,214 @@ class KDTree:
                         heapq.heappush(heap, (-bounds[child], child))
                 continue
             begin, end = self.begin[node], self.end[node]
-            scores = self.vectors[begin:end] @ query
+            scores = saturated(self.vectors[begin:end] @ query)
             for i in np.flatnonzero(scores >= kth):
-                if (rival := int(self.ids[begin + i])) != own:
-                    entry = (int(scores[i]), -rival)
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
+                entry = (int(scores[i]), -int(self.ids[begin + i]), int(begin + i))
+                if len(best) < k:
+                    heapq.heappush(best, entry)
+                elif entry > best[0]:
+                    heapq.heapreplace(best, entry)
             if len(best) == k:
                 kth = max(kth, best[0][0])
         return best, kth
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    """The vectors as rows, of doubles if every inner product is exact in them, else of Python ints."""
-    found = np.array(column.tolist(), dtype=np.int64).reshape(len(column), -1)
-    most = float(np.abs(found.astype(float)).max(initial=0.0))
-    return found.astype(float) if most * most * max(1, found.shape[1]) < EXACT else found.astype(object)
+def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The most that each query can score in each box."""
+    return saturated(np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T)
+
+
+def saturated(scores: np.ndarray) -> np.ndarray:
+    """Scores that are Python ints, brought into the range of a long; doubles are within it."""
+    return np.clip(scores, -MOST, MOST) if scores.dtype == object else scores
+
+
+def _ints(values: np.ndarray) -> np.ndarray:
+    return values if values.dtype == object else np.array([int(x) for x in values.ravel().tolist()], dtype=object).reshape(values.shape)
+
+
+def _rows(column) -> np.ndarray:
+    return np.array(column.tolist(), dtype=float).reshape(len(column), -1)
+
+
+class Regions:
+    """Median splits over a sample of vectors of one length: the top of a KD-tree, which says whose shards a vector belongs to."""
+
+    def __init__(self, vectors: np.ndarray, parts: int):
+        self.side, self.at, self.child = [], [], []
+        self._split(vectors, parts)
+
+    def _split(self, own: np.ndarray, parts: int) -> int:
+        node = len(self.side)
+        spread = own.max(axis=0, initial=-np.inf) - own.min(axis=0, initial=np.inf) if own.size else np.zeros(0)
+        inner = parts > 1 and len(own) > 1 and spread.size > 0 and spread.max() > 0
+        side = int(spread.argmax()) if inner else 0
+        at = float(np.median(own[:, side])) if inner else 0.0
+        left = own[:, side] < at if inner else None
+        if inner and not left.any():
+            inner = False
+        self.side.append(side)
+        self.at.append(at)
+        self.child.append((-1, -1))
+        if inner:
+            self.child[node] = (self._split(own[left], parts // 2), self._split(own[~left], parts - parts // 2))
+        return node
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The number of each vector's region."""
+        at, side, child = np.zeros(len(vectors), dtype=np.int64), np.array(self.side), np.array(self.child)
+        split = np.array(self.at)
+        while True:
+            open_ = np.flatnonzero(child[at, 0] >= 0)
+            if not len(open_):
+                return at
+            node = at[open_]
+            at[open_] = child[node, (vectors[open_, side[node]] >= split[node]).astype(int)]
+
+
+def _region(regions: dict[int, Regions], scale: float, v: Column, dim: Column) -> Column:
+    """The region of a vector of doubles; -1 for one whose products doubles don't hold."""
+
+    @F.arrow_udf("bigint")
+    def run(vectors: pa.Array, dims: pa.Array) -> pa.Array:
+        dims, out = np.array(dims), np.zeros(len(dims), dtype=np.int64)
+        for d in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == d)
+            own = np.array(vectors.take(pa.array(at)).flatten(), dtype=float).reshape(len(at), d)
+            if d in regions:
+                out[at] = regions[d].of(own)
+            out[at[~small(own, scale)]] = -1
+        return pa.array(out)
+
+    return run(v, dim)
+
 
+def _trees(placed: DataFrame, scale: float) -> DataFrame:
+    """A row (dim, shard, low, high, exact, tree) for each shard: its tree, built once, and its box."""
 
-def _search_cells(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Rows (query_id, vec_id, score): for each cell, its queries' best among its vectors.
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        values = _rows(rows["v"])
+        wide = not small(values, scale).all()
+        tree = KDTree(exact(values, scale) if wide else whole(values, scale), rows["id"].to_numpy(np.int64))
+        box = [x[0].astype(float).tolist() if not wide else [] for x in (tree.low, tree.high)]
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "low": [box[0]], "high": [box[1]], "exact": [wide], "tree": [pickle.dumps(tree)]})
 
-    Both sides have the cell's keys dim, shard and block; queries have kth.
+    return placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard bigint, low array<double>, high array<double>, exact boolean, tree binary")
+
+
+def _searched(trees: DataFrame, queries: DataFrame, k: int, scale: float) -> DataFrame:
+    """Rows (q, vec_id, score, same): for each shard, its queries' best. queries: rows (q, v, dim, shard, kth).
+
+    A shard's queries are dealt into blocks; each block is a task's work, and meets the tree.
+    same: the vector found is the query's own (or one just like it).
     """
+    sizes = queries.groupBy("dim", "shard").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("bigint").alias("blocks"))
+    sizes = cut(sizes)
+    asked = join_counted(queries, sizes, ["dim", "shard"], "inner").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks"))).drop("blocks")
+    sent = join_counted(trees.select("dim", "shard", "tree"), sizes, ["dim", "shard"], "inner").select("dim", "shard", "tree", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
 
-    def cell(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
-            tree, asked = KDTree(_matrix(left["v"]), left["id"].to_numpy(np.int64)), _matrix(right["v"])
-            bounds = tree.bounds(asked)
-            for q, own, kth, bound in zip(asked, right["query_id"].tolist(), right["kth"].tolist(), bounds):
-                rows += [(own, -i, s) for s, i in tree.search(q, own, bound, k, -np.inf if pd.isna(kth) else kth)[0]]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+            tree = pickle.loads(left["tree"].iloc[0])
+            values, asks, kths = _rows(right["v"]), right["q"].tolist(), [-MOST - 1 if pd.isna(x) else int(x) for x in right["kth"]]
+            wide = ~small(values, scale) | (tree.vectors.dtype == object)
+            for these, tree_, turn in ((~wide, tree, whole), (wide, tree.exactly() if wide.any() else None, exact)):
+                at = np.flatnonzero(these)
+                if not len(at):
+                    continue
+                questions = turn(values[at], scale)
+                for i, query, bound in zip(at.tolist(), questions, tree_.bounds(questions)):
+                    rows += [(asks[i], -n, s, bool((tree_.vectors[row] == query).all())) for s, n, row in tree_.search(query, bound, k, kths[i])[0]]
+        return pd.DataFrame(rows, columns=["q", "vec_id", "score", "same"]).astype({"q": "int64", "vec_id": "int64", "score": "int64", "same": "bool"})
 
     keys = ["dim", "shard", "block"]
-    return vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(cell, "query_id bigint, vec_id bigint, score bigint")
+    return sent.groupBy(*keys).cogroup(asked.select("q", "v", "kth", *keys).groupBy(*keys)).applyInPandas(cell, "q bigint, vec_id bigint, score bigint, same boolean")
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _reached(boxes: DataFrame, queries: DataFrame, scale: float) -> DataFrame:
+    """Rows (q, dim, shard) for the shards, a query's own aside, whose box may hold a score of its kth or more.
 
+    Blocks of boxes meet blocks of queries; boxes of vectors beyond doubles are always reached.
+    """
+    m, n = (-(-df.count() // most) or 1 for df, most in ((boxes, BLOCK_BOXES), (queries, BLOCK_QUERIES)))
+    box = boxes.withColumn("b", F.pmod(F.xxhash64("shard"), F.lit(m))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    ask = queries.withColumn("c", F.pmod(F.xxhash64("q"), F.lit(n))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
 
-def top_k(table: DataFrame, every: int, k: int, scale: float = 256.0, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"q": pd.Series(dtype="int64"), "dim": pd.Series(dtype="int32"), "shard": pd.Series(dtype="int64")})
+        if len(left) and len(right):
+            values, reach = _rows(right["v"]), np.ones((len(right), len(left)), dtype=bool)
+            fine, plain = np.flatnonzero(small(values, scale)), np.flatnonzero(~left["exact"].to_numpy(bool))
+            if len(fine) and len(plain):
+                low, high = (_rows(left[c].iloc[plain]) for c in ("low", "high"))
+                kth = right["kth"].astype("float64").to_numpy()[fine]
+                reach[np.ix_(fine, plain)] = bounds(whole(values[fine], scale), low, high) >= np.where(np.isnan(kth), -np.inf, kth)[:, None]
+            reach &= right["home"].to_numpy()[:, None] != left["shard"].to_numpy()[None, :]
+            i, j = np.nonzero(reach)
+            out = pd.DataFrame({"q": right["q"].to_numpy(np.int64)[i], "dim": np.full(len(i), key[0], np.int32), "shard": left["shard"].to_numpy(np.int64)[j]})
+        return out
+
+    keys = ["dim", "b", "c"]
+    return box.select("shard", "low", "high", "exact", *keys).groupBy(*keys).cogroup(ask.select("q", "v", "home", "kth", *keys).groupBy(*keys)).applyInPandas(cell, "q bigint, dim int, shard bigint")
+
+
+def top_k(table: DataFrame, every: int, k: int, scale: float = 256.0, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """A row (query_id, rank, vec_id, score) for the k best candidates of each query, exactly.
 
-    A component x counts as floor(scale * x). Queries: rows whose id is divisible by
-    `every`; candidates: all rows but those with the query's id; ties go to the smaller
-    id. Vectors that are null, or hold null or non-finite components, and rows with null
-    ids take no part. Vectors of different lengths aren't compared. Of several rows
-    with a query's id, the least vector asks. A repeated row is a candidate each time.
-    Scores are taken to fit into a long.
-
-    Vectors are dealt by a hash of the id into shards, queries into blocks. Each
-    query is first searched in one shard of its own; its kth score there then bounds its
-    search of the others. Every cell of a shard and a block is a task's work, so
-    neither side is ever held whole.
+    A component x counts as floor(scale * x); scale is a power of two. Queries: rows whose
+    id is divisible by `every`; candidates: all rows but the query's own; ties go to the
+    smaller id. Vectors that are null, or hold null or non-finite components, and rows
+    with null ids take no part. Vectors of different lengths aren't compared. A repeated row
+    is a candidate each time, and each row with a query's id asks, also where it isn't
+    the only one. Scores beyond a long saturate at 2 ** 63 - 1 on either side, and those
+    that do are ties. An empty table gives no rows; other columns are ignored.
+
+    Equal vectors are folded to the k + 1 rows of least id, which hold all that can be among
+    the best, and ask once. Vectors are put into regions by median splits, fitted on at most
+    FIT_ROWS of them, and a large region into several shards by hash; every shard has one
+    KD-tree. Each query is first searched in its own shard; its kth score there then
+    rules out shards by their boxes, before anything is sent there, and bounds the search
+    of the others. Each shard and block of its queries is a task's work.
     """
     x = F.transform(vector_col, lambda e: e.cast("double"))
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    whole = F.transform(x, lambda e: F.floor(e * scale).cast("bigint"))
-    rows = cut(table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite).select(F.col(id_col).cast("bigint").alias("id"), whole.alias("v"), F.size(vector_col).alias("dim")))
-    shards = -(-rows.count() // shard_rows) or 1
-    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = cut(asked.select(F.col("id").alias("query_id"), "v", F.size("v").alias("dim"), F.pmod(F.xxhash64(F.lit("home"), "id"), F.lit(shards)).alias("home")))
-    blocks = -(-asked.count() // block_queries) or 1
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(blocks)))
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-
-    # at home: each shard meets the queries that start there
-    at_home = _search_cells(placed.withColumn("block", F.lit(0)), asked.withColumn("shard", F.col("home")).withColumn("block", F.lit(0)).withColumn("kth", F.lit(None).cast("double")), k)
-    first = cut(_best(at_home, k).drop("rank"))
-    bound = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score").cast("double")).alias("kth"))
-
-    # elsewhere: each block of queries, with its bounds, meets each other shard
-    away = asked.join(bound, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home").withColumn("shard", F.col("shard").cast("bigint"))
-    cells = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("bigint"))
-    others = _search_cells(cells, away.drop("home"), k)
-    best = _best(first.unionByName(others), k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(id_col), "score")
+    # -0.0 and 0.0 are one vector: adding 0.0 leaves only the latter
+    valid = table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda e: e + 0.0).alias("v"))
+    rows = cut(valid.select("id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h")))
+    least = W.partitionBy("h", "v").orderBy("id")
+    some = rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1).drop("n")
+    some = cut(some)
+    parts = -(-some.count() // shard_rows) or 1
+
+    sample = some.orderBy("h", "id").limit(FIT_ROWS).select("dim", "v").toPandas()
+    regions = {int(d): Regions(_rows(own), parts) for d, own in sample.groupby("dim")["v"]}
+    known = cut(some.withColumn("region", _region(regions, scale, F.col("v"), F.col("dim"))))
+    sizes = cut(known.groupBy("dim", "region").agg(F.ceil(F.count("*") / shard_rows).cast("bigint").alias("subs")))
+
+    def shard(df: DataFrame) -> DataFrame:
+        sub = F.pmod(F.xxhash64("h"), F.col("subs"))
+        return join_counted(df, sizes, ["dim", "region"], "inner").withColumn("shard", F.shiftleft("region", 40) + sub).drop("subs", "region")
+
+    trees = cut(_trees(shard(known), scale))
+    queries = rows.where(F.col("id") % every == 0)
+    asked = queries.select("h", "v", "dim").distinct().withColumn("region", _region(regions, scale, F.col("v"), F.col("dim")))
+    asked = cut(shard(asked).withColumnRenamed("shard", "home").withColumn("q", F.monotonically_increasing_id()))
+
+    def best(found: DataFrame) -> DataFrame:
+        order = W.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
+        return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+
+    first = cut(best(_searched(trees, asked.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("bigint")), k + 1, scale)))
+    kth = first.groupBy("q").agg(F.when(F.count("*") == k + 1, F.min("score")).alias("kth"))
+    bounded = cut(asked.join(kth, "q", "left"))
+    reached = cut(_reached(trees.drop("tree"), bounded, scale))
+    others = _searched(trees, reached.join(bounded.select("q", "v", "kth"), "q"), k + 1, scale)
+    # of k + 1 candidates the query's own row goes, if it is among them, else the last
+    entry = F.struct((-F.col("score")).alias("against"), "vec_id", "same")
+    found = cut(best(first.unionByName(others)).groupBy("q").agg(F.sort_array(F.collect_list(entry)).alias("found")))
+    answers = join_counted(queries.select("id", "h", "v"), cut(asked.select("h", "v", "q").join(found, "q")), ["h", "v"], "inner")
+    own = F.array_position(F.transform("found", lambda e: (e["vec_id"] == F.col("id")) & e["same"]), True)
+    kept = answers.select("id", "found", own.alias("own")).select("id", F.slice(F.filter("found", lambda e, i: i + 1 != F.col("own")), 1, k).alias("found"))
+    out = kept.select(F.col("id").alias("query_id"), F.posexplode("found").alias("at", "e"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias(id_col), (-F.col("e.against")).alias("score"))
