@@ -1,6 +1,9 @@
 """Main text of pages of many layouts, and the defined results of odd pages."""
 
+import html as entities
+import random
 import re
+import time
 
 import pytest
 
@@ -109,6 +112,72 @@ def test_nothing_else_is_dropped():
     assert extracted(page) == "\n".join([*lines, "a source", "another", "x y"])
 
 
+def test_quotes_count_only_in_values():
+    assert extracted(f"<div class=c><p title=it's>{P1}</p><p title=that's>{P1}</p><p>{P1}</p></div>") == f"{T1}\n{T1}\n{T1}"
+    assert extracted(f"<div><p>See <a href=/o'neil>this</a> one. {P1}</p><p>{P1}</p></div>") == f"See this one. {T1}\n{T1}"
+    assert extracted(f"""<div><p class="a > b" id='c > d' title=e"f>{P1}</p><p "odd' x="y>z">{P1}</p></div>""") == f"{T1}\n{T1}"
+    assert extracted(f"<div><p title=>{P1}</p><img alt='x' src = 'y>z'/><p title = a=b>{P1}</p></div>") == f"{T1}\n{T1}"
+    assert extracted(f"<div><p>{P1}</p><svg viewBox='0 0 1 1'/><p>Not in a <b class=x/>drawing</b>. {P1}</p></div>") == f"{T1}\nNot in a drawing. {T1}"
+    assert extracted(f"<div><p>{P1}</p><svg><path d='M0'/><title>Drawn</title></svg><p>{P1}</p></div>") == f"{T1}\n{T1}"
+
+
+@pytest.mark.parametrize("name", ["<div class='search-tips'>{}</div>", "<p id='share-prices'>{}</p>", "<section class='notice-period'><p>{}</p></section>", "<div class=commentary>{}</div>", "<div class='related'><p>{}</p></div>"])
+def test_words_of_an_article_in_a_name_inside_it(name):
+    for whole in ("article", "main"):
+        assert extracted(f"{NAV}<{whole}><h1>Title</h1><p>{P1} {P1}</p>{name.format(P1)}<p>{P1}</p></{whole}>") == f"Title\n{T1} {T1}\n{T1}\n{T1}"
+
+
+def test_comments_and_adverts_inside_an_article_go():
+    for gone in CHROME[10:12] + CHROME[16:19] + ["<div class='comment-list'><p>I disagree. At length.</p></div>", "<ul class='share-buttons'><li><a href='/'>Share</a></li></ul>", "<div class='related'><a href='/1'>One more story to be read.</a></div>"]:
+        assert extracted(f"<article><h1>Title</h1><p>{P1}</p>{gone}<p>{P1}</p></article>") == f"Title\n{T1}\n{T1}", gone
+
+
+def timed(make, n):
+    page = make(n)
+    began = time.perf_counter()
+    html.extract(page, html.vote(page)[0])
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize("make", [lambda n: "<div>" * n + P1, lambda n: "<div><p>x" * n, lambda n: "<b>" * n + "<hr>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<article class=notice>" * n + P1 * 3, lambda n: "<ul><li><div class='share'>" * n + P1, lambda n: "</div>" * n + "<p>x" * n, lambda n: "<a " * n, lambda n: "<p x=" * n, lambda n: "<p x='" * n, lambda n: "".join(f"<div class=c{chr(97 + k % 26)}>" for k in range(n)) + P1])
+def test_time_is_in_proportion_to_the_length(make):
+    timed(make, 1000)
+    assert timed(make, 100_000 // 3) < 10
+
+
+def generated(rng):
+    """A page and its article's blocks: chrome around and in it, inline markup, odd white space, character references."""
+    blocks, body = [], []
+
+    def said():
+        words = [rng.choice(("the", "tale", "Ärger", "a < b", "R&D", "notice", "x=1", "it's", "中文", "42")) for _ in range(rng.randrange(12, 40))]
+        words[0] = "So"
+        text = " ".join(words) + "."
+        marked = [rng.choice(("<b>{}</b>", "<em class=search>{}</em>", "{}", "{}", "{}", "<span title=it's>{}</span>")).format(entities.escape(w) if rng.random() < 0.7 else entities.escape(w).replace("e", "&#101;")) for w in text.split(" ")]
+        return text, rng.choice((" ", "\n  ", "\t")).join(marked)
+
+    for _ in range(rng.randrange(2, 8)):
+        text, marked = said()
+        kind = rng.choice(("<p>{}</p>", "<p>{}", "<div>{}</div>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", "<section><p>{}</p></section>", "{}<br>"))
+        if kind == "{}<br>" and body and not body[-1].endswith(">"):
+            kind = "<p>{}</p>"
+        blocks.append(text)
+        body.append(kind.format(marked))
+        if kind == "<p>{}":
+            body.append("<div></div>")
+        if rng.random() < 0.3:
+            body.append(rng.choice(("<script>var a = '<p>no</p>';</script>", "<!-- <p>no --> ", "<style>p > a {}</style>", "<div class='ad-slot'>Buy it now. And again.</div>", "<aside><p>Beside it. At length.</p></aside>", "<form><input><button>Go</button></form>", "<section id=comments><p>First! I said so.</p></section>")))
+    wrap = rng.choice(("<article>{}</article>", "<main class=page-2>{}</main>", "<div class='post'>{}</div>", "<div class='outer'><div class='entry has-sidebar'>{}</div></div>", "<div id=content><section>{}</section></div>"))
+    before, after = ("".join(rng.sample(CHROME, rng.randrange(0, 5))) for _ in range(2))
+    return f"<!DOCTYPE html><html><head><title>T</title></head><body>{before}{wrap.format(''.join(body))}{after}</body></html>", "\n".join(blocks)
+
+
+def test_generated_pages_give_the_article_they_were_made_from():
+    for seed in range(400):
+        page, want = generated(random.Random(seed))
+        assert html.extract(page, html.vote(page)[0]) == want, (seed, page)
+
+
 def table(spark, rows):
     return spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], SCHEMA)
 
@@ -131,6 +200,25 @@ def test_a_host_agrees_on_a_path(spark):
     assert html.vote(odd[2])[0] == "/html/body/div.side"
 
 
+def test_a_host_tells_recurring_from_varying_parts(spark):
+    def page(k, n):
+        return f"<article><h1>Title</h1><p>{P1} {P1}</p><div class='notice'><p>{n}</p></div><p>{P1}</p></article>"
+
+    same = [(k, f"http://same/{k}", page(k, "We have moved to another house, and sell there.")) for k in range(6)]
+    differ = [(10 + k, f"http://differ/{k}", page(k, f"On this day, {k} houses were moved, and sold there.")) for k in range(6)]
+    alone = [(20, "http://alone/", page(0, "We have moved to another house, and sell there."))]
+    found = {i: t for i, _, t in got(spark, same + differ + alone)}
+    assert all(found[k] == f"Title\n{T1} {T1}\n{T1}" for k in range(6))
+    assert all(found[10 + k] == f"Title\n{T1} {T1}\nOn this day, {k} houses were moved, and sold there.\n{T1}" for k in range(6))
+    assert found[20] == f"Title\n{T1} {T1}\nWe have moved to another house, and sell there.\n{T1}"
+
+
+def test_a_very_long_page(spark):
+    text = "Words of the story, told at length. " * 60_000
+    (row,) = got(spark, [(1, "http://h/1", f"<nav>x</nav><div>{text}</div>")])
+    assert row[2] == text.strip()
+
+
 def test_odd_rows(spark):
     page = "<article><p>Just a text.</p></article>"
     rows = [(1, "http://h/1", None), (2, "http://h/2", ""), (3, None, page), (4, "no url", page), (None, "http://h/3", page), (5, "http://h/4", page), (5, "http://h/4", page), (6, "http://h/5", "<nav>only</nav>"), (7, "http://h/6", "plain text\n only")]
@@ -141,8 +229,6 @@ def test_odd_rows(spark):
 
 def test_pages_of_the_test_data(spark):
     """Their articles, cut out by their one template."""
-    import html as entities
-
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     found = {r.page_id: r.text for r in html.main_text(pages).collect()}
     for r in pages.collect():

@@ -7,10 +7,11 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted
+from .common import BROADCAST_ROWS, cut, join_counted
 
 # Names of HTML elements and attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,16 +21,16 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article body center div main section td".split())
 #: Elements that are no part of an article, whatever their class.
 APART = frozenset("aside audio button canvas dialog footer form head iframe menu nav noscript object script select style svg template textarea title video".split())
-#: Words in a class, id or role that mark what isn't the article.
+#: Words in a class, id or role that often mark what isn't the article.
 APART_WORDS = frozenset(
-    "ad adbox ads adsbygoogle adslot alert banner breadcrumb breadcrumbs complementary consent contentinfo copyright disqus gdpr login masthead menu menubar modal nav navbar notice notices notification notifications pager pagination popup promo promoted recommended related replies reply respond search share sharing sidenav signup social toolbar topbar topnav widget".split()
+    "ad adbox ads adsbygoogle adslot advert advertisement advertising adverts alert banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted recommended related search share sharing sidebar sidebars sidenav signup social sponsor sponsored subscribe subscription toolbar topbar topnav widget".split()
+)
+#: Those for what readers, sponsors or lawyers wrote, which isn't the article however long it is and however it varies.
+OTHERS_WORDS = frozenset(
+    "ad adbox ads adsbygoogle adslot advert advertisement advertising adverts comment commentarea commentbox commenter commenters commentform commentlist comments commentsection commentthread consent cookie cookies disqus gdpr promo promoted replies reply respond sponsor sponsored".split()
 )
-#: Beginnings of such words.
-APART_STEMS = ("advert", "comment", "cookie", "footer", "navigation", "newsletter", "sidebar", "sponsor", "subscri")
 #: With one of these, a name tells of a page's state or layout (has-sidebar, comments-open) or of what was found (search-results), not of a part.
 STATES = frozenset("closed disabled enabled has hide no off on open result results show with without".split())
-#: Beginnings of such words for what readers, sponsors or lawyers wrote, which isn't the article however long it is.
-OTHERS_STEMS = ("ad", "comment", "consent", "cookie", "disqus", "gdpr", "promo", "repl", "respond", "sponsor")
 #: With one of these, a header is an article's own.
 OWN_HEADER = frozenset("article content entry page post story".split())
 #: What a head holds; anything else ends it.
@@ -43,46 +44,106 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What ends a sentence, and what may follow.
 ENDS, CLOSING = frozenset(".!?…:;。！？؟।"), "\"'”’»)]」 "
 
+#: The rest of a tag: quotes count only after an equals sign, and the first > elsewhere ends it.
+_REST = r"""(?:[^>=]|=(?:\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?)*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # a comment
-    r"|<(?P<raw>script|style|textarea|noscript|template|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"  # not markup inside
+    rf"|<(?P<raw>script|style|textarea|iframe)\b{_REST}>.*?(?:</(?P=raw)\s*>|\Z)"  # not markup inside
     r"|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{_REST})>"
     r"|</?[a-zA-Z][^>]*\Z",  # cut off
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+#: The slash of a tag that closes itself, which isn't a value's last character.
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 _UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
-    path: str
     parent: int
+    #: The number of its path: that of the nearest container, itself included.
+    path: int
     #: No part of an article: 0 if it may be one, 1 by its name alone, 2 for good.
     apart: int
+    #: The nearest of it and those around it that is an article or main element, a list, a title, a heading, a container; 0 if none is.
+    whole: int
+    list: int
+    title: int
+    heading: int
+    container: int
 
 
 @dataclass
 class Page:
-    """The open elements that were met, and the text blocks: (node, text, characters in links)."""
+    """The elements that were opened, the paths of their containers, and the text blocks.
+
+    A path is known by its number; it holds the number of the path around it and a step,
+    so that deep nesting costs no more than its length. blocks: (node, text, characters
+    in links). named: elements that may be set apart by their names alone, with their kind.
+    """
 
-    nodes: list[Node] = field(default_factory=lambda: [Node("", "", -1, 0)])
+    nodes: list[Node] = field(default_factory=lambda: [Node("", -1, 0, 0, 0, 0, 0, 0, 0)])
+    above: list[int] = field(default_factory=lambda: [-1])
+    steps: list[str] = field(default_factory=lambda: [""])
+    tags: list[str] = field(default_factory=lambda: [""])
+    numbers: dict[tuple[int, str], int] = field(default_factory=dict)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    named: dict[int, str] = field(default_factory=dict)
+
+    def step(self, above: int, tag: str, step: str) -> int:
+        """The number of the path one step below another."""
+        found = self.numbers.setdefault((above, step), len(self.steps))
+        if found == len(self.steps):
+            self.above.append(above)
+            self.steps.append(step)
+            self.tags.append(tag)
+        return found
+
+    def spelled(self, path: int) -> str:
+        steps = []
+        while path >= 0:
+            steps.append(self.steps[path])
+            path = self.above[path]
+        return "/".join(reversed(steps))
+
+    def number(self, spelled: str | None) -> int | None:
+        """The number of a path that is written out; None if the page doesn't have it."""
+        if spelled is None:
+            return None
+        path: int | None = 0
+        for step in spelled.split("/")[1:]:
+            if (path := self.numbers.get((path, step))) is None:
+                return None
+        return path
+
+    def under(self, path: int | None) -> list[bool]:
+        """Of each path, whether it is the given one or below it; None is above all."""
+        found: list[bool] = []
+        for k, above in enumerate(self.above):
+            found.append(path is None or k == path or above >= 0 and found[above])
+        return found
 
 
 @dataclass
 class Tag:
-    """What the attributes of a tag say: its generalised classes, whole names and their words (parts: of the names that tell of no state), and whether it is hidden."""
+    """What the attributes of a tag say: its generalised classes and id, whole names and their words (parts: of the names that tell of no state), and whether it is hidden."""
 
     classes: list[str] = field(default_factory=list)
+    id: str = ""
     names: set[str] = field(default_factory=set)
     words: set[str] = field(default_factory=set)
     parts: set[str] = field(default_factory=set)
     hidden: bool = False
 
 
+def _general(name: str) -> str:
+    """A class or id with its numbers folded, fit to be written in a path."""
+    return re.sub(r"\d+", "#", name.lower()).replace("/", "|")
+
+
 def _described(rest: str) -> Tag:
     found = Tag()
     if "=" in rest or "hidden" in rest.lower():
@@ -96,15 +157,13 @@ def _described(rest: str) -> Tag:
                     if STATES.isdisjoint(words):
                         found.parts.update(words)
                 if kind == "class":
-                    found.classes = sorted({re.sub(r"\d+", "#", c) for c in value.lower().split()})
+                    found.classes = sorted(set(map(_general, value.split())))
+                elif kind == "id":
+                    found.id = _general(value)
             found.hidden |= kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and bool(_UNSEEN.search(value))
     return found
 
 
-def _is_apart(word: str) -> bool:
-    return word in APART_WORDS or word.startswith(APART_STEMS)
-
-
 def _apart(tag: str, said: Tag, inside: bool) -> int:
     """Whether an element is no part of an article, as Node has it; inside: it is in an article or main element."""
     if said.hidden or tag in APART:
@@ -112,11 +171,39 @@ def _apart(tag: str, said: Tag, inside: bool) -> int:
     if tag in ("html", "body", "main"):
         return 0
     if tag == "article":  # a comment or teaser may be an article, but words like comments-open don't make one
-        return 2 * any(map(_is_apart, said.names & said.words))
+        return 2 * (not (APART_WORDS | OTHERS_WORDS).isdisjoint(said.names & said.words))
     if not inside and (tag == "header" or "header" in said.words) and said.words.isdisjoint(OWN_HEADER):
         return 2
-    marks = [w for w in said.parts if _is_apart(w)]
-    return 2 if any(w.startswith(OTHERS_STEMS) for w in marks) else int(bool(marks))
+    if not OTHERS_WORDS.isdisjoint(said.parts):
+        return 2
+    return int(tag in BLOCK and not APART_WORDS.isdisjoint(said.parts))  # within a sentence, a name alone sets nothing apart
+
+
+class _Open:
+    """The elements that are open, with the places of each tag's and of the block elements among them."""
+
+    def __init__(self):
+        self.nodes, self.tags, self.places, self.blocks = [0], [""], {}, []
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def place(self, tag: str) -> int:
+        """Where the innermost open element of a tag is; 0 if none is."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
 
 
 def parse(text: str) -> Page:
@@ -124,14 +211,16 @@ def parse(text: str) -> Page:
 
     A block ends wherever a block element starts or ends. Paragraphs end at the next
     block element, list items and table cells at the next of their kind, and a closing
-    tag ends all that was opened since its opening one; without one it is ignored.
+    tag ends all that was opened since its opening one; without one it is ignored. Time
+    grows with the page's length, however deep its elements are.
     """
-    page, open_, parts, links, last, named = Page(), [0], [], 0, 0, []
+    page, open_, parts, links, last = Page(), _Open(), [], 0, 0
+    nodes = page.nodes
 
     def flush() -> None:
         nonlocal links
-        if parts and (joined := " ".join("".join(parts).split())) and page.nodes[open_[-1]].apart < 2:
-            page.blocks.append((open_[-1], joined, links))
+        if parts and (joined := " ".join("".join(parts).split())) and nodes[open_.nodes[-1]].apart < 2:
+            page.blocks.append((open_.nodes[-1], joined, links))
         parts.clear()
         links = 0
 
@@ -140,7 +229,7 @@ def parse(text: str) -> Page:
         if raw:
             shown = entities.unescape(raw) if "&" in raw else raw
             parts.append(shown)
-            if any(page.nodes[k].tag == "a" for k in open_[-3:]):
+            if "a" in open_.tags[-3:]:
                 links += len(shown)
 
     for m in _TOKEN.finditer(text):
@@ -151,221 +240,280 @@ def parse(text: str) -> Page:
         tag = m["tag"].lower()
         block = tag in BLOCK
         if m["close"]:
-            for k in range(len(open_) - 1, 0, -1):
-                if (own := page.nodes[open_[k]].tag) == tag:
-                    if any(page.nodes[j].tag in BLOCK or page.nodes[j].apart != page.nodes[open_[k - 1]].apart for j in open_[k:]):
-                        flush()
-                    del open_[k:]
-                    break
-                if not block and own in BLOCK:
-                    break
-            else:
-                if block:  # a stray end still parts what stands on its two sides
+            at, outer = open_.place(tag), open_.blocks[-1] if open_.blocks else 0
+            if at and (block or at > outer):
+                if outer >= at or nodes[open_.nodes[-1]].apart != nodes[open_.nodes[at - 1]].apart:
                     flush()
+                open_.cut(at)
+            elif block:  # a stray end still parts what stands on its two sides
+                flush()
             continue
-        above = page.nodes[open_[-1]]
-        if tag not in IN_HEAD and any(page.nodes[k].tag == "head" for k in open_[1:3]):  # a head need not be closed
+        if tag not in IN_HEAD and "head" in open_.tags[1:3]:  # a head need not be closed
             flush()
-            del open_[next(k for k in (1, 2) if page.nodes[open_[k]].tag == "head") :]
-            above = page.nodes[open_[-1]]
+            open_.cut(open_.tags.index("head", 1, 3))
         said = _described(m["rest"])
-        own_apart = _apart(tag, said, any(page.nodes[k].tag in WHOLE for k in open_))
-        apart = max(above.apart, own_apart)
-        if block or apart != above.apart:
+        above = nodes[open_.nodes[-1]]
+        own_apart = _apart(tag, said, above.whole > 0)
+        if block or max(above.apart, own_apart) != above.apart:
             flush()
         if block:
-            for k in range(len(open_) - 1, 0, -1):
-                own = page.nodes[open_[k]].tag
+            for at in reversed(open_.blocks):
+                own = open_.tags[at]
                 if own == "p" or tag in ENDED_BY.get(own, ()):
-                    del open_[k:]
+                    open_.cut(at)
                     break
-                if own in BLOCK and own not in ENDED_BY:
+                if own not in ENDED_BY:
                     break
-            above = page.nodes[open_[-1]]
-        if tag in VOID or m["rest"].endswith("/") and not block:
+            above = nodes[open_.nodes[-1]]
+        if tag in VOID or not block and _CLOSED.search(m["rest"]):
             continue
-        path = f"{above.path}/{'.'.join([tag, *said.classes])}" if tag in CONTAINER or tag == "html" else above.path
-        page.nodes.append(Node(tag, path, open_[-1], apart))
-        open_.append(len(page.nodes) - 1)
-        if own_apart == 1:
-            named.append(open_[-1])
+        k, box = len(nodes), tag in CONTAINER
+        path = page.step(above.path, tag, ".".join([tag, *said.classes])) if box or tag == "html" else above.path
+        within = (k if tag in WHOLE else above.whole, k if tag in LIST else above.list, k if tag in TITLE else above.title, k if tag in HEADING else above.heading, k if box else above.container)
+        nodes.append(Node(tag, open_.nodes[-1], path, max(above.apart, own_apart), *within))
+        open_.push(k, tag)
+        if own_apart == 1 and above.apart < 2:
+            page.named[k] = ".".join([tag, *said.classes]) + f"#{said.id}" * bool(said.id)
     add(text[last:])
     flush()
-    return _without_menus(_without_parts(page, named))
-
-
-def _without_parts(page: Page, named: list[int]) -> Page:
-    """The page without what elements hold that their names set apart, unless one holds most of the running text, and all that is in article or main elements."""
-    if named:
-        held, total, whole = dict.fromkeys(named, 0), 0, []
-        for node, text, links in page.blocks:
-            value = max(0, len(text) - 3 * links)
-            total += value
-            around = set()
-            while node > 0:
-                around.add(node)
-                if node in held:
-                    held[node] += value
-                node = page.nodes[node].parent
-            if any(page.nodes[k].tag in WHOLE for k in around):
-                whole.append(around)
-        own, gone = {k for k in named if 2 * held[k] <= total or any(k not in around for around in whole)}, [False]
-        for k, n in enumerate(page.nodes[1:], 1):
-            gone.append(gone[n.parent] or k in own)
-        page.blocks = [x for x in page.blocks if not gone[x[0]]]
+    _drop_menus(page)
     return page
 
 
-def _without_menus(page: Page) -> Page:
-    """The page without lists of nothing but links, unless they are in an article or main element."""
+def _drop_menus(page: Page) -> None:
+    """Take out lists of nothing but links, unless they are in an article or main element."""
     linked: dict[int, list[bool]] = {}
     for node, text, links in page.blocks:
-        if (at := _within(page, node, LIST)) and not _within(page, at, WHOLE):
+        if (at := page.nodes[node].list) and not page.nodes[at].whole:
             linked.setdefault(at, []).append(links >= len(text))
     menus = {at for at, found in linked.items() if len(found) > 1 and all(found)}
     if menus:
-        page.blocks = [x for x in page.blocks if _within(page, x[0], LIST) not in menus]
-    return page
+        page.blocks = [x for x in page.blocks if page.nodes[x[0]].list not in menus]
 
 
-def scores(page: Page) -> dict[str, float]:
-    """How much running text each container path holds; words in links count against it.
-
-    The nearest container has all of a block, those further out ever less; but an
-    article or main element has all that is inside, and a plain section's text is all
-    the container's that it is a section of.
-    """
-    found: dict[str, float] = {}
-    for node, text, links in page.blocks:
-        value, share = max(0, len(text) - 3 * links), 1.0
-        seen = set()
-        while node > 0:
-            own = page.nodes[node]
-            if own.tag in CONTAINER and own.path not in seen:
-                seen.add(own.path)
-                found[own.path] = found.get(own.path, 0.0) + value * (1.2 if own.tag in WHOLE else share)
-                share /= 1 if own.path.endswith("/section") and not own.path.endswith("/body/section") else 2
-            node = own.parent
-    return found
-
+def _value(text: str, links: int) -> int:
+    """How much running text a block has; words in links count against it."""
+    return max(0, len(text) - 3 * links)
 
-def best_path(found: dict[str, float]) -> str | None:
-    """The path of the highest score above 0; of equal ones the longest, then the first."""
-    return min((p for p in found if found[p] > 0), key=lambda p: (-found[p], -p.count("/"), p), default=None)
 
+def _running(page: Page, block: tuple[int, str, int]) -> bool:
+    """Whether a block is running text: no heading, few links, and a sentence's end or some length."""
+    node, text, links = block
+    return 3 * links < len(text) and not page.nodes[node].heading and (len(text) >= 80 or len(text) >= 20 and text.rstrip(CLOSING)[-1:] in ENDS)
 
-def _within(page: Page, node: int, tags: frozenset[str]) -> int:
-    """The nearest of a node and those around it that has one of the tags; 0 if none has."""
-    while node > 0 and page.nodes[node].tag not in tags:
-        node = page.nodes[node].parent
-    return max(node, 0)
 
+def _held(page: Page, amounts: list[int]) -> list[int]:
+    """Of each node, the sum of the amounts (one for each block) in it."""
+    held = [0] * len(page.nodes)
+    for (node, _, _), n in zip(page.blocks, amounts):
+        held[node] += n
+    for k in range(len(held) - 1, 0, -1):
+        held[page.nodes[k].parent] += held[k]
+    return held
 
-def text_under(page: Page, path: str | None) -> str:
-    """The blocks inside the elements of a path, in page order, by line; of no path, all blocks.
 
-    A title (h1) above the first of these elements belongs to them if it stands right in a
-    container around it, other than the body.
-    """
-    inside, around = [path is None], set()
+def _without(page: Page, gone: set[int]) -> list[tuple[int, str, int]]:
+    """The blocks that are in none of these elements."""
+    if not gone:
+        return page.blocks
+    out = [False]
     for k, n in enumerate(page.nodes[1:], 1):
-        if n.path == path and not around:
-            around = {k}
-            while (k := page.nodes[k].parent) > 0:
-                around.add(k)
-        inside.append(inside[n.parent] or n.path == path)
-    title = [bool(around) and not inside[n] and _within(page, n, TITLE) and (at := _within(page, n, CONTAINER)) in around and page.nodes[at].tag != "body" for n, _, _ in page.blocks]
-    first = next((k for k, (n, _, _) in enumerate(page.blocks) if inside[n]), 0)
-    return "\n".join(text for k, (n, text, _) in enumerate(page.blocks) if inside[n] or title[k] and k < first)
+        out.append(k in gone or out[n.parent])
+    return [x for x in page.blocks if not out[x[0]]]
 
 
-def _running(page: Page, block: tuple[int, str, int]) -> bool:
-    """Whether a block is running text: no heading, few links, and a sentence's end or some length."""
-    node, text, links = block
-    return 3 * links < len(text) and not _within(page, node, HEADING) and (len(text) >= 80 or len(text) >= 20 and text.rstrip(CLOSING)[-1:] in ENDS)
+def set_apart(page: Page) -> set[int]:
+    """The elements that their names set apart: all named ones but those that hold most of the running text, and all that is in article or main elements."""
+    if not page.named:
+        return set()
+    held = _held(page, [_value(text, links) for _, text, links in page.blocks])
+    in_whole = [int(page.nodes[n].whole > 0) for n, _, _ in page.blocks]
+    count = _held(page, in_whole)
+    return {k for k in page.named if 2 * held[k] <= held[0] or count[k] < sum(in_whole)}
 
 
-def _under(page: Page, path: str | None) -> list[bool]:
-    """Of each node, whether it is inside an element of the path."""
-    inside = [path is None]
-    for n in page.nodes[1:]:
-        inside.append(inside[n.parent] or n.path == path)
-    return inside
+class Sums:
+    """Of each path: its score, and how much text, how many blocks, running ones and headings its elements hold.
 
+    In a score, the nearest container has all of a block, those further out ever less; but
+    an article or main element has all that is inside, and a plain section's text is
+    all the container's that it is a section of.
+    """
 
-def widened(page: Page, path: str | None) -> str | None:
+    def __init__(self, page: Page, blocks: list[tuple[int, str, int]]):
+        n, self.depth = len(page.steps), [0]
+        for above in page.above[1:]:
+            self.depth.append(self.depth[above] + 1)
+        self.text, self.blocks, self.running, self.headings, self.score = ([0] * n for _ in range(5))
+        share = [0.0] * n
+        for block in blocks:
+            node = page.nodes[block[0]]
+            value = _value(block[1], block[2])
+            self.text[node.path] += value
+            share[node.path] += value
+            self.blocks[node.path] += 1
+            self.running[node.path] += _running(page, block)
+            self.headings[node.path] += node.heading > 0
+        for k in range(n - 1, 0, -1):
+            above = page.above[k]
+            for sums in (self.text, self.blocks, self.running, self.headings):
+                sums[above] += sums[k]
+            if page.tags[k] in CONTAINER:
+                self.score[k] = 1.2 * self.text[k] if page.tags[k] in WHOLE else share[k]
+                share[above] += share[k] if page.steps[k] == "section" and page.tags[above] != "body" else share[k] / 2
+
+    def best(self) -> int | None:
+        """The path of the highest score above 0; of equal ones the innermost, which comes last, of one depth the first."""
+        top = max(self.score, default=0)
+        return None if top <= 0 else self._first([k for k, x in enumerate(self.score) if x == top])
+
+    def _first(self, equal: list[int]) -> int:
+        return equal[0] if len(equal) == 1 else min(equal, key=lambda k: (-self.depth[k], k))
+
+
+def widened(page: Page, sums: Sums, path: int | None) -> int | None:
     """The path of the outermost container around a path that adds running text, short of the body.
 
     It goes on through containers that add nothing, and ends at one that adds other things alone,
     as it does at an article or main element.
     """
-    at = next((k for k, n in enumerate(page.nodes) if k and n.path == path and n.tag in CONTAINER), 0)
-    tried = path
-    inside = _under(page, path)
-    while at > 0 and page.nodes[at].tag not in WHOLE:
-        at = page.nodes[at].parent
-        while at > 0 and (page.nodes[at].tag not in CONTAINER or page.nodes[at].path == tried):
-            at = page.nodes[at].parent
-        if at <= 0 or page.nodes[at].tag == "body":
+    at = path
+    while at and page.tags[at] not in WHOLE:
+        at = page.above[at]
+        if at <= 0 or page.tags[at] == "body":
             break
-        tried = page.nodes[at].path
-        around = _under(page, tried)
-        added = [x for x in page.blocks if around[x[0]] and not inside[x[0]]]
-        if any(_running(page, x) for x in added):
-            path, inside = tried, around
-        elif added and not all(_within(page, x[0], HEADING) for x in added):
+        if page.tags[at] not in CONTAINER:
+            continue
+        if sums.running[at] > sums.running[path]:
+            path = at
+        elif sums.blocks[at] - sums.blocks[path] > sums.headings[at] - sums.headings[path]:
             break
     return path
 
 
-def _amount(page: Page, path: str | None) -> int:
-    inside = _under(page, path)
-    return sum(max(0, len(text) - 3 * links) for node, text, links in page.blocks if inside[node])
-
-
-def vote(html: str | None) -> tuple[str | None, float]:
-    page = parse(html or "")
-    found = scores(page)
-    path = best_path(found)
-    return widened(page, path), found.get(path, 0.0)
-
+def text_under(page: Page, blocks: list[tuple[int, str, int]], path: int | None) -> str:
+    """The blocks inside the elements of a path, in page order, by line; of no path, all blocks.
 
-def extract(html: str | None, agreed: str | None) -> str:
-    """The text under the host's path, if it holds at least half of what the page's own best does; else under that."""
-    page = parse(html or "")
-    own = widened(page, best_path(scores(page)))
-    fits = own and agreed and 2 * _amount(page, agreed) >= _amount(page, own)
-    return text_under(page, agreed if fits else own)
+    A title (h1) above the first of these elements belongs to them if it stands right in a
+    container around it, other than the body.
+    """
+    under, around = page.under(path), set()
+    k = next((k for k, n in enumerate(page.nodes) if k and n.path == path), 0)
+    while k > 0:
+        around.add(k)
+        k = page.nodes[k].parent
+    inside = [under[page.nodes[n].path] for n, _, _ in blocks]
+    first = inside.index(True) if True in inside else 0
+
+    def is_title(node: Node) -> bool:
+        return bool(node.title) and node.container in around and page.nodes[node.container].tag != "body"
+
+    return "\n".join(text for k, (n, text, _) in enumerate(blocks) if inside[k] or k < first and is_title(page.nodes[n]))
+
+
+class Read:
+    """A page without what its names set apart, and the path that is best by itself."""
+
+    def __init__(self, html: str | None):
+        self.page = parse(html or "")
+        self.gone = set_apart(self.page)
+        self.sums = Sums(self.page, _without(self.page, self.gone))
+        self.best = self.sums.best()
+        self.own = widened(self.page, self.sums, self.best)
+
+    def doubtful(self, path: int | None) -> dict[int, list[tuple[int, str, int]]]:
+        """The blocks of each element that is set apart by its name alone though it lies in an article or main element or under the path."""
+        page, under = self.page, self.page.under(path)
+        found = {k: [] for k in sorted(self.gone) if page.nodes[k].whole or path is not None and under[page.nodes[k].path]}
+        if found:
+            mark = [0]
+            for k, n in enumerate(page.nodes[1:], 1):
+                mark.append(k if k in self.gone else mark[n.parent])
+            for block in page.blocks:
+                if mark[block[0]] in found:
+                    found[mark[block[0]]].append(block)
+        return found
+
+    def runs(self, blocks: list[tuple[int, str, int]]) -> bool:
+        """Whether most of these blocks' text is running text."""
+        running = sum(len(x[1]) for x in blocks if _running(self.page, x))
+        return running > 0 and 2 * running >= sum(len(x[1]) for x in blocks)
+
+
+def vote(html: str | None) -> tuple[str | None, float, list[tuple[str, int, bool]]]:
+    """The page's path and its score; and of each kind of doubtful element (tag, classes and id) a hash of its text, and whether that runs."""
+    read = Read(html)
+    kinds: dict[str, list[tuple[int, str, int]]] = {}
+    for k, blocks in read.doubtful(read.own).items():
+        kinds.setdefault(read.page.named[k], []).extend(blocks)
+    told = [(kind, xxhash.xxh64_intdigest("\n".join(x[1] for x in blocks)) >> 1, read.runs(blocks)) for kind, blocks in kinds.items()]
+    return (None if read.own is None else read.page.spelled(read.own)), (0.0 if read.own is None else float(read.sums.score[read.own])), told
+
+
+def extract(html: str | None, agreed: str | None, kept=(), dropped=()) -> str:
+    """The text under the host's path, if it holds at least half of what the page's own best does; else under that.
+
+    kept: kinds of doubtful elements that belong to the text, as what they hold differs over
+    the host's pages; dropped: kinds that recur. Of other kinds, those in an article or main
+    element belong to it if they are running text.
+    """
+    read = Read(html)
+    path, agreed_path, text = read.own, read.page.number(agreed), read.sums.text
+    if path is not None and agreed_path is not None and 2 * text[agreed_path] >= text[path]:
+        path = agreed_path
+    back = set()
+    for k, blocks in read.doubtful(path).items():
+        kind = read.page.named[k]
+        if kind in kept or kind not in dropped and read.page.nodes[k].whole and read.runs(blocks):
+            back.add(k)
+    return text_under(read.page, _without(read.page, read.gone - back), path)
 
 
 def host(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
+#: The table of what hosts agree on is broadcast only if it has at most so many characters, too.
+BROADCAST_CHARS = 32 << 20
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row (id, url, text, n_chars) for each row of pages.
 
     Each page votes for its best container's path (tags and classes, digits folded), widened
     to the containers around it that add running text;
-    a host's path is the one with most votes, then with most text. Only votes are
-    grouped, so a host of any size is no one's task. Pages without a host in their url
-    follow their own best path. A null or empty html gives '', as does a page without
-    text; repeated rows are all returned and vote each time.
+    a host's path is the one with most votes, then with most text. Pages also tell what
+    stands in those elements of their article whose names are doubtful (as
+    notice-period or search-tips): a kind whose text recurs over the host's pages is no
+    part of the articles, one that holds different running text on most of them is. Only
+    votes are grouped, so a host of any size is no one's task. Pages without a host in
+    their url follow their own best path. A null or empty html gives '', as does a page
+    without text; repeated rows are all returned and vote each time; a very long or deeply
+    nested page takes time and memory in proportion to its length. An empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
+    said = pa.struct({"path": pa.string(), "score": pa.float64(), "told": pa.list_(pa.struct({"kind": pa.string(), "hash": pa.int64(), "runs": pa.bool_()}))})
 
-    @F.arrow_udf("struct<path: string, score: double>")
+    @F.arrow_udf("struct<path: string, score: double, told: array<struct<kind: string, hash: bigint, runs: boolean>>>")
     def voted(html: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(("path", "score"), vote(x.as_py()))) for x in html], pa.struct({"path": pa.string(), "score": pa.float64()}))
+        found = (vote(x.as_py()) for x in html)
+        return pa.array([{"path": p, "score": s, "told": [dict(zip(("kind", "hash", "runs"), t)) for t in told]} for p, s, told in found], said)
 
     @F.arrow_udf("string")
-    def extracted(html: pa.Array, path: pa.Array) -> pa.Array:
-        return pa.array([extract(x.as_py(), p.as_py()) for x, p in zip(html, path)], pa.string())
+    def extracted(html: pa.Array, path: pa.Array, kept: pa.Array, dropped: pa.Array) -> pa.Array:
+        lists = [[set(y.as_py() or ()) for y in x] for x in (kept, dropped)]
+        return pa.array([extract(x.as_py(), p.as_py(), k, d) for x, p, k, d in zip(html, path, *lists)], pa.string())
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
-    votes = rows.where("host IS NOT NULL").select("host", voted("html").alias("v")).select("host", "v.*")
-    # pages without a path lose in the end: a filter on the path would have the votes cast twice
-    counts = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("score")).cast("bigint").alias("total"))
-    most = F.max(F.when(F.col("path").isNotNull(), F.struct("n", "total", "path")))
-    agreed = cut(counts.groupBy("host").agg(most.getField("path").alias("path")))
-    found = join_counted(rows, agreed, "host").select("id", "url", extracted("html", "path").alias("text"))
+    votes = cut(rows.where("host IS NOT NULL").select("host", voted("html").alias("v")).select("host", "v.*"))
+    counts = votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("score")).cast("bigint").alias("total"))
+    paths = counts.groupBy("host").agg(F.max(F.struct("n", "total", "path")).getField("path").alias("path"))
+    kinds = votes.select("host", F.explode("told").alias("t")).groupBy("host", "t.kind").agg(F.count("*").alias("n"), F.count_distinct("t.hash").alias("texts"), F.count_if("t.runs").alias("run"))
+    differs = (2 * F.col("texts") > F.col("n")) & (2 * F.col("run") > F.col("n"))
+    judged = kinds.where("n > 1").groupBy("host").agg(F.collect_list(F.when(differs, F.col("kind"))).alias("kept"), F.collect_list(F.when(~differs, F.col("kind"))).alias("dropped"))
+    agreed = cut(paths.join(judged, "host", "left"))
+    chars = F.octet_length("host") + F.octet_length("path") + sum(F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) for c in ("kept", "dropped"))
+    size = agreed.agg(F.count("*"), F.sum(chars)).first()
+    small = (size[1] or 0) <= BROADCAST_CHARS
+    found = join_counted(rows, agreed, "host", rows=size[0] if small else BROADCAST_ROWS + 1).select("id", "url", extracted("html", "path", "kept", "dropped").alias("text"))
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))
