@@ -40,7 +40,12 @@ def test_round_trip(spark):
     got = warc.round_trip(table(spark, ROWS))
     assert found(got) == want(ROWS)
     urls = {r.page_id: r.url for r in got.collect()}
-    assert urls[9] == "http://c/%0D%0AX: y" and urls[3] is None and urls[1] == "http://a/1"
+    assert urls == {i: u for i, u, _ in ROWS}  # with line ends, white space and all
+
+
+def test_every_url_comes_back(spark):
+    rows = [(k, u, "x") for k, u in enumerate(["", " ", " http://a/ b ", "http://a/%0A%20", "\x00\x1f\x7f\x85", "é中 €", "a\tb", None, "x: y\r\n\r\nWARC/1.1", "%", "\ufeffu"])]
+    assert {r.page_id: r.url for r in warc.round_trip(table(spark, rows)).collect()} == {k: u for k, u, _ in rows}
 
 
 def test_null_and_repeated_ids(spark):
@@ -98,11 +103,50 @@ def test_archives_of_other_writers(spark, tmp_path):
     assert spark.read.format("warc").load(str(tmp_path / "b.warc")).count() == 2
 
 
-def test_broken_archives_are_told():
+def test_other_types_and_digests(spark, tmp_path):
+    warc.register(spark)
+    parts = [
+        record("resource", "née".encode(), WARC_Record_ID="<1>", Content_Type="text/plain", WARC_Payload_Digest="md5:abc"),
+        record("conversion", b"a\r\n\r\nb", WARC_Record_ID="<2>", Content_Type="text/plain", WARC_Payload_Digest="sha1:" + "AB" * 20),
+        record("response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello \xff", WARC_Record_ID="<3>", Content_Type="application/http; msgtype=response"),
+        record("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", WARC_Record_ID="<4>", Content_Type="application/http"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    read = lambda payload: spark.read.format("warc").option("payload", payload).load(str(tmp_path)).orderBy("record_id")
+    assert [(r.payload, r.payload_bytes, r.payload_digest) for r in read("true").collect()] == [("née", 4, "md5:abc"), ("a\r\n\r\nb", 6, "ab" * 20), ("hello \ufffd", 7, None), (None, None, None)]
+    for payload in ("false", "check"):
+        assert [(r.payload, r.payload_bytes) for r in read(payload).collect()] == [(None, 4), (None, 6), (None, 7), (None, None)]
+    assert {r.record_id for r in read("false").where("payload_bytes > 4").collect()} == {"<2>", "<3>"}
+
+
+def test_foreign_files_beside_those_of_this_writer(spark, tmp_path):
+    warc.register(spark)
+    (tmp_path / "theirs.warc").write_bytes(record("response", b"HTTP/1.1 200 OK\r\n\r\none", WARC_Record_ID="<theirs>"))
+    (tmp_path / f"{warc.PREFIX}of-an-attempt-that-did-not-end.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: resp")
+    rows = [(f"<{k}>", "resource", None, None, None, None, str(k)) for k in range(3)]
+    mine = spark.createDataFrame(rows, warc.RECORD)
+    ids = lambda: sorted(r.record_id for r in spark.read.format("warc").load(str(tmp_path)).collect())
+    mine.write.format("warc").mode("append").save(str(tmp_path))
+    assert ids() == ["<0>", "<1>", "<2>", "<theirs>"]
+    mine.write.format("warc").mode("append").save(str(tmp_path))
+    assert len(ids()) == 7
+    mine.where("record_id = '<1>'").write.format("warc").mode("overwrite").save(str(tmp_path))
+    assert ids() == ["<1>"]
+
+
+def test_predicates_reach_the_source(spark):
+    plan = warc.round_trip(table(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan warc") == 2 and "Filter (record_type" not in plan
+
+
+@pytest.mark.parametrize("wanted", [True, False])
+@pytest.mark.parametrize("less", [1, 3, 4, 12])
+def test_broken_archives_are_told(wanted, less):
     everything = lambda row: True
-    cut_off = record("response", b"HTTP/1.1 200 OK\r\n\r\nhello")[:-12]
-    with pytest.raises(ValueError, match="cut off"):
-        list(warc.read_records(io.BufferedReader(io.BytesIO(cut_off)), everything))
+    cut_off = record("response", b"HTTP/1.1 200 OK\r\n\r\nhello")[:-less]
+    for payloads in ("true", "check", "false"):
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.read_records(io.BufferedReader(io.BytesIO(cut_off)), lambda row: wanted, payloads))
     with pytest.raises(ValueError, match="no record starts"):
         list(warc.read_records(io.BufferedReader(io.BytesIO(b"<html>\r\n")), everything))
     changed = warc.record({"record_id": "<1>", "record_type": "response", "target_uri": "u", "refers_to": None, "payload_digest": hashlib.sha1(b"a").hexdigest(), "payload_bytes": 1, "payload": "b"}, False)

@@ -6,9 +6,11 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -24,7 +26,13 @@ from .common import cut, join_counted, scratch_dir
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload string"
 #: The header of each column; what has none is the payload's.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length"}
-#: Written once all files of a write are whole; it lists them, and readers look at no others.
+#: Predicates on these are judged on the headers; payload_bytes may be known from the block alone.
+JUDGED = frozenset(HEADERS) - {"payload_bytes"}
+#: A target URI that a header can't hold as it is stands here, percent-encoded throughout.
+WHOLE_URI = "X-Whole-Target-URI"
+#: Files of this writer; one that no manifest lists is of a write that didn't end.
+PREFIX = "turnstone-"
+#: Written once all files of a write are whole; it lists them.
 MANIFEST = "_FILES"
 #: Payloads under this size are stored again rather than referred to.
 REVISIT_BYTES = 1000
@@ -35,56 +43,89 @@ BATCH_BYTES = 8 << 20
 
 
 def _line(value: str) -> str:
-    """A header's value: a line break would end the header, so it is percent-encoded."""
-    return value.replace("\r", "%0D").replace("\n", "%0A")
+    """What a header can hold of a value: control characters are percent-encoded, outer white space goes."""
+    return re.sub(r"[\x00-\x1f\x7f-\x9f]", lambda m: quote(m[0]), value).strip()
 
 
 def record(row: dict, compress: bool) -> bytes:
-    """A record with RECORD's fields. A response holds its payload; a revisit just tells of it."""
-    values = {k: row[k] for k in HEADERS if row[k] is not None}
-    if "payload_digest" in values:
-        values["payload_digest"] = "sha1:" + base64.b32encode(bytes.fromhex(row["payload_digest"])).decode()
-    block = HTTP + ((row["payload"] or "").encode() if row["record_type"] == "response" else b"")
-    head = [f"{HEADERS[k]}: {_line(str(v))}" for k, v in values.items()]
-    head += ["WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    """A record with RECORD's fields. A revisit just tells of its payload; all others hold theirs, a response after an HTTP head."""
+    values = {HEADERS[k]: str(row[k]) for k in HEADERS if row[k] is not None}
+    if row["payload_digest"] is not None:
+        values["WARC-Payload-Digest"] = "sha1:" + base64.b32encode(bytes.fromhex(row["payload_digest"])).decode()
+    if row["target_uri"] is not None and _line(row["target_uri"]) != row["target_uri"]:
+        values[WHOLE_URI] = quote(row["target_uri"], safe="")
+    payload, kind = (row["payload"] or "").encode(), row["record_type"]
+    block = HTTP if kind == "revisit" else HTTP + payload if kind == "response" else payload
+    content = "application/http; msgtype=response" if kind in ("response", "revisit") else "application/octet-stream"
+    head = [f"{name}: {_line(value)}" for name, value in values.items()]
+    head += ["WARC-Date: 1970-01-01T00:00:00Z", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
     whole = b"WARC/1.1\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     return gzip.compress(whole, 1, mtime=0) if compress else whole
 
 
-def read_records(stream, wanted) -> Iterator[dict]:
+def _digest(value: str | None) -> str | None:
+    """A SHA-1 digest in lower-case hex; another algorithm's as the header has it."""
+    kind, _, digits = (value or "").partition(":")
+    if kind.lower() == "sha1" and re.fullmatch(r"[A-Za-z2-7]{32}", digits):
+        return base64.b32decode(digits.upper()).hex()
+    return digits.lower() if kind.lower() == "sha1" else value
+
+
+def _header(stream) -> tuple[dict[str, str], dict]:
+    """The headers of the record that starts here, by lower-case name, and RECORD's fields that they tell."""
+    named: dict[str, str] = {}
+    while (line := stream.readline()).strip():
+        name, _, value = line.decode("utf-8", "replace").partition(":")
+        named[name.strip().lower()] = value.strip()
+    row: dict = {k: named.get(h.lower()) for k, h in HEADERS.items()}
+    if (uri := named.get(WHOLE_URI.lower())) is not None:
+        row["target_uri"] = unquote(uri)
+    row["payload_digest"] = _digest(row["payload_digest"])
+    row["payload_bytes"] = int(row["payload_bytes"]) if row["payload_bytes"] else None
+    return named, row | {"payload": None}
+
+
+def read_records(stream, wanted, payloads: str = "true") -> Iterator[dict]:
     """The records of an open archive for whose headers wanted() is true.
 
-    The headers are read and judged first; the block of another record is passed
-    over without decoding its text.
+    The headers are read and judged first; the block of another record is passed over.
+    payloads: "true" gives them as bytes, "check" just holds those of this writer's records
+    against their digests, "false" passes them over, too. The payload is what follows
+    the head of an HTTP message, of other records the whole block, and none of a revisit.
+    An archive that ends within a record is an error, also where the record isn't wanted.
     """
     while line := stream.readline():
         if line.strip() == b"":
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no record starts with {line[:40]!r}")
-        named: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode().partition(":")
-            named[name.strip().lower()] = value.strip()
-        length = int(named["content-length"])
-        row: dict = {k: named.get(h.lower()) for k, h in HEADERS.items()}
-        if row["payload_digest"]:
-            row["payload_digest"] = base64.b32decode(row["payload_digest"].partition(":")[2]).hex()
-        row["payload_bytes"] = int(row["payload_bytes"]) if row["payload_bytes"] else None
-        if not wanted(row):
+        named, row = _header(stream)
+        length, own, content = int(named["content-length"]), row["payload_bytes"] is not None, named.get("content-type", "").lower()
+        http = "application/http" in content or not content and row["record_type"] in ("request", "response")
+        take = wanted(row)
+        held, head = row["record_type"] != "revisit", b""
+        if take and held and (payloads != "false" or not own):
+            if payloads == "false":  # its length alone
+                while http and len(head) < length and (line := stream.readline(length - len(head))):
+                    head += line
+                    if not line.strip():
+                        break
+                row["payload_bytes"] = length - len(head)
+                stream.seek(length - len(head), io.SEEK_CUR)
+            else:
+                block = stream.read(length)
+                payload = block.partition(b"\r\n\r\n")[2] if http else block
+                if len(block) == length and own and row["payload_digest"] and hashlib.sha1(payload).hexdigest() != row["payload_digest"]:
+                    raise ValueError(f"{row['record_id']} doesn't have the digest in its header")
+                row["payload_bytes"] = len(payload)
+                if payloads == "true":
+                    row["payload"] = payload
+        else:
             stream.seek(length, io.SEEK_CUR)
-            continue
-        block = stream.read(length)
-        if len(block) < length:
+        if stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"{row['record_id']} is cut off")
-        row["payload"] = None
-        if row["record_type"] == "response":
-            payload = block.partition(b"\r\n\r\n")[2]
-            if row["payload_digest"] and hashlib.sha1(payload).hexdigest() != row["payload_digest"]:
-                raise ValueError(f"{row['record_id']} doesn't have the digest in its header")
-            row["payload_bytes"] = len(payload)
-            row["payload"] = payload
-        yield row
+        if take:
+            yield row
 
 
 @dataclass
@@ -96,15 +137,15 @@ class WarcReader(DataSourceReader):
     """Reads RECORD rows; a partition is an archive file.
 
     Comparisons of header columns with constants are pushed down and judged on the
-    parsed headers. With payload=false no payload is decoded.
+    parsed headers; payload says what is done with payloads (read_records).
     """
 
-    def __init__(self, path: str, payload: bool):
+    def __init__(self, path: str, payload: str):
         self.path, self.payload, self.tests = path, payload, []
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in HEADERS and isinstance(f, (EqualTo, EqualNullSafe, In, IsNotNull)):
+            if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in JUDGED and isinstance(f, (EqualTo, EqualNullSafe, In, IsNotNull)):
                 self.tests.append((f.attribute[0], None if isinstance(f, IsNotNull) else tuple(f.value) if isinstance(f, In) else (f.value,)))
             else:
                 yield f
@@ -113,12 +154,10 @@ class WarcReader(DataSourceReader):
         fs, root = opened(self.path)
         if fs.get_file_info(root).type == pafs.FileType.File:
             return [_File(root)]
-        found = fs.get_file_info(pafs.FileSelector(root))
-        listed = [x.path for x in found if x.base_name.startswith(MANIFEST)]
-        if listed:
-            names = b"\n".join(fs.open_input_stream(x).readall() for x in listed).decode().split("\n")
-            return [_File(f"{root}/{x}") for x in names if x] or [_File("")]
-        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and not x.base_name.startswith((".", "_"))] or [_File("")]
+        found = sorted((x for x in fs.get_file_info(pafs.FileSelector(root)) if x.is_file), key=lambda x: x.path)
+        whole = set(_manifested(fs, found))
+        kept = [x.path for x in found if not x.base_name.startswith((".", "_")) and (x.base_name in whole or not x.base_name.startswith(PREFIX))]
+        return [_File(x) for x in kept] or [_File("")]
 
     def wanted(self, row: dict) -> bool:
         return all(row[k] is not None if values is None else row[k] in values for k, values in self.tests)
@@ -135,8 +174,8 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(partition.path) as raw:
             gzipped = raw.read(2) == b"\x1f\x8b"
             raw.seek(0)
-            for row in read_records(gzip.GzipFile(fileobj=raw) if gzipped else io.BufferedReader(raw), self.wanted):
-                row["payload"] = row["payload"].decode() if self.payload and row["payload"] is not None else None
+            for row in read_records(gzip.GzipFile(fileobj=raw) if gzipped else io.BufferedReader(raw), self.wanted, self.payload):
+                row["payload"] = row["payload"].decode("utf-8", "replace") if row["payload"] is not None else None
                 rows.append(row)
                 held += len(row["payload"] or "")
                 if held > BATCH_BYTES or len(rows) >= 10_000:
@@ -146,16 +185,24 @@ class WarcReader(DataSourceReader):
             yield batch()
 
 
+def _manifested(fs: pafs.FileSystem, found: list[pafs.FileInfo]) -> list[str]:
+    return [name for x in found if x.base_name.startswith(MANIFEST) for name in fs.open_input_stream(x.path).readall().decode().split("\n") if name]
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[str]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes RECORD rows. Files of attempts that didn't end are left out of the manifest."""
+    """Writes RECORD rows. Files of attempts that didn't end are left out of the manifest.
+
+    Overwriting takes all other archives out of the folder once the new ones are whole;
+    until then a reader still finds the old ones.
+    """
 
-    def __init__(self, path: str, compress: bool):
-        self.path, self.compress = path, compress
+    def __init__(self, path: str, compress: bool, overwrite: bool = False):
+        self.path, self.compress, self.overwrite = path, compress, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, root = opened(self.path)
@@ -164,7 +211,7 @@ class WarcWriter(DataSourceArrowWriter):
         for batch in iterator:
             for k in range(batch.num_rows):
                 if out is None:
-                    files.append(f"{uuid.uuid4().hex}.warc{'.gz' * self.compress}")
+                    files.append(f"{PREFIX}{uuid.uuid4().hex}.warc{'.gz' * self.compress}")
                     out = fs.open_output_stream(f"{root}/{files[-1]}", compression=None)
                 out.write(record(batch.slice(k, 1).to_pylist()[0], self.compress))
                 if out.tell() > FILE_BYTES:
@@ -176,8 +223,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, root = opened(self.path)
         fs.create_dir(root)
-        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}") as out:
-            out.write("\n".join([*(f for m in messages if m for f in m.files), ""]).encode())
+        new, manifest = [f for m in messages if m for f in m.files], f"{MANIFEST}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{root}/{manifest}") as out:
+            out.write("\n".join([*new, ""]).encode())
+        if self.overwrite:
+            found = [x for x in fs.get_file_info(pafs.FileSelector(root)) if x.is_file and x.base_name not in {*new, manifest}]
+            for x in sorted(found, key=lambda x: not x.base_name.startswith(MANIFEST)):  # the manifests first, which hides the old files at once
+                fs.delete_file(x.path)
 
     def abort(self, messages: list) -> None:
         fs, root = opened(self.path)
@@ -186,7 +238,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """format("warc"), with the options path, payload (default true) and compress (default true)."""
+    """format("warc"), with the options path, payload (true, the default; check; false) and compress (default true)."""
 
     @classmethod
     def name(cls) -> str:
@@ -195,14 +247,11 @@ class WarcSource(DataSource):
     def schema(self) -> str:
         return RECORD
 
-    def _is(self, option: str) -> bool:
-        return str(self.options.get(option, "true")).lower() == "true"
-
     def reader(self, schema: StructType) -> DataSourceReader:
-        return WarcReader(self.options["path"], self._is("payload"))
+        return WarcReader(self.options["path"], str(self.options.get("payload", "true")).lower())
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"], self._is("compress"))
+        return WarcWriter(self.options["path"], str(self.options.get("compress", "true")).lower() == "true", overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -219,7 +268,9 @@ def archive(pages: DataFrame, path: str, least: int = REVISIT_BYTES, id_col: str
     responses. A null html has an empty payload. A null id counts as the least; if all
     ids of a group are null, all its rows are responses. Only digests of the
     payloads are grouped; the pages meet the groups' ids, of which each copied text
-    has one.
+    has one. Repeated rows are records each; an empty table writes no record; other columns
+    are ignored, whatever their names. A payload has to fit into a task's memory, whole and
+    compressed.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
@@ -243,13 +294,18 @@ def archive(pages: DataFrame, path: str, least: int = REVISIT_BYTES, id_col: str
 def round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
     """A row (id, url, payload_bytes, payload_digest, record_type, refers_to) per page, read back from archives.
 
-    The digest of each response's payload is computed again on reading and
-    held against its header; a revisit's come from its headers.
+    Responses and revisits are read apart, by predicates that the source judges on the
+    headers. A response's payload is read and held against its digest; what a revisit tells
+    stands in its headers, so of that read no block is looked at.
     """
     spark = pages.sparkSession
     register(spark)
     path = scratch_dir(spark)
     archive(pages, path, id_col=id_col, **options)
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast(pages.schema[id_col].dataType)
-    found = spark.read.format("warc").option("payload", "false").load(path)
+
+    def read(kind: str, payload: str) -> DataFrame:
+        return spark.read.format("warc").option("payload", payload).load(path).where(F.col("record_type") == kind)
+
+    found = read("response", "check").unionByName(read("revisit", "false"))
     return found.select(number("record_id").alias(id_col), F.col("target_uri").alias("url"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
