@@ -9,6 +9,7 @@ import os
 import re
 import string
 import sys
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -57,7 +58,7 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer, self.young, self.old = _tokenizer(path), {}, {}
-        self.model, self.letters = self.tokenizer.model, _letters(self.tokenizer)
+        self.model, self.letters, self.closing = self.tokenizer.model, _letters(self.tokenizer), {}
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers; a null text has none."""
@@ -107,10 +108,14 @@ class WordIds:
         return list(map(young.__getitem__, words))
 
     def _closes(self, stem: str) -> bool:
-        """Whether an ASCII symbol after this stem starts a new token."""
-        if stem[-1].isascii():
-            return stem[-1].isalnum()
-        return _spelled(self.tokenizer, f"{stem}.")[-1:] == ["."]
+        """Whether an ASCII symbol after this stem starts a new token, as the tokenizer says of its last character alone.
+
+        A mark, which may be composed with what stands before it, counts as not sure to.
+        """
+        last = stem[-1]
+        if last not in self.closing:
+            self.closing[last] = _spelled(self.tokenizer, f"{last}.")[-1:] == ["."] and unicodedata.category(last)[0] in "LN"
+        return self.closing[last]
 
 
 def _spelled(tokenizer: Tokenizer, text: str) -> list[str]:
