@@ -1,13 +1,12 @@
 """Targets, draws and permutations against their definitions, and what a mix takes."""
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
-from turnstone.llm import mixing
+from turnstone.llm import common, mixing
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, block int, start string, row int"
 
@@ -33,13 +32,21 @@ def poured(sizes, weights, most):
     return out
 
 
-@given(st.lists(st.tuples(st.integers(0, 10_000), st.sampled_from([1.0, 2.0, 3.0])), min_size=1, max_size=12))
-@settings(max_examples=200, deadline=None)
-def test_targets(pairs):
-    sizes, weights = zip(*pairs)
-    got = mixing.targets(list(sizes), list(weights))
-    assert got == pytest.approx(poured(sizes, weights, 3.0), abs=1e-6)
-    assert sum(got) == pytest.approx(sum(sizes))
+@pytest.mark.parametrize("seed", range(6))
+def test_targets(spark, seed, monkeypatch):
+    monkeypatch.setattr(common, "RANGE_ROWS", 7)  # prefix sums over many ranges
+    rng = random.Random(seed)
+    sizes = {f"s{k:02}" if k else None: rng.choice((0, 1, 5, rng.randrange(10_000))) for k in range(rng.randrange(1, 40))}
+    table = spark.createDataFrame([(k, n, 1) for k, n in sizes.items()], "source string, size bigint, docs bigint")
+    got = {r.name: r for r in mixing.planned(table, 64).collect()}
+    names = sorted(x for x in sizes if x is not None) + [None]
+    want = poured([sizes[x] for x in names], [1.0 + k % 3 for k in range(len(names))], 3.0)
+    assert [got[x].rank for x in names] == list(range(len(names))) and len(got) == len(names)
+    assert [got[x].target for x in names] == pytest.approx(want, abs=1e-6)
+    for r in got.values():
+        assert r.base * r.blocks + r.extra == r.source_size and r.base + (r.extra > 0) <= 64 and r.slots <= 3 * r.blocks
+    empty = mixing.planned(table.where("false"), 64)
+    assert empty.count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000, 4097])
@@ -96,6 +103,39 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert +found == +taken
 
 
+def test_small_sources_come_near_their_targets(spark):
+    docs = [(1, " ".join(["x"] * 50), "a"), (2, " ".join(["y"] * 60), "b"), (3, " ".join(["z"] * 70), "c"), (4, "one", "d"), (5, "two words", "e")]
+    got = {r.doc_id: r for r in mixing.words_taken(table(spark, docs)).collect()}
+    assert all(abs(r.taken - r.target) <= 1 for r in got.values()), got
+    mixed = Counter()
+    for r in mixing.mixed_documents(table(spark, docs)).collect():
+        mixed[r.doc_id] += len(r.text.split())
+    assert mixed == Counter({i: r.taken for i, r in got.items()})
+
+
+def test_more_sources_than_one_group_deals(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    monkeypatch.setattr(common, "RANGE_ROWS", 20)
+    docs = [(k, " ".join(f"w{j}" for j in range(20 + k % 50)), f"s{k % 90}") for k in range(360)]
+    got = mixing.words_taken(table(spark, docs)).collect()
+    by_source = defaultdict(int)
+    for r in got:
+        by_source[docs[r.doc_id][2]] += r.taken
+        assert r.taken <= 3 * r.size
+    targets = {docs[r.doc_id][2]: r.target for r in got}
+    assert sum(targets.values()) == pytest.approx(sum(len(t.split()) for _, t, _ in docs))
+    assert all(abs(by_source[s] - t) <= 4 for s, t in targets.items())
+
+
+def test_a_very_long_text_and_a_hot_source(spark):
+    docs = [(1, " ".join(f"w{j}" for j in range(300_000)), "a"), *[(k, "a few words here", "hot") for k in range(2, 3000)], (3000, "x y", "c")]
+    taken = Counter({r.doc_id: r.taken for r in mixing.words_taken(table(spark, docs), block=512).collect()})
+    found = Counter()
+    for r in mixing.mixed_documents(table(spark, docs), block=512).select("doc_id", "text").collect():
+        found[r.doc_id] += len(r.text.split())
+    assert found == +taken
+
+
 def test_empty(spark):
     assert mixing.words_taken(table(spark, [])).count() == 0
     assert mixing.mixed_documents(table(spark, [])).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnstone.plans.scratch import cut, drop_scratch, scratch_dir  # noqa: F401
@@ -33,12 +34,31 @@ def slices(lengths, most: int) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(lengths)]))
 
 
+#: Rows that one range holds about, where before() numbers a table.
+RANGE_ROWS = 100_000
+
+
+def before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the sum (a long) of its column over the rows before in that total order.
+
+    Ranges of rows are summed apart and then offset, so no task sees all rows.
+    """
+    ranged = df.repartitionByRange(-(-df.count() // RANGE_ROWS) or 1, *order)
+    ranged = cut(ranged.withColumns({f"_n_{k}": c.cast("bigint") for k, c in sums.items()} | {"_range": F.spark_partition_id()}))
+    totals = ranged.groupBy("_range").agg(*[F.sum(f"_n_{k}").alias(f"_t_{k}") for k in sums])
+    upto = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{k}").over(upto), F.lit(0)).alias(f"_t_{k}") for k in sums])
+    within = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = ranged.select("*", *[F.coalesce(F.sum(f"_n_{k}").over(within), F.lit(0)).alias(f"_s_{k}") for k in sums])
+    return summed.join(F.broadcast(offsets), "_range").select(*df.columns, *[(F.col(f"_s_{k}") + F.col(f"_t_{k}")).alias(k) for k in sums])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, also where a lambda uses it repeatedly."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of the links (u, v): one row (node, root) per node in a link.
 
     Alternates large-star and small-star contraction: each round links every node's
@@ -49,8 +69,9 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40)
     bound of the number of links, if known.
     """
     e = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    e, seen, n = cut(e, rows), None, rows
-    for _ in range(max_rounds):
+    e, seen, now, n = cut(e, rows), None, (), rows
+    while now != seen:
+        seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         star = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
@@ -58,12 +79,7 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40)
         least = star.groupBy("v").agg(F.min("u").alias("m"))
         small = star.join(least, "v").select(F.col("m"), F.explode(F.array("u", "v")).alias("x"))
         new = cut(small.where("m <> x").select(F.col("m").alias("u"), F.col("x").alias("v")).distinct(), n)
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         drop_scratch(e)
         e, n = new, 2 * now[0]
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
