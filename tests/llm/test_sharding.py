@@ -49,3 +49,12 @@ def test_reruns_agree_and_empty(spark):
     run = lambda: sorted(map(tuple, sharding.shard_rows(table(spark, ROWS[:300]), [1.0] * 24).collect()))
     assert run() == run()
     assert sharding.shard_rows(table(spark, []), [1.0] * 24).count() == 0
+
+
+def test_rows_of_one_key_are_spread_over_the_parts(spark):
+    rows = [(None, f"text {k}") for k in range(3000)]
+    got = sharding.shard_rows(table(spark, rows), [1.0] * 4)
+    found = got.collect()
+    assert len({r.shard for r in found}) == 1 and sorted(r.slot for r in found) == list(range(3000))
+    crcs = [r.text_crc32 for r in sorted(found, key=lambda r: r.slot)]
+    assert sum(a > b for a, b in zip(crcs, crcs[1:])) > 10  # many parts, each in the order of its checksums

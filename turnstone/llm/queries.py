@@ -102,7 +102,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM d, steps),
         times AS (
             SELECT *, list_transform(range(25), lambda s: -ln((CAST('0x' || substr(md5(key || '/' || CAST(s AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)) AS race,
-                   CAST('0x' || substr(md5(key || '/part'), 1, 12) AS BIGINT) % 256 AS part
+                   CAST('0x' || substr(md5(key || '/' || CAST(text_crc32 AS VARCHAR) || '/' || CAST(size AS VARCHAR) || '/part'), 1, 12) AS BIGINT) % (SELECT greatest(1, CAST(ceil(sqrt(count(*) / 24.0)) AS BIGINT)) FROM documents) AS part
             FROM h),
         won AS (SELECT *, CAST(list_position(race[1:24], list_min(race[1:24])) - 1 AS INTEGER) AS shard, CAST(list_position(race, list_min(race)) - 1 AS INTEGER) AS grown_shard FROM times)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard,

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
-
-#: Rows of a shard are numbered in this many parts, so that no shard is one task's work.
-PARTS = 256
+from .common import cut, join_counted
 
 
 def _digest(key: Column, salt) -> Column:
@@ -35,17 +34,19 @@ def place(key: Column, weights: list[float], first: int = 0) -> Column:
     return F.array_min(times)
 
 
-def shard_rows(docs: DataFrame, weights: list[float], grown_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
+def shard_rows(docs: DataFrame, weights: list[float], grown_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """A row (id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs.
 
     size: UTF-8 bytes of the text plus 8. shard: the winner among the weights.
     grown_shard: the same with one more shard of grown_weight. slot: the row's number
-    in its shard, from 0 without gaps, in the order of a pseudorandom part of the key,
-    the id, the checksum and the size; parts are numbered apart and then offset, so
-    a shard is never sorted in one task.
+    in its shard, from 0 without gaps, in the order of a pseudorandom part of the id,
+    the checksum and the size, and of these; parts are numbered apart and then offset, so
+    a shard is never sorted in one task. parts: how many a shard has; about as many as a
+    part has rows, if none are given.
 
     A null text has no bytes (checksum 0). A null id has the key '', so such rows
-    share a shard, first in their part. Repeated rows each get a slot of their own.
+    share a shard, but not a part. Repeated rows each get a slot of their own. An empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     key, text = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     won, late = place(key, weights), place(key, [grown_weight], first=len(weights))
@@ -56,13 +57,14 @@ def shard_rows(docs: DataFrame, weights: list[float], grown_weight: float = 1.0,
             F.crc32(text.cast("binary")).alias("text_crc32"),
             won.alias("won"),
             late.alias("late"),
-            (_digest(key, F.lit("part")) % parts).cast("int").alias("part"),
-        ).select("id", "size", "text_crc32", "part", F.col("won.shard").alias("shard"), F.least("won", "late").getField("shard").alias("grown_shard"))
+            key.alias("key"),
+        ).select("id", "size", "text_crc32", _digest(F.concat_ws("/", "key", "text_crc32", "size"), F.lit("part")).alias("part"), F.col("won.shard").alias("shard"), F.least("won", "late").getField("shard").alias("grown_shard"))
     )
-    # at most len(weights) * parts rows, whatever the input
+    n = rows.count()
+    rows = rows.withColumn("part", F.col("part") % (parts or math.ceil(math.sqrt(n / len(weights))) or 1))
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     within = W.partitionBy("shard", "part").orderBy(F.col("id").asc_nulls_first(), "text_crc32", "size")
-    numbered = rows.withColumn("rank", F.row_number().over(within)).join(F.broadcast(offsets), ["shard", "part"])
+    numbered = join_counted(rows.withColumn("rank", F.row_number().over(within)), cut(offsets), ["shard", "part"], "inner")
     slot = (F.col("offset") + F.col("rank") - 1).cast("bigint").alias("slot")
     return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
