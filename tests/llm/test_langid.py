@@ -97,3 +97,44 @@ def test_no_labels_and_empty(spark):
     assert langid.identify(table(spark, [])).count() == 0
     one = langid.identify(table(spark, [(k, ENGLISH, "en") for k in range(9)])).collect()
     assert {r.lang_pred for r in one} == {"en"}
+    docs = table(spark, [(1, ENGLISH, None), (2, "12 !", None), (3, None, None), (2, GERMAN, None)])
+    assert sorted(r.text for r in langid.keep_identified(docs).collect()) == [GERMAN, ENGLISH]  # no language is known, but there are letters
+    assert langid.keep_identified(docs.where("false")).count() == 0
+
+
+def test_model_is_naive_bayes_for_each_bit(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 1)  # counts are handed on in many batches
+    said = {"en": [ENGLISH, "the the"], "de": [GERMAN], "xx": ["aaaa aaaa", "bb"], "yy": ["ab"]}
+    model = langid.learn(table(spark, [(k, t, x) for k, (x, t) in enumerate((x, t) for x, ts in said.items() for t in ts)] + [(9, None, "en"), (10, "x", None)]))
+    assert model.languages == ["de", "en", "xx"]  # a text of two letters has no trigram
+    shares = np.zeros((3, langid.BUCKETS))
+    for row, x in zip(shares, model.languages):
+        for t in said[x]:
+            np.add.at(row, trigrams(t), 1)
+        row /= row.sum()
+    for j in range(model.code.shape[1]):
+        plus, minus = (shares[model.code[:, j] == s].mean(axis=0) for s in (1, -1))
+        seen = shares.sum(axis=0) > 0
+        assert model.weights[seen, j] == pytest.approx((np.log(plus + 1e-6) - np.log(minus + 1e-6))[seen], rel=1e-5, abs=1e-6)
+        assert not model.weights[~seen, j].any()
+
+
+def test_decoding_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 9, 40):
+        code = langid.codewords(n)
+        model = langid.Model([f"l{k:02}" for k in range(n)], code, np.zeros((langid.BUCKETS, code.shape[1]), np.float32))
+        for _ in range(20):
+            margins = rng.normal(0, 4, code.shape[1])
+            model.margins = lambda t, m=margins: m
+            losses = [sum(np.log1p(np.exp(-c * m)) for c, m in zip(row, margins)) for row in code]
+            got, order = model.predict("text", 1.0), np.argsort(losses)
+            assert got["lang_pred"] == f"l{order[0]:02}"
+            assert got["score"] == pytest.approx(1 / np.exp(min(losses) - np.array(losses)).sum())
+            assert got["ambiguous"] == (losses[order[1]] - losses[order[0]] < 1.0)
+
+
+def test_very_many_languages(spark):
+    rows = [(k, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26 % 26) * 3} {chr(97 + k // 26) * 4} some words", f"x{k}") for k in range(600)]
+    got = langid.identify(table(spark, rows)).where("NOT held_out").collect()
+    assert sum(r.lang_pred == f"x{r.doc_id}" for r in got) >= 0.95 * len(got)

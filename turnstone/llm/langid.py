@@ -7,18 +7,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, join_counted
+
 #: Hashed trigram features.
 BUCKETS = 1 << 14
-#: Languages that a model learns at most; its tables on the driver grow with their number alone.
-MAX_LANGUAGES = 1000
+#: Languages whose counts a task holds at once.
+HELD = 256
 #: Bytes of a text that are looked at together, which bounds memory on very long texts.
 CHUNK = 1 << 20
-#: Trigrams from which on more text adds no certainty.
+#: Trigrams (some ten words) from which on more text adds no certainty. It scales a text's margins
+#: alike, so it tempers the score and what counts as ambiguous but never which language is nearest.
 FULL = 60
+#: With more languages, one pseudorandom code is taken rather than the best of CODES (comparing costs their square).
+COMPARED, CODES = 2000, 32
 UNDETERMINED = "und"
 
 #: ASCII letters are folded to lower case, other ASCII characters to a space; the rest stays.
@@ -37,8 +43,10 @@ def features(text: str) -> Iterator[np.ndarray]:
 def codewords(n: int) -> np.ndarray:
     """A row of +1 and -1 per language, far apart from the others.
 
-    Up to 6 languages: every way to part them in two. More: the best of some
-    pseudorandom codes, of 15 bits per doubling of the languages.
+    Up to 6 languages: every way to part them in two, the exhaustive code, of
+    2 ** (n - 1) - 1 bits, half of which differ between any two. From 7 on it has more bits
+    than a random code needs: the best of some pseudorandom codes, of 15 bits per doubling
+    of the languages (of which two differ in a quarter at least).
     """
     if n < 2:
         return np.ones((n, 1), dtype=np.int8)
@@ -46,10 +54,12 @@ def codewords(n: int) -> np.ndarray:
         bits = [(1, *x) for x in itertools.product((1, -1), repeat=n - 1) if -1 in x]
         return np.array(bits, dtype=np.int8).T
     width, found = 15 * (n - 1).bit_length(), []
-    for seed in range(32):
+    for seed in range(CODES if n <= COMPARED else 1):
         code = np.where(np.random.default_rng(seed).random((n, width)) < 0.5, 1, -1).astype(np.int8)
-        product = code.astype(int) @ code.T.astype(int)
-        found.append(((width - (product - width * np.eye(n, dtype=int)).max()) // 2, -seed, code))
+        if n > COMPARED:
+            return code
+        product = code.astype(np.float32) @ code.T.astype(np.float32)
+        found.append((int(width - (product - 2 * width * np.eye(n, dtype=np.float32)).max()) // 2, -seed, code))
     return max(found, key=lambda x: x[:2])[2]
 
 
@@ -78,7 +88,8 @@ class Model:
         """
         if not self.languages or text is None or not any(c.isalpha() for c in text):
             return {"lang_pred": UNDETERMINED, "score": 0.0, "ambiguous": True}
-        losses = np.logaddexp(0, -self.code * self.margins(text)).sum(axis=1)
+        margins = self.margins(text)
+        losses = np.logaddexp(0, margins).sum() - (self.code > 0) @ margins  # log(1 + exp(-m)) is log(1 + exp(m)) - m
         best = int(losses.argmin())
         share = np.exp(losses[best] - losses)
         gap = np.partition(losses, 1)[1] - losses[best] if len(losses) > 1 else np.inf
@@ -88,36 +99,50 @@ class Model:
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of all rows with a text and a language: each bit's classifier is naive Bayes.
 
-    Trigrams are counted on the executors; the driver gets a count per language and
-    bucket. Languages weigh the same, however much text they have. No rows: a
+    Trigrams are counted, and each bucket's log odds found, on the executors; the driver gets
+    the languages and a weight for each bucket and bit, of which there are 15 per doubling
+    of the languages. Languages weigh the same, however much text they have. No rows: a
     model that knows no language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, own in sums.items():
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(own[at])})
+            sums.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
                 own = sums.setdefault(lang.as_py(), np.zeros(BUCKETS, dtype=np.int64))
                 for h in features(text.as_py()):
                     np.add(own, np.bincount(h, minlength=BUCKETS), out=own)
-        for lang, own in sums.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(own[at])})
+                if len(sums) > HELD:
+                    yield from told()
+        yield from told()
 
     known = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = known.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.limit(MAX_LANGUAGES * BUCKETS + 1).toArrow()
-    languages = sorted(set(found["lang"].to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"a model learns at most {MAX_LANGUAGES} languages")
-    table = np.zeros((len(languages), BUCKETS))
-    rank = {lang: k for k, lang in enumerate(languages)}
-    table[[rank[x] for x in found["lang"].to_pylist()], found["bucket"].to_numpy()] = found["n"].to_numpy()
-    code = codewords(len(languages))
-    table /= np.maximum(table.sum(axis=1, keepdims=True), 1)
-    sides = [[table[code[:, j] == s].mean(axis=0) if (code[:, j] == s).any() else np.zeros(BUCKETS) for s in (1, -1)] for j in range(code.shape[1] if languages else 0)]
-    weights = [np.log(plus + 1e-6) - np.log(minus + 1e-6) for plus, minus in sides]
-    return Model(languages, code, np.array(weights, dtype=np.float32).reshape(-1, BUCKETS).T.copy())
+    counts = cut(known.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    # a language all of whose texts are too short for a trigram has no bucket, and isn't known
+    totals = sorted(map(tuple, counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()))
+    languages, code = [x for x, _ in totals], codewords(len(totals))
+    bits = code.shape[1] if languages else 0
+    ones = np.maximum((code > 0).sum(axis=0), 1), np.maximum((code < 0).sum(axis=0), 1)
+
+    def weigh(found: pd.DataFrame) -> pd.DataFrame:
+        own, share = np.array(found["code"].tolist(), dtype=np.int8), (found["n"] / found["total"]).to_numpy()
+        plus, minus = share @ (own > 0) / ones[0], share @ (own < 0) / ones[1]
+        return pd.DataFrame({"bucket": found["bucket"].iloc[:1], "weights": [(np.log(plus + 1e-6) - np.log(minus + 1e-6)).astype(np.float32).tolist()]})
+
+    table = rows.sparkSession.createDataFrame([(x, n, c.tolist()) for (x, n), c in zip(totals, code)], "lang string, total bigint, code array<int>")
+    named = join_counted(counts, table, "lang", "inner", rows=len(languages))
+    found = named.groupBy("bucket").applyInPandas(weigh, "bucket int, weights array<float>").collect() if languages else []
+    weights = np.zeros((BUCKETS, bits), dtype=np.float32)
+    for r in found:
+        weights[r["bucket"]] = r["weights"]
+    return Model(languages, code, weights)
 
 
 def predicted(model: Model, text: Column, least_gap: float = 1.0) -> Column:
@@ -151,9 +176,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that have a language by their text, with their columns.
 
-    Rejected are texts without a letter, null texts, and those whose prediction is ambiguous.
+    Rejected are texts without a letter, null texts, and those whose prediction is
+    ambiguous. Where no row can be learned from, nothing but letters is asked for. Repeated
+    rows are judged alike and stay each, an empty table gives no rows, columns of any name
+    ride along, and texts of any length are looked at whole.
     """
     name = "_turnstone_language"
     model = learn(docs.where(~held_out(id_col)), text_col, lang_col)
+    if not model.languages:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     rows = docs.withColumn(name, predicted(model, F.col(text_col)))
     return rows.where((F.col(f"{name}.lang_pred") != UNDETERMINED) & ~F.col(f"{name}.ambiguous")).select(*docs.columns)
