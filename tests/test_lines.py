@@ -45,10 +45,38 @@ def test_batches_of_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lines, "BATCH_LINES", 7)
     (tmp_path / "x").write_text("".join(f"line {k}\n" for k in range(50)))
     span = lines.LinesReader(str(tmp_path)).partitions()
+    assert len(span) == 1
     rows = [r for b in lines.read_span(str(tmp_path), span[0]) for r in b.to_pylist()]
     assert [(r["line_no"], r["value"]) for r in rows] == [(k, f"line {k}") for k in range(50)]
 
 
+@pytest.mark.parametrize("most", [1, 2, 5, 17, 1000])
+def test_files_in_ranges(spark, tmp_path, most):
+    texts = {"a": b"\xef\xbb\xbfone\r\n\n\ntwo\nthree is longer than a range\n\nend", "b": b"\n", "c": b"no end", "d": b"x\ny\n", "e": b""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    rows = lines.read_lines(spark, str(tmp_path), range_bytes=most).collect()
+    got = {n: sorted((r.line_no, r.byte_offset, r.value) for r in rows if r.source_file.endswith(f"/{n}")) for n in texts}
+    for name, text in texts.items():
+        want, at = [], 0
+        for k, raw in enumerate(text.splitlines(keepends=True)):
+            want.append((k, at, raw.decode("utf-8-sig" if not at else "utf-8").rstrip("\r\n")))
+            at += len(raw)
+        assert got[name] == want, name
+
+
+def test_many_ranges_of_a_larger_file(spark, tmp_path):
+    (tmp_path / "x").write_text("".join(f"line {k} {'é' * (k % 50)}\n" for k in range(5000)))
+    assert len(lines.LinesReader(str(tmp_path), 20_000).partitions()) > 10
+    rows = lines.read_lines(spark, str(tmp_path), range_bytes=20_000).orderBy("line_no").collect()
+    assert [r.value for r in rows] == [f"line {k} {'é' * (k % 50)}" for k in range(5000)] and [r.line_no for r in rows] == list(range(5000))
+
+
+def test_white_space_is_blank(spark):
+    df = spark.createDataFrame([("",), (" ",), ("\t",), (" \t \x0b\f",), (None,), ("x",)], "v string")
+    assert [r.s for r in df.select(lines.line_status(F.col("v")).alias("s")).collect()] == ["blank"] * 4 + [None, "malformed"]
+
+
 def test_empty_folder_and_empty_file(spark, tmp_path):
     assert lines.read_lines(spark, str(tmp_path)).count() == 0
     (tmp_path / "empty").write_bytes(b"")
@@ -58,6 +86,11 @@ def test_empty_folder_and_empty_file(spark, tmp_path):
 def test_locate(spark, folder):
     found = lines.locate(lines.read_lines(spark, str(folder)), "a.jsonl", 4).collect()
     assert [r.value for r in found] == ['{"id":"r3","parent":"r2"']
+    (folder / "ab.jsonl").write_bytes(b'{"id":"other"}\n')
+    rows = lines.read_lines(spark, str(folder))
+    for name in ("b.jsonl", f"{folder.name}/b.jsonl", str(folder / "b.jsonl")):
+        assert [r.value for r in lines.locate(rows, name, 0).collect()] == ['{"id":"b1"}']
+    assert lines.locate(rows, ".jsonl", 0).count() == lines.locate(rows, "b.jsonl", 9).count() == 0
 
 
 def test_records_by_mapping(spark, folder):
@@ -119,6 +152,24 @@ def test_growing_files_give_each_line_once(spark, tmp_path):
     assert sorted((r.source_file[-1], r.line_no, r.byte_offset, r.value) for r in rows) == [("a", 0, 0, '{"id":1}'), ("a", 1, 9, '{"id":2}'), ("a", 2, 18, '{"id":3}'), ("b", 0, 0, '{"id":9}')]
 
 
+def test_a_stream_counts_each_byte_once_and_reads_in_ranges(tmp_path, monkeypatch):
+    log = tmp_path / "a"
+    log.write_bytes(b"".join(b"line %d\n" % k for k in range(100)) + b"cut")
+    reader = lines.GrowingReader(str(tmp_path), most=64)
+    one = reader.latestOffset()
+    assert one == {str(log): [790, 100]}
+    rows = [r for s in reader.partitions({}, one) for b in reader.read(s) for r in b.to_pylist()]
+    assert [(r["line_no"], r["value"]) for r in rows] == [(k, f"line {k}") for k in range(100)] and len(reader.partitions({}, one)) > 10
+    with log.open("ab") as f:
+        f.write(b" off\nlast\n")
+    asked, plain = [], lines.GrowingReader._whole
+    monkeypatch.setattr(lines.GrowingReader, "_whole", lambda self, fs, info, begin, n: asked.append((begin, n)) or plain(self, fs, info, begin, n))
+    two = reader.latestOffset()
+    assert asked == [(790, 100)] and two == {str(log): [803, 102]}
+    assert [(r["line_no"], r["byte_offset"], r["value"]) for s in reader.partitions(one, two) for b in reader.read(s) for r in b.to_pylist()] == [(100, 790, "cut off"), (101, 798, "last")]
+    assert lines.GrowingReader(str(tmp_path)).latestOffset() == two  # after a restart
+
+
 def test_windowed_counts_as_a_stream(spark, tmp_path):
     source = tmp_path / "events"
     spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 7) AS ts, if(id % 2 = 0, 'a', 'b') AS event_type FROM range(100)").write.parquet(str(source))

@@ -9,11 +9,19 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-LINE = "source_file string, line_no bigint, byte_offset bigint, value string"
+from turnstone.plans.scratch import cut
+
+LINE = "source_file string, range_begin bigint, line_no bigint, byte_offset bigint, value string"
+COUNT = "source_file string, range_begin bigint, n bigint"
+#: A file is read in ranges of about so many bytes.
+RANGE_BYTES = 64 << 20
+#: The table of ranges is broadcast if it has at most so many rows.
+BROADCAST_ROWS = 200_000
 BOM = b"\xef\xbb\xbf"
 #: Lines, and bytes of them, that are handed on together.
 BATCH_LINES, BATCH_BYTES = 10_000, 8 << 20
@@ -25,16 +33,17 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def listed(path: str) -> list[pafs.FileInfo]:
-    """The file at a path, or the files in the folder there, by name; hidden ones are left out."""
+    """The file at a path, or those in the folder there and in its folders, by path; hidden ones are left out."""
     fs, root = opened(path)
     info = fs.get_file_info(root)
-    found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root))
-    return sorted((x for x in found if x.is_file and not x.base_name.startswith((".", "_"))), key=lambda x: x.path)
+    found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
+    seen = lambda x: not any(part.startswith((".", "_")) for part in x.path[len(root.rstrip("/")) + 1 :].split("/"))
+    return sorted((x for x in found if x.is_file and (x is info or seen(x))), key=lambda x: x.path)
 
 
 @dataclass
 class Span(InputPartition):
-    """The bytes begin .. end - 1 of a file (to its end if None), whose first line has number `line`."""
+    """The lines of a file that start at bytes begin .. end - 1 (to its end if None); `line` is the first one's number."""
 
     path: str
     begin: int = 0
@@ -52,16 +61,18 @@ def read_span(root: str, span: Span) -> Iterator[pa.RecordBatch]:
 
     def batch() -> pa.RecordBatch:
         names = [x.split()[0] for x in LINE.split(", ")]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     with fs.open_input_file(span.path) as file:
-        file.seek(span.begin)
+        file.seek(max(0, at - 1))
         buffered = io.BufferedReader(file)
+        if at:  # what is left of the line before, which is its line end alone if a line starts here
+            at += len(buffered.readline()) - 1
         while (span.end is None or at < span.end) and (raw := buffered.readline()):
             text = raw.removesuffix(b"\n").removesuffix(b"\r")
             text = text.removeprefix(BOM) if at == 0 else text
-            rows.append((span.path, number, at, text.decode("utf-8", "replace")))
+            rows.append((span.path, span.begin, number, at, text.decode("utf-8", "replace")))
             at, number, held = at + len(raw), number + 1, held + len(raw)
             if len(rows) >= BATCH_LINES or held >= BATCH_BYTES:
                 yield batch()
@@ -70,85 +81,124 @@ def read_span(root: str, span: Span) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def count_span(root: str, span: Span) -> int:
+    """How many lines start in a span: one after each line end (and at the file's start), if any byte follows."""
+    fs, _ = opened(root)
+    with fs.open_input_file(span.path) as file:
+        end, at = min(span.end if span.end is not None else file.size(), file.size()), max(0, span.begin - 1)
+        found = int(span.begin == 0 and file.size() > 0)
+        file.seek(at)
+        while at < end - 1 and (chunk := file.read(min(1 << 20, end - 1 - at))):
+            found, at = found + chunk.count(b"\n"), at + len(chunk)
+    return found
+
+
+def ranges(path: str, begin: int, end: int, most: int) -> list[tuple[int, int]]:
+    """The bytes begin .. end - 1 in ranges of about `most`."""
+    return [(k, min(k + most, end)) for k in range(begin, end, most)]
+
+
 class LinesReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    """A partition per range of a file; lines are numbered within it. With count, a row for each range: how many lines it has."""
+
+    def __init__(self, path: str, most: int = RANGE_BYTES, count: bool = False):
+        self.path, self.most, self.count = path, most, count
 
     def partitions(self) -> list[Span]:
-        return [Span(x.path) for x in listed(self.path)] or [Span("")]
+        found = listed(self.path)
+        return [Span(x.path, b, e if e < x.size else None) for x in found for b, e in ranges(x.path, 0, x.size, self.most)] or [Span("")]
 
     def read(self, partition: Span):
-        return read_span(self.path, partition)
+        if not self.count:
+            return read_span(self.path, partition)
+        return iter([(partition.path, partition.begin, count_span(self.path, partition))] if partition.path else [])
 
 
 class GrowingReader(DataSourceStreamReader):
-    """Follows files that grow: an offset holds, per file, the bytes and lines read so far.
+    """Follows files that grow: an offset holds, per file, the bytes and the lines read so far.
 
     Only whole lines are taken; what stands after the last line end waits for the next
-    batch. Bytes that were read are taken not to change.
+    batch. Bytes that were read are taken not to change. Each appended byte is looked at once
+    to count lines and once to read them; after a restart, lines are counted from the
+    files' starts once. A large batch is read in ranges.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, most: int = RANGE_BYTES):
+        self.path, self.most, self.last = path, most, {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
         fs, _ = opened(self.path)
-        return {x.path: self._whole(fs, x) for x in listed(self.path)}
-
-    def _whole(self, fs: pafs.FileSystem, info: pafs.FileInfo, step: int = 1 << 16) -> int:
+        for x in listed(self.path):
+            at, lines = self.last.get(x.path, (0, 0))
+            if x.size > at:
+                self.last[x.path] = self._whole(fs, x, at, lines)
+        return {p: list(x) for p, x in self.last.items()}
+
+    def _whole(self, fs: pafs.FileSystem, info: pafs.FileInfo, begin: int, lines: int) -> tuple[int, int]:
+        """The end of the last whole line, and the lines up to it, from a line's start and number on."""
+        at = whole = begin
         with fs.open_input_file(info.path) as file:
-            end = info.size
-            while end > 0:
-                begin = max(0, end - step)
-                at = file.read_at(end - begin, begin).rfind(b"\n")
-                if at >= 0:
-                    return begin + at + 1
-                end = begin
-        return 0
+            file.seek(at)
+            while at < info.size and (chunk := file.read(min(1 << 20, info.size - at))):
+                if (n := chunk.count(b"\n")) > 0:
+                    lines, whole = lines + n, at + chunk.rfind(b"\n") + 1
+                at += len(chunk)
+        return whole, lines
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        # a span's line number is counted by its task, from the file's start
-        return [Span(p, int(start.get(p, 0)), int(n), -1) for p, n in end.items() if int(n) > int(start.get(p, 0))]
+        spans = []
+        for p, (upto, _) in end.items():
+            at, line = start.get(p, (0, 0))
+            for b, e in ranges(p, at, upto, self.most):
+                spans.append(Span(p, b, e, line))
+                if e < upto:
+                    line += count_span(self.path, Span(p, b, e))
+        return spans
 
     def read(self, partition: Span):
-        fs, _ = opened(self.path)
-        line, at = 0, 0
-        with fs.open_input_file(partition.path) as file:
-            while at < partition.begin:
-                chunk = file.read(min(1 << 20, partition.begin - at))
-                line, at = line + chunk.count(b"\n"), at + len(chunk)
-        return read_span(self.path, Span(partition.path, partition.begin, partition.end, line))
+        return read_span(self.path, partition)
 
 
 class LinesSource(DataSource):
-    """format("lines"): a partition per file, in batch or as a stream that follows growing files."""
+    """format("lines"): lines by range of a file (option range_bytes), in batch or as a stream that follows growing files.
+
+    line_no counts within the range that starts at range_begin; of a stream it is the
+    number in the file. With count=true, the lines of each range are counted instead.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "lines"
 
+    def _counts(self) -> bool:
+        return str(self.options.get("count", "false")).lower() == "true"
+
+    def _most(self) -> int:
+        return int(self.options.get("range_bytes", RANGE_BYTES))
+
     def schema(self) -> str:
-        return LINE
+        return COUNT if self._counts() else LINE
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return LinesReader(self.options["path"])
+        return LinesReader(self.options["path"], self._most(), self._counts())
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return GrowingReader(self.options["path"])
+        return GrowingReader(self.options["path"], self._most())
 
 
 def line_status(value: Column) -> Column:
-    """ok, blank, malformed, duplicate_key or non_object.
+    """ok, blank (nothing but white space), malformed, duplicate_key or non_object; null for no line.
 
     A line with a key twice in one object is no variant, but still has a first value
     for get_json_object.
     """
     parsed = F.try_parse_json(value)
     return (
-        F.when(F.trim(value) == "", "blank")
+        F.when(value.isNull(), None)
+        .when(~value.rlike(r"\S"), "blank")
         .when(parsed.isNull() & F.get_json_object(value, "$").isNotNull(), "duplicate_key")
         .when(parsed.isNull(), "malformed")
         .when(~F.schema_of_variant(parsed).startswith("OBJECT"), "non_object")
@@ -156,15 +206,25 @@ def line_status(value: Column) -> Column:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row (source_file, line_no, byte_offset, value, status) per line, blank and broken ones too.
 
-    Line numbers count from 0 in each file. An empty folder gives no rows.
+    Line numbers count from 0 in each file. Files are read in ranges of about range_bytes, a task
+    each; if one has several, a pass before counts the lines of each range, and prefix sums
+    number them. An empty folder gives no rows.
     """
     spark.dataSource.register(LinesSource)
-    return spark.read.format("lines").load(path).withColumn("status", line_status(F.col("value")))
+    read = lambda **options: spark.read.format("lines").options(range_bytes=range_bytes, **options).load(path)
+    rows, number = read(), F.col("line_no")
+    if any(x.size > range_bytes for x in listed(path)):
+        upto = W.partitionBy("source_file").orderBy("range_begin").rowsBetween(W.unboundedPreceding, -1)
+        counted = cut(read(count="true").select("source_file", "range_begin", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")))
+        small = counted.count() <= BROADCAST_ROWS
+        rows, number = rows.join(F.broadcast(counted) if small else counted, ["source_file", "range_begin"]), number + F.col("before")
+    return rows.select("source_file", number.alias("line_no"), "byte_offset", "value", line_status(F.col("value")).alias("status"))
 
 
 def locate(lines: DataFrame, source_file: str, line_no: int) -> DataFrame:
-    """The line of that number in the file of that path or name."""
-    return lines.where((F.col("line_no") == line_no) & F.col("source_file").endswith(source_file))
+    """The line of that number in the files of that path, whole or from one of its folders on (b.jsonl isn't ab.jsonl)."""
+    named = (F.col("source_file") == source_file) | F.col("source_file").endswith("/" + source_file.lstrip("/"))
+    return lines.where((F.col("line_no") == line_no) & named)

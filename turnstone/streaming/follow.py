@@ -17,7 +17,7 @@ def new_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> Da
 def growing_files(spark: SparkSession, path: str) -> DataFrame:
     """The lines of files in a folder as they are appended, each once, with number and offset."""
     spark.dataSource.register(LinesSource)
-    return spark.readStream.format("lines").option("path", path).load().withColumn("status", line_status(F.col("value")))
+    return spark.readStream.format("lines").option("path", path).load().drop("range_begin").withColumn("status", line_status(F.col("value")))
 
 
 def drained(rows: DataFrame, sink: str, checkpoint: str) -> None:
@@ -26,6 +26,8 @@ def drained(rows: DataFrame, sink: str, checkpoint: str) -> None:
 
 
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Events by type and window; state for windows older than `late` is dropped."""
-    found = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return found.select(F.col("w.start").alias("began"), "event_type", "n")
+    """Events by type and window, in the type of their timestamps; state for windows older than `late` is dropped."""
+    kind = events.schema["ts"].dataType
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    found = timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return found.select(F.col("w.start").cast(kind).alias("began"), "event_type", "n")
