@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from turnstone.operators import lineage
+from turnstone.operators import inspecting, lineage
 
 SCHEMA = "source string, record_id bigint, parent_id bigint"
 
@@ -70,8 +70,7 @@ def test_empty_and_single(spark):
 def test_branches(spark):
     rows = [(s, i, p) for s, i, p in forest(3, 40) if i < 900]
     df = table(spark, rows)
-    found = lineage.lineage(df)
-    active = lineage.branch(found, lineage.active_leaf(df))
+    active = lineage.branch(df, lineage.active_leaf(df))
     want, _ = walked(rows)
     leaves = {s: max(i for x, i, _ in rows if x == s and not any(y == s and p == i for y, _, p in rows)) for s in "ab"}
     on = {(s, k, i) for s, leaf in leaves.items() for k, i in enumerate(want[(s, leaf)][2])}
@@ -83,6 +82,47 @@ def test_branches(spark):
     assert deepest == leaves
 
 
+def test_branches_of_several_ends_and_of_cycles(spark):
+    rows = forest(5, 40)
+    want, _ = walked(rows)
+    ends = [("a", 39), ("a", 17), ("b", 39), ("b", 903), ("a", 951), ("b", 960), ("a", 77777)]
+    got = lineage.branches(table(spark, rows), spark.createDataFrame(ends, "source string, record_id bigint")).collect()
+    assert len(got) == len(set(got))
+    assert {tuple(r) for r in got} == {(s, e, k, i) for s, e in ends if want.get((s, e)) for k, i in enumerate(want[(s, e)][2])}
+
+
+def test_the_active_leaf_by_time_or_by_id(spark):
+    rows = [("s", "r1", None, 1), ("s", "r9", "r1", 2), ("s", "r10", "r1", 3), ("t", "a", None, 5), ("t", "b", "a", None), ("t", "c", "a", 6)]
+    df = spark.createDataFrame(rows, "source string, record_id string, parent_id string, ts int")
+    assert {r.source: r.record_id for r in lineage.active_leaf(df, ["ts"]).collect()} == {"s": "r10", "t": "c"}
+    assert {r.source: r.record_id for r in lineage.active_leaf(df).collect()} == {"s": "r9", "t": "c"}
+    assert {(r.source, r.position, r.record_id) for r in lineage.branch(df, lineage.active_leaf(df, ["ts"])).collect()} == {("s", 0, "r1"), ("s", 1, "r10"), ("t", 0, "a"), ("t", 1, "c")}
+
+
+def test_a_very_deep_chain_without_paths(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("'s' AS source", "id AS record_id", "nullif(id - 1, -1) AS parent_id")
+    found = lineage.lineage(df, paths=False)
+    assert "path" not in found.columns
+    assert found.where("root_id = 0 AND depth = record_id AND NOT is_cyclic").count() == n
+    up = lineage.branch(df, spark.createDataFrame([("s", 70_000)], "source string, record_id bigint"))
+    assert up.where("position = record_id").count() == 70_001 == up.count()
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([("s", 1, None, "x", 5, 6), ("s", 2, 1, "y", 5, 6), ("s", 3, 9, "z", 5, 6)], "source string, record_id bigint, parent_id bigint, found string, has_parent int, _id int")
+    got = {r.record_id: (r.found, r.has_parent, r.is_orphan) for r in lineage.with_parent(rows.drop("_id")).collect()}
+    assert got == {1: ("x", False, False), 2: ("y", True, False), 3: ("z", False, True)}
+    turns = spark.createDataFrame([(1, 0, "user", "a", "c", "l"), (1, 1, "user", "b", "d", "m")], "conv_id bigint, turn bigint, role string, text string, cut string, last string")
+    cuts = spark.createDataFrame([(1, 1)], "conv_id bigint, cut bigint")
+    assert [(r.turn, r.cut) for r in lineage.cut_before(turns, cuts).collect()] == [(0, "c")]
+    assert sorted((r.turn, r.effect) for r in lineage.what_if(turns, cuts).collect()) == [(0, "kept"), (1, "discarded")]
+    assert inspecting.unanswered(turns).count() == 2
+    bodies = spark.createDataFrame([(7, '{"a":1}', "v")], "key int, body string, value string")
+    assert [tuple(r) for r in inspecting.unfolded(bodies, "key", "body").collect()] == [(7, 0, "a", "1")]
+    assert inspecting.by_path(bodies, "body", "$.a", "int", name="found").first().asDict() == {"key": 7, "body": '{"a":1}', "value": "v", "found": 1}
+
+
 def test_parents_forks_orphans(spark):
     rows = forest(4, 30)
     df, ids = table(spark, rows), {(s, i) for s, i, _ in rows}

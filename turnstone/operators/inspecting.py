@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from turnstone.functions.text import holds, n_lines, n_words, snippet
 
 
-def by_path(records: DataFrame, body: str, path: str, kind: str = "string") -> DataFrame:
-    """records with a column `value`: what a JSON path of the text column body holds."""
-    return records.withColumn("value", F.try_variant_get(F.try_parse_json(body), path, kind))
+def by_path(records: DataFrame, body: str, path: str, kind: str = "string", name: str = "value") -> DataFrame:
+    """records with a column of that name (in place of one that has it): what a JSON path of the text column body holds."""
+    return records.withColumn(name, F.try_variant_get(F.try_parse_json(body), path, kind))
 
 
 def search(turns: DataFrame, needle: str, around: int = 20) -> DataFrame:
@@ -98,14 +98,15 @@ def role_pivot(turns: DataFrame, roles: list[str]) -> DataFrame:
 def unanswered(turns: DataFrame) -> DataFrame:
     """User turns after which their conversation has no assistant turn."""
     last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
-    asked = turns.where("role = 'user'").join(last, "conv_id", "left")
+    asked = turns.where("role = 'user'").select("conv_id", "turn").join(last, "conv_id", "left")
     return asked.where("last IS NULL OR last < turn").select("conv_id", "turn")
 
 
 def longest(turns: DataFrame, k: int) -> DataFrame:
     """The k longest texts of each conversation; of equal ones the earlier."""
     order = W.partitionBy("conv_id").orderBy(F.length("text").desc(), "turn")
-    return turns.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("conv_id", "rank", "turn", F.length("text").alias("chars"))
+    ranked = turns.select("conv_id", F.row_number().over(order).alias("rank"), "turn", F.length("text").alias("chars"))
+    return ranked.where(F.col("rank") <= k)
 
 
 def page(rows: DataFrame, order: list[str], offset: int, n: int) -> DataFrame:
@@ -121,5 +122,6 @@ def sizes(turns: DataFrame) -> DataFrame:
 
 def unfolded(records: DataFrame, key: str, body: str) -> DataFrame:
     """A row per element of the object or array in a JSON text column: its key (or position) and value."""
-    parsed = records.select(key, F.try_parse_json(body).alias("v"))
-    return parsed.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer())).select(key, "pos", F.col("key").alias("name"), F.to_json("value").alias("json"))
+    parsed = records.select(F.col(key).alias("_key"), F.try_parse_json(body).alias("_body"))
+    unfolded = parsed.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("_body").outer()))
+    return unfolded.select(F.col("_key").alias(key), "pos", F.col("key").alias("name"), F.to_json("value").alias("json"))
