@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,33 +138,26 @@ class Accuracies:
 def learn(rows: DataFrame, rounds: int = 30, tolerance: float = 1e-6) -> Accuracies:
     """Expectation-maximisation over all rows with vote columns; no labels are used.
 
-    The rows are folded into vote patterns first (3 ** rules at most), so a round
-    costs the same at any size. Abstentions carry no weight. The start says that
-    most documents are good and that rules are more often right than wrong; a rule
-    that would turn out better than chance backwards is held at no weight.
+    Spark folds the rows into vote patterns, of which there are 3 ** rules at most; the
+    rounds run over these alone, so they cost the same at any size. Abstentions carry no
+    weight. The start says that most documents are good and that rules are more often right
+    than wrong; a rule that would turn out better than chance backwards is held at no
+    weight. No rows: the start.
     """
-    patterns = cut(rows.groupBy(*RULES).count())
-    found = Accuracies(0.8, dict.fromkeys(RULES, 0.005), dict.fromkeys(RULES, 0.15))
-    for _ in range(rounds):
-        good = F.col("count") * found.posterior()
-        sums = [F.sum("count").alias("n"), F.sum(good).alias("good")]
-        for r in RULES:
-            for at, v in (("bad", BAD), ("all", None)):
-                hit = F.col(r) == v if v else F.col(r) != 0
-                sums += [F.sum(F.when(hit, good).otherwise(0.0)).alias(f"good_{at}_{r}"), F.sum(F.when(hit, F.col("count") - good).otherwise(0.0)).alias(f"poor_{at}_{r}")]
-        s = patterns.agg(*sums).first()
-        if not s["n"]:
-            break
-        new = Accuracies(min(max(s["good"] / s["n"], 0.01), 0.99), {}, {})
-        for r in RULES:  # as if a few votes had been seen before
-            p = (s[f"good_bad_{r}"] + 0.05) / (s[f"good_all_{r}"] + 1)
-            q = (s[f"poor_bad_{r}"] + 0.5) / (s[f"poor_all_{r}"] + 1)
-            new.bad_if_good[r], new.bad_if_bad[r] = max(min(p, 0.999), 1e-6), max(min(max(p, q), 0.999), 1e-6)
-        moved = max([abs(new.prior - found.prior)] + [abs(new.bad_if_bad[r] - found.bad_if_bad[r]) for r in RULES])
-        found = new
-        if moved < tolerance:
+    patterns = np.array([tuple(r) for r in rows.groupBy(*RULES).count().collect()], dtype=float).reshape(-1, len(RULES) + 1)
+    vote, n = patterns[:, :-1], patterns[:, -1]
+    bad, said = vote == BAD, vote != 0
+    prior, p, q = 0.8, np.full(len(RULES), 0.005), np.full(len(RULES), 0.15)
+    for _ in range(rounds if len(n) else 0):
+        odds = np.log(prior / (1 - prior)) + bad @ np.log(p / q) + (vote == GOOD) @ np.log((1 - p) / (1 - q))
+        good = n / (1 + np.exp(-odds))
+        old, prior = (prior, q), min(max(good.sum() / n.sum(), 0.01), 0.99)
+        # as if a few votes had been seen before
+        mine, theirs = (good @ bad + 0.05) / (good @ said + 1), ((n - good) @ bad + 0.5) / ((n - good) @ said + 1)
+        p, q = np.clip(mine, 1e-6, 0.999), np.clip(np.maximum(mine, theirs), 1e-6, 0.999)
+        if max(abs(prior - old[0]), np.abs(q - old[1]).max()) < tolerance:
             break
-    return found
+    return Accuracies(float(prior), dict(zip(RULES, p.tolist())), dict(zip(RULES, q.tolist())))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -171,7 +165,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
     kept: base_failed is false and the posterior probability of a good document is
     at least threshold. A null or empty text has no words and fails the base. An empty
-    table gives no rows. Repeated rows, null ids and other columns change nothing.
+    table gives no rows. Repeated rows, null ids and other columns change nothing. A
+    very long text is measured whole; it has to fit into a task's memory some times over.
     """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     looked = docs.select(F.col(id_col).alias("id"), measured(F.col(text_col)).alias("m"))
@@ -182,8 +177,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns."""
-    looked = docs.select(measured(F.col(text_col)).alias("m"))
-    learned = learn(looked.select(*_named(votes(F.col("m")))))
-    # bound once per row: a filter on the struct's fields would measure the text for each of them
-    return docs.where(let(measured(F.col(text_col)), lambda m: ~m["base_failed"] & (learned.posterior(votes(m)) >= threshold)))
+    """The rows of docs that judge() keeps, with their columns.
+
+    Null and empty texts go, repeated rows are judged alike and stay each, columns of any
+    name ride along, and an empty table gives no rows. Texts are measured once: docs is
+    written to the shared folder with its votes, of which the accuracies are learned.
+    A text has to fit into a task's memory some times over.
+    """
+    name = "_turnstone_votes"
+    seen = F.struct(F.col(name)["base_failed"].alias("base_failed"), *_named(votes(F.col(name))))
+    voted = cut(docs.withColumn(name, measured(F.col(text_col))).withColumn(name, seen))
+    learned = learn(voted.select(f"{name}.*"))
+    found = {r: F.col(name)[r] for r in RULES}
+    return voted.where(~F.col(name)["base_failed"] & (learned.posterior(found) >= threshold)).drop(name)
