@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnstone.plans.scratch import cut, drop_scratch, scratch_dir  # noqa: F401
+from turnstone.plans.scratch import Recorded, cut, drop_scratch, scratch_dir  # noqa: F401
 
 #: The word separators of every operator: the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"

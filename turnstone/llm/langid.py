@@ -18,6 +18,8 @@ from .common import cut, join_counted
 BUCKETS = 1 << 14
 #: Languages whose counts a task holds at once.
 HELD = 256
+#: Parts of the buckets that are weighed apart, and rows of such a part that are looked at together.
+SLICES, SIDE_ROWS = 64, 4096
 #: Bytes of a text that are looked at together, which bounds memory on very long texts.
 CHUNK = 1 << 20
 #: Trigrams (some ten words) from which on more text adds no certainty. It scales a text's margins
@@ -132,13 +134,18 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     ones = np.maximum((code > 0).sum(axis=0), 1), np.maximum((code < 0).sum(axis=0), 1)
 
     def weigh(found: pd.DataFrame) -> pd.DataFrame:
-        own, share = np.array(found["code"].tolist(), dtype=np.int8), (found["n"] / found["total"]).to_numpy()
-        plus, minus = share @ (own > 0) / ones[0], share @ (own < 0) / ones[1]
-        return pd.DataFrame({"bucket": found["bucket"].iloc[:1], "weights": [(np.log(plus + 1e-6) - np.log(minus + 1e-6)).astype(np.float32).tolist()]})
+        buckets, at = np.unique(found["bucket"].to_numpy(), return_inverse=True)
+        share, sides = (found["n"] / found["total"]).to_numpy(), np.zeros((2, len(buckets), bits))
+        for k in range(0, len(found), SIDE_ROWS):
+            own = np.array(found["code"].iloc[k : k + SIDE_ROWS].tolist(), dtype=np.int8)
+            for side, sign in zip(sides, (1, -1)):
+                np.add.at(side, at[k : k + SIDE_ROWS], share[k : k + SIDE_ROWS, None] * (own == sign))
+        plus, minus = sides[0] / ones[0], sides[1] / ones[1]
+        return pd.DataFrame({"bucket": buckets, "weights": (np.log(plus + 1e-6) - np.log(minus + 1e-6)).astype(np.float32).tolist()})
 
     table = rows.sparkSession.createDataFrame([(x, n, c.tolist()) for (x, n), c in zip(totals, code)], "lang string, total bigint, code array<int>")
-    named = join_counted(counts, table, "lang", "inner", rows=len(languages))
-    found = named.groupBy("bucket").applyInPandas(weigh, "bucket int, weights array<float>").collect() if languages else []
+    named = join_counted(counts, table, "lang", "inner", rows=len(languages)).withColumn("slice", F.col("bucket") % SLICES)
+    found = named.groupBy("slice").applyInPandas(weigh, "bucket int, weights array<float>").collect() if languages else []
     weights = np.zeros((BUCKETS, bits), dtype=np.float32)
     for r in found:
         weights[r["bucket"]] = r["weights"]
