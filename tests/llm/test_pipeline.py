@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from turnstone.llm import langid, mixing, packing, quality, queries, simhash
+from turnstone.llm import langid, mixing, packing, quality, queries, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,7 +49,7 @@ def test_language(stages):
 
 def test_near_duplicates(stages):
     before, after = stages[2]
-    groups = simhash.near_duplicates(before)
+    groups = similar.near_duplicates(before)  # held against all pairs in test_similar.py
     assert ids(after) == ids(groups.where("doc_id = component_id"))
     assert set(ids(after)) == {r.component_id for r in groups.collect()}
 
@@ -86,8 +86,8 @@ def test_run_is_the_stages_one_after_the_other(spark, stages):
 def test_odd_rows_go_through(spark, tmp_path):
     rng = random.Random(3)
     text = lambda: " ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randrange(2, 8))) for _ in range(80))
-    same = text()
-    rows = [(k, text(), "en", f"s{k % 2}") for k in range(40)] + [(50, None, None, None), (51, "", "en", None), (None, text(), None, None), (52, same, "en", "s0"), (53, same, "en", "s1"), (53, same, "en", "s1")]
+    same, long = text(), " ".join(text() for _ in range(3000))
+    rows = [(k, text(), "en", f"s{k % 2}") for k in range(40)] + [(50, None, None, None), (51, "", "en", None), (None, text(), None, None), (52, same, "en", "s0"), (53, same, "en", "s1"), (53, same, "en", "s1"), (54, long, "en", "s2")]
     docs = spark.createDataFrame([(i, t, x, s, len(t or ""), "extra", 1) for i, t, x, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, part string, size int")
     empty = docs.where("false")
     for name, stage in corpus_pipeline.STAGES:

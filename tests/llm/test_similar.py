@@ -88,5 +88,26 @@ def test_the_stage_on_the_documents(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(map(least, groups(rows)))
 
 
+def test_similar_sets_are_within_the_bits():
+    rng = random.Random(5)
+    for n in (21, 40, 100, 700):
+        for _ in range(300):
+            words = [str(rng.random()) for _ in range(n + 4)]
+            a = similar.shingles(" ".join(words))
+            b = similar.shingles(" ".join(words[: n + 4 - n // 5]))  # the least that is similar, all at one end
+            assert similar.similar(a, b)
+            assert (similar.simhash(a) ^ similar.simhash(b)).bit_count() <= similar.MOST_BITS
+
+
+def test_a_common_passage_and_a_large_group(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(6))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(90)]
+    rows = [(k, " ".join([word() for _ in range(20 + k % 9)] + passage + [word() for _ in range(30)])) for k in range(300)]
+    rows += [(1000 + k, " ".join([*base[: k % 80], word(), *base[k % 80 + 1 :]])) for k in range(300)]
+    got = similar.near_duplicates(table(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, least(ids)) for ids in groups(rows) for i in ids)
+
+
 def test_empty(spark):
     assert similar.near_duplicates(table(spark, [])).count() == 0

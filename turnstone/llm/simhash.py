@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, join_counted
 
 BITS = 64
 #: Hash values whose bits are counted at once, which bounds memory on very long texts.
@@ -38,6 +38,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * counts > n).tolist()))
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The SimHash of some shingles' hashes (uint64), any number of them: a bit is 1 if set in over half."""
+    counts = sum(_counts(hashes[k : k + CHUNK]) for k in range(0, len(hashes), CHUNK)) if len(hashes) else np.zeros(BITS, np.int64)
+    return int(sum(1 << k for k in np.flatnonzero(2 * counts > len(hashes)).tolist()))
+
+
 def fingerprint_column(text, width: int = 3):
     """The fingerprints of a text column, as signed longs."""
 
@@ -48,7 +54,7 @@ def fingerprint_column(text, width: int = 3):
     return run(text)
 
 
-def _distance(a, b):
+def distance_of(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
@@ -109,14 +115,14 @@ def near_links(prints: DataFrame, distance: int = 2, segments: int = 16, bucket_
 
 
 def _placed(docs: DataFrame, distance: int, segments: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """A row (id, fp, root, component_id) for each row of docs; root is a fingerprint."""
-    rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")))
+    """A row (id, h, fp, root, component_id) for each row of docs; h is the text's hash, root a fingerprint."""
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), fingerprint_column(F.col(text_col), width).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), rows.count())
     n = prints.count()
     roots = components(near_links(prints.select("fp"), distance, segments, rows=n), rows=n)
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return rows.join(named.select("fp", "root", "component_id"), "fp").select("id", "fp", "root", "component_id")
+    return rows.join(named.select("fp", "root", "component_id"), "fp").select("id", "h", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, segments: int = 16, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +133,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2, segments: int = 16, widt
     are first folded into one, so groups of copies cost no pairs. A null text
     has fingerprint zero, as has one without words; such rows are linked like any
     other. A row with a null id keeps it and gets its component's least non-null id
-    (null if there is none). Repeated rows are all returned; other columns are ignored.
+    (null if there is none). Repeated rows are all returned; other columns are ignored;
+    very long texts are looked at whole; an empty table gives no rows.
     """
     found = _placed(docs, distance, segments, width, id_col, text_col)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -136,24 +143,31 @@ def near_duplicates(docs: DataFrame, distance: int = 2, segments: int = 16, widt
 def keep_one(docs: DataFrame, distance: int = 2, segments: int = 16, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one row of each near-duplicate group, columns unchanged.
 
-    The row with the least id stays. Of several rows of one group with that id (or
-    of a group in which every id is null), any one stays. The texts of the rows
-    are matched to the decisions by id and fingerprint, which spreads copies out.
+    The row with the least id stays. Of several rows of one group with that id (or of a group
+    in which every id is null), the one whose text's hash is least does, and of several
+    with one text that whose columns' hash is. An empty table gives no rows; columns of any
+    name ride along.
+    """
+    return keep_least(docs, cut(_placed(docs, distance, segments, width, id_col, text_col)), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """keep_one for groups that were found: placed is a table from cut() with (id, h, root, component_id), h the text's xxhash64.
+
+    Rows are matched by id and text hash; whole texts are shuffled only if more rows go than can be broadcast.
     """
-    return keep_least(docs, _placed(docs, distance, segments, width, id_col, text_col), fingerprint_column(F.col(text_col), width), id_col)
-
-
-def keep_least(docs: DataFrame, placed: DataFrame, print_: Column, id_col: str) -> DataFrame:
-    """keep_one for groups (id, fp, root, component_id) that were found; print_ gives a row's fp."""
-    fp, names = "_turnstone_fp", docs.columns
-    found = placed.where(F.col("id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("root", "id").agg(F.count("*").alias("n"), F.collect_set("fp").alias("fps"))
-    keep = cut(keep.select("root", "id", "n", F.explode("fps").alias("fp")).select([F.col(c).alias(f"{fp}_{c}") for c in ("root", "id", "n", "fp")]))
-    mine = docs.withColumn(fp, print_)
-    on = (F.col(fp) == F.col(f"{fp}_fp")) & F.col(id_col).eqNullSafe(F.col(f"{fp}_id"))
-    once = mine.join(keep.where(F.col(f"{fp}_n") == 1), on).select(*names)
-    many = keep.where(F.col(f"{fp}_n") > 1)
+    own = {c: f"_turnstone_{c}" for c in ("id", "h", "n")}
+    at_least = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id", "h").agg(F.count("*").alias("n"))
+    kept = cut(at_least.groupBy("root").agg(F.min(F.struct("h", "id", "n")).alias("k")).select("root", "k.h", "k.id", "k.n"))
+    stays = kept.select("root", F.col("h").alias("kept_h"), F.col("id").alias("kept_id"))
+    goes = placed.join(stays, "root").where(~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")))).select("id", "h").distinct()
+    many = kept.where("n > 1").select("id", "h")
+    out = cut(goes.unionByName(many).select([F.col(c).alias(own[c]) for c in ("id", "h")]))
+    on = F.col(id_col).eqNullSafe(F.col(own["id"])) & (F.xxhash64(text_col) == F.col(own["h"]))
+    once = join_counted(docs, out, on, "left_anti")
     if many.isEmpty():
         return once
-    spare = mine.join(many, on).groupBy(f"{fp}_root", f"{fp}_id").agg(F.any_value(F.struct(*names)).alias(fp))
-    return once.unionByName(spare.select(f"{fp}.*"))
+    names = docs.columns
+    some = join_counted(docs, cut(many.select([F.col(c).alias(own[c]) for c in ("id", "h")])), on, "inner")
+    spare = some.groupBy(own["id"], own["h"]).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias(own["n"]))
+    return once.unionByName(spare.select(f"{own['n']}.*"))

@@ -1,22 +1,33 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering."""
+"""SimHash near-dedup at a Jaccard similarity of word shingles: pigeonring links, rare shingles, an exact check.
+
+At a similarity of 0.8, 64-bit fingerprints differ in 10 bits, give or take 3. Pigeonring
+filtering finds those within 2 bits, which most near copies of one text chain up to; to find all
+others by fingerprints alone, segments would be of 4 bits and tell nothing apart. So the
+further candidates share a rare shingle, the fingerprints rule out what is too far
+apart, and the texts' shingles decide on every candidate.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
-from .simhash import keep_least
+from .common import components, cut, join_counted
+from .simhash import distance_of, keep_least, near_links, simhash
 
 #: Words of a shingle.
 WIDTH = 5
 #: Texts are near-duplicates from a Jaccard similarity of PART / WHOLE.
 PART, WHOLE = 4, 5
-#: About so many rows tell which shingles are frequent; of those, at most HOT are told to the tasks.
-SAMPLE, HOT = 5000, 100_000
+#: Fingerprints of similar sets of more than FEW shingles differ in more bits only once in ten million pairs; smaller sets aren't judged by them.
+MOST_BITS, FEW = 26, 20
+#: Counters of shingles, hashed; what is counted often stands last in the order of prefixes.
+COUNTERS = 1 << 18
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
@@ -45,119 +56,132 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _key(found: np.ndarray) -> int:
+    """A number that is the same just for texts with the same shingles."""
     return xxhash.xxh64_intdigest(found.tobytes()) if len(found) else 0
 
 
-def key_column(text):
-    """A long that is the same just for texts with the same shingles."""
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
-    @F.arrow_udf("bigint")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([_key(shingles(t.as_py())) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return run(text)
+def _often(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How many of all texts' shingles each counter has seen."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(sums, _counter(shingles(text.as_py())), 1)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"counter": pa.array(at.astype(np.int32)), "n": pa.array(sums[at])})
 
-def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of the rows (sorted), and how frequent."""
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
+    found, often = counts.toArrow(), np.zeros(COUNTERS, dtype=np.int64)
+    often[found["counter"].to_numpy()] = found["n"].to_numpy()
+    return often
 
-    @F.arrow_udf("array<bigint>")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
-    parts = -(-docs.count() // SAMPLE) or 1
-    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
-    counts = some.select(F.explode(run("text")).alias("s")).groupBy("s").count().where("count > 2")
-    found = counts.orderBy(F.desc("count"), "s").limit(HOT).collect()
-    hot, n = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64), np.array([r[1] for r in found], dtype=np.int64)
-    order = np.argsort(hot)
-    return hot[order], n[order]
+def prefix(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share: of two similar sets, these have one in common at least."""
+    order = np.argsort(often[_counter(found)], kind="stable")
+    return found[order[: len(found) - -(-PART * len(found) // WHOLE) + 1]].view(np.int64)
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row (id, key, size, prefix) for each row of docs; prefix: the first shingles in an order that all rows share."""
-    hot, often = _frequent(docs, text_col)
+    """A row (id, h, key, fp, size, prefix) for each row of docs; h is the text's hash, key that of its shingles, fp their SimHash."""
+    often = _often(docs, text_col)
+    kinds = {"key": pa.int64(), "fp": pa.int64(), "size": pa.int64(), "prefix": pa.list_(pa.int64())}
 
-    def prefix(found: np.ndarray) -> np.ndarray:
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
-            found = found[np.argsort(np.where(hot[at] == found, often[at], 0), kind="stable")]
-        return found[: len(found) - -(-PART * len(found) // WHOLE) + 1].view(np.int64)
-
-    kind = pa.struct({"key": pa.int64(), "size": pa.int64(), "prefix": pa.list_(pa.int64())})
-
-    @F.arrow_udf("struct<key: bigint, size: bigint, prefix: array<bigint>>")
+    @F.arrow_udf("struct<key: bigint, fp: bigint, size: bigint, prefix: array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
-        sets = [shingles(t.as_py()) for t in texts]
-        keys = pa.array(np.array([_key(s) for s in sets], dtype=np.uint64).view(np.int64))
-        prefixes = pa.array([prefix(s) for s in sets], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), prefixes], fields=list(kind))
+        key, fp, size, prefixes = [], [], [], []
+        for t in texts:
+            own = shingles(t.as_py())
+            key.append(_key(own))
+            fp.append(simhash(own))
+            size.append(len(own))
+            prefixes.append(prefix(own, often))
+        columns = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (key, fp)] + [pa.array(size, pa.int64()), pa.array(prefixes, kinds["prefix"])]
+        return pa.StructArray.from_arrays(columns, names=list(kinds))
 
-    return docs.select(F.col(id_col).alias("id"), run(text_col).alias("s")).select("id", "s.*")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), run(text_col).alias("s")).select("id", "h", "s.*")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of distinct pairs (u, v) of keys, those whose texts (key, size, text) are similar."""
+    """Of distinct pairs (u, v) of keys, those whose texts (key, text) are similar."""
 
     @F.arrow_udf("boolean")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(a, b)], pa.bool_())
 
-    sized = texts.select("key", "size")
-    pairs = pairs.join(sized.toDF("u", "m"), "u").join(sized.toDF("v", "n"), "v").where(_sized("m", "n")).select("u", "v")
     left, right = (texts.select(F.col("key").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
     return pairs.join(left, "u").join(right, "v").where(run("a", "b")).select("u", "v")
 
 
-def _sized(m: str, n: str):
-    """Whether sets of these sizes can be similar."""
-    return WHOLE * F.least(m, n) >= PART * F.greatest(m, n)
+def _ring_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets whose fingerprints pigeonring filtering links, or that have the same one."""
+    prints = cut(sets.groupBy("fp").agg(F.min("key").alias("first")))
+    near = near_links(prints.select("fp"), rows=prints.count())
+    linked = near.join(prints.toDF("u", "a"), "u").join(prints.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return linked.unionByName(sets.join(prints, "fp").select(F.col("first").alias("u"), F.col("key").alias("v")))
+
+
+def _may_be(m: str, n: str, a: str, b: str) -> Column:
+    """Whether two sets can be similar, by their sizes m and n and their fingerprints a and b."""
+    few = F.least(m, n) <= FEW
+    return (WHOLE * F.least(m, n) >= PART * F.greatest(m, n)) & (few | (distance_of(F.col(a), F.col(b)) <= MOST_BITS))
 
 
-def links(sets: DataFrame, texts_of) -> DataFrame:
+def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
     """Links (u, v) of keys that join the same sets as all similar pairs do.
 
-    sets: distinct key, size, prefix; texts_of: gives a row (key, size, text) for each row
-    (key) of a table. Prefix filtering: in any order of the shingles that all sets share, two
+    prefixes: rows (key, prefix), also several equal ones; sets: each key once, with size and
+    fp; texts_of: gives a row (key, text) for each row (key) of a table. Prefix
+    filtering: in any order of the shingles that all sets share, two
     similar sets have one of their first n - ceil(0.8 n) + 1 shingles in common. Frequent
     shingles stand last in that order, so those of common lines are seldom among the first.
-    Sets with such a shingle in common are first compared with the least and the greatest of
-    them; then, where that leaves more than one group, all pairs of different groups are. So
-    a group of near copies isn't paired up. Every pair is verified by its texts.
+    Compared first are what pigeonring filtering links, and the sets that have such a shingle
+    in common with the least and the greatest of them; then, where that leaves more than one
+    group, pairs of different groups whose fingerprints are near. So a group of near
+    copies isn't paired up. Every pair is verified by its texts.
     """
-    keyed = sets.select(F.explode("prefix").alias("s"), "key", "size")
-    shared = cut(keyed.groupBy("s").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1"))
-    many = cut(keyed.join(shared.where("n > 2").select("s", "lo", "hi"), "s"))
-    stars = many.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("key").alias("v")), F.struct(F.col("key").alias("u"), F.col("hi").alias("v")))).alias("p")).select("p.*")
-    tried = cut(shared.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(stars).where("u < v").distinct())
-    texts = cut(texts_of(tried.select(F.explode(F.array("u", "v")).alias("key")).distinct()))
-    found = cut(_verified(tried, texts))
-
-    rooted = many.join(components(found).toDF("key", "root"), "key", "left")
-    rooted = cut(rooted.select("s", "key", "size", F.coalesce("root", "key").alias("root")))
-    parted = rooted.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
-    left = cut(rooted.join(parted, "s"))
-    other = (F.col("a.s") == F.col("b.s")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _sized("a.size", "b.size")
-    rest = left.alias("a").join(left.alias("b"), other).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
-    return found.unionByName(_verified(cut(rest.join(tried, ["u", "v"], "left_anti")), texts))
+    keyed = prefixes.select(F.explode("prefix").alias("s"), "key")
+    shared = cut(keyed.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi"))
+    many = cut(join_counted(keyed, shared, "s", "inner").distinct())
+    of = cut(sets.select("key", "size", "fp"))
+    described = lambda pairs: pairs.join(of.toDF("u", "m", "a"), "u").join(of.toDF("v", "n", "b"), "v")
+    stars = many.select(F.explode(F.array("lo", "hi")).alias("u"), F.col("key").alias("v")).unionByName(_ring_pairs(sets))
+    stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    tried = cut(described(stars).where(_may_be("m", "n", "a", "b")).select("u", "v"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return cut(_verified(pairs, cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()))))
+
+    found = verified(tried)
+    rooted = many.select("s", "key").join(components(found).toDF("key", "root"), "key", "left")
+    rooted = cut(rooted.select("s", "key", F.coalesce("root", "key").alias("root")))
+    parted = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
+    left = cut(rooted.join(parted, "s").join(of, "key"))
+    one, other = left.toDF("u", "s", "u_root", "m", "a"), left.toDF("v", "s", "v_root", "n", "b")
+    rest = one.join(other, "s").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & _may_be("m", "n", "a", "b")).select("u", "v").distinct()
+    return found.unionByName(verified(cut(rest.join(tried, ["u", "v"], "left_anti"))))
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row (id, fp, root, component_id) for each row of docs; fp is the key of its shingles, root such a key."""
+    """A row (id, h, root, component_id) for each row of docs; root is the key of a set."""
     rows = cut(_described(docs, id_col, text_col))
-    sets = rows.groupBy("key").agg(F.min("id").alias("least"), F.any_value(F.struct("size", "prefix")).alias("s"))
-    sets = cut(sets.select("key", "least", "s.*"))
+    sets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size")))
 
-    def texts_of(keys: DataFrame) -> DataFrame:  # by id and key, which spreads copies out
-        wanted = sets.join(keys, "key").select("key", "least", "size")
-        mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key_column(F.col(text_col)).alias("own"))
-        found = mine.join(wanted, (F.col("own") == F.col("key")) & F.col("id").eqNullSafe(F.col("least")))
-        return found.groupBy("key").agg(F.any_value(F.struct("size", "text")).alias("t")).select("key", "t.*")
+    def texts_of(keys: DataFrame) -> DataFrame:  # by id and text hash, which spreads copies out
+        wanted = cut(sets.join(keys, "key").select("key", F.col("row.id").alias("of"), F.col("row.h").alias("own")))
+        mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+        found = join_counted(mine, wanted, (F.col("h") == F.col("own")) & F.col("id").eqNullSafe(F.col("of")), "inner")
+        return found.groupBy("key").agg(F.min("text").alias("text"))
 
-    roots = components(links(sets, texts_of)).toDF("key", "root")
+    roots = components(links(rows.select("key", "prefix"), sets, texts_of)).toDF("key", "root")
     rooted = cut(sets.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return rows.select("id", "key").join(named, "key").select("id", F.col("key").alias("fp"), "root", "component_id")
+    return rows.select("id", "h", "key").join(named, "key").select("id", "h", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,4 +195,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one row of each near-duplicate group, as simhash.keep_one keeps it."""
-    return keep_least(docs, _placed(docs, id_col, text_col), key_column(F.col(text_col)), id_col)
+    return keep_least(docs, cut(_placed(docs, id_col, text_col)), id_col, text_col)
