@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, join_counted
+from .common import BROADCAST_ROWS, cut, join_counted, lean
 
 # Names of HTML elements and attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -495,11 +495,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     said = pa.struct({"path": pa.string(), "score": pa.float64(), "told": pa.list_(pa.struct({"kind": pa.string(), "hash": pa.int64(), "runs": pa.bool_()}))})
 
     @F.arrow_udf("struct<path: string, score: double, told: array<struct<kind: string, hash: bigint, runs: boolean>>>")
+    @lean
     def voted(html: pa.Array) -> pa.Array:
         found = (vote(x.as_py()) for x in html)
         return pa.array([{"path": p, "score": s, "told": [dict(zip(("kind", "hash", "runs"), t)) for t in told]} for p, s, told in found], said)
 
     @F.arrow_udf("string")
+    @lean
     def extracted(html: pa.Array, path: pa.Array, kept: pa.Array, dropped: pa.Array) -> pa.Array:
         lists = [[set(y.as_py() or ()) for y in x] for x in (kept, dropped)]
         return pa.array([extract(x.as_py(), p.as_py(), k, d) for x, p, k, d in zip(html, path, *lists)], pa.string())

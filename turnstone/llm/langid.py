@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted
+from .common import cut, join_counted, lean
 
 #: Hashed trigram features.
 BUCKETS = 1 << 14
@@ -123,6 +123,7 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                     np.add(own, np.bincount(h, minlength=BUCKETS), out=own)
                 if len(sums) > HELD:
                     yield from told()
+            pa.default_memory_pool().release_unused()
         yield from told()
 
     known = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -156,6 +157,7 @@ def predicted(model: Model, text: Column, least_gap: float = 1.0) -> Column:
     """struct(lang_pred, score, ambiguous) of a text column."""
 
     @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    @lean
     def run(texts: pa.Array) -> pa.Array:
         rows = [model.predict(t.as_py(), least_gap) for t in texts]
         return pa.array(rows, pa.struct({"lang_pred": pa.string(), "score": pa.float64(), "ambiguous": pa.bool_()}))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, before, cut, join_counted
+from .common import WORD, before, cut, join_counted, lean
 
 #: Slots that one task row unfolds, and those that one task does about.
 RUN = 8192
@@ -173,6 +173,7 @@ class Mix:
 
 def _block(position: Column, n: Column, key: Column) -> Column:
     @F.arrow_udf("bigint")
+    @lean
     def run(position: pa.Array, n: pa.Array, key: pa.Array) -> pa.Array:
         return pa.array(permute(*(np.array(x, dtype=np.int64) for x in (position, n, key))))
 
@@ -232,6 +233,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str | N
     spans = run.groupBy(row, "size").agg(F.sort_array(F.collect_list(F.struct("copy", "from", "to"))).alias("spans"))
 
     @F.arrow_udf("array<string>")
+    @lean
     def words(text: pa.Array, size: pa.Array, spans: pa.Array) -> pa.Array:
         rows = zip(*(c.to_pylist() for c in (text, size, spans)))
         return pa.array([_cut_words(t, n, [(x["from"], x["to"]) for x in s]) for t, n, s in rows], pa.list_(pa.string()))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, slices
+from .common import cut, lean, slices
 
 WINDOW = 4096
 #: Pieces that are packed together; each group is one task's work and leaves at most a few windows unfilled.
@@ -148,6 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, i
     """
 
     @F.arrow_udf("array<struct<start: bigint, length: bigint, ids: binary>>")
+    @lean
     def run(texts: pa.Array) -> pa.Array:
         encode = _word_ids(tokenizer) if per_word else lambda some: [np.array(_tokenizer(tokenizer).encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in some.to_pylist()]
         last, kind, out = np.array([end_id], dtype="<u4").tobytes(), pa.list_(pa.struct({"start": pa.int64(), "length": pa.int64(), "ids": pa.binary()})), []
@@ -234,8 +235,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = W
     sequence_id: a window of `window` ids, unique over all; its pieces fill it from
     offset 0 without gaps. start: the document's ids before the piece. With derive (names
     and expressions over the pieces' columns), those stand in the place of the ids, which
-    then aren't shuffled. Null ids and repeated rows are documents like any other; an
-    empty table gives no rows.
+    then aren't shuffled. Null ids and repeated rows are documents like any other, a null or
+    empty text has just its end id, and a very long one becomes many pieces, its ids held in
+    one task; other columns are ignored, and an empty table gives no rows.
     """
     id_col = options.get("id_col", "doc_id")
     found = pieces(docs, tokenizer, end_id, window, **options)
@@ -250,6 +252,7 @@ def sequences(placed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
     rows = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
 
     @F.arrow_udf("array<int>")
+    @lean
     def run(parts: pa.Array) -> pa.Array:
         joined = [np.frombuffer(b"".join(p["ids"] for p in row.as_py()), dtype="<i4") for row in parts]
         return pa.array([np.pad(x, (0, window - len(x)), constant_values=pad_id) for x in joined], pa.list_(pa.int32()))

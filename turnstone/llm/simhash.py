@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_counted
+from .common import components, cut, join_counted, lean
 
 BITS = 64
 #: Hash values whose bits are counted at once, which bounds memory on very long texts.
@@ -48,6 +48,7 @@ def fingerprint_column(text, width: int = 3):
     """The fingerprints of a text column, as signed longs."""
 
     @F.arrow_udf("bigint")
+    @lean
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t.as_py(), width) for t in texts], dtype=np.uint64).view(np.int64))
 
