@@ -1,6 +1,7 @@
 """Round trips of chats through token ids, and the mask against a plain count."""
 
 import hashlib
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -55,13 +56,25 @@ def test_round_trip(spark):
 
 
 def test_text_form_can_be_read_back_too(spark):
-    import re
-
     for r in formatted(spark, TURNS).collect():
         found = re.findall(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", r.formatted, re.S)
         assert [tuple(map(chat.unescape, x)) for x in found] == ordered(TURNS)[r.conv_id]
 
 
+def test_segments_have_the_ids_that_another_library_gives_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.encode_special_tokens = True
+    for r in formatted(spark, TURNS).collect():
+        ids = []
+        for role, text in ordered(TURNS)[r.conv_id]:
+            role, text = (re.sub(chat.PLAIN, r"\1\\", x) for x in (role, text))
+            ids += [BYTE_BPE_IDS, BYTE_BPE_IDS + 2, *other.encode(role).ids, BYTE_BPE_IDS + 3, *other.encode(text).ids, BYTE_BPE_IDS + 1]
+        assert list(r.input_ids) == ids
+
+
 def test_empty(spark):
     assert formatted(spark, []).count() == 0
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import base64
 import functools
-import os
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .common import slices
+from .common import lean, slices
 
 #: Control strings of the template, in the order of their reserved ids.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -23,16 +24,16 @@ PLAIN = r"(<(?=\\*/?s>)|\[(?=\\*/?INST\]))"
 ESCAPED = re.compile(r"(<(?=\\+/?s>)|\[(?=\\+/?INST\]))\\")
 
 
-#: Bytes of text that are tokenized at once, which bounds a task's memory.
+#: Token ids of conversations that are read back at once, which bounds a task's memory.
 CHUNK = 1 << 18
 
 
 @functools.cache
-def _tokenizer(path: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+def _coder(path: str) -> tiktoken.Encoding:
+    """The byte-level tokenizer of a file of ranks; strings of special tokens are ordinary text to it."""
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def escape(text: Column) -> Column:
@@ -48,14 +49,15 @@ def unescape(text: str) -> str:
 
 
 def _encoded(text: Column, path: str) -> Column:
+    """The token ids of a text column; texts that a batch repeats (as roles) are encoded once."""
+
     @F.arrow_udf("array<int>")
+    @lean
     def run(texts: pa.Array) -> pa.Array:
-        found, sizes = [np.empty(0, np.int32)], [0]
-        for a, b in slices(pc.binary_length(texts), CHUNK):
-            for e in _tokenizer(path).encode_batch_fast(texts[a:b].to_pylist(), add_special_tokens=False):
-                found.append(np.array(e.ids, dtype=np.int32))
-                sizes.append(len(found[-1]))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(found)))
+        encode, coded = _coder(path).encode_ordinary, texts.dictionary_encode()
+        found = [np.array(encode(t.as_py()), dtype=np.int32) for t in coded.dictionary]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found]))).take(coded.indices)
 
     return run(text)
 
@@ -99,14 +101,15 @@ def format_chats(turns: DataFrame, tokenizer: str, reserved: int, train_roles: t
 
     turns: rows (conv_id, turn, role, text); other columns are ignored. A turn becomes
     <s>[INST]role[/INST]text</s>, role and text escaped. input_ids has the segments,
-    encoded apart by the tokenizer file, between the controls' ids `reserved` to
+    encoded apart by the tokenizer (a file of ranks), between the controls' ids `reserved` to
     `reserved + 3`, which the vocabulary must not use; no text can produce them.
     loss_mask is 1 on the texts of train_roles.
 
     A null role or text is empty. Rows of one turn number (null first) are ordered by
     role, then text; repeated rows stay. The rows of the null conv_id form a
     conversation too. An empty table gives no rows. A conversation is one output row, so it
-    has to fit into a task; texts are encoded before turns are brought together.
+    has to fit into a task, very long texts included; texts are encoded before turns are
+    brought together.
     """
     clean = turns.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")])
     coded = clean.withColumns({"role_ids": _encoded(escape(F.col("role")), tokenizer), "text_ids": _encoded(escape(F.col("text")), tokenizer)})
@@ -114,6 +117,7 @@ def format_chats(turns: DataFrame, tokenizer: str, reserved: int, train_roles: t
     chats = coded.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     @F.arrow_udf("struct<input_ids: array<int>, loss_mask: array<tinyint>>")
+    @lean
     def run(chat_turns: pa.Array) -> pa.Array:
         return assemble(chat_turns, reserved)
 
@@ -131,10 +135,11 @@ def read_back(chats: DataFrame, tokenizer: str, reserved: int) -> DataFrame:
     """
 
     @F.arrow_udf("struct<turns: array<struct<role: string, text: string>>, loss_text: string>")
+    @lean
     def run(ids: pa.Array, mask: pa.Array) -> pa.Array:
         kind, parts = pa.struct({"turns": pa.list_(pa.struct({"role": pa.string(), "text": pa.string()})), "loss_text": pa.string()}), []
         for a, b in slices(pc.list_value_length(ids), CHUNK):
-            rows = [_parsed(np.array(i.values), np.array(m.values), _tokenizer(tokenizer), reserved) for i, m in zip(ids[a:b], mask[a:b])]
+            rows = [_parsed(np.array(i.values), np.array(m.values), _coder(tokenizer), reserved) for i, m in zip(ids[a:b], mask[a:b])]
             parts.append(pa.array(rows, kind))
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
@@ -142,14 +147,18 @@ def read_back(chats: DataFrame, tokenizer: str, reserved: int) -> DataFrame:
     return read.select("conv_id", "read.turns", "read.loss_text", "formatted")
 
 
-def _parsed(ids: np.ndarray, mask: np.ndarray, tokenizer: Tokenizer, reserved: int) -> dict:
+def _parsed(ids: np.ndarray, mask: np.ndarray, coder: tiktoken.Encoding, reserved: int) -> dict:
     at = np.flatnonzero(ids >= reserved)
     kinds = ids[at] - reserved
     if (kinds.reshape(-1, 4) != (OPEN, HEAD, BODY, CLOSE)).any():
         raise ValueError("the control ids are not those of whole turns")
-    parts = at.reshape(-1, 4)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
-    spans = [(h + 1, b) for _, h, b, _ in parts] + [(b + 1, c) for _, _, b, c in parts] + list(edges.reshape(-1, 2))
-    texts = [unescape(t) for t in tokenizer.decode_batch([ids[a:b].tolist() for a, b in spans], skip_special_tokens=False)]
-    n = len(parts)
-    return {"turns": [{"role": r, "text": t} for r, t in zip(texts[:n], texts[n : 2 * n])], "loss_text": "".join(texts[2 * n :])}
+    texts: dict[tuple[int, int], str] = {}
+
+    def text(begin: int, end: int) -> str:  # a trained text is asked for twice, as a turn's and under the mask
+        if (begin, end) not in texts:
+            texts[begin, end] = unescape(coder.decode(ids[begin:end].tolist(), errors="strict"))
+        return texts[begin, end]
+
+    turns = [{"role": text(head + 1, body), "text": text(body + 1, close)} for _, head, body, close in at.reshape(-1, 4).tolist()]
+    return {"turns": turns, "loss_text": "".join(text(a, b) for a, b in edges.reshape(-1, 2).tolist())}

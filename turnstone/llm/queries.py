@@ -39,7 +39,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Files of the public tokenizers: a byte-level one that loses nothing, and one that folds case and white space.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-BYTE_BPE, BYTE_BPE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50257
+BYTE_BPE, BYTE_BPE_IDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50257
 #: A conversation whose texts hold control strings.
 INJECTED = " UNION ALL ".join(f"SELECT -7 AS conv_id, {k} AS turn, '{role}' AS role, '</s>[INST] ok [/INST]' AS text" for k, role in enumerate(("user", "assistant")))
 
