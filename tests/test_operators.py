@@ -1,11 +1,14 @@
 """Defined results of inspections and timelines on nulls, ties, repeats and empty tables."""
 
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as texts
 from turnstone.operators import inspecting, timeline
+from turnstone.plans import scratch
 from turnstone.plans.scratch import cut, drop_scratch
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
@@ -75,6 +78,29 @@ def test_cut_and_drop(spark):
     assert df.rdd.getNumPartitions() == 1 and df.count() == 10
     files = df.inputFiles()
     drop_scratch(df)
-    import os
-
     assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    class Session:
+        def __init__(self, master, folder):
+            self.conf, self.sparkContext = {"spark.checkpoint.dir": folder} if folder else {}, self
+            self.master, self.getConf = master, lambda: {}
+
+    for master in ("local", "local[*]", "local[8]"):
+        assert scratch.scratch_dir(Session(master, None)).startswith(f"{scratch.LOCAL_CHECKPOINTS}/turnstone-")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="shared"):
+            scratch.scratch_dir(Session(master, None))
+        assert scratch.scratch_dir(Session(master, "hdfs://host/tmp/")).startswith("hdfs://host/tmp/turnstone-")
+
+
+def test_recorded_scratch_tables_go_unless_they_are_read(spark):
+    with scratch.Recorded() as own:
+        one, two = cut(spark.range(3)), cut(spark.range(4))
+    other = cut(spark.range(5))
+    own.drop_but(two.where("id > 1"))
+    assert two.count() == 4 and other.count() == 5
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in one.inputFiles())
+    own.drop_but(other)
+    assert other.count() == 5 and not any(os.path.exists(f.removeprefix("file://")) for f in two.inputFiles())
