@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnstone.plans.scratch import Recorded, cut, drop_scratch, scratch_dir  # noqa: F401
+from turnstone.plans.scratch import FILE_ROWS, Recorded, cut, drop_scratch, scratch_dir  # noqa: F401
 
 #: The word separators of every operator: the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,12 +83,15 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     changing; then each component is a star around its least node. A node's
     neighbours are only ever aggregated (min), never collected. Self links are
     ignored, a null end drops the link, an empty input gives an empty result. rows: a
-    bound of the number of links, if known.
+    bound of the number of links, if known. A round over as few links as a scratch file has
+    (FILE_ROWS) is one task, without shuffles.
     """
     e = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     e, seen, now, n = cut(e, rows), None, (), rows
     while now != seen:
         seen = now
+        if n is not None and n <= FILE_ROWS:
+            e = e.coalesce(1)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         star = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()

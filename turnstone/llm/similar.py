@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_counted
+from .common import components, cut, join_counted, lean
 from .simhash import distance_of, keep_least, near_links, simhash
 
 #: Words of a shingle.
@@ -72,6 +72,7 @@ def _often(docs: DataFrame, text_col: str) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(sums, _counter(shingles(text.as_py())), 1)
+            pa.default_memory_pool().release_unused()
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"counter": pa.array(at.astype(np.int32)), "n": pa.array(sums[at])})
 
@@ -93,6 +94,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kinds = {"key": pa.int64(), "fp": pa.int64(), "size": pa.int64(), "prefix": pa.list_(pa.int64())}
 
     @F.arrow_udf("struct<key: bigint, fp: bigint, size: bigint, prefix: array<bigint>>")
+    @lean
     def run(texts: pa.Array) -> pa.Array:
         key, fp, size, prefixes = [], [], [], []
         for t in texts:
@@ -111,6 +113,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of distinct pairs (u, v) of keys, those whose texts (key, text) are similar."""
 
     @F.arrow_udf("boolean")
+    @lean
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(a, b)], pa.bool_())
 
@@ -118,12 +121,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(run("a", "b")).select("u", "v")
 
 
-def _ring_pairs(sets: DataFrame) -> DataFrame:
+def _ring_pairs(sets: DataFrame, n: int) -> DataFrame:
     """Pairs (u, v) of sets whose fingerprints pigeonring filtering links, or that have the same one."""
-    prints = cut(sets.groupBy("fp").agg(F.min("key").alias("first")))
-    near = near_links(prints.select("fp"), rows=prints.count())
-    linked = near.join(prints.toDF("u", "a"), "u").join(prints.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return linked.unionByName(sets.join(prints, "fp").select(F.col("first").alias("u"), F.col("key").alias("v")))
+    prints = cut(sets.groupBy("fp").agg(F.min("key").alias("first")), n)
+    near = near_links(prints.select("fp"), rows=n)
+    linked = join_counted(join_counted(near, prints.toDF("u", "a"), "u", "inner", rows=n), prints.toDF("v", "b"), "v", "inner", rows=n)
+    same = join_counted(sets, prints, "fp", "inner", rows=n).where("first <> key")
+    return linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same.select(F.col("first").alias("u"), F.col("key").alias("v")))
 
 
 def _may_be(m: str, n: str, a: str, b: str) -> Column:
@@ -141,30 +145,38 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
     similar sets have one of their first n - ceil(0.8 n) + 1 shingles in common. Frequent
     shingles stand last in that order, so those of common lines are seldom among the first.
     Compared first are what pigeonring filtering links, and the sets that have such a shingle
-    in common with the least and the greatest of them; then, where that leaves more than one
-    group, pairs of different groups whose fingerprints are near. So a group of near
-    copies isn't paired up. Every pair is verified by its texts.
+    in common with those two of them in whose order it stands first and last; then, where that leaves more than one
+    group, pairs of different groups whose fingerprints are near and that have enough
+    shingles left from that one on (positional filtering: what is rare stands first, so a
+    common passage alone doesn't make a pair). So neither a group of near copies nor the texts
+    around a passage are paired up. Every pair is verified by its texts.
     """
-    keyed = prefixes.select(F.explode("prefix").alias("s"), "key")
-    shared = cut(keyed.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi"))
-    many = cut(join_counted(keyed, shared, "s", "inner").distinct())
-    of = cut(sets.select("key", "size", "fp"))
-    described = lambda pairs: pairs.join(of.toDF("u", "m", "a"), "u").join(of.toDF("v", "n", "b"), "v")
-    stars = many.select(F.explode(F.array("lo", "hi")).alias("u"), F.col("key").alias("v")).unionByName(_ring_pairs(sets))
-    stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    tried = cut(described(stars).where(_may_be("m", "n", "a", "b")).select("u", "v"))
+    n = sets.count()
+    keyed = prefixes.select(F.posexplode("prefix").alias("at", "s"), "key")
+    shared = cut(keyed.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("s"))
+    many = cut(join_counted(keyed, shared, "s", "inner").select("s", "key", "at").distinct())
+    # where s stands first, the fewest shingles are a set's own: such a set is the middle of its near copies
+    middle = cut(many.groupBy("s").agg(F.min(F.struct("at", "key")).getField("key").alias("lo"), F.max(F.struct("at", "key")).getField("key").alias("hi")))
+    of = cut(sets.select("key", "size", "fp"), n)
+    stars = join_counted(many, middle, "s", "inner").select(F.explode(F.array("lo", "hi")).alias("u"), F.col("key").alias("v")).unionByName(_ring_pairs(sets, n))
+    stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    described = join_counted(join_counted(stars, of.toDF("u", "m", "a"), "u", "inner", rows=n), of.toDF("v", "n", "b"), "v", "inner", rows=n)
+    tried = cut(described.where(_may_be("m", "n", "a", "b")).select("u", "v").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         return cut(_verified(pairs, cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()))))
 
     found = verified(tried)
-    rooted = many.select("s", "key").join(components(found).toDF("key", "root"), "key", "left")
-    rooted = cut(rooted.select("s", "key", F.coalesce("root", "key").alias("root")))
-    parted = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
-    left = cut(rooted.join(parted, "s").join(of, "key"))
-    one, other = left.toDF("u", "s", "u_root", "m", "a"), left.toDF("v", "s", "v_root", "n", "b")
-    rest = one.join(other, "s").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & _may_be("m", "n", "a", "b")).select("u", "v").distinct()
-    return found.unionByName(verified(cut(rest.join(tried, ["u", "v"], "left_anti"))))
+    roots = cut(components(found, found.count()).toDF("key", "root"))
+    rooted = cut(join_counted(many.select("s", "key", "at"), roots, "key").select("s", "key", "at", F.coalesce("root", "key").alias("root")))
+    parted = cut(rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s"))
+    left = cut(join_counted(join_counted(rooted, parted, "s", "inner"), of, "key", "inner", rows=n))
+    one, other = left.toDF("u", "s", "u_at", "u_root", "m", "a"), left.toDF("v", "s", "v_at", "v_root", "n", "b")
+    # what two sets have in common from their first common shingle on is no more than either has left there
+    enough = (WHOLE + PART) * F.least(F.col("m") - F.col("u_at"), F.col("n") - F.col("v_at")) >= PART * (F.col("m") + F.col("n"))
+    rest = one.join(other, "s").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & enough & _may_be("m", "n", "a", "b")).select("u", "v").distinct()
+    rest = cut(join_counted(rest, tried, ["u", "v"], "left_anti"))
+    return found if rest.isEmpty() else found.unionByName(verified(rest))
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -178,10 +190,11 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         found = join_counted(mine, wanted, (F.col("h") == F.col("own")) & F.col("id").eqNullSafe(F.col("of")), "inner")
         return found.groupBy("key").agg(F.min("text").alias("text"))
 
-    roots = components(links(rows.select("key", "prefix"), sets, texts_of)).toDF("key", "root")
-    rooted = cut(sets.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return rows.select("id", "h", "key").join(named, "key").select("id", "h", "root", "component_id")
+    found = cut(links(rows.select("key", "prefix"), sets, texts_of))
+    roots = cut(components(found, found.count()).toDF("key", "root"))
+    rooted = cut(join_counted(sets.select("key", "least"), roots, "key").withColumn("root", F.coalesce("root", "key")))
+    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "root", "component_id"))
+    return join_counted(rows.select("id", "h", "key"), named, "key", "inner").select("id", "h", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
