@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -132,9 +133,9 @@ def test_odd_rows(spark, tokenizer):
 
 
 def test_whole_text_tokenizers_can_be_used(spark):
-    byte = Tokenizer.from_file(queries.BYTE_BPE)
+    byte = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [(1, "Two  spaces\n\n and CASE"), (2, None)]
-    got = {r.doc_id: np.frombuffer(r.ids, dtype="<u4").tolist() for r in packing.pack_documents(table(spark, rows), queries.BYTE_BPE, end_id=queries.BYTE_BPE_IDS, per_word=False).collect()}
+    got = {r.doc_id: np.frombuffer(r.ids, dtype="<u4").tolist() for r in packing.pack_documents(table(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), end_id=queries.BYTE_BPE_IDS, per_word=False).collect()}
     assert got == {1: [*byte.encode(rows[0][1]).ids, queries.BYTE_BPE_IDS], 2: [queries.BYTE_BPE_IDS]}
 
 
