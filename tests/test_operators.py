@@ -90,7 +90,7 @@ def test_a_cluster_has_to_name_its_shared_folder():
     for master in ("local", "local[*]", "local[8]"):
         assert scratch.scratch_dir(Session(master, None)).startswith(f"{scratch.LOCAL_CHECKPOINTS}/turnstone-")
     for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
-        with pytest.raises(ValueError, match="shared"):
+        with pytest.raises(ValueError, match="cluster shares"):
             scratch.scratch_dir(Session(master, None))
         assert scratch.scratch_dir(Session(master, "hdfs://host/tmp/")).startswith("hdfs://host/tmp/turnstone-")
 
