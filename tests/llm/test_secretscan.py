@@ -1,0 +1,153 @@
+"""Base spans against the patterns taken literally, the lexer on known assignments, and odd rows."""
+
+import hashlib
+import random
+import re
+import time
+
+import pytest
+
+from turnstone.llm import queries, secretscan
+
+BASE = [
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", r"AKIA[A-Z0-9]+"),
+    ("hex", r"[0-9a-f]+"),
+]
+
+
+def brute(text):
+    """The patterns as they are stated, each match judged after it was made."""
+    found = []
+    for rank, (kind, pattern) in enumerate(BASE):
+        for m in re.finditer(pattern, text, re.I | re.A if kind == "assign" else 0):
+            n = {"assign": lambda: len(m[2]) >= 12, "access": lambda: len(m[0]) >= 18, "hex": lambda: len(m[0]) >= 16}[kind]()
+            found += [(m.start(), rank, m.end())] * n
+    return sorted(found)
+
+
+def test_base_spans():
+    rng = random.Random(4)
+    bits = ["password", "PassWD", "ſecret", "token", "apikey", "API_KEY", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAKIA", "ABC123", "a1", "deadbeef", "é", "\n", "x", "0", "=", "-_", "K"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        assert secretscan.base_spans(text) == brute(text)
+
+
+SECRETS = [
+    ('db_password = "hunter2x"', "hunter2x"),
+    ('"client_secret": "Zx8-kPq2-9Lm"', "Zx8-kPq2-9Lm"),
+    ("{'credentials': 'abC123defG'}", "abC123defG"),
+    ('const accessKey: string = "Q9z.8xK!2mv";', "Q9z.8xK!2mv"),
+    ('String passphrase = "tr0ub4dor&3";', "tr0ub4dor&3"),
+    ('self.api_key: str = "k1-93ba"', "k1-93ba"),
+    ('config["private_key"] = "p8Tq02ndkz"', "p8Tq02ndkz"),
+    ("$this->secret = 'u7#kk21zz';", "u7#kk21zz"),
+    ("export DB_PWD=s3cr3t!9\n", "s3cr3t!9"),
+    ("  pwd: abc99zzz   # the old one\nnext: 1", "abc99zzz"),
+    ("url = postgres://admin:pa55w0rd9@db.host/x", "pa55w0rd9"),
+    ("<Password>pl41ntext!</Password>", "pl41ntext!"),
+    ('<add key="ApiSecret" value="zz91#qqpw" />', "zz91#qqpw"),
+    ("mysql --user root --password 9fj2kfl0 db", "9fj2kfl0"),
+    ("Authorization: Bearer eyJhbGciOi.J9x-_2", "eyJhbGciOi.J9x-_2"),
+    ('base = "s9f8s7df6"\nsecret_value = base\n', "s9f8s7df6"),
+    ('signing_key = part\nx = 1\npart = "q8w7e6r5t4"', "q8w7e6r5t4"),
+    ('a = "q1w2e3r4t5"\nb = a\nc = b\npassword = c', "q1w2e3r4t5"),
+    ("BASE=n0tAplainW0rd\nAPI_TOKEN=${BASE}\n", "n0tAplainW0rd"),
+    ('token = decode("c2VjcmV0MQ")', "c2VjcmV0MQ"),
+    ('secret = ("ab12cd34" +\n  "ef56gh78")', "ab12cd34"),
+    ('secret = ("ab12cd34" +\n  "ef56gh78")', "ef56gh78"),
+    ('password := "gO-1.l4ng"', "gO-1.l4ng"),
+    (":password => 'rub9y-pw'", "rub9y-pw"),
+    ('token = os.getenv("TOKEN", "d3fault-tk9")', "d3fault-tk9"),
+]
+HARMLESS = [
+    'password = ""',
+    'password = "changeme"',
+    "password = your-password-1",
+    'secret = "${VAULT_SECRET_1}"',
+    'token_count = "123456789012"',
+    "max_tokens: 4096000\n",
+    'password_file = "/etc/secrets/pw1.txt"',
+    'token_url = "https://host/oauth2/token1"',
+    'secret = "a secret with 7 words in it, as prose has"',
+    "The secret: he had 2 of them.",
+    "password: correct",
+    "note: it's 7 o'clock = 19h, isn't it?",
+    'title = "abc123def456"',
+    "if token == 'abc123xyz9': pass",
+    "author: K4tharina99\n",
+    'a = "q1w2e3r4t5"\nb = a\n',
+    "token: next_token\n",
+]
+
+
+def literals(text):
+    found = secretscan.flows(text)
+    return {text[b:e] for b, e in found}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    texts = [t for t, _ in SECRETS] + HARMLESS
+    rows = secretscan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return {r.doc_id: (r.base, [(texts[r.doc_id][s.start : s.end], s.target) for s in r.spans]) for r in rows}
+
+
+@pytest.mark.parametrize("k", range(len(SECRETS)))
+def test_secrets_are_found(found, k):
+    text, secret = SECRETS[k]
+    assert any(secret in s for s, _ in found[k][1]), (text, found[k])
+
+
+@pytest.mark.parametrize("k", range(len(HARMLESS)))
+def test_harmless_texts_are_left_alone(found, k):
+    base, spans = found[len(SECRETS) + k]
+    assert len(spans) == len(base), (HARMLESS[k], spans)
+
+
+def test_targets_and_one_span_for_each_literal():
+    flows = secretscan.flows('seed = "abc123"\nsession = seed\nthe_password = seed\n')
+    assert flows == {(8, 14): ("the_password", 3)}
+    assert secretscan.flows("a = b\nb = a\npassword = a\n") == {}
+    assert secretscan.sensitivity("refreshTokenURL") == 0 and secretscan.sensitivity("refreshToken") == 3 and secretscan.sensitivity("keyboard") == 0
+
+
+def test_literals_beside_base_spans_are_added_and_others_stay(spark):
+    text = 'é token = "0123456789abcdef0123" pwd = "x9y8z7w6"\n'
+    (r,) = secretscan.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert [(text[s.start : s.end], secretscan.KINDS[s.kind]) for s in r.base] == [('token = "0123456789abcdef0123', "assign"), ("0123456789abcdef0123", "hex")]
+    assert [(text[s.start : s.end], secretscan.KINDS[s.kind]) for s in r.spans][2:] == [("x9y8z7w6", "literal")] and r.spans[:2] == r.base
+
+
+def listed(spans):
+    return ",".join(f"{BASE[k][0]}:{s}:{e}" for s, k, e in spans)
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    long = "some words and token = 0123456789abcdef01 " * 40_000
+    rows = [(1, None), (2, ""), (None, "passwd: 0123456789ab"), (3, long), (3, long), (4, "AKIA" + "Z9" * 10)]
+    table = spark.createDataFrame([(i, t, "s", 1, "x", [2]) for i, t in rows], "doc_id bigint, text string, source string, base int, spans string, _s array<int>")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    out = sorted(map(tuple, queries.op13_secret_scan(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()), key=str)
+    want = []
+    for i, t in rows:
+        spans = brute(t or "")
+        n = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
+        want.append((i, *n, hashlib.sha256(listed(spans).encode()).hexdigest(), listed(spans)))
+    assert out == sorted(want, key=str)
+    assert secretscan.scan(table.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("bit", ["a.", "a->", "a-", "a::", "x = (", "x = y + ", '"', "'", '\\"', "a:", "://", "<a>", "-- ", "a=f(", "password=", "a b ", "=", "key=", " ", "${", "{{ ", "a[0]."])
+def test_time_grows_with_the_text(bit):
+    """Nothing goes over a text again and again, whatever stands in it."""
+
+    def took(n):
+        began = time.process_time()
+        secretscan.base_spans(bit * n)
+        secretscan.flows(bit * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(160_000) < 0.5 + 30 * took(16_000)

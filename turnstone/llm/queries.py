@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, kdtree, langid, mixing, packing, quality, sharding, simhash, warc
+from . import balltree, chat, html, interaction, kdtree, langid, mixing, packing, quality, secretscan, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +76,56 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_formatting, op3_rendezvous_sharding, op4_mixing, op5_html_extraction, op6_warc, op7_language_id, op8_quality_rules, op9_kd_tree_search, op10_packing)}
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(interaction.flagged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op12_ball_tree_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secretscan.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secretscan.listed(F.col("base")), 256).alias("base_sha256"), secretscan.listed(F.col("spans")).alias("spans"))
+
+
+_REGISTERED = (
+    op1_simhash_near_dedup,
+    op2_chat_formatting,
+    op3_rendezvous_sharding,
+    op4_mixing,
+    op5_html_extraction,
+    op6_warc,
+    op7_language_id,
+    op8_quality_rules,
+    op9_kd_tree_search,
+    op10_packing,
+    op11_filter_interaction,
+    op12_ball_tree_clustering,
+    op13_secret_scan,
+)
+QUERIES = {f.__name__: f for f in _REGISTERED}
 
 #: Control strings get a backslash after their first character, however many they have there.
 _ESC = r"""regexp_replace(regexp_replace({0}, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"""
+
+
+def _rounds(n: int) -> str:
+    """SQL for n rounds of clustering: centroids c1 .. cn from c0 and the vectors ok, and each one's nearest, a0 .. an (from 0)."""
+    out = []
+    for k in range(n + 1):
+        out.append(f"""a{k} AS MATERIALIZED (
+            SELECT vec_id, v, CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS c, list_min(ds) AS d
+            FROM (SELECT vec_id, v, list_transform(cs, lambda w: list_sum(list_transform(range(1, 65), lambda i: (w[i] - v[i]) * (w[i] - v[i])))) AS ds FROM ok, (SELECT list(v ORDER BY c) AS cs FROM c{k})))""")
+        if k < n:
+            out.append(f"""c{k + 1} AS MATERIALIZED (
+            SELECT old.c, coalesce(moved.v, old.v) AS v FROM c{k} old LEFT JOIN (
+                SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+                FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c) moved USING (c))""")
+    return ", ".join(out)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": f"""
         WITH t AS (
@@ -127,4 +173,44 @@ ORACLE_SQL: dict[str, str] = {
             FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored QUALIFY rank <= 5""",
+    "op11_filter_interaction": r"""
+        WITH l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a, l b, l c, l d, l e
+            WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        named AS (
+            SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        t AS (
+            SELECT d.doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM documents d LEFT JOIN named USING (doc_id)),
+        flags AS (
+            SELECT part, good, toxic, CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+            FROM t),
+        firsts AS (
+            SELECT part, good, toxic, fails, filter_order, list_min(list_transform(range(5), lambda k: CASE WHEN contains(fails, filter_order[k + 1]) THEN k ELSE 5 END)) + 1 AS first
+            FROM flags, orders),
+        steps AS (SELECT *, unnest(range(1, 6)) AS step FROM firsts),
+        counted AS (
+            SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f,
+                   count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+                   count(*) FILTER (first < step AND contains(fails, filter_order[step])) AS redundant,
+                   count(*) FILTER (fails = filter_order[step]) AS unique_fails,
+                   count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+            FROM steps GROUP BY ALL)
+        SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM counted""",
+    "op12_ball_tree_clustering": f"""
+        WITH ok AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+            FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, v FROM ok WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 40)),
+        {_rounds(5)}
+        SELECT vec_id, a5.c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a5.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(c5.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+        FROM a5 JOIN c5 ON a5.c = c5.c""",
 }
