@@ -44,9 +44,10 @@ def test_every_line_with_number_offset_and_status(spark, folder):
 def test_batches_of_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lines, "BATCH_LINES", 7)
     (tmp_path / "x").write_text("".join(f"line {k}\n" for k in range(50)))
-    span = lines.LinesReader(str(tmp_path)).partitions()
-    assert len(span) == 1
-    rows = [r for b in lines.read_span(str(tmp_path), span[0]) for r in b.to_pylist()]
+    reader = lines.LinesReader(str(tmp_path))
+    (task,) = reader.partitions()
+    assert [len(b) for b in reader.read(task)] == [7] * 7 + [1]
+    rows = [r for b in reader.read(task) for r in b.to_pylist()]
     assert [(r["line_no"], r["value"]) for r in rows] == [(k, f"line {k}") for k in range(50)]
 
 
@@ -152,22 +153,131 @@ def test_growing_files_give_each_line_once(spark, tmp_path):
     assert sorted((r.source_file[-1], r.line_no, r.byte_offset, r.value) for r in rows) == [("a", 0, 0, '{"id":1}'), ("a", 1, 9, '{"id":2}'), ("a", 2, 18, '{"id":3}'), ("b", 0, 0, '{"id":9}')]
 
 
-def test_a_stream_counts_each_byte_once_and_reads_in_ranges(tmp_path, monkeypatch):
-    log = tmp_path / "a"
-    log.write_bytes(b"".join(b"line %d\n" % k for k in range(100)) + b"cut")
+def read_all(reader, start, end):
+    return sorted((r["source_file"], r["byte_offset"], r["value"]) for t in reader.partitions(start, end) for b in reader.read(t) for r in b.to_pylist())
+
+
+@pytest.mark.parametrize("limit", [1, 3, 10, 64, 5000])
+def test_batches_of_bytes_give_each_line_once(tmp_path, limit):
+    """Wherever batches and ranges are cut, a line comes with the batch that has its line end."""
+    logs, own = tmp_path / "logs", str(tmp_path / "progress")
+    logs.mkdir()
+    texts = {"a": b"\xef\xbb\xbfone\r\n\n\ntwo\nthree is longer than a range\n\nend", "b": b"\n", "c": b"no end", "d": b"x\ny\n", "e": b""}
+    for name, text in texts.items():
+        (logs / name).write_bytes(text)
+    reader, start, found, steps = lines.GrowingReader(str(logs), 5, 3, limit, own), {}, [], 0
+    while (end := reader.latestOffset()) != start:
+        assert sum(end.values()) - sum(start.values()) <= max(limit, len(texts))
+        found += read_all(reader, start, end)
+        start, steps = end, steps + 1
+        if steps % 3 == 0:  # a restart
+            reader = lines.GrowingReader(str(logs), 5, 3, limit, own)
+    want = []
+    for name, text in texts.items():
+        at = 0
+        for raw in text.splitlines(keepends=True):
+            if raw.endswith(b"\n"):
+                want.append((str(logs / name), at, raw.decode("utf-8-sig" if not at else "utf-8").rstrip("\r\n")))
+            at += len(raw)
+    assert sorted(found) == sorted(want) and (steps > 3 or limit > 10)
+    with (logs / "c").open("ab") as f:
+        f.write(b" yet\n")
+    found = []
+    while (end := reader.latestOffset()) != start:
+        found += read_all(reader, start, end)
+        start = end
+    assert found == [(str(logs / "c"), 0, "no end yet")]
+
+
+def test_planning_a_stream_opens_no_file(tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(b"line\n" * 1000)
+    (tmp_path / "b.gz").write_bytes(b"compressed files aren't followed")
+    monkeypatch.setattr(lines, "started", None)
+    monkeypatch.setattr(lines, "ended", None)
     reader = lines.GrowingReader(str(tmp_path), most=64)
-    one = reader.latestOffset()
-    assert one == {str(log): [790, 100]}
-    rows = [r for s in reader.partitions({}, one) for b in reader.read(s) for r in b.to_pylist()]
-    assert [(r["line_no"], r["value"]) for r in rows] == [(k, f"line {k}") for k in range(100)] and len(reader.partitions({}, one)) > 10
-    with log.open("ab") as f:
-        f.write(b" off\nlast\n")
-    asked, plain = [], lines.GrowingReader._whole
-    monkeypatch.setattr(lines.GrowingReader, "_whole", lambda self, fs, info, begin, n: asked.append((begin, n)) or plain(self, fs, info, begin, n))
-    two = reader.latestOffset()
-    assert asked == [(790, 100)] and two == {str(log): [803, 102]}
-    assert [(r["line_no"], r["byte_offset"], r["value"]) for s in reader.partitions(one, two) for b in reader.read(s) for r in b.to_pylist()] == [(100, 790, "cut off"), (101, 798, "last")]
-    assert lines.GrowingReader(str(tmp_path)).latestOffset() == two  # after a restart
+    assert reader.latestOffset() == {str(tmp_path / "a"): 5000}
+    assert len([x for t in reader.partitions({}, reader.latestOffset()) for x in t.spans]) == 79
+    with pytest.raises(ValueError):
+        reader.partitions({str(tmp_path / "a"): 10}, {str(tmp_path / "a"): 5})
+    with pytest.raises(ValueError):
+        lines.GrowingReader(str(tmp_path), limit=10)
+
+
+def test_a_backlog_in_batches_with_restarts(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    want = []
+
+    def grow(name, first, last):
+        with (logs / name).open("a") as f:
+            for k in range(first, last):
+                f.write(f"{name} line {k}\n")
+                want.append((name, k, f"{name} line {k}"))
+
+    def run():
+        rows = follow.growing_files(spark, str(logs), batch_bytes=2000, progress=str(tmp_path / "progress"), range_bytes=300)
+        return follow.caught_up(rows, str(tmp_path / "sink"), str(tmp_path / "ckpt"))
+
+    grow("a", 0, 300)
+    grow("b", 0, 20)
+    assert len(run()) >= 2
+    grow("a", 300, 420)
+    grow("c", 0, 5)
+    run()
+    found = [(r.source_file.rpartition("/")[2], r.line_no, r.value) for r in spark.read.parquet(str(tmp_path / "sink")).collect()]
+    assert sorted(found) == sorted(want)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for k in range(1000):
+        (tmp_path / f"d{k % 10}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 10}" / f"{k}.jsonl").write_text(f'{{"id":{k}}}\n\n')
+    tasks = lines.LinesReader(str(tmp_path), tasks=8).partitions()
+    assert 8 <= len(tasks) <= 10 and sum(len(t.spans) for t in tasks) == 1000
+    assert max(len(t.spans) for t in tasks) <= 1.3 * 1000 / 8
+    rows = lines.read_lines(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    found = rows.collect()
+    assert sorted((r.source_file.rpartition("/")[2], r.line_no, r.value) for r in found) == sorted((f"{k}.jsonl", n, v) for k in range(1000) for n, v in ((0, f'{{"id":{k}}}'), (1, "")))
+
+
+def test_packing():
+    spans = [(lines.Span(str(k)), n) for k, n in enumerate([900, 500, 400, 100, 90, 10, 0])]
+    fit = lambda most, tasks: sorted(sorted(int(x.path) for x in t.spans) for t in lines.packed(spans, most, tasks))
+    assert sorted(x for t in fit(1 << 30, 2) for x in t) == list(range(7)) and len(fit(1 << 30, 2)) <= 3
+    assert fit(1 << 30, 1) == [list(range(7))]
+    large = [(lines.Span(str(k)), 64 << 20) for k in range(5)]
+    assert len(lines.packed(large, 64 << 20, 2)) == 5 and lines.packed([], 10, 3) == []
+
+
+def test_listing_by_executors(spark, tmp_path):
+    for k in range(40):
+        deep = tmp_path / f"d{k}" / ("_not" if k % 10 == 3 else "sub")
+        deep.mkdir(parents=True)
+        (deep / f"{k}").write_text("x" * k)
+        (tmp_path / f"d{k}" / ".hidden").write_text("no")
+    (tmp_path / "top").write_text("abc")
+    want = sorted((x.path, x.size) for x in lines.listed(str(tmp_path)))
+    assert len(want) == 37
+    for wide in (1, 5, 1000):
+        assert sorted(map(tuple, lines.listing(spark, str(tmp_path), wide).collect())) == want
+    assert lines.listing(spark, str(tmp_path / "top")).collect() == [(str(tmp_path / "top"), 3)]
+
+
+def test_compressed_files(spark, tmp_path):
+    import bz2
+    import gzip
+
+    import zstandard
+
+    text = b"\xef\xbb\xbf" + b"".join(b'{"n":%d}\r\n' % k for k in range(3000)) + b"cut"
+    (tmp_path / "a.jsonl.gz").write_bytes(gzip.compress(text[:999]) + gzip.compress(text[999:]))  # two members
+    (tmp_path / "b.jsonl.bz2").write_bytes(bz2.compress(text))
+    (tmp_path / "c.jsonl.zst").write_bytes(zstandard.compress(text))
+    (tmp_path / "d.jsonl").write_bytes(text)
+    rows = lines.read_lines(spark, str(tmp_path), range_bytes=1000).collect()
+    of = lambda c: sorted((r.line_no, r.byte_offset, r.value, r.status) for r in rows if r.source_file.rpartition("/")[2][0] == c)
+    assert of("d") == of("a") == of("b") == of("c") and len(of("d")) == 3001 and of("d")[-1][3] == "malformed"
 
 
 def test_windowed_counts_as_a_stream(spark, tmp_path):

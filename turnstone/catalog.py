@@ -331,18 +331,35 @@ FOLDERS = """lined AS (
         FROM lined WINDOW w AS (PARTITION BY folder ORDER BY conv_id, turn))"""
 
 
-def _in_folders(spark, sf_dir) -> str:
+def _in_folders(spark, sf_dir, folder: str = "conv_id % 8", compression: str = "none") -> str:
     path = scratch_dir(spark)
-    folder = (F.col("conv_id") % 8).cast("int").alias("folder")
-    rows = turns_of(spark, sf_dir).select(folder, "conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("value"))
-    rows.repartition(8, "folder").sortWithinPartitions("folder", "conv_id", "turn").select("folder", "value").write.partitionBy("folder").text(path)
+    rows = turns_of(spark, sf_dir).select(F.expr(f"CAST({folder} AS INT) AS folder"), "conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("value"))
+    rows.repartition(8, "folder").sortWithinPartitions("folder", "conv_id", "turn").select("folder", "value").write.partitionBy("folder").option("compression", compression).text(path)
     return path
 
 
+def _with_folder(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("folder", F.regexp_extract("source_file", "folder=([0-9]+)", 1).cast("int")).drop("source_file")
+
+
 @query(f"WITH {FOLDERS} SELECT folder, line_no, byte_offset, value, 'ok' AS status FROM numbered")
 def s1_numbered_lines(spark, sf_dir):
-    rows = lines.read_lines(spark, _in_folders(spark, sf_dir), range_bytes=4096)
-    return rows.withColumn("folder", F.regexp_extract("source_file", "folder=([0-9]+)", 1).cast("int")).drop("source_file")
+    return _with_folder(lines.read_lines(spark, _in_folders(spark, sf_dir), range_bytes=4096))
+
+
+# A compressed file for each conversation: many small ones, which share tasks.
+@query(f"""WITH {FOLDERS.replace("CAST(conv_id % 8 AS INTEGER)", "CAST(conv_id AS INTEGER)")} SELECT folder, line_no, byte_offset, value, 'ok' AS status FROM numbered""")
+def s1_small_files(spark, sf_dir):
+    return _with_folder(lines.read_lines(spark, _in_folders(spark, sf_dir, "conv_id", "gzip")))
+
+
+# What has been appended to eight files, taken in four batches or more.
+@query(f"WITH {FOLDERS} SELECT folder, line_no, byte_offset, value, 'ok' AS status FROM numbered")
+def x6_backlog(spark, sf_dir):
+    path, sink = _in_folders(spark, sf_dir), scratch_dir(spark)
+    size = lines.listing(spark, path).agg(F.sum("size")).first()[0] or 0
+    follow.caught_up(follow.growing_files(spark, path, batch_bytes=size // 4 + 1, progress=scratch_dir(spark)), sink, scratch_dir(spark))
+    return _with_folder(spark.read.parquet(sink))
 
 
 @query(f"WITH {FOLDERS} SELECT line_no, byte_offset, value FROM numbered WHERE folder = 3 AND line_no = 5")
@@ -362,30 +379,32 @@ def f6_line_status(spark, sf_dir):
     return turns_of(spark, sf_dir).select(lines.line_status(value).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-# A file with a byte-order mark, both kinds of line ends, blank lines, bytes that are no UTF-8, and no line end at last.
+# The turns as broken lines, in eight folders of a file each, which begin with a byte-order mark. Bytes that are no UTF-8 stand as ~ in the SQL, which has only their number.
 TRAPS = [
-    (b'\xef\xbb\xbf{"id":"r0"}\r\n', "ok"),
-    (b"\n", "blank"),
-    (b"\t \r\n", "blank"),
-    (b'{"id":"r1","n":12345678901234567890123}\n', "ok"),
-    (b'{"id":"r2","parent":"r1"\n', "malformed"),
-    (b'{"id":"r3","id":"r3b"}\n', "duplicate_key"),
-    (b'{"id":"r4","Id":"x"}\n', "ok"),
-    (b"42\n", "non_object"),
-    (b"[1, 2]\r\n", "non_object"),
-    (b"\xff\xfe{\n", "malformed"),
-    (b'{"id":"\xff"}\n', "ok"),
-    (b'{"id":"r5"}', "ok"),
+    ("concat('{\"id\":', turn, '}', chr(13))", "ok"),
+    ("''", "blank"),
+    ("concat(chr(9), ' ', chr(13))", "blank"),
+    ("concat('{\"id\":', turn)", "malformed"),
+    ("""'{"id":"a","id":"b"}'""", "duplicate_key"),
+    ("concat('[', turn, ']')", "non_object"),
+    ("concat('~~{', turn)", "malformed"),
+    ("""concat('{"id":"~', turn, '"}')""", "ok"),
 ]
+TRAP = "CASE turn % 8 " + " ".join(f"WHEN {k} THEN {v}" for k, (v, _) in enumerate(TRAPS)) + " END"
+TRAP_STATUS = "CASE turn % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, (_, x) in enumerate(TRAPS)) + " END"
 
 
-@query("SELECT CAST(line_no AS BIGINT) AS line_no, CAST(byte_offset AS BIGINT) AS byte_offset, status FROM (VALUES " + ", ".join(f"({k}, {sum(len(x) for x, _ in TRAPS[:k])}, '{s}')" for k, (_, s) in enumerate(TRAPS)) + ") AS t(line_no, byte_offset, status)")
+@query(f"""
+    WITH t AS (SELECT CAST(conv_id % 8 AS INTEGER) AS folder, conv_id, turn, {TRAP} AS v, {TRAP_STATUS} AS status FROM conversations),
+    n AS (SELECT *, row_number() OVER w - 1 AS line_no, CAST(coalesce(sum(strlen(v) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS upto FROM t WINDOW w AS (PARTITION BY folder ORDER BY conv_id, turn))
+    SELECT folder, line_no, CASE WHEN line_no > 0 THEN upto + 3 ELSE 0 END AS byte_offset, status FROM n""")
 def f6_trap_lines(spark, sf_dir):
-    fs, root = lines.opened(path := scratch_dir(spark))
-    fs.create_dir(root)
-    with fs.open_output_stream(f"{root}/traps.jsonl") as out:
-        out.write(b"".join(x for x, _ in TRAPS))
-    return lines.read_lines(spark, path, range_bytes=30).select("line_no", "byte_offset", "status")
+    path, bad = scratch_dir(spark), F.unhex(F.lit("FF")).cast("string")
+    rows = turns_of(spark, sf_dir).select((F.col("conv_id") % 8).cast("int").alias("folder"), "conv_id", "turn", F.replace(F.expr(TRAP), F.lit("~"), bad).alias("value"))
+    first = rows.groupBy("folder").agg(F.min(F.struct("conv_id", "turn")).alias("f"))
+    marked = rows.join(F.broadcast(first), "folder").withColumn("value", F.when((F.col("conv_id") == F.col("f.conv_id")) & (F.col("turn") == F.col("f.turn")), F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value")))
+    marked.repartition(8, "folder").sortWithinPartitions("folder", "conv_id", "turn").select("folder", "value").write.partitionBy("folder").text(path)
+    return _with_folder(lines.read_lines(spark, path, range_bytes=300)).select("folder", "line_no", "byte_offset", "status")
 
 
 @query("""

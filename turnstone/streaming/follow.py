@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from turnstone.sources.lines import LinesSource, line_status
+from turnstone.sources.lines import RANGE_BYTES, LinesSource, line_status
 
 
 def new_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -14,10 +18,29 @@ def new_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> Da
     return lines.select(F.col("_metadata.file_path").alias("source_file"), "value").withColumn("status", line_status(F.col("value")))
 
 
-def growing_files(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of files in a folder as they are appended, each once, with number and offset."""
+def _numbered(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The lines of a file that a batch has, numbered on from those before, whose number is the state."""
+    rows = pd.concat(list(parts)).sort_values("byte_offset")
+    before = state.get[0] if state.exists else 0
+    state.update((before + len(rows),))
+    yield rows.assign(line_no=range(before, before + len(rows)))[["source_file", "line_no", "byte_offset", "value"]]
+
+
+def growing_files(spark: SparkSession, path: str, batch_bytes: int | None = None, progress: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The lines of files in a folder as they are appended, each once, with number and offset.
+
+    A line comes once its line end is there. With batch_bytes (and progress, a folder of the stream's
+    own, beside its checkpoint), a backlog is taken in batches of about so many bytes; else at once. Files
+    are numbered by keyed state, the count of each one's lines: so the lines of one file in one batch
+    are one task's work, bounded by batch_bytes, and neither the driver nor a restart reads a file again.
+    """
     spark.dataSource.register(LinesSource)
-    return spark.readStream.format("lines").option("path", path).load().drop("range_begin").withColumn("status", line_status(F.col("value")))
+    limits = {} if batch_bytes is None else {"limit": batch_bytes, "progress": progress}
+    rows = spark.readStream.format("lines").options(path=path, range_bytes=range_bytes, tasks=spark.sparkContext.defaultParallelism, **limits).load()
+    numbered = rows.select("source_file", "byte_offset", "value").groupBy("source_file").applyInPandasWithState(
+        _numbered, "source_file string, line_no bigint, byte_offset bigint, value string", "lines bigint", "append", GroupStateTimeout.NoTimeout
+    )
+    return numbered.withColumn("status", line_status(F.col("value")))
 
 
 def drained(rows: DataFrame, sink: str, checkpoint: str) -> None:
@@ -25,6 +48,16 @@ def drained(rows: DataFrame, sink: str, checkpoint: str) -> None:
     rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()
 
 
+def caught_up(rows: DataFrame, sink: str, checkpoint: str) -> list[int]:
+    """drained() for sources that bound their batches: batches go on until nothing new is left. How many rows each has had."""
+    query = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).start(sink)
+    try:
+        query.processAllAvailable()
+        return [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    finally:
+        query.stop()
+
+
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Events by type and window, in the type of their timestamps; state for windows older than `late` is dropped."""
     kind = events.schema["ts"].dataType
