@@ -1,0 +1,72 @@
+"""Diffs of sequences against a longest common subsequence by brute force, and known edits."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from turnstone.operators import alignment
+
+
+def lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_different_elements_match_as_a_longest_common_subsequence(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        a = rng.sample(range(40), rng.randrange(30))
+        b = rng.sample(range(40), rng.randrange(30)) if rng.random() < 0.5 else sorted(a, key=lambda x: (a.index(x) + rng.randrange(6)))
+        pairs = alignment.matched(a, b)
+        assert len(pairs) == lcs(a, b)
+        assert all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdef", "abcdefghijklmnop"])
+def test_repeated_elements(letters):
+    rng = random.Random(len(letters))
+    got = most = 0
+    for _ in range(300):
+        a = [rng.choice(letters) for _ in range(rng.randrange(25))]
+        b = [x for x in a if rng.random() < 0.8] + [rng.choice(letters)] * rng.randrange(3) if rng.random() < 0.7 else [rng.choice(letters) for _ in range(rng.randrange(25))]
+        pairs = alignment.matched(a, b)
+        assert all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        got, most = got + len(pairs), most + lcs(a, b)
+        found = list(alignment.edits(a, b))
+        assert sorted(x for x, _, _ in found if x is not None) == list(range(len(a)))
+        assert sorted(y for _, y, _ in found if y is not None) == list(range(len(b)))
+        for x, y, kind in found:
+            assert {"same": lambda: a[x] == b[y], "moved": lambda: a[x] == b[y], "changed": lambda: a[x] != b[y], "removed": lambda: y is None, "added": lambda: x is None}[kind]()
+        # what is equal is never called removed or added on both sides
+        assert not {a[x] for x, y, k in found if k == "removed"} & {b[y] for x, y, k in found if k == "added"}
+    assert got >= 0.85 * most
+
+
+def test_deep_nesting_ends():
+    n = 300
+    a, b = [x for k in range(n) for x in (f"l{k}", "r")], [x for k in range(n) for x in ("r", f"l{k}")]
+    assert len(alignment.matched(a, b)) >= n
+
+
+OLD = "conv_id bigint, turn bigint, role string, text string, place int, key string"
+
+
+def test_shifts(spark):
+    row = lambda c, texts: [(c, k, "user", t, 1, "x") for k, t in enumerate(texts)]
+    old = row(1, "abcdef") + row(2, "xyz") + row(3, [None, ""]) + row(None, "pq") + row(5, "mm")
+    new = row(1, "aXcdfbe"[:5] + "b") + row(2, "wxyz") + row(3, ["", None]) + row(None, "q") + row(4, "n") + row(5, "mmm")
+    found = alignment.aligned(spark.createDataFrame(old, OLD), spark.createDataFrame(new, OLD)).collect()
+    got = Counter((r.conv_id, r.old_turn, r.new_turn, r.change) for r in found)
+    assert {k for k in got if k[0] == 1} == {(1, 0, 0, "same"), (1, 1, 5, "moved"), (1, None, 1, "added"), (1, 2, 2, "same"), (1, 3, 3, "same"), (1, 4, None, "removed"), (1, 5, 4, "same")}
+    assert {k for k in got if k[0] == 2} == {(2, None, 0, "added"), (2, 0, 1, "same"), (2, 1, 2, "same"), (2, 2, 3, "same")}
+    assert sorted(k[3] for k in got if k[0] == 3) == ["moved", "same"]
+    assert {k for k in got if k[0] is None} == {(None, 0, None, "removed"), (None, 1, 0, "same")}
+    assert {k for k in got if k[0] == 4} == {(4, None, 0, "added")}
+    assert sorted(k[3] for k in got if k[0] == 5) == ["added", "same", "same"]
+    none = spark.createDataFrame([], OLD)
+    assert alignment.aligned(none, none).count() == 0

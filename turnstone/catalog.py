@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as texts
-from turnstone.operators import inspecting, lineage, timeline
+from turnstone.operators import alignment, forest, inspecting, lineage, timeline
 from turnstone.plans.scratch import cut, scratch_dir
 from turnstone.sources import lines, records
 from turnstone.streaming import follow
@@ -449,6 +450,22 @@ def j5_version_diff(spark, sf_dir):
     return lineage.compared(turns.where("turn < 5"), turns.where("turn > 0").withColumn("text", edited))
 
 
+# Against a version without turn 1, with turn 3 changed, one put in after turn 4, and (of six or more) the last one first; its turns are ten times as far apart.
+@query("""
+    WITH t AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT conv_id, turn AS old_turn, CASE WHEN turn = 1 THEN NULL WHEN n >= 6 AND turn = n - 1 THEN -10 ELSE 10 * turn END AS new_turn,
+           CASE WHEN turn = 1 THEN 'removed' WHEN n >= 6 AND turn = n - 1 THEN 'moved' WHEN turn = 3 THEN 'changed' ELSE 'same' END AS change FROM t
+    UNION ALL SELECT conv_id, NULL, 45, 'added' FROM t WHERE turn = 4""")
+def j5_shifted_diff(spark, sf_dir):
+    turns = turns_of(spark, sf_dir).select("conv_id", "turn", "role", F.concat_ws("/", "text", "turn").alias("text"))
+    count = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    place = F.when((F.col("n") >= 6) & (F.col("turn") == F.col("n") - 1), -10).otherwise(10 * F.col("turn"))
+    text = F.when(F.col("turn") == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    kept = turns.join(count, "conv_id").where("turn <> 1").select("conv_id", place.alias("turn"), "role", text.alias("text"))
+    put_in = turns.where("turn = 4").select("conv_id", F.lit(45).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.lit("put in").alias("text"))
+    return alignment.aligned(turns, kept.unionByName(put_in))
+
+
 @query("""
     SELECT k.conv_id, k.turn, count(c.turn) AS kept_turns, CAST(coalesce(sum(length(c.text)), 0) AS BIGINT) AS kept_chars
     FROM conversations k LEFT JOIN conversations c ON c.conv_id = k.conv_id AND c.turn < k.turn WHERE k.role = 'user' GROUP BY k.conv_id, k.turn""")
@@ -513,6 +530,48 @@ def r5_cycles(spark, sf_dir):
     return lineage.lineage(knotted(spark, sf_dir), paths=False).where("is_cyclic").select("source", "record_id")
 
 
+# Every third conversation's root goes on from its last record, so that its way there is a cycle.
+@query(f"""
+    WITH RECURSIVE {FORKED}, ringed AS (
+        SELECT source, record_id, CASE WHEN source % 3 = 0 AND record_id = 0 THEN max(record_id) OVER (PARTITION BY source) ELSE parent_id END AS parent_id FROM forked),
+    walk AS (
+        SELECT source, record_id AS cycle, parent_id, [record_id] AS way FROM ringed
+        UNION ALL
+        SELECT w.source, w.cycle, r.parent_id, list_append(way, r.record_id) FROM walk w JOIN ringed r ON r.source = w.source AND r.record_id = w.parent_id WHERE NOT list_contains(way, r.record_id))
+    SELECT source, cycle, len(way) AS length, unnest(range(len(way))) AS position, unnest(way) AS record_id FROM walk WHERE parent_id = cycle AND cycle = list_min(way)""")
+def r5_cycle_members(spark, sf_dir):
+    rows = forked(spark, sf_dir)
+    last = rows.groupBy("source").agg(F.max("record_id").alias("last"))
+    parent = F.when((F.col("source") % 3 == 0) & (F.col("record_id") == 0), F.col("last")).otherwise(F.col("parent_id"))
+    return forest.cycles(rows.join(last, "source").select("source", "record_id", parent.alias("parent_id")))
+
+
+# Each leaf with the next one of its conversation, and with the last.
+@query(f"""
+    WITH RECURSIVE {FORKED}, {walked("forked")}, {LEAVES},
+    near AS (SELECT source, record_id AS a, lead(record_id) OVER w AS next, max(record_id) OVER (PARTITION BY source) AS last FROM leaves WINDOW w AS (PARTITION BY source ORDER BY record_id)),
+    pairs AS (SELECT source, a, next AS b FROM near WHERE next IS NOT NULL UNION SELECT source, a, last FROM near)
+    SELECT source, a, b, list_filter(x.path, lambda i: list_contains(y.path, i))[-1] AS ancestor
+    FROM pairs JOIN line x USING (source) JOIN line y USING (source) WHERE x.record_id = a AND y.record_id = b""")
+def r6_many_pairs(spark, sf_dir):
+    rows = forked(spark, sf_dir)
+    leaves = lineage.leaves(rows)
+    next_ = leaves.select("source", F.col("record_id").alias("a"), F.lead("record_id").over(W.partitionBy("source").orderBy("record_id")).alias("b")).where("b IS NOT NULL")
+    last = leaves.select("source", F.col("record_id").alias("a")).join(leaves.groupBy("source").agg(F.max("record_id").alias("b")), "source")
+    return forest.common_ancestors(rows, next_.union(last).distinct())
+
+
+@query(f"""
+    WITH RECURSIVE {FORKED}, below AS (
+        SELECT source, record_id AS top, record_id FROM forked
+        UNION ALL
+        SELECT b.source, b.top, c.record_id FROM below b JOIN forked c ON c.source = b.source AND c.parent_id = b.record_id)
+    SELECT b.source, top AS record_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS total FROM below b JOIN conversations c ON c.conv_id = b.source AND c.turn = b.record_id GROUP BY ALL""")
+def r7_taken_away(spark, sf_dir):
+    chars = turns_of(spark, sf_dir).select(F.col("conv_id").alias("source"), F.col("turn").alias("record_id"), F.length("text").alias("chars"))
+    return forest.taken_away(forked(spark, sf_dir).join(chars, ["source", "record_id"]), F.col("chars"))
+
+
 @query(f"{ACTIVE}, {OTHER} SELECT source, max(record_id) AS record_id FROM active JOIN other USING (source, record_id) GROUP BY source")
 def r6_common_ancestor(spark, sf_dir):
     _, active, other = _branches(spark, sf_dir)

@@ -9,7 +9,7 @@ only where they are asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,14 +44,15 @@ def forks(records: DataFrame) -> DataFrame:
     return children.where("children > 1")
 
 
-def _links(records: DataFrame) -> DataFrame:
-    """A row per record, with has_parent and is_orphan; of several rows with one id the one with the least parent_id (null first)."""
-    least = F.min(F.struct(F.col("parent_id").isNotNull(), "parent_id")).getField("parent_id")
-    return cut(with_parent(records.groupBy(*KEYS).agg(least.alias("parent_id"))))
+def links_of(records: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A row per record, with has_parent, is_orphan and weight; of several rows with one id the one with the least parent_id (null first), then the largest weight."""
+    least = F.min(F.struct(F.col("parent_id").isNotNull().alias("some"), "parent_id", (-(F.lit(0) if weight is None else weight).cast("bigint")).alias("less")))
+    one = records.groupBy(*KEYS).agg(least.alias("_l")).select(*KEYS, F.col("_l.parent_id").alias("parent_id"), (-F.col("_l.less")).alias("weight"))
+    return cut(with_parent(one))
 
 
-def _climbed(links: DataFrame, ends: DataFrame | None = None, paths: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """A row (source, record_id, at, depth, done) per record of _links(): the root it reaches and how far that is.
+def climbed(links: DataFrame, ends: DataFrame | None = None, paths: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """A row (source, record_id, at, depth, done) per record of links_of(): the root it reaches and how far that is.
 
     Those not done are on a cycle or below one. With paths, a column path from below the
     root to the record. With ends (rows source, record_id), also a table (source, end,
@@ -91,8 +92,8 @@ def lineage(records: DataFrame, paths: bool = True) -> DataFrame:
     with one id the one with the least parent_id (null first) counts. Paths are as long as
     their chains; without them, a row is narrow however deep it is.
     """
-    links = _links(records)
-    state, _ = _climbed(links, paths=paths)
+    links = links_of(records)
+    state, _ = climbed(links, paths=paths)
     has_child = links.where("has_parent").select("source", F.col("parent_id").alias("record_id")).distinct().withColumn("_child", F.lit(True))
     rows = state.join(links.select(*KEYS, "is_orphan"), KEYS).join(has_child, KEYS, "left")
     done = F.col("done")
@@ -122,7 +123,7 @@ def branches(records: DataFrame, ends: DataFrame) -> DataFrame:
 
     An end on a cycle, or below one, has no path; one that is no record is ignored.
     """
-    state, above = _climbed(_links(records), ends.select(*KEYS))
+    state, above = climbed(links_of(records), ends.select(*KEYS))
     depth = state.where("done").select("source", F.col("record_id").alias("end"), "depth")
     return above.join(depth, ["source", "end"]).select("source", "end", (F.col("depth") - F.col("up")).alias("position"), "record_id")
 
