@@ -85,6 +85,35 @@ def test_links_join_what_all_pairs_join(spark, bucket_limit):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_a_ball_of_fingerprints_leaves_few_links(spark):
+    """20,000 fingerprints around one point make over 600,000 links, of which no more than one each is left."""
+    from turnstone.llm import common
+
+    rng = random.Random(3)
+    prints = {0}
+    while len(prints) < 20_000:
+        prints.add(sum(1 << k for k in rng.sample(range(63), rng.randrange(1, 4))))
+    table = spark.createDataFrame([(x,) for x in prints], "fp bigint")
+    links = simhash.near_links(table)
+    assert common._forest(links.coalesce(1)).count() < 6 * len(prints)
+    assert {r.root for r in components(links).collect()} == {0}
+
+
+@pytest.mark.parametrize("most", [3, 50, 10**6])
+def test_components_in_rounds_and_in_one_task(spark, most, monkeypatch):
+    from turnstone.llm import common
+
+    monkeypatch.setattr(common, "FILE_ROWS", most)
+    rng = random.Random(most)
+    edges = [(rng.randrange(-50, 300), rng.randrange(-50, 300)) for _ in range(200)]
+    top = {x: x for e in edges for x in e}
+    for _ in top:
+        for u, v in edges:
+            top[u] = top[v] = min(top[u], top[v])
+    found = {r.node: r.root for r in components(spark.createDataFrame([*edges, (None, 3)], "u bigint, v bigint")).collect()}
+    assert found == {x: r for x, r in top.items() if any(u != v and x in (u, v) for u, v in edges)}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, k) for k in range(1001, 1300)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

@@ -120,10 +120,10 @@ def _placed(docs: DataFrame, distance: int, segments: int, width: int, id_col: s
     rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), fingerprint_column(F.col(text_col), width).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), rows.count())
     n = prints.count()
-    roots = components(near_links(prints.select("fp"), distance, segments, rows=n), rows=n)
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return rows.join(named.select("fp", "root", "component_id"), "fp").select("id", "h", "fp", "root", "component_id")
+    roots = cut(components(near_links(prints.select("fp"), distance, segments, rows=n)).toDF("fp", "root"), n)
+    rooted = cut(join_counted(prints, roots, "fp").withColumn("root", F.coalesce("root", "fp")), n)
+    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"), n)
+    return join_counted(rows, named, "fp", "inner").select("id", "h", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, segments: int = 16, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,12 +3,13 @@
 At a similarity of 0.8, 64-bit fingerprints differ in 10 bits, give or take 3. Pigeonring
 filtering finds those within 2 bits, which most near copies of one text chain up to; to find all
 others by fingerprints alone, segments would be of 4 bits and tell nothing apart. So the
-further candidates share a rare shingle, the fingerprints rule out what is too far
-apart, and the texts' shingles decide on every candidate.
+further candidates share a rare shingle, what sizes, positions and parities of shingles leave no room for is
+ruled out, and the texts' shingles decide on every other candidate. No similar pair is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,12 @@ from .simhash import distance_of, keep_least, near_links, simhash
 WIDTH = 5
 #: Texts are near-duplicates from a Jaccard similarity of PART / WHOLE.
 PART, WHOLE = 4, 5
-#: Fingerprints of similar sets of more than FEW shingles differ in more bits only once in ten million pairs; smaller sets aren't judged by them.
-MOST_BITS, FEW = 26, 20
+#: Parities of shingles, in numbers of 64 bits: two sets differ in at least as many shingles as parities.
+MARKS = 4
+#: Sizes of similar sets lie in one band or in neighbouring ones: bands grow by this factor, which is over WHOLE / PART.
+BAND = 1.3
+#: Bits of a group's hash by which rows of different groups are told apart in one go.
+DIGIT = 4
 #: Counters of shingles, hashed; what is counted often stands last in the order of prefixes.
 COUNTERS = 1 << 18
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
@@ -64,6 +69,12 @@ def _counter(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
+def marks(found: np.ndarray) -> list[int]:
+    """The parity of the number of shingles in each of 64 * MARKS classes."""
+    odd = np.bincount((found & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _often(docs: DataFrame, text_col: str) -> np.ndarray:
     """How many of all texts' shingles each counter has seen."""
 
@@ -89,21 +100,22 @@ def prefix(found: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row (id, h, key, fp, size, prefix) for each row of docs; h is the text's hash, key that of its shingles, fp their SimHash."""
+    """A row (id, h, key, fp, size, marks, prefix) for each row of docs; h is the text's hash, key that of its shingles, fp their SimHash."""
     often = _often(docs, text_col)
-    kinds = {"key": pa.int64(), "fp": pa.int64(), "size": pa.int64(), "prefix": pa.list_(pa.int64())}
+    kinds = {"key": pa.int64(), "fp": pa.int64(), "size": pa.int64(), "marks": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
 
-    @F.arrow_udf("struct<key: bigint, fp: bigint, size: bigint, prefix: array<bigint>>")
+    @F.arrow_udf("struct<key: bigint, fp: bigint, size: bigint, marks: array<bigint>, prefix: array<bigint>>")
     @lean
     def run(texts: pa.Array) -> pa.Array:
-        key, fp, size, prefixes = [], [], [], []
+        key, fp, size, odd, prefixes = [], [], [], [], []
         for t in texts:
             own = shingles(t.as_py())
             key.append(_key(own))
             fp.append(simhash(own))
             size.append(len(own))
+            odd.append(marks(own))
             prefixes.append(prefix(own, often))
-        columns = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (key, fp)] + [pa.array(size, pa.int64()), pa.array(prefixes, kinds["prefix"])]
+        columns = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (key, fp)] + [pa.array(size, pa.int64()), pa.array(odd, kinds["marks"]), pa.array(prefixes, kinds["prefix"])]
         return pa.StructArray.from_arrays(columns, names=list(kinds))
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), run(text_col).alias("s")).select("id", "h", "s.*")
@@ -131,24 +143,56 @@ def _ring_pairs(sets: DataFrame, n: int) -> DataFrame:
 
 
 def _may_be(m: str, n: str, a: str, b: str) -> Column:
-    """Whether two sets can be similar, by their sizes m and n and their fingerprints a and b."""
-    few = F.least(m, n) <= FEW
-    return (WHOLE * F.least(m, n) >= PART * F.greatest(m, n)) & (few | (distance_of(F.col(a), F.col(b)) <= MOST_BITS))
+    """Whether two sets can be similar, by their sizes m and n and their parities a and b: similar sets differ in (m + n) / 9 shingles at most."""
+    differ = sum(distance_of(F.get(F.col(a), F.lit(k)), F.get(F.col(b), F.lit(k))) for k in range(MARKS))
+    return (WHOLE * F.least(m, n) >= PART * F.greatest(m, n)) & ((WHOLE + PART) * differ <= (WHOLE - PART) * (F.col(m) + F.col(n)))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets of different groups (root) that have a shingle s among their first and may be similar.
+
+    The smaller of two similar sets has one of its first n - 8/9 n shingles in common with
+    the other's first, so it is looked up by those alone; sizes are met by bands. Enough has to be left from the common shingle
+    on (positional filtering). Two groups are met where their hashes first differ, by a bit that is part of the join's
+    key, so rows of one group never meet, however many share s.
+    """
+    size, all_, found, turn = F.col("size"), WHOLE + PART, [], 0
+    rows = rows.withColumns({"band": F.floor(F.log("size") / math.log(BAND)).cast("int"), "met": F.lit(0).cast("bigint")})
+    while True:
+        parted = cut(rows.groupBy("s", "met").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s", "met"))
+        if parted.isEmpty():
+            break
+        digit = F.shiftrightunsigned(F.xxhash64("root"), turn * DIGIT).bitwiseAND((1 << DIGIT) - 1)
+        rows = cut(join_counted(rows, parted, ["s", "met"], "inner").withColumn("digit", digit))
+        below = [F.struct(F.lit(k).alias("bit"), F.col("digit").bitwiseAND((1 << k) - 1).alias("alike"), F.shiftright("digit", k).bitwiseAND(1).alias("side")) for k in range(DIGIT)]
+        told = rows.select("s", "met", "band", "key", "at", "size", "marks", F.inline(F.array(*below)))
+        short = told.where(all_ * (size - F.col("at")) >= 2 * PART * size).toDF("s", "met", "band", "u", "u_at", "m", "a", "bit", "alike", "side")
+        other = told.select("s", "met", F.explode(F.array("band", F.col("band") - 1)), "key", "at", "size", "marks", "bit", "alike", (1 - F.col("side")))
+        least = F.greatest(F.pow(F.lit(BAND), F.col("band")) * (1 - 1e-9), PART * F.col("n") / WHOLE)
+        long = other.toDF("s", "met", "band", "v", "v_at", "n", "b", "bit", "alike", "side")
+        long = long.where(all_ * (F.col("n") - F.col("v_at")) >= PART * (F.col("n") + least))
+        enough = all_ * F.least(F.col("m") - F.col("u_at"), F.col("n") - F.col("v_at")) >= PART * (F.col("m") + F.col("n"))
+        order = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("u") < F.col("v"))
+        pairs = short.join(long, ["s", "met", "band", "bit", "alike", "side"]).where(order & enough & _may_be("m", "n", "a", "b"))
+        found.append(cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
+        rows, turn = rows.withColumn("met", F.shiftleft("met", DIGIT).bitwiseOR(F.col("digit"))).drop("digit"), turn + 1
+    pairs = found[0] if found else rows.select(F.col("key").alias("u"), F.col("key").alias("v")).where("false")
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
 
 
 def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
     """Links (u, v) of keys that join the same sets as all similar pairs do.
 
-    prefixes: rows (key, prefix), also several equal ones; sets: each key once, with size and
-    fp; texts_of: gives a row (key, text) for each row (key) of a table. Prefix
+    prefixes: rows (key, prefix), also several equal ones; sets: each key once, with size,
+    fp and marks; texts_of: gives a row (key, text) for each row (key) of a table. Prefix
     filtering: in any order of the shingles that all sets share, two
     similar sets have one of their first n - ceil(0.8 n) + 1 shingles in common. Frequent
     shingles stand last in that order, so those of common lines are seldom among the first.
     Compared first are what pigeonring filtering links, and the sets that have such a shingle
     in common with those two of them in whose order it stands first and last; then, where that leaves more than one
-    group, pairs of different groups whose fingerprints are near and that have enough
-    shingles left from that one on (positional filtering: what is rare stands first, so a
-    common passage alone doesn't make a pair). So neither a group of near copies nor the texts
+    group, pairs of different groups (_met()). So neither a group of near copies nor the texts
     around a passage are paired up. Every pair is verified by its texts.
     """
     n = sets.count()
@@ -157,32 +201,28 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
     many = cut(join_counted(keyed, shared, "s", "inner").select("s", "key", "at").distinct())
     # where s stands first, the fewest shingles are a set's own: such a set is the middle of its near copies
     middle = cut(many.groupBy("s").agg(F.min(F.struct("at", "key")).getField("key").alias("lo"), F.max(F.struct("at", "key")).getField("key").alias("hi")))
-    of = cut(sets.select("key", "size", "fp"), n)
+    of = cut(sets.select("key", "size", "marks"), n)
     stars = join_counted(many, middle, "s", "inner").select(F.explode(F.array("lo", "hi")).alias("u"), F.col("key").alias("v")).unionByName(_ring_pairs(sets, n))
     stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    described = join_counted(join_counted(stars, of.toDF("u", "m", "a"), "u", "inner", rows=n), of.toDF("v", "n", "b"), "v", "inner", rows=n)
+    described = join_counted(join_counted(stars, of.toDF("u", "m", "a"), "u", "inner"), of.toDF("v", "n", "b"), "v", "inner")
     tried = cut(described.where(_may_be("m", "n", "a", "b")).select("u", "v").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         return cut(_verified(pairs, cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()))))
 
     found = verified(tried)
-    roots = cut(components(found, found.count()).toDF("key", "root"))
+    roots = cut(components(found).toDF("key", "root"))
     rooted = cut(join_counted(many.select("s", "key", "at"), roots, "key").select("s", "key", "at", F.coalesce("root", "key").alias("root")))
     parted = cut(rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s"))
-    left = cut(join_counted(join_counted(rooted, parted, "s", "inner"), of, "key", "inner", rows=n))
-    one, other = left.toDF("u", "s", "u_at", "u_root", "m", "a"), left.toDF("v", "s", "v_at", "v_root", "n", "b")
-    # what two sets have in common from their first common shingle on is no more than either has left there
-    enough = (WHOLE + PART) * F.least(F.col("m") - F.col("u_at"), F.col("n") - F.col("v_at")) >= PART * (F.col("m") + F.col("n"))
-    rest = one.join(other, "s").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & enough & _may_be("m", "n", "a", "b")).select("u", "v").distinct()
-    rest = cut(join_counted(rest, tried, ["u", "v"], "left_anti"))
+    left = cut(join_counted(join_counted(rooted, parted, "s", "inner"), of, "key", "inner"))
+    rest = cut(join_counted(_met(left), tried, ["u", "v"], "left_anti"))
     return found if rest.isEmpty() else found.unionByName(verified(rest))
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row (id, h, root, component_id) for each row of docs; root is the key of a set."""
     rows = cut(_described(docs, id_col, text_col))
-    sets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size")))
+    sets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("marks").alias("marks")))
 
     def texts_of(keys: DataFrame) -> DataFrame:  # by id and text hash, which spreads copies out
         wanted = cut(sets.join(keys, "key").select("key", F.col("row.id").alias("of"), F.col("row.h").alias("own")))
@@ -191,7 +231,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return found.groupBy("key").agg(F.min("text").alias("text"))
 
     found = cut(links(rows.select("key", "prefix"), sets, texts_of))
-    roots = cut(components(found, found.count()).toDF("key", "root"))
+    roots = cut(components(found).toDF("key", "root"))
     rooted = cut(join_counted(sets.select("key", "least"), roots, "key").withColumn("root", F.coalesce("root", "key")))
     named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "root", "component_id"))
     return join_counted(rows.select("id", "h", "key"), named, "key", "inner").select("id", "h", "root", "component_id")
