@@ -132,6 +132,27 @@ def test_comments_and_adverts_inside_an_article_go():
         assert extracted(f"<article><h1>Title</h1><p>{P1}</p>{gone}<p>{P1}</p></article>") == f"Title\n{T1}\n{T1}", gone
 
 
+@pytest.mark.parametrize("part", ["<h2 id='{0}'>Head</h2>", "<h3 id='{0}-of-voice'>Head</h3>", "<h2 class='{0}'>Head</h2>", "<p id='{0}'>Head</p>", "<table class='{0}'><tr><td>Head</td></tr></table>", "<blockquote class='{0}'>Head</blockquote>", "<section id='{0}-hoc-networks'><p>Head</p></section>", "<div id='{0}-theory'>Head</div>", "<ul><li class='{0}'>Head</li></ul>", "<figure id='{0}'><figcaption>Head</figcaption></figure>"])
+@pytest.mark.parametrize("word", sorted(html.MARKED)[::4])
+def test_names_never_take_parts_of_an_article(part, word):
+    for whole in ("article", "main"):
+        assert extracted(f"{NAV}<{whole}><h1>Title</h1><p>{P1} {P1}</p>{part.format(word)}<p>{P1}</p></{whole}>") == f"Title\n{T1} {T1}\nHead\n{T1}"
+
+
+@pytest.mark.parametrize("part", ["<ul class='search-tips'><li>Head</li></ul>", "<div class='related-work'><p>Head</p></div>", "<section id='consent'><p>{1}</p></section>", "<div class='ad-hoc'><p>Head</p></div>", "<section class='cookie-recipe'>Head</section>", "<div id='sponsor'><p>{1}</p></div>"])
+def test_names_that_say_other_things_make_but_a_doubt(part):
+    shown = T1 if "{1}" in part else "Head"
+    assert extracted(f"<article><h1>Title</h1><p>{P1} {P1}</p>{part.format('', P1)}<p>{P1}</p></article>") == f"Title\n{T1} {T1}\n{shown}\n{T1}"
+
+
+def test_a_host_resolves_doubts_about_short_texts(spark):
+    page = lambda n: f"<article><h1>Title</h1><p>{P1} {P1}</p><div class='related-work'><p>{n}</p></div><p>{P1}</p></article>"
+    rows = [(k, f"http://differ/{k}", page(f"House {k}")) for k in range(5)] + [(10 + k, f"http://same/{k}", page("Buy it")) for k in range(5)]
+    found = {i: t for i, _, t in got(spark, rows)}
+    assert all(found[k] == f"Title\n{T1} {T1}\nHouse {k}\n{T1}" for k in range(5))
+    assert all(found[10 + k] == f"Title\n{T1} {T1}\n{T1}" for k in range(5))
+
+
 def timed(make, n):
     page = make(n)
     began = time.perf_counter()
@@ -148,6 +169,8 @@ def test_time_is_in_proportion_to_the_length(make):
 def generated(rng):
     """A page and its article's blocks: chrome around and in it, inline markup, odd white space, character references."""
     blocks, body = [], []
+    wrap = rng.choice(("<article>{}</article>", "<main class=page-2>{}</main>", "<div class='post'>{}</div>", "<div class='outer'><div class='entry has-sidebar'>{}</div></div>", "<div id=content><section>{}</section></div>"))
+    whole = wrap.startswith(("<article", "<main"))
 
     def said():
         words = [rng.choice(("the", "tale", "Ärger", "a < b", "R&D", "notice", "x=1", "it's", "中文", "42")) for _ in range(rng.randrange(12, 40))]
@@ -165,9 +188,14 @@ def generated(rng):
         body.append(kind.format(marked))
         if kind == "<p>{}":
             body.append("<div></div>")
+        if whole and rng.random() < 0.5:  # headings, tables and lists, with names of any kind
+            word, title = rng.choice(sorted(html.MARKED)), rng.choice(("Cookies", "Share of voice", "Related work", "What they said"))
+            named = rng.choice((f" id='{word}'", f" id={word}-{rng.randrange(9)}", f" class='{word}'", f" class='{word}-size big'", ""))
+            made = rng.choice(("<h2{1}>{0}</h2>", "<h3{1}>{0}</h3>", "<table{1}><tr><td>{0}</td></tr></table>", "<ul><li{1}>{0}</ul>", "<p{1}>{0}</p>", "<blockquote{1}>{0}</blockquote>", "<dl><dt{1}>{0}</dl>"))
+            blocks.append(title)
+            body.append(made.format(title, named))
         if rng.random() < 0.3:
             body.append(rng.choice(("<script>var a = '<p>no</p>';</script>", "<!-- <p>no --> ", "<style>p > a {}</style>", "<div class='ad-slot'>Buy it now. And again.</div>", "<aside><p>Beside it. At length.</p></aside>", "<form><input><button>Go</button></form>", "<section id=comments><p>First! I said so.</p></section>")))
-    wrap = rng.choice(("<article>{}</article>", "<main class=page-2>{}</main>", "<div class='post'>{}</div>", "<div class='outer'><div class='entry has-sidebar'>{}</div></div>", "<div id=content><section>{}</section></div>"))
     before, after = ("".join(rng.sample(CHROME, rng.randrange(0, 5))) for _ in range(2))
     return f"<!DOCTYPE html><html><head><title>T</title></head><body>{before}{wrap.format(''.join(body))}{after}</body></html>", "\n".join(blocks)
 

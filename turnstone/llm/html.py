@@ -21,14 +21,23 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article body center div main section td".split())
 #: Elements that are no part of an article, whatever their class.
 APART = frozenset("aside audio button canvas dialog footer form head iframe menu nav noscript object script select style svg template textarea title video".split())
+#: What is set apart by no name inside an article, and outside of one only by a class or role that says nothing else.
+FIXED = frozenset("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr legend li p pre summary table tbody td tfoot th thead tr".split())
 #: Words in a class, id or role that often mark what isn't the article.
 APART_WORDS = frozenset(
     "ad adbox ads adsbygoogle adslot advert advertisement advertising adverts alert banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted recommended related search share sharing sidebar sidebars sidenav signup social sponsor sponsored subscribe subscription toolbar topbar topnav widget".split()
 )
-#: Those for what readers, sponsors or lawyers wrote, which isn't the article however long it is and however it varies.
+#: Those for what readers, sponsors or lawyers wrote, which isn't the article however long it is and however it varies, if the name says nothing else.
 OTHERS_WORDS = frozenset(
     "ad adbox ads adsbygoogle adslot advert advertisement advertising adverts comment commentarea commentbox commenter commenters commentform commentlist comments commentsection commentthread consent cookie cookies disqus gdpr promo promoted replies reply respond sponsor sponsored".split()
 )
+#: Those for what readers wrote, in whatever name of a class.
+READERS_WORDS = frozenset("comment commentarea commentbox commenter commenters commentform commentlist comments commentsection commentthread disqus replies reply respond".split())
+MARKED = APART_WORDS | OTHERS_WORDS
+#: Words that add nothing to a name: with them alone, a marked word still says all.
+FILLERS = frozenset(
+    "area bar block bottom box button buttons center col column container content cta desktop entry feed fixed global group holder inner item items js left level link links list lists main mini mobile module outer page panel placeholder post posts primary right row secondary section site slot slots sticky sub thread top unit units view wrap wrapper zone".split()
+)
 #: With one of these, a name tells of a page's state or layout (has-sidebar, comments-open) or of what was found (search-results), not of a part.
 STATES = frozenset("closed disabled enabled has hide no off on open result results show with without".split())
 #: With one of these, a header is an article's own.
@@ -66,7 +75,7 @@ class Node:
     parent: int
     #: The number of its path: that of the nearest container, itself included.
     path: int
-    #: No part of an article: 0 if it may be one, 1 by its name alone, 2 for good.
+    #: No part of an article: 0 if it may be one, 1 by its name alone (a doubt), 2 for good.
     apart: int
     #: The nearest of it and those around it that is an article or main element, a list, a title, a heading, a container; 0 if none is.
     whole: int
@@ -82,7 +91,8 @@ class Page:
 
     A path is known by its number; it holds the number of the path around it and a step,
     so that deep nesting costs no more than its length. blocks: (node, text, characters
-    in links). named: elements that may be set apart by their names alone, with their kind.
+    in links). named: elements that may be set apart by their names alone, with their kind; vague: those
+    of them whose names say other things, too.
     """
 
     nodes: list[Node] = field(default_factory=lambda: [Node("", -1, 0, 0, 0, 0, 0, 0, 0)])
@@ -92,6 +102,7 @@ class Page:
     numbers: dict[tuple[int, str], int] = field(default_factory=dict)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
     named: dict[int, str] = field(default_factory=dict)
+    vague: set[int] = field(default_factory=set)
 
     def step(self, above: int, tag: str, step: str) -> int:
         """The number of the path one step below another."""
@@ -129,13 +140,13 @@ class Page:
 
 @dataclass
 class Tag:
-    """What the attributes of a tag say: its generalised classes and id, whole names and their words (parts: of the names that tell of no state), and whether it is hidden."""
+    """What the attributes of a tag say: its generalised classes and id, the whole names of class and role, all words, those of each name that tells of no state (with whether it is an id), and whether it is hidden."""
 
     classes: list[str] = field(default_factory=list)
     id: str = ""
     names: set[str] = field(default_factory=set)
     words: set[str] = field(default_factory=set)
-    parts: set[str] = field(default_factory=set)
+    parts: list[tuple[frozenset[str], bool]] = field(default_factory=list)
     hidden: bool = False
 
 
@@ -150,12 +161,13 @@ def _described(rest: str) -> Tag:
         for m in _ATTRIBUTE.finditer(rest):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if kind in ("class", "id", "role"):
-                found.names.update(value.lower().split())
+                if kind != "id":
+                    found.names.update(value.lower().split())
                 for name in value.split():
-                    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+                    words = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
                     found.words.update(words)
-                    if STATES.isdisjoint(words):
-                        found.parts.update(words)
+                    if STATES.isdisjoint(words) and not MARKED.isdisjoint(words):
+                        found.parts.append((words, kind == "id"))
                 if kind == "class":
                     found.classes = sorted(set(map(_general, value.split())))
                 elif kind == "id":
@@ -164,19 +176,31 @@ def _described(rest: str) -> Tag:
     return found
 
 
-def _apart(tag: str, said: Tag, inside: bool) -> int:
-    """Whether an element is no part of an article, as Node has it; inside: it is in an article or main element."""
+def _apart(tag: str, said: Tag, inside: bool) -> tuple[int, bool]:
+    """Whether an element is no part of an article, as Node has it, and whether its names say other things, too; inside: it is in an article or main element.
+
+    Only names that say nothing but what a reader, sponsor or lawyer wrote decide (an id only of readers'); other marked
+    names make a doubt, which the page or its host resolves. In an article, ids that say
+    other things are made from headings, and headings, paragraphs, parts of tables and lists and what stands
+    within a sentence have names of any kind.
+    """
     if said.hidden or tag in APART:
-        return 2
+        return 2, False
     if tag in ("html", "body", "main"):
-        return 0
+        return 0, False
     if tag == "article":  # a comment or teaser may be an article, but words like comments-open don't make one
-        return 2 * (not (APART_WORDS | OTHERS_WORDS).isdisjoint(said.names & said.words))
+        return 2 * (not MARKED.isdisjoint(said.names & said.words)), False
     if not inside and (tag == "header" or "header" in said.words) and said.words.isdisjoint(OWN_HEADER):
-        return 2
-    if not OTHERS_WORDS.isdisjoint(said.parts):
-        return 2
-    return int(tag in BLOCK and not APART_WORDS.isdisjoint(said.parts))  # within a sentence, a name alone sets nothing apart
+        return 2, False
+    fixed, doubt, vague = tag in FIXED or tag not in BLOCK, 0, True
+    for words, is_id in said.parts:
+        plain = words <= MARKED | FILLERS
+        if fixed and (inside or is_id or not plain) or is_id and inside and not plain:
+            continue
+        if not is_id and not READERS_WORDS.isdisjoint(words) or plain and not (READERS_WORDS if is_id else OTHERS_WORDS).isdisjoint(words):
+            return 2, False
+        doubt, vague = int(tag in BLOCK), vague and not plain
+    return doubt, vague
 
 
 class _Open:
@@ -253,7 +277,7 @@ def parse(text: str) -> Page:
             open_.cut(open_.tags.index("head", 1, 3))
         said = _described(m["rest"])
         above = nodes[open_.nodes[-1]]
-        own_apart = _apart(tag, said, above.whole > 0)
+        own_apart, vague = _apart(tag, said, above.whole > 0)
         if block or max(above.apart, own_apart) != above.apart:
             flush()
         if block:
@@ -274,6 +298,8 @@ def parse(text: str) -> Page:
         open_.push(k, tag)
         if own_apart == 1 and above.apart < 2:
             page.named[k] = ".".join([tag, *said.classes]) + f"#{said.id}" * bool(said.id)
+            if vague:
+                page.vague.add(k)
     add(text[last:])
     flush()
     _drop_menus(page)
@@ -434,19 +460,21 @@ class Read:
                     found[mark[block[0]]].append(block)
         return found
 
-    def runs(self, blocks: list[tuple[int, str, int]]) -> bool:
-        """Whether most of these blocks' text is running text."""
+    def fits(self, element: int, blocks: list[tuple[int, str, int]]) -> bool:
+        """Whether what a doubtful element holds may be an article's: running text for the most part; of one whose names say other things, too, all but links."""
+        if element in self.page.vague:
+            return 3 * sum(x[2] for x in blocks) < sum(len(x[1]) for x in blocks)
         running = sum(len(x[1]) for x in blocks if _running(self.page, x))
         return running > 0 and 2 * running >= sum(len(x[1]) for x in blocks)
 
 
 def vote(html: str | None) -> tuple[str | None, float, list[tuple[str, int, bool]]]:
-    """The page's path and its score; and of each kind of doubtful element (tag, classes and id) a hash of its text, and whether that runs."""
+    """The page's path and its score; and of each kind of doubtful element (tag, classes and id) a hash of its text, and whether that fits."""
     read = Read(html)
-    kinds: dict[str, list[tuple[int, str, int]]] = {}
+    kinds: dict[str, tuple[int, list[tuple[int, str, int]]]] = {}
     for k, blocks in read.doubtful(read.own).items():
-        kinds.setdefault(read.page.named[k], []).extend(blocks)
-    told = [(kind, xxhash.xxh64_intdigest("\n".join(x[1] for x in blocks)) >> 1, read.runs(blocks)) for kind, blocks in kinds.items()]
+        kinds.setdefault(read.page.named[k], (k, []))[1].extend(blocks)
+    told = [(kind, xxhash.xxh64_intdigest("\n".join(x[1] for x in blocks)) >> 1, read.fits(k, blocks)) for kind, (k, blocks) in kinds.items()]
     return (None if read.own is None else read.page.spelled(read.own)), (0.0 if read.own is None else float(read.sums.score[read.own])), told
 
 
@@ -455,7 +483,7 @@ def extract(html: str | None, agreed: str | None, kept=(), dropped=()) -> str:
 
     kept: kinds of doubtful elements that belong to the text, as what they hold differs over
     the host's pages; dropped: kinds that recur. Of other kinds, those in an article or main
-    element belong to it if they are running text.
+    element belong to it if they fit one.
     """
     read = Read(html)
     path, agreed_path, text = read.own, read.page.number(agreed), read.sums.text
@@ -464,7 +492,7 @@ def extract(html: str | None, agreed: str | None, kept=(), dropped=()) -> str:
     back = set()
     for k, blocks in read.doubtful(path).items():
         kind = read.page.named[k]
-        if kind in kept or kind not in dropped and read.page.nodes[k].whole and read.runs(blocks):
+        if kind in kept or kind not in dropped and read.page.nodes[k].whole and read.fits(k, blocks):
             back.add(k)
     return text_under(read.page, _without(read.page, read.gone - back), path)
 
@@ -485,20 +513,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     a host's path is the one with most votes, then with most text. Pages also tell what
     stands in those elements of their article whose names are doubtful (as
     notice-period or search-tips): a kind whose text recurs over the host's pages is no
-    part of the articles, one that holds different running text on most of them is. Only
+    part of the articles, one that holds different text on most of them, running or under a name that says other things, too, is. Only
     votes are grouped, so a host of any size is no one's task. Pages without a host in
     their url follow their own best path. A null or empty html gives '', as does a page
     without text; repeated rows are all returned and vote each time; a very long or deeply
     nested page takes time and memory in proportion to its length. An empty table gives no
     rows; other columns are ignored, whatever their names.
     """
-    said = pa.struct({"path": pa.string(), "score": pa.float64(), "told": pa.list_(pa.struct({"kind": pa.string(), "hash": pa.int64(), "runs": pa.bool_()}))})
+    said = pa.struct({"path": pa.string(), "score": pa.float64(), "told": pa.list_(pa.struct({"kind": pa.string(), "hash": pa.int64(), "fits": pa.bool_()}))})
 
-    @F.arrow_udf("struct<path: string, score: double, told: array<struct<kind: string, hash: bigint, runs: boolean>>>")
+    @F.arrow_udf("struct<path: string, score: double, told: array<struct<kind: string, hash: bigint, fits: boolean>>>")
     @lean
     def voted(html: pa.Array) -> pa.Array:
         found = (vote(x.as_py()) for x in html)
-        return pa.array([{"path": p, "score": s, "told": [dict(zip(("kind", "hash", "runs"), t)) for t in told]} for p, s, told in found], said)
+        return pa.array([{"path": p, "score": s, "told": [dict(zip(("kind", "hash", "fits"), t)) for t in told]} for p, s, told in found], said)
 
     @F.arrow_udf("string")
     @lean
@@ -510,8 +538,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     votes = cut(rows.where("host IS NOT NULL").select("host", voted("html").alias("v")).select("host", "v.*"))
     counts = votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("score")).cast("bigint").alias("total"))
     paths = counts.groupBy("host").agg(F.max(F.struct("n", "total", "path")).getField("path").alias("path"))
-    kinds = votes.select("host", F.explode("told").alias("t")).groupBy("host", "t.kind").agg(F.count("*").alias("n"), F.count_distinct("t.hash").alias("texts"), F.count_if("t.runs").alias("run"))
-    differs = (2 * F.col("texts") > F.col("n")) & (2 * F.col("run") > F.col("n"))
+    kinds = votes.select("host", F.explode("told").alias("t")).groupBy("host", "t.kind").agg(F.count("*").alias("n"), F.count_distinct("t.hash").alias("texts"), F.count_if("t.fits").alias("fit"))
+    differs = (2 * F.col("texts") > F.col("n")) & (2 * F.col("fit") > F.col("n"))
     judged = kinds.where("n > 1").groupBy("host").agg(F.collect_list(F.when(differs, F.col("kind"))).alias("kept"), F.collect_list(F.when(~differs, F.col("kind"))).alias("dropped"))
     agreed = cut(paths.join(judged, "host", "left"))
     chars = F.octet_length("host") + F.octet_length("path") + sum(F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) for c in ("kept", "dropped"))
