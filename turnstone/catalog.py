@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as texts
-from turnstone.operators import alignment, forest, inspecting, lineage, timeline
+from turnstone.operators import alignment, forest, inspecting, lineage, paging, profiles, sketches, textindex, timeline
 from turnstone.plans.scratch import cut, scratch_dir
 from turnstone.sources import lines, records
 from turnstone.streaming import follow
@@ -193,6 +193,21 @@ def a5_value_types(spark, sf_dir):
     return inspecting.value_types(events_of(spark, sf_dir), "props", "$.k")
 
 
+# Bodies with objects and arrays in each other.
+BODY = """concat('{"id":', conv_id, ',"meta":{"role":"', role, '","at":[', turn, ',null,{"x y":true}]},"t', turn % 3, '":', CASE WHEN turn % 2 = 0 THEN '[]' ELSE '{"deep":[[1,2.5],["a"],{}]}' END, '}')"""
+
+
+@query(f"""
+    WITH b AS (SELECT conv_id % 5 AS file, {BODY} AS body FROM conversations)
+    SELECT regexp_replace(fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path,
+           CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,
+           count(*) AS n, min(file) AS first_file, max(file) AS last_file
+    FROM b, json_tree(b.body) GROUP BY ALL""")
+def a4_path_profile(spark, sf_dir):
+    bodies = turns_of(spark, sf_dir).select((F.col("conv_id") % 5).alias("file"), F.expr(BODY).alias("body"))
+    return profiles.path_profile(bodies, "body", "file")
+
+
 @query("""
     WITH kinds AS (
         SELECT DISTINCT key, CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' ELSE json_type(props, '$.' || key) END AS kind
@@ -251,7 +266,16 @@ def k1_longest(spark, sf_dir):
 
 @query("SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 20 OFFSET 40")
 def k2_page(spark, sf_dir):
-    return inspecting.page(turns_of(spark, sf_dir).select("conv_id", "turn", "role"), ["conv_id", "turn"], 40, 20)
+    return paging.page(turns_of(spark, sf_dir).select("conv_id", "turn", "role"), ["conv_id", "turn"], 40, 20)
+
+
+@query("""
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem
+    ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity LIMIT 50 OFFSET (SELECT count(*) // 2 FROM lineitem)""")
+def k2_deep_page(spark, sf_dir):
+    order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+    rows = records.read_table(spark, sf_dir, "lineitem").select(*order)
+    return paging.page(rows, order, rows.count() // 2, 50, range_rows=20_000)
 
 
 @query(r"""
@@ -310,6 +334,18 @@ def x5_new_files(spark, sf_dir):
     return records.to_records(found, MAPPING).select(*MAPPING)
 
 
+# The files come twice, the second time under other names.
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def x5_exactly_once(spark, sf_dir):
+    path, sink, checkpoint = _as_lines(spark, sf_dir), scratch_dir(spark), scratch_dir(spark)
+    for _ in range(2):
+        told = follow.new_files(spark, path).select("modified", F.try_parse_json("value").alias("body"))
+        told = told.select("modified", *[F.try_variant_get("body", at, kind).alias(name) for name, (at, kind) in MAPPING.items()])
+        follow.once(told, sink, checkpoint, ["conv_id", "turn"])
+        turns_of(spark, sf_dir).write.mode("append").option("ignoreNullFields", "false").json(path)
+    return follow.committed(spark, sink).select(*MAPPING)
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def x6_growing_files(spark, sf_dir):
     sink = scratch_dir(spark)
@@ -363,6 +399,42 @@ def x6_backlog(spark, sf_dir):
     return _with_folder(spark.read.parquet(sink))
 
 
+# The turns in 61 files, whose trigrams are indexed; only files that may hold what is sought are read.
+def _found_by_index(spark, sf_dir, need: textindex.Need) -> DataFrame:
+    path, index = scratch_dir(spark), scratch_dir(spark)
+    turns = turns_of(spark, sf_dir).select(F.expr("CAST(conv_id % 61 AS INT) AS folder"), F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))
+    turns.repartition(61, "folder").write.partitionBy("folder").text(path)
+    read = lambda files=None: records.to_records(lines.read_lines(spark, path, files=files), MAPPING)
+    textindex.build(read(), index)
+    return read(textindex.candidates(spark, index, lines.listing(spark, path), need))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'ething')")
+def f3_indexed_search(spark, sf_dir):
+    return inspecting.search(_found_by_index(spark, sf_dir, textindex.of_text("eThing")), "eThing").select("conv_id", "turn")
+
+
+@query(r"""
+    SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '(?:anti|onti)[a-z]*ing\b')) AS INTEGER) AS matches
+    FROM conversations WHERE regexp_matches(text, '(?:anti|onti)[a-z]*ing\b')""")
+def f4_indexed_pattern(spark, sf_dir):
+    pattern = r"(?:anti|onti)[a-z]*ing\b"
+    return inspecting.search_pattern(_found_by_index(spark, sf_dir, textindex.of_pattern(pattern)), pattern).select("conv_id", "turn", "matches")
+
+
+# Sketches of each file of the turns, those of half the files first; then of the others alone; then merged. Up to 4000 texts of a role they are exact.
+@query("""
+    SELECT role, count(*) AS n, CAST(quantile_disc(length(text), 0.5) AS BIGINT) AS q50, CAST(quantile_disc(length(text), 0.9) AS BIGINT) AS q90, count(DISTINCT text) AS texts
+    FROM conversations GROUP BY role""")
+def a8_stored_sketches(spark, sf_dir):
+    path, store, by = scratch_dir(spark), scratch_dir(spark), ["role"]
+    for half in (0, 1):
+        turns_of(spark, sf_dir).where(F.col("conv_id") % 2 == half).write.mode("append").option("ignoreNullFields", "false").json(path)
+        sketches.add_new(spark, path, store, MAPPING, by, F.length("text"), F.col("text"))
+    whole = sketches.merged(spark.read.parquet(store), by)
+    return whole.select("role", "n", sketches.quantile(F.col("measures"), 0.5).alias("q50"), sketches.quantile(F.col("measures"), 0.9).alias("q90"), sketches.distinct(F.col("texts")).alias("texts"))
+
+
 @query(f"WITH {FOLDERS} SELECT line_no, byte_offset, value FROM numbered WHERE folder = 3 AND line_no = 5")
 def f7_locate(spark, sf_dir):
     path = _in_folders(spark, sf_dir)

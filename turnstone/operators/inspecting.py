@@ -109,11 +109,6 @@ def longest(turns: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def page(rows: DataFrame, order: list[str], offset: int, n: int) -> DataFrame:
-    """Rows offset .. offset + n - 1 in an order: n is what a reader looks at."""
-    return rows.orderBy(*order).offset(offset).limit(n)
-
-
 def sizes(turns: DataFrame) -> DataFrame:
     """Characters, bytes, words and lines of each text."""
     text: Column = F.col("text")

@@ -345,23 +345,31 @@ def line_status(value: Column) -> Column:
     )
 
 
-def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def stored_files(spark: SparkSession, store: str) -> DataFrame | None:
+    """The source files (source_file) that a Parquet folder has rows of; None if there is no such folder."""
+    fs, root = opened(store)
+    if fs.get_file_info(root).type == pafs.FileType.NotFound:
+        return None
+    return spark.read.parquet(store).select("source_file").distinct()
+
+
+def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, files: DataFrame | None = None) -> DataFrame:
     """A row (source_file, line_no, byte_offset, value, status) per line, blank and broken ones too.
 
     Line numbers count from 0 in each file. Files are read in ranges of about range_bytes; small ones are packed into tasks,
     about as many as the session has cores, and wide trees are listed by executors. If
     a file has several ranges, a pass before counts the lines of each of its ranges, and prefix sums
-    number them. Files whose names say that they are compressed (.gz, .bz2, .zst, .lz4, .br) are unpacked, each by one task. An
-    empty folder gives no rows.
+    number them. Files whose names say that they are compressed (.gz, .bz2, .zst, .lz4, .br) are unpacked, each by one task. With
+    files, some rows of listing(), only those are read. An empty folder gives no rows.
     """
     spark.dataSource.register(LinesSource)
-    files = scratch_dir(spark)
-    listing(spark, path).coalesce(1).write.parquet(files)
-    options = {"range_bytes": range_bytes, "tasks": spark.sparkContext.defaultParallelism, "manifest": files}
+    chosen = scratch_dir(spark)
+    (listing(spark, path) if files is None else files.select("path", "size")).coalesce(1).write.parquet(chosen)
+    options = {"range_bytes": range_bytes, "tasks": spark.sparkContext.defaultParallelism, "manifest": chosen}
     read = lambda **more: spark.read.format("lines").options(**options, **more).load(path)
     rows, number = read(), F.col("line_no")
     large = F.max(F.when(~F.col("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in CODECS) + ")$"), F.col("size")))
-    if (spark.read.parquet(files).agg(large).first()[0] or 0) > range_bytes:
+    if (spark.read.parquet(chosen).agg(large).first()[0] or 0) > range_bytes:
         upto = W.partitionBy("source_file").orderBy("range_begin").rowsBetween(W.unboundedPreceding, -1)
         counted = cut(read(count="true").select("source_file", "range_begin", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")))
         small = counted.count() <= BROADCAST_ROWS

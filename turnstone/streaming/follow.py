@@ -13,9 +13,10 @@ from turnstone.sources.lines import RANGE_BYTES, LinesSource, line_status
 
 
 def new_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """The lines of files as they appear in a folder; a file that grows later isn't read again."""
+    """The lines of files as they appear in a folder, with the time of their last change; a file that grows later isn't read again."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("source_file"), "value").withColumn("status", line_status(F.col("value")))
+    told = lines.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+    return told.withColumn("status", line_status(F.col("value")))
 
 
 def _numbered(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,6 +59,28 @@ def caught_up(rows: DataFrame, sink: str, checkpoint: str) -> list[int]:
         query.stop()
 
 
+def once(rows: DataFrame, sink: str, checkpoint: str, keys: list[str], seen_at: str = "modified", within: str = "7 days") -> None:
+    """Append all that is there now to the folder sink, each row (by its keys) once; rerun to go on.
+
+    A batch that is replayed after a failure overwrites what it had written, as its folder has its number,
+    and counts only once its commit record is there. What a renamed or copied file brings again is dropped by state, which
+    is kept until the watermark, `within` behind the latest time of the column seen_at, has passed it.
+    """
+    fresh = rows.withWatermark(seen_at, within).dropDuplicatesWithinWatermark(keys)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/rows/batch={number}")
+        batch.sparkSession.range(number, number + 1).toDF("batch").coalesce(1).write.mode("overwrite").parquet(f"{sink}/commits/batch_{number}")
+
+    fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def committed(spark: SparkSession, sink: str) -> DataFrame:
+    """The rows of the batches of once() that were committed."""
+    commits = spark.read.parquet(f"{sink}/commits/*")
+    return spark.read.option("basePath", f"{sink}/rows").parquet(f"{sink}/rows/*").join(F.broadcast(commits.distinct()), "batch", "left_semi").drop("batch")
+
+
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Events by type and window, in the type of their timestamps; state for windows older than `late` is dropped."""
     kind = events.schema["ts"].dataType
