@@ -112,3 +112,20 @@ def test_shards_out_of_reach_are_not_searched(spark, monkeypatch):
     assert got(spark, rows, shard_rows=30) == brute(rows, 50, 5)
     boxes, queries, reached = sent[0]
     assert boxes > 8 and reached < boxes * queries / 2
+
+
+def test_many_dimensions(spark):
+    rows = clustered(150, 768, 9)
+    assert got(spark, rows) == brute(rows, 50, 5)
+    assert got(spark, rows, shard_rows=40) == brute(rows, 50, 5)
+
+
+def test_blocks_of_queries_meet_shards(spark, monkeypatch):
+    """Several blocks of a home shard, and a row for a block and a shard rather than for a query and a shard."""
+    monkeypatch.setattr(kdtree, "BLOCK_QUERIES", 3)
+    seen, plain = [], kdtree._reached
+    monkeypatch.setattr(kdtree, "_reached", lambda *args: seen.append(plain(*args)) or seen[-1])
+    rows = [(50 * k, v) for k, v in clustered(60, 4, 2)]
+    assert got(spark, rows, shard_rows=20) == brute(rows, 50, 5)
+    pairs = [(r.home, r.block, r.shard) for r in seen[0].collect()]
+    assert len(set(pairs)) == len(pairs) and all(h != x for h, _, x in pairs)

@@ -16,7 +16,7 @@ def table(spark, rows):
 
 
 def trigrams(text):
-    folded = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in text.encode())
+    folded = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in f" {text} ".encode())
     return [((folded[i] << 16 | folded[i + 1] << 8 | folded[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(folded) - 2)]
 
 
@@ -138,3 +138,9 @@ def test_very_many_languages(spark):
     rows = [(k, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26 % 26) * 3} {chr(97 + k // 26) * 4} some words", f"x{k}") for k in range(600)]
     got = langid.identify(table(spark, rows)).where("NOT held_out").collect()
     assert sum(r.lang_pred == f"x{r.doc_id}" for r in got) >= 0.95 * len(got)
+
+
+def test_a_language_of_short_texts_is_learned(spark):
+    rows = [(1, "a", "en"), (2, "hello world text", None), (3, "b", None), (4, "12", None)]
+    found = {r.doc_id: r.lang_pred for r in langid.identify(table(spark, rows)).collect()}
+    assert found == {1: "en", 2: "en", 3: "en", 4: "und"}

@@ -193,61 +193,82 @@ def _trees(placed: DataFrame, scale: float) -> DataFrame:
     return placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard bigint, low array<double>, high array<double>, exact boolean, tree binary")
 
 
-def _searched(trees: DataFrame, queries: DataFrame, k: int, scale: float) -> DataFrame:
-    """Rows (q, vec_id, score, same): for each shard, its queries' best. queries: rows (q, v, dim, shard, kth).
+#: A block of queries: those of one home shard that are looked for together.
+BLOCK = ["dim", "home", "block"]
 
-    A shard's queries are dealt into blocks; each block is a task's work, and meets the tree.
-    same: the vector found is the query's own (or one just like it).
+
+def _blocks(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queries (q, v, dim, home) with their blocks, BLOCK_QUERIES of one home shard or about as many; and a row (dim, home, block, queries) for each block: its queries by q, and their vectors."""
+    sizes = cut(asked.groupBy("dim", "home").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("bigint").alias("blocks")))
+    dealt = join_counted(asked, sizes, ["dim", "home"], "inner").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks"))).drop("blocks")
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("q")
+        return pd.DataFrame({"dim": [key[0]], "home": [key[1]], "block": [key[2]], "queries": [pickle.dumps((rows["q"].to_numpy(np.int64), _rows(rows["v"])))]})
+
+    return dealt, cut(dealt.groupBy(*BLOCK).applyInPandas(pack, "dim int, home bigint, block bigint, queries binary"))
+
+
+def _searched(trees: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int, scale: float) -> DataFrame:
+    """Rows (dim, home, block, q, vec_id, score, same): of each shard, its queries' best.
+
+    pairs: a row (dim, shard, home, block, picks) for each block that meets a shard, picks being a bit for each
+    of the block's queries that do. blocks: with kth, an array of the score that each query's k candidates are known to
+    reach (null: none). Each pair is a task's work. same: the vector found is the query's own (or one just like it).
     """
-    sizes = queries.groupBy("dim", "shard").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("bigint").alias("blocks"))
-    sizes = cut(sizes)
-    asked = join_counted(queries, sizes, ["dim", "shard"], "inner").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks"))).drop("blocks")
-    sent = join_counted(trees.select("dim", "shard", "tree"), sizes, ["dim", "shard"], "inner").select("dim", "shard", "tree", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    keys = ["dim", "shard", "home", "block"]
+    left = pairs.join(trees.select("dim", "shard", "tree"), ["dim", "shard"]).select(*keys, "picks", "tree").toDF(*keys, "picks", "tree")
+    right = pairs.drop("picks").join(blocks, BLOCK).select(*keys, "queries", "kth").toDF(*keys, "queries", "kth")
 
     def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
-            tree = pickle.loads(left["tree"].iloc[0])
-            values, asks, kths = _rows(right["v"]), right["q"].tolist(), [-MOST - 1 if pd.isna(x) else int(x) for x in right["kth"]]
+            tree, (asks, values) = pickle.loads(left["tree"].iloc[0]), pickle.loads(right["queries"].iloc[0])
+            kths = [-MOST - 1] * len(asks) if right["kth"].iloc[0] is None else [-MOST - 1 if pd.isna(x) else int(x) for x in right["kth"].iloc[0]]
+            picked = np.ones(len(asks), dtype=bool) if left["picks"].iloc[0] is None else np.unpackbits(np.frombuffer(left["picks"].iloc[0], np.uint8), count=len(asks)).astype(bool)
             wide = ~small(values, scale) | (tree.vectors.dtype == object)
-            for these, tree_, turn in ((~wide, tree, whole), (wide, tree.exactly() if wide.any() else None, exact)):
+            for these, tree_, turn in ((picked & ~wide, tree, whole), (picked & wide, tree.exactly() if wide.any() else None, exact)):
                 at = np.flatnonzero(these)
                 if not len(at):
                     continue
                 questions = turn(values[at], scale)
                 for i, query, bound in zip(at.tolist(), questions, tree_.bounds(questions)):
-                    rows += [(asks[i], -n, s, bool((tree_.vectors[row] == query).all())) for s, n, row in tree_.search(query, bound, k, kths[i])[0]]
-        return pd.DataFrame(rows, columns=["q", "vec_id", "score", "same"]).astype({"q": "int64", "vec_id": "int64", "score": "int64", "same": "bool"})
+                    rows += [(int(asks[i]), -n, s, bool((tree_.vectors[row] == query).all())) for s, n, row in tree_.search(query, bound, k, kths[i])[0]]
+        found = pd.DataFrame(rows, columns=["q", "vec_id", "score", "same"]).astype({"q": "int64", "vec_id": "int64", "score": "int64", "same": "bool"})
+        return found.assign(dim=np.int32(key[0]), home=np.int64(key[2]), block=np.int64(key[3]))[[*BLOCK, "q", "vec_id", "score", "same"]]
 
-    keys = ["dim", "shard", "block"]
-    return sent.groupBy(*keys).cogroup(asked.select("q", "v", "kth", *keys).groupBy(*keys)).applyInPandas(cell, "q bigint, vec_id bigint, score bigint, same boolean")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "dim int, home bigint, block bigint, q bigint, vec_id bigint, score bigint, same boolean")
 
 
-def _reached(boxes: DataFrame, queries: DataFrame, scale: float) -> DataFrame:
-    """Rows (q, dim, shard) for the shards, a query's own aside, whose box may hold a score of its kth or more.
+def _reached(boxes: DataFrame, blocks: DataFrame, scale: float) -> DataFrame:
+    """The pairs of _searched() for the shards, a block's own aside, whose box may hold a score of some query's kth or more.
 
-    Blocks of boxes meet blocks of queries; boxes of vectors beyond doubles are always reached.
+    Blocks of boxes meet blocks of queries, so there is a row for a block and a shard, never one for a query
+    and a shard; boxes of vectors beyond doubles are always reached.
     """
-    m, n = (-(-df.count() // most) or 1 for df, most in ((boxes, BLOCK_BOXES), (queries, BLOCK_QUERIES)))
-    box = boxes.withColumn("b", F.pmod(F.xxhash64("shard"), F.lit(m))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    ask = queries.withColumn("c", F.pmod(F.xxhash64("q"), F.lit(n))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
+    m = -(-boxes.count() // BLOCK_BOXES) or 1
+    grouped = boxes.withColumn("b", F.pmod(F.xxhash64("shard"), F.lit(m)).cast("bigint"))
+    cells = cut(grouped.select("dim", "b").distinct().join(blocks.select(*BLOCK), "dim"))
+    box = grouped.join(cells, ["dim", "b"]).select("shard", "low", "high", "exact", "b", *BLOCK).toDF("shard", "low", "high", "exact", "b", *BLOCK)
+    ask = cells.join(blocks, BLOCK).select("b", *BLOCK, "queries", "kth").toDF("b", *BLOCK, "queries", "kth")
 
     def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"q": pd.Series(dtype="int64"), "dim": pd.Series(dtype="int32"), "shard": pd.Series(dtype="int64")})
+        out = {"dim": [], "shard": [], "home": [], "block": [], "picks": []}
         if len(left) and len(right):
-            values, reach = _rows(right["v"]), np.ones((len(right), len(left)), dtype=bool)
-            fine, plain = np.flatnonzero(small(values, scale)), np.flatnonzero(~left["exact"].to_numpy(bool))
+            asks, values = pickle.loads(right["queries"].iloc[0])
+            kth = np.array([-np.inf if pd.isna(x) else float(x) for x in right["kth"].iloc[0]])
+            reach, fine, plain = np.ones((len(asks), len(left)), dtype=bool), np.flatnonzero(small(values, scale)), np.flatnonzero(~left["exact"].to_numpy(bool))
             if len(fine) and len(plain):
                 low, high = (_rows(left[c].iloc[plain]) for c in ("low", "high"))
-                kth = right["kth"].astype("float64").to_numpy()[fine]
-                reach[np.ix_(fine, plain)] = bounds(whole(values[fine], scale), low, high) >= np.where(np.isnan(kth), -np.inf, kth)[:, None]
-            reach &= right["home"].to_numpy()[:, None] != left["shard"].to_numpy()[None, :]
-            i, j = np.nonzero(reach)
-            out = pd.DataFrame({"q": right["q"].to_numpy(np.int64)[i], "dim": np.full(len(i), key[0], np.int32), "shard": left["shard"].to_numpy(np.int64)[j]})
-        return out
+                reach[np.ix_(fine, plain)] = bounds(whole(values[fine], scale), low, high) >= kth[fine][:, None]
+            for j in np.flatnonzero(reach.any(axis=0)).tolist():
+                if (shard := int(left["shard"].iloc[j])) != key[2]:
+                    for name, value in zip(out, (key[0], shard, key[2], key[3], np.packbits(reach[:, j]).tobytes())):
+                        out[name].append(value)
+        return pd.DataFrame(out).astype({"dim": "int32", "shard": "int64", "home": "int64", "block": "int64"})
 
-    keys = ["dim", "b", "c"]
-    return box.select("shard", "low", "high", "exact", *keys).groupBy(*keys).cogroup(ask.select("q", "v", "home", "kth", *keys).groupBy(*keys)).applyInPandas(cell, "q bigint, dim int, shard bigint")
+    keys = ["dim", "b", "home", "block"]
+    return cut(box.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(cell, "dim int, shard bigint, home bigint, block bigint, picks binary"))
 
 
 def top_k(table: DataFrame, every: int, k: int, scale: float = 256.0, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -266,7 +287,7 @@ def top_k(table: DataFrame, every: int, k: int, scale: float = 256.0, shard_rows
     FIT_ROWS of them, and a large region into several shards by hash; every shard has one
     KD-tree. Each query is first searched in its own shard; its kth score there then
     rules out shards by their boxes, before anything is sent there, and bounds the search
-    of the others. Each shard and block of its queries is a task's work.
+    of the others. Each shard and block of queries is a task's work; vectors of queries are sent by block.
     """
     x = F.transform(vector_col, lambda e: e.cast("double"))
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
@@ -277,13 +298,17 @@ def top_k(table: DataFrame, every: int, k: int, scale: float = 256.0, shard_rows
     some = rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1).drop("n")
     some = cut(some)
     parts = -(-some.count() // shard_rows) or 1
-
-    sample = some.orderBy("h", "id").limit(FIT_ROWS).select("dim", "v").toPandas()
+    # one shard's vectors need no regions to be told apart by
+    sample = some.orderBy("h", "id").limit(FIT_ROWS).select("dim", "v").toPandas() if parts > 1 else pd.DataFrame({"dim": [], "v": []})
     regions = {int(d): Regions(_rows(own), parts) for d, own in sample.groupby("dim")["v"]}
-    known = cut(some.withColumn("region", _region(regions, scale, F.col("v"), F.col("dim"))))
-    sizes = cut(known.groupBy("dim", "region").agg(F.ceil(F.count("*") / shard_rows).cast("bigint").alias("subs")))
+    known = some.withColumn("region", _region(regions, scale, F.col("v"), F.col("dim")))
+    if parts > 1:
+        known = cut(known)
+        sizes = cut(known.groupBy("dim", "region").agg(F.ceil(F.count("*") / shard_rows).cast("bigint").alias("subs")))
 
     def shard(df: DataFrame) -> DataFrame:
+        if parts == 1:
+            return df.withColumn("shard", F.shiftleft("region", 40)).drop("region")
         sub = F.pmod(F.xxhash64("h"), F.col("subs"))
         return join_counted(df, sizes, ["dim", "region"], "inner").withColumn("shard", F.shiftleft("region", 40) + sub).drop("subs", "region")
 
@@ -291,20 +316,26 @@ def top_k(table: DataFrame, every: int, k: int, scale: float = 256.0, shard_rows
     queries = rows.where(F.col("id") % every == 0)
     asked = queries.select("h", "v", "dim").distinct().withColumn("region", _region(regions, scale, F.col("v"), F.col("dim")))
     asked = cut(shard(asked).withColumnRenamed("shard", "home").withColumn("q", F.monotonically_increasing_id()))
+    (dealt, blocks), none = _blocks(asked), F.lit(None)
 
     def best(found: DataFrame) -> DataFrame:
         order = W.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
         return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
 
-    first = cut(best(_searched(trees, asked.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("bigint")), k + 1, scale)))
-    kth = first.groupBy("q").agg(F.when(F.count("*") == k + 1, F.min("score")).alias("kth"))
-    bounded = cut(asked.join(kth, "q", "left"))
-    reached = cut(_reached(trees.drop("tree"), bounded, scale))
-    others = _searched(trees, reached.join(bounded.select("q", "v", "kth"), "q"), k + 1, scale)
+    home = blocks.select("dim", F.col("home").alias("shard"), "home", "block", none.cast("binary").alias("picks"))
+    found = cut(_searched(trees, blocks.withColumn("kth", none.cast("array<bigint>")), home, k + 1, scale))
+    if parts > 1 or trees.count() > 1:
+        # each query's kth score at home, in the order of its block (a query whose shard is empty has none)
+        kth = found.groupBy(*BLOCK, "q").agg(F.when(F.count("*") == k + 1, F.min("score")).alias("kth"))
+        of = dealt.select(*BLOCK, "q").join(kth, [*BLOCK, "q"], "left")
+        kths = of.groupBy(*BLOCK).agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "kth"))), lambda x: x["kth"]).alias("kth"))
+        bounded = cut(blocks.join(kths, BLOCK))
+        others = _searched(trees, bounded, _reached(trees.drop("tree"), bounded, scale), k + 1, scale)
+        found = best(found.unionByName(others))
     # of k + 1 candidates the query's own row goes, if it is among them, else the last
     entry = F.struct((-F.col("score")).alias("against"), "vec_id", "same")
-    found = cut(best(first.unionByName(others)).groupBy("q").agg(F.sort_array(F.collect_list(entry)).alias("found")))
-    answers = join_counted(queries.select("id", "h", "v"), cut(asked.select("h", "v", "q").join(found, "q")), ["h", "v"], "inner")
+    told = cut(found.groupBy("q").agg(F.sort_array(F.collect_list(entry)).alias("found")))
+    answers = join_counted(queries.select("id", "h", "v"), cut(asked.select("h", "v", "q").join(told, "q")), ["h", "v"], "inner")
     own = F.array_position(F.transform("found", lambda e: (e["vec_id"] == F.col("id")) & e["same"]), True)
     kept = answers.select("id", "found", own.alias("own")).select("id", F.slice(F.filter("found", lambda e, i: i + 1 != F.col("own")), 1, k).alias("found"))
     out = kept.select(F.col("id").alias("query_id"), F.posexplode("found").alias("at", "e"))

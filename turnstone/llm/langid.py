@@ -34,8 +34,8 @@ _FOLD = np.array([ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range
 
 
 def features(text: str) -> Iterator[np.ndarray]:
-    """The hashed byte trigrams of the whole text, in chunks."""
-    raw = text.encode()
+    """The hashed byte trigrams of the whole text, in chunks. A space stands on both its sides, so each text with a letter has one."""
+    raw = b" " + text.encode() + b" "
     for k in range(0, len(raw), CHUNK):
         b = _FOLD[np.frombuffer(raw[k : k + CHUNK + 2], dtype=np.uint8)]
         h = (b[:-2] * np.uint32(65536) + b[1:-1] * np.uint32(256) + b[2:]) * np.uint32(2654435761)
@@ -128,7 +128,7 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     known = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = cut(known.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    # a language all of whose texts are too short for a trigram has no bucket, and isn't known
+    # a language all of whose texts are empty has no bucket, and isn't known
     totals = sorted(map(tuple, counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()))
     languages, code = [x for x, _ in totals], codewords(len(totals))
     bits = code.shape[1] if languages else 0
@@ -174,7 +174,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """A row (id, held_out, lang_pred, score, ambiguous) for each row of docs.
 
     Learns from the texts and non-null languages of the rows that aren't held out;
-    predicts from the text alone. Repeated rows are all returned. An empty table gives
+    predicts from the text alone. Repeated rows are all returned; other columns are ignored, whatever their names; texts
+    of any length are looked at whole, in chunks. An empty table gives
     no rows; without any labelled row every prediction is UNDETERMINED.
     """
     model = learn(docs.where(~held_out(id_col)), text_col, lang_col)
