@@ -111,13 +111,13 @@ def test_pages_of_a_template_are_not_paired_up(spark):
     common = [word() for _ in range(85)]
     rows = [(k, " ".join([*common, *[word() for _ in range(15)]])) for k in range(400)]
     assert len({r.component_id for r in similar.near_duplicates(table(spark, rows)).collect()}) == 400
-    described = similar._described(table(spark, rows), "doc_id", "text").select(F.posexplode("prefix").alias("at", "s"), "key", "size", "marks", F.col("key").alias("root"))
+    described = similar._described(table(spark, rows), "doc_id", "text").select(F.posexplode("prefix").alias("at", "s"), "key", "size", *[F.get("marks", F.lit(k)).alias(f"p{k}") for k in range(4)], F.col("key").alias("root"))
     assert similar._met(described).count() == 0
 
 
 def test_groups_of_one_root_do_not_meet(spark):
-    rows = [(1, k, k % 3, 0, 40, [0, 0, 0, 0]) for k in range(300)]
-    table = spark.createDataFrame(rows, "s bigint, key bigint, root bigint, at int, size bigint, marks array<bigint>")
+    rows = [(1, k, k % 3, 0, 40, 0, 0, 0, 0) for k in range(300)]
+    table = spark.createDataFrame(rows, "s bigint, key bigint, root bigint, at int, size bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint")
     found = {tuple(r) for r in similar._met(table).collect()}
     assert found == {(v, u) for u in range(300) for v in range(u) if u % 3 != v % 3}
 

@@ -28,9 +28,9 @@ PART, WHOLE = 4, 5
 #: Parities of shingles, in numbers of 64 bits: two sets differ in at least as many shingles as parities.
 MARKS = 4
 #: Sizes of similar sets lie in one band or in neighbouring ones: bands grow by this factor, which is over WHOLE / PART.
-BAND = 1.3
+BAND = 2
 #: Bits of a group's hash by which rows of different groups are told apart in one go.
-DIGIT = 4
+DIGIT = 2
 #: Counters of shingles, hashed; what is counted often stands last in the order of prefixes.
 COUNTERS = 1 << 18
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
@@ -142,9 +142,18 @@ def _ring_pairs(sets: DataFrame, n: int) -> DataFrame:
     return linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same.select(F.col("first").alias("u"), F.col("key").alias("v")))
 
 
-def _may_be(m: str, n: str, a: str, b: str) -> Column:
-    """Whether two sets can be similar, by their sizes m and n and their parities a and b: similar sets differ in (m + n) / 9 shingles at most."""
-    differ = sum(distance_of(F.get(F.col(a), F.lit(k)), F.get(F.col(b), F.lit(k))) for k in range(MARKS))
+def _sized(sets: DataFrame) -> DataFrame:
+    """Sets as rows of numbers: key, size and the parities p0, p1, ..."""
+    return sets.select("key", "size", *[F.get("marks", F.lit(k)).alias(f"p{k}") for k in range(MARKS)])
+
+
+def _named(who: str, size: str) -> list[str]:
+    return [who, size, *[f"{who}{k}" for k in range(MARKS)]]
+
+
+def _may_be(m: str, n: str) -> Column:
+    """Whether the sets u and v can be similar, by their sizes m and n and their parities: similar sets differ in (m + n) / 9 shingles at most."""
+    differ = sum(distance_of(F.col(f"u{k}"), F.col(f"v{k}")) for k in range(MARKS))
     return (WHOLE * F.least(m, n) >= PART * F.greatest(m, n)) & ((WHOLE + PART) * differ <= (WHOLE - PART) * (F.col(m) + F.col(n)))
 
 
@@ -156,24 +165,30 @@ def _met(rows: DataFrame) -> DataFrame:
     on (positional filtering). Two groups are met where their hashes first differ, by a bit that is part of the join's
     key, so rows of one group never meet, however many share s.
     """
-    size, all_, found, turn = F.col("size"), WHOLE + PART, [], 0
+    all_, found, turn = WHOLE + PART, [], 0
+    is_short = all_ * (F.col("size") - F.col("at")) >= 2 * PART * F.col("size")
     rows = rows.withColumns({"band": F.floor(F.log("size") / math.log(BAND)).cast("int"), "met": F.lit(0).cast("bigint")})
+    parities = [f"p{k}" for k in range(MARKS)]
     while True:
-        parted = cut(rows.groupBy("s", "met").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s", "met"))
+        told = rows.groupBy("s", "met").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(is_short).alias("some"))
+        parted = cut(told.where("low <> high AND some").select("s", "met"))
         if parted.isEmpty():
             break
         digit = F.shiftrightunsigned(F.xxhash64("root"), turn * DIGIT).bitwiseAND((1 << DIGIT) - 1)
         rows = cut(join_counted(rows, parted, ["s", "met"], "inner").withColumn("digit", digit))
-        below = [F.struct(F.lit(k).alias("bit"), F.col("digit").bitwiseAND((1 << k) - 1).alias("alike"), F.shiftright("digit", k).bitwiseAND(1).alias("side")) for k in range(DIGIT)]
-        told = rows.select("s", "met", "band", "key", "at", "size", "marks", F.inline(F.array(*below)))
-        short = told.where(all_ * (size - F.col("at")) >= 2 * PART * size).toDF("s", "met", "band", "u", "u_at", "m", "a", "bit", "alike", "side")
-        other = told.select("s", "met", F.explode(F.array("band", F.col("band") - 1)), "key", "at", "size", "marks", "bit", "alike", (1 - F.col("side")))
-        least = F.greatest(F.pow(F.lit(BAND), F.col("band")) * (1 - 1e-9), PART * F.col("n") / WHOLE)
-        long = other.toDF("s", "met", "band", "v", "v_at", "n", "b", "bit", "alike", "side")
-        long = long.where(all_ * (F.col("n") - F.col("v_at")) >= PART * (F.col("n") + least))
+        # the bits that have agreed so far, and which one is the first that may differ
+        below = [F.struct(F.col("met").alias("code"), (F.col("digit").bitwiseAND((1 << k) - 1) * DIGIT + k).cast("int").alias("bit"), F.shiftright("digit", k).bitwiseAND(1).alias("side")) for k in range(DIGIT)]
+        short = rows.where(is_short).select("s", "band", "key", "at", "size", *parities, F.inline(F.array(*below)))
+        short = short.select("s", "band", "code", "bit", "side", F.col("key").alias("u"), F.col("at").alias("u_at"), F.col("size").alias("m"), *[F.col(p).alias(f"u{k}") for k, p in enumerate(parities)])
+        low = F.pow(F.lit(float(BAND)), F.col("near")) * (1 - 1e-9)  # no partner of that band is smaller
+        least = F.greatest(low, PART * F.col("size") / WHOLE)
+        near = rows.withColumn("near", F.explode(F.array("band", F.col("band") - 1)))
+        near = near.where((BAND * low * (1 + 1e-8) > PART * F.col("size") / WHOLE) & (all_ * (F.col("size") - F.col("at")) >= PART * (F.col("size") + least)))
+        long = near.select("s", F.col("near").alias("band"), "key", "at", "size", *parities, F.inline(F.array(*below)))
+        long = long.select("s", "band", "code", "bit", (1 - F.col("side")).alias("side"), F.col("key").alias("v"), F.col("at").alias("v_at"), F.col("size").alias("n"), *[F.col(p).alias(f"v{k}") for k, p in enumerate(parities)])
         enough = all_ * F.least(F.col("m") - F.col("u_at"), F.col("n") - F.col("v_at")) >= PART * (F.col("m") + F.col("n"))
         order = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("u") < F.col("v"))
-        pairs = short.join(long, ["s", "met", "band", "bit", "alike", "side"]).where(order & enough & _may_be("m", "n", "a", "b"))
+        pairs = short.join(long, ["s", "band", "code", "bit", "side"]).where(order & enough & _may_be("m", "n"))
         found.append(cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
         rows, turn = rows.withColumn("met", F.shiftleft("met", DIGIT).bitwiseOR(F.col("digit"))).drop("digit"), turn + 1
     pairs = found[0] if found else rows.select(F.col("key").alias("u"), F.col("key").alias("v")).where("false")
@@ -201,11 +216,11 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
     many = cut(join_counted(keyed, shared, "s", "inner").select("s", "key", "at").distinct())
     # where s stands first, the fewest shingles are a set's own: such a set is the middle of its near copies
     middle = cut(many.groupBy("s").agg(F.min(F.struct("at", "key")).getField("key").alias("lo"), F.max(F.struct("at", "key")).getField("key").alias("hi")))
-    of = cut(sets.select("key", "size", "marks"), n)
+    of = cut(_sized(sets), n)
     stars = join_counted(many, middle, "s", "inner").select(F.explode(F.array("lo", "hi")).alias("u"), F.col("key").alias("v")).unionByName(_ring_pairs(sets, n))
-    stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    described = join_counted(join_counted(stars, of.toDF("u", "m", "a"), "u", "inner"), of.toDF("v", "n", "b"), "v", "inner")
-    tried = cut(described.where(_may_be("m", "n", "a", "b")).select("u", "v").distinct())
+    stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    described = join_counted(join_counted(stars, of.toDF(*_named("u", "m")), "u", "inner", rows=n), of.toDF(*_named("v", "n")), "v", "inner", rows=n)
+    tried = cut(described.where(_may_be("m", "n")).select("u", "v"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return cut(_verified(pairs, cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()))))
@@ -214,7 +229,7 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
     roots = cut(components(found).toDF("key", "root"))
     rooted = cut(join_counted(many.select("s", "key", "at"), roots, "key").select("s", "key", "at", F.coalesce("root", "key").alias("root")))
     parted = cut(rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s"))
-    left = cut(join_counted(join_counted(rooted, parted, "s", "inner"), of, "key", "inner"))
+    left = cut(join_counted(join_counted(rooted, parted, "s", "inner"), of, "key", "inner", rows=n))
     rest = cut(join_counted(_met(left), tried, ["u", "v"], "left_anti"))
     return found if rest.isEmpty() else found.unionByName(verified(rest))
 
@@ -241,7 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row (id, component_id) for each row of docs, with the least id among the documents that are reachable over similar pairs.
 
     Texts with the same shingles, such as all without words, are one document here; so groups
-    of copies cost no pairs. Null ids and repeated rows are treated as simhash.near_duplicates does.
+    of copies cost no pairs. Null ids and repeated rows are treated as simhash.near_duplicates does; very long texts
+    are looked at whole; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     return _placed(docs, id_col, text_col).select(F.col("id").alias(id_col), "component_id")
 
