@@ -6,6 +6,7 @@ stages before it have left in the shared folder.
 
 from __future__ import annotations
 
+import contextvars
 import functools
 from collections.abc import Callable
 
@@ -18,10 +19,10 @@ from turnstone.llm.common import Recorded, cut, drop_scratch
 MIX_BLOCK = 512
 
 
-#: Rows of an Arrow batch: whole texts stand in them, on both sides of a worker's pipe.
-ARROW_ROWS = 2000
-#: The scratch tables of the stages that were called so far, each with the stage's place.
-_left: list[tuple[int, Recorded]] = []
+#: Rows of an Arrow batch: whole texts stand in them, on both sides of a worker's pipe. A stage sets this for its session; run() sets it back.
+ARROW_ROWS, ARROW_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: The scratch tables of the stages that a run has called so far, each with the stage's place; stages called outside of run() share the default list.
+_left: contextvars.ContextVar[list[tuple[int, Recorded]]] = contextvars.ContextVar("left", default=[])
 
 
 def _tidy(place: int, last: bool = False) -> Callable:
@@ -30,14 +31,15 @@ def _tidy(place: int, last: bool = False) -> Callable:
     def tidy(stage: Callable) -> Callable:
         @functools.wraps(stage)
         def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            for k, other in [x for x in _left if x[0] < place]:
+            left = _left.get()
+            for k, other in [x for x in left if x[0] < place]:
                 other.drop_but(docs)
-                _left.remove((k, other))
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+                left.remove((k, other))
+            spark.conf.set(ARROW_SETTING, ARROW_ROWS)
             with Recorded() as own:
                 found = stage(spark, docs, sf_dir)
             if not last:
-                _left.append((place, own))
+                left.append((place, own))
             return found
 
         return run_stage
@@ -84,11 +86,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, the stages applied in order to the documents table."""
+    """The last stage's rows, the stages applied in order to the documents table. Runs in several threads don't touch each other's tables."""
     docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-        if read is not None:
-            drop_scratch(read)
-        read = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before, run_ = spark.conf.get(ARROW_SETTING), _left.set([])
+    try:
+        for _, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir))
+            if read is not None:
+                drop_scratch(read)
+            read = docs
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        spark.conf.set(ARROW_SETTING, before)
+        _left.reset(run_)
