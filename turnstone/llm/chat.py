@@ -131,7 +131,8 @@ def read_back(chats: DataFrame, tokenizer: str, reserved: int) -> DataFrame:
     """A row (conv_id, turns, loss_text, formatted) per formatted conversation.
 
     turns (an array of role and text) and loss_text (the texts under the mask, joined)
-    come from the token ids and the mask alone.
+    come from the token ids and the mask alone. A conversation is one row in and out, very long texts included;
+    repeated rows, and the null conv_id's, are read each; an empty table gives no rows; other columns are ignored.
     """
 
     @F.arrow_udf("struct<turns: array<struct<role: string, text: string>>, loss_text: string>")

@@ -66,9 +66,12 @@ RANGE_ROWS = 100_000
 def before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """df with, for each name, the sum (a long) of its column over the rows before in that total order.
 
-    Ranges of rows are summed apart and then offset, so no task sees all rows.
+    Ranges of rows are summed apart and then offset, so no task sees more than about RANGE_ROWS rows.
     """
-    ranged = df.repartitionByRange(-(-df.count() // RANGE_ROWS) or 1, *order)
+    if (n := -(-df.count() // RANGE_ROWS)) <= 1:
+        upto = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c.cast("bigint")).over(upto), F.lit(0)).alias(k) for k, c in sums.items()])
+    ranged = df.repartitionByRange(n, *order)
     ranged = cut(ranged.withColumns({f"_n_{k}": c.cast("bigint") for k, c in sums.items()} | {"_range": F.spark_partition_id()}))
     totals = ranged.groupBy("_range").agg(*[F.sum(f"_n_{k}").alias(f"_t_{k}") for k in sums])
     upto = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range

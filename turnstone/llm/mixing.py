@@ -185,7 +185,8 @@ def words_taken(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
 
     Draws and permutations depend on the seed and on the sources' sizes alone, so
     reruns agree. Null texts, null ids and sources, and repeated rows are treated as Mix
-    says; an empty table gives no rows; other columns are ignored.
+    says; an empty table gives no rows; other columns are ignored. The words of a very long text are counted in one task; its blocks
+    are spread. Identical rows are laid out by one task.
     """
     mix = Mix(docs, id_col=id_col, **options)
     keep = ["id", "source_size", "target"]

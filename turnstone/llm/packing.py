@@ -248,7 +248,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = W
 
 
 def sequences(placed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
-    """A row (sequence_id, input_ids) per window: its pieces' ids by offset, padded to `window`."""
+    """A row (sequence_id, input_ids) per window: its pieces' ids by offset, padded to `window`.
+
+    placed: rows (sequence_id, offset, ids) as pack_documents() gives them, of which a window has `window` ids at most, however
+    long its documents are. An empty table gives no rows; other columns are ignored.
+    """
     rows = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
 
     @F.arrow_udf("array<int>")

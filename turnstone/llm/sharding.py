@@ -45,7 +45,8 @@ def shard_rows(docs: DataFrame, weights: list[float], grown_weight: float = 1.0,
     part has rows, if none are given.
 
     A null text has no bytes (checksum 0). A null id has the key '', so such rows
-    share a shard, but not a part. Repeated rows each get a slot of their own. An empty
+    share a shard, but not a part. Repeated rows each get a slot of their own, given by one task. A very long text
+    is looked at whole; it has to fit into a task. An empty
     table gives no rows; other columns are ignored, whatever their names.
     """
     key, text = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))

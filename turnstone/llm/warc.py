@@ -8,24 +8,27 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from turnstone.sources.lines import opened
 
-from .common import cut, join_counted, scratch_dir
+from .common import cut, join_counted, lean, scratch_dir
 
-RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload string"
+RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary, content_encoding string, charset string"
 #: The header of each column; what has none is the payload's.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length"}
+#: What a revisit record of an equal payload says it is.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Predicates on these are judged on the headers; payload_bytes may be known from the block alone.
 JUDGED = frozenset(HEADERS) - {"payload_bytes"}
 #: A target URI that a header can't hold as it is stands here, percent-encoded throughout.
@@ -48,13 +51,15 @@ def _line(value: str) -> str:
 
 
 def record(row: dict, compress: bool) -> bytes:
-    """A record with RECORD's fields. A revisit just tells of its payload; all others hold theirs, a response after an HTTP head."""
+    """A record with RECORD's fields. A revisit just tells of its payload; all others hold theirs as it is, a response after an HTTP head that says it is UTF-8."""
     values = {HEADERS[k]: str(row[k]) for k in HEADERS if row[k] is not None}
     if row["payload_digest"] is not None:
         values["WARC-Payload-Digest"] = "sha1:" + base64.b32encode(bytes.fromhex(row["payload_digest"])).decode()
     if row["target_uri"] is not None and _line(row["target_uri"]) != row["target_uri"]:
         values[WHOLE_URI] = quote(row["target_uri"], safe="")
-    payload, kind = (row["payload"] or "").encode(), row["record_type"]
+    payload, kind = row["payload"] or b"", row["record_type"]
+    if kind == "revisit":
+        values["WARC-Profile"] = SAME_PAYLOAD
     block = HTTP if kind == "revisit" else HTTP + payload if kind == "response" else payload
     content = "application/http; msgtype=response" if kind in ("response", "revisit") else "application/octet-stream"
     head = [f"{name}: {_line(value)}" for name, value in values.items()]
@@ -82,7 +87,57 @@ def _header(stream) -> tuple[dict[str, str], dict]:
         row["target_uri"] = unquote(uri)
     row["payload_digest"] = _digest(row["payload_digest"])
     row["payload_bytes"] = int(row["payload_bytes"]) if row["payload_bytes"] else None
-    return named, row | {"payload": None}
+    return named, row | {"payload": None, "content_encoding": None, "charset": None}
+
+
+def _coded(head: bytes) -> dict[str, str | None]:
+    """What an HTTP head says of its body: content_encoding and charset, in lower case."""
+    lines = [x.partition(":") for x in head.decode("latin-1").split("\r\n")]
+    named = {name.strip().lower(): value.strip().lower() for name, _, value in lines}
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", named.get("content-type", ""))
+    return {"content_encoding": named.get("content-encoding") or None, "charset": charset[1] if charset else None}
+
+
+#: How a page names its charset by itself.
+_META = re.compile(rb"<meta[^>]{0,200}charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+
+
+def decoded(payload: bytes | None, content_encoding: str | None, charset: str | None) -> str | None:
+    """The text of a payload: its content codings (gzip, deflate, br, zstd) undone, the last one first, and its charset, or the one that the page names, or UTF-8, decoded.
+
+    What doesn't decode stands as replacement characters; a payload whose codings are unknown, or that isn't coded as it
+    says, gives None, as does none.
+    """
+    if payload is None:
+        return None
+    try:
+        for coding in reversed([x.strip() for x in (content_encoding or "").split(",") if x.strip() not in ("", "identity")]):
+            if coding == "deflate":
+                payload = zlib.decompress(payload) if payload[:1] == b"\x78" else zlib.decompress(payload, -zlib.MAX_WBITS)
+            else:
+                kind = {"gzip": "gzip", "x-gzip": "gzip", "br": "brotli", "zstd": "zstd"}[coding]
+                payload = pa.CompressedInputStream(pa.BufferReader(payload), kind).read()
+    except (KeyError, OSError, zlib.error, pa.ArrowInvalid):
+        return None
+    found = _META.search(payload[:4096])
+    for name in (charset, found and found[1].decode("ascii", "replace")):
+        try:
+            if name:
+                return payload.decode(name, "replace")
+        except LookupError:  # no such charset
+            continue
+    return payload.decode("utf-8", "replace")
+
+
+def payload_text(payload: Column, content_encoding: Column, charset: Column) -> Column:
+    """decoded() of columns."""
+
+    @F.arrow_udf("string")
+    @lean
+    def run(payload: pa.Array, coding: pa.Array, charset: pa.Array) -> pa.Array:
+        return pa.array([decoded(*(x.as_py() for x in row)) for row in zip(payload, coding, charset)], pa.string())
+
+    return run(payload, content_encoding, charset)
 
 
 def read_records(stream, wanted, payloads: str = "true") -> Iterator[dict]:
@@ -94,12 +149,17 @@ def read_records(stream, wanted, payloads: str = "true") -> Iterator[dict]:
     the head of an HTTP message, of other records the whole block, and none of a revisit.
     An archive that ends within a record is an error, also where the record isn't wanted.
     """
-    while line := stream.readline():
+    while True:
+        at = stream.tell()
+        if not (line := stream.readline()):
+            return
         if line.strip() == b"":
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no record starts with {line[:40]!r}")
+            raise ValueError(f"at byte {at} no record starts, but {line[:40]!r}")
         named, row = _header(stream)
+        if not named.get("content-length", "").isdigit():
+            raise ValueError(f"the record at byte {at} doesn't say how long it is")
         length, own, content = int(named["content-length"]), row["payload_bytes"] is not None, named.get("content-type", "").lower()
         http = "application/http" in content or not content and row["record_type"] in ("request", "response")
         take = wanted(row)
@@ -114,7 +174,8 @@ def read_records(stream, wanted, payloads: str = "true") -> Iterator[dict]:
                 stream.seek(length - len(head), io.SEEK_CUR)
             else:
                 block = stream.read(length)
-                payload = block.partition(b"\r\n\r\n")[2] if http else block
+                head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+                row |= _coded(head) if http else {}
                 if len(block) == length and own and row["payload_digest"] and hashlib.sha1(payload).hexdigest() != row["payload_digest"]:
                     raise ValueError(f"{row['record_id']} doesn't have the digest in its header")
                 row["payload_bytes"] = len(payload)
@@ -123,7 +184,7 @@ def read_records(stream, wanted, payloads: str = "true") -> Iterator[dict]:
         else:
             stream.seek(length, io.SEEK_CUR)
         if stream.read(4) != b"\r\n\r\n":
-            raise ValueError(f"{row['record_id']} is cut off")
+            raise ValueError(f"{row['record_id']} at byte {at} is cut off")
         if take:
             yield row
 
@@ -166,7 +227,7 @@ class WarcReader(DataSourceReader):
         if not partition.path:  # an empty folder
             return
         fs, _ = opened(self.path)
-        names, kinds, rows, held = HEADERS | {"payload": ""}, {"payload_bytes": pa.int64()}, [], 0
+        names, kinds, rows, held = [x.split()[0] for x in RECORD.split(", ")], {"payload_bytes": pa.int64(), "payload": pa.binary()}, [], 0
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in names})
@@ -174,10 +235,16 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(partition.path) as raw:
             gzipped = raw.read(2) == b"\x1f\x8b"
             raw.seek(0)
-            for row in read_records(gzip.GzipFile(fileobj=raw) if gzipped else io.BufferedReader(raw), self.wanted, self.payload):
-                row["payload"] = row["payload"].decode("utf-8", "replace") if row["payload"] is not None else None
+            found = read_records(gzip.GzipFile(fileobj=raw) if gzipped else io.BufferedReader(raw), self.wanted, self.payload)
+            while True:
+                try:
+                    row = next(found, None)
+                except ValueError as e:
+                    raise ValueError(f"{partition.path}: {e} (bytes of what it unpacks to)") from e
+                if row is None:
+                    break
                 rows.append(row)
-                held += len(row["payload"] or "")
+                held += len(row["payload"] or b"")
                 if held > BATCH_BYTES or len(rows) >= 10_000:
                     yield batch()
                     rows, held = [], 0
@@ -268,7 +335,7 @@ def archive(pages: DataFrame, path: str, least: int = REVISIT_BYTES, id_col: str
     responses. A null html has an empty payload. A null id counts as the least; if all
     ids of a group are null, all its rows are responses. Only digests of the
     payloads are grouped; the pages meet the groups' ids, of which each copied text
-    has one. Repeated rows are records each; an empty table writes no record; other columns
+    has one. Repeated rows are records each, of one record id; an empty table writes no record; other columns
     are ignored, whatever their names. A payload has to fit into a task's memory, whole and
     compressed.
     """
@@ -287,7 +354,9 @@ def archive(pages: DataFrame, path: str, least: int = REVISIT_BYTES, id_col: str
         F.when(again, name(F.col("first"))).alias("refers_to"),
         "payload_digest",
         "payload_bytes",
-        F.when(~again, F.col("payload")).alias("payload"),
+        F.when(~again, F.col("payload").cast("binary")).alias("payload"),
+        F.lit(None).cast("string").alias("content_encoding"),
+        F.lit(None).cast("string").alias("charset"),
     ).write.format("warc").mode("append").save(path)
 
 
