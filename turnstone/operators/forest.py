@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnstone.operators.lineage import KEYS, climbed, links_of
-from turnstone.plans.scratch import cut, drop_scratch
+from turnstone.plans.scratch import cut, cut_counting, drop_scratch
 
 
 def _ranked(steps: DataFrame, sums: list[str]) -> DataFrame:
@@ -21,11 +21,12 @@ def _ranked(steps: DataFrame, sums: list[str]) -> DataFrame:
     What never reaches an end, as on a cycle, is left out.
     """
     rows, state, left = steps.count(), steps.select("source", "node", "next", *sums), None
-    while (now := state.where("next IS NOT NULL").count()) and now != left:
-        left = now
+    now = {"open": rows}
+    while now["open"] and now["open"] != left:
+        left = now["open"]
         on = state.select("source", F.col("node").alias("next"), F.col("next").alias("_next"), *[F.col(c).alias(f"_{c}") for c in sums])
         moved = state.where("next IS NOT NULL").join(on, ["source", "next"]).select("source", "node", F.col("_next").alias("next"), *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
-        new = cut(state.where("next IS NULL").unionByName(moved), rows)
+        new, now = cut_counting(state.where("next IS NULL").unionByName(moved), rows, open=F.count("next"))
         drop_scratch(state)
         state = new
     return state.where("next IS NULL").drop("next")

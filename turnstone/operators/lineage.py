@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnstone.plans.scratch import cut, drop_scratch
+from turnstone.plans.scratch import cut, cut_counting, drop_scratch
 
 KEYS = ["source", "record_id"]
 
@@ -61,7 +61,8 @@ def climbed(links: DataFrame, ends: DataFrame | None = None, paths: bool = False
     """
     rows, kind = links.count(), links.schema["record_id"].dataType.simpleString()
     own = [F.when(F.col("has_parent"), F.array("record_id")).otherwise(F.array().cast(f"array<{kind}>")).alias("path")] * paths
-    state = cut(links.select(*KEYS, F.when(F.col("has_parent"), F.col("parent_id")).otherwise(F.col("record_id")).alias("at"), F.col("has_parent").cast("int").alias("depth"), *own, (~F.col("has_parent")).alias("done")), rows)
+    start = links.select(*KEYS, F.when(F.col("has_parent"), F.col("parent_id")).otherwise(F.col("record_id")).alias("at"), F.col("has_parent").cast("int").alias("depth"), *own, (~F.col("has_parent")).alias("done"))
+    state, now = cut_counting(start, rows, open=F.count_if(~F.col("done")))
     above = None if ends is None else ends.join(links.select(*KEYS), KEYS, "left_semi").select("source", F.col("record_id").alias("end"), "record_id", F.lit(0).alias("up")).distinct()
 
     def reached(above: DataFrame) -> DataFrame:
@@ -71,14 +72,14 @@ def climbed(links: DataFrame, ends: DataFrame | None = None, paths: bool = False
 
     left = None
     # after k rounds all records less than 2 ** k deep are done; a round that ends none leaves only cycles
-    while (now := state.where("NOT done").count()) and now != left:
-        left = now
+    while now["open"] and now["open"] != left:
+        left = now["open"]
         if above is not None:
             above = reached(above)
         upper = state.select("source", F.col("record_id").alias("at"), F.col("at").alias("_up"), F.col("depth").alias("_more"), F.col("done").alias("_ends"), *[F.col("path").alias("_between")] * paths)
         whole = [F.concat("_between", "path").alias("path")] * paths
         moved = state.where("NOT done").join(upper, ["source", "at"]).select(*KEYS, F.col("_up").alias("at"), (F.col("depth") + F.col("_more")).alias("depth"), *whole, F.col("_ends").alias("done"))
-        new = cut(state.where("done").unionByName(moved), rows)
+        new, now = cut_counting(state.where("done").unionByName(moved), rows, open=F.count_if(~F.col("done")))
         drop_scratch(state)
         state = new
     return state, None if above is None else reached(above)

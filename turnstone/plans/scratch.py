@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Rows of a narrow scratch table that a file has at least, where their number is known.
 FILE_ROWS = 250_000
@@ -42,6 +42,13 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, rows: int | None = None, **what: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and what some aggregates over it are, taken while it is written rather than by another job."""
+    seen = Observation()
+    written = cut(df.observe(seen, *[c.alias(name) for name, c in what.items()]), rows)
+    return written, seen.get
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
