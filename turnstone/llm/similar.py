@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_counted, lean
+from .common import components, cut, drop_scratch, join_counted, lean
 from .simhash import distance_of, keep_least, near_links, simhash
 
 #: Words of a shingle.
@@ -157,6 +157,12 @@ def _may_be(m: str, n: str) -> Column:
     return (WHOLE * F.least(m, n) >= PART * F.greatest(m, n)) & ((WHOLE + PART) * differ <= (WHOLE - PART) * (F.col(m) + F.col(n)))
 
 
+def _drop(tables: list[DataFrame]) -> None:
+    """Delete tables that cut() returned and that nothing reads any more."""
+    for table in tables:
+        drop_scratch(table)
+
+
 def _met(rows: DataFrame) -> DataFrame:
     """Pairs (u, v) of sets of different groups (root) that have a shingle s among their first and may be similar.
 
@@ -168,14 +174,17 @@ def _met(rows: DataFrame) -> DataFrame:
     all_, found, turn = WHOLE + PART, [], 0
     is_short = all_ * (F.col("size") - F.col("at")) >= 2 * PART * F.col("size")
     rows = rows.withColumns({"band": F.floor(F.log("size") / math.log(BAND)).cast("int"), "met": F.lit(0).cast("bigint")})
-    parities = [f"p{k}" for k in range(MARKS)]
+    parities, held = [f"p{k}" for k in range(MARKS)], []
     while True:
         told = rows.groupBy("s", "met").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(is_short).alias("some"))
         parted = cut(told.where("low <> high AND some").select("s", "met"))
         if parted.isEmpty():
+            held.append(parted)
             break
         digit = F.shiftrightunsigned(F.xxhash64("root"), turn * DIGIT).bitwiseAND((1 << DIGIT) - 1)
         rows = cut(join_counted(rows, parted, ["s", "met"], "inner").withColumn("digit", digit))
+        _drop(held)
+        held = [rows, parted]
         # the bits that have agreed so far, and which one is the first that may differ
         below = [F.struct(F.col("met").alias("code"), (F.col("digit").bitwiseAND((1 << k) - 1) * DIGIT + k).cast("int").alias("bit"), F.shiftright("digit", k).bitwiseAND(1).alias("side")) for k in range(DIGIT)]
         short = rows.where(is_short).select("s", "band", "key", "at", "size", *parities, F.inline(F.array(*below)))
@@ -191,6 +200,7 @@ def _met(rows: DataFrame) -> DataFrame:
         pairs = short.join(long, ["s", "band", "code", "bit", "side"]).where(order & enough & _may_be("m", "n"))
         found.append(cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
         rows, turn = rows.withColumn("met", F.shiftleft("met", DIGIT).bitwiseOR(F.col("digit"))).drop("digit"), turn + 1
+    _drop(held)
     pairs = found[0] if found else rows.select(F.col("key").alias("u"), F.col("key").alias("v")).where("false")
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -221,16 +231,23 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
     stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     described = join_counted(join_counted(stars, of.toDF(*_named("u", "m")), "u", "inner", rows=n), of.toDF(*_named("v", "n")), "v", "inner", rows=n)
     tried = cut(described.where(_may_be("m", "n")).select("u", "v"))
+    _drop([shared, middle])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return cut(_verified(pairs, cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()))))
+        texts = cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()))
+        out = cut(_verified(pairs, texts))
+        _drop([texts])
+        return out
 
     found = verified(tried)
     roots = cut(components(found).toDF("key", "root"))
     rooted = cut(join_counted(many.select("s", "key", "at"), roots, "key").select("s", "key", "at", F.coalesce("root", "key").alias("root")))
+    _drop([many])
     parted = cut(rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s"))
     left = cut(join_counted(join_counted(rooted, parted, "s", "inner"), of, "key", "inner", rows=n))
+    _drop([rooted, parted])
     rest = cut(join_counted(_met(left), tried, ["u", "v"], "left_anti"))
+    _drop([left])
     return found if rest.isEmpty() else found.unionByName(verified(rest))
 
 
