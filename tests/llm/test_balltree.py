@@ -16,8 +16,8 @@ def floored(x):
     return math.floor(256 * x) if abs(x) < 2**53 else 256 * int(x)
 
 
-def brute(rows, k, rounds, dims):
-    kept = [(i, tuple(floored(float(np.float32(x))) for x in v)) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(np.float32(x)) for x in v)]
+def brute(rows, k, rounds, dims, kind=np.float32):
+    kept = [(i, tuple(floored(float(kind(x))) for x in v)) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(kind(x)) for x in v)]
     starts = sorted((hashlib.sha256(f"2:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)
     now = [v for _, v in starts[:k]]
     if not now:
@@ -38,8 +38,8 @@ def brute(rows, k, rounds, dims):
     return sorted(((i, n, min(d, most), min(inertia[n], most), min(sum(inertia), most), digests[n]) for i, d, n in last), key=str)
 
 
-def got(spark, rows, k, rounds, dims, **options):
-    table = spark.createDataFrame([(i, v, 0, 1, "x", 2) for i, v in rows], SCHEMA)
+def got(spark, rows, k, rounds, dims, schema=SCHEMA, **options):
+    table = spark.createDataFrame([(i, v, 0, 1, "x", 2) for i, v in rows], schema)
     found = balltree.cluster(table, k=k, rounds=rounds, dims=dims, **options)
     return sorted(map(tuple, found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256").collect()), key=str)
 
@@ -73,6 +73,15 @@ def test_huge_components_are_exact(spark):
     assert got(spark, rows, 5, 3, 3, tree_rows=16) == brute(rows, 5, 3, 3)
 
 
+@pytest.mark.parametrize("scale", [1e140, 1e160, 1.7e308])
+def test_doubles_whose_squares_no_double_holds(spark, scale):
+    rng = random.Random(8)
+    rows = [(k, [rng.choice((scale, -scale, 3e20, 1.5, -7.25)) * rng.random() for _ in range(3)]) for k in range(60)] + [(100 + k, [1.0, 2.0, k / 4]) for k in range(20)]
+    doubles = SCHEMA.replace("array<float>", "array<double>")
+    for tree_rows in (16, 8192):
+        assert got(spark, rows, 6, 3, 3, doubles, tree_rows=tree_rows) == brute(rows, 6, 3, 3, float)
+
+
 def test_few_vectors_and_none(spark):
     rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [5.0, 5.0])]
     assert got(spark, rows, 40, 5, 2) == brute(rows, 40, 5, 2)

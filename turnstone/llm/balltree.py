@@ -19,6 +19,8 @@ TREE_ROWS, LEAF = 8192, 64
 #: Sums under these are exact in doubles and in longs.
 EXACT, LONG = 2**53, 2**62
 MOST = 2**63 - 1
+#: Components under this have squares, and sums of many squares, that doubles can hold; beyond, bounds can't be told and every vector is measured.
+TOLD = 2**490
 #: The part of two vectors' squared lengths that rounding can take from, or add to, their squared distance.
 SLACK = 1e-12
 #: Bits of a sum that travel in one row.
@@ -27,14 +29,14 @@ LIMB = 32
 
 def integers(values: np.ndarray, scale: int) -> np.ndarray:
     """floor(scale * x) of finite doubles, exactly: as longs, or as Python ints where one would be too large for sums of longs."""
-    if np.abs(values).max(initial=0.0) * scale < 2**31:
+    if np.abs(values).max(initial=0.0) < 2**31 / scale:
         return np.floor(values * scale).astype(np.int64)
     return np.array([math.floor(x * scale) if abs(x) < EXACT else int(x) * scale for x in values.ravel().tolist()], dtype=object).reshape(values.shape)
 
 
 def distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Exact squared distances of integer points (rows) to integer centers: longs, or Python ints."""
-    far = max(abs(int(x)) for x in (points.min(), points.max(), centers.min(), centers.max())) if points.size and centers.size else 0
+    far = max(_farthest(points), _farthest(centers))
     most = 4 * far * far * max(1, points.shape[1])
     if most < EXACT:
         a, b = points.astype(float), centers.astype(float)
@@ -44,6 +46,11 @@ def distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.stack([((a - c) ** 2).sum(axis=1) for c in b], axis=1) if len(b) else np.zeros((len(a), 0), kind)
 
 
+def _farthest(values: np.ndarray) -> int:
+    """The largest size of a component."""
+    return max(abs(int(values.min())), abs(int(values.max()))) if values.size else 0
+
+
 class BallTree:
     """Balls around vectors, split at the median of the widest side: of each the center, radius, count and exact sum.
 
@@ -51,8 +58,9 @@ class BallTree:
     """
 
     def __init__(self, vectors: np.ndarray, ids: list, leaf: int = LEAF):
-        order = np.arange(len(vectors))
-        spots = vectors.astype(float)
+        order, far = np.arange(len(vectors)), _farthest(vectors)
+        self.told = far < TOLD
+        spots = vectors.astype(float) if self.told else np.zeros(vectors.shape)  # one ball, if its distances can't be told
         self.begin, self.end, self.children, center, radius = [0], [len(vectors)], [], [], []
         node = 0
         while node < len(self.begin):
@@ -74,7 +82,6 @@ class BallTree:
         self.center, self.radius = np.array(center), np.array(radius)
         upto = np.concatenate([np.zeros((1, vectors.shape[1]), sorted_.dtype), np.cumsum(sorted_, axis=0)])
         self.sums = upto[self.end] - upto[self.begin]
-        far = max(abs(int(x)) for x in (sorted_.min(), sorted_.max())) if sorted_.size else 0
         self.vectors = sorted_.astype(np.int16) if far < 2**15 else sorted_
 
     def assigned(self, centroids: np.ndarray) -> Iterator[tuple[int, int | np.ndarray]]:
@@ -82,8 +89,11 @@ class BallTree:
 
         A centroid is left out of a ball if even the ball's nearest point to it is farther away than the farthest
         is from another one. If one centroid is left, it has the whole ball; a leaf's points are
-        measured exactly against those left.
+        measured exactly against those left. Where doubles can't hold the squares, all points are.
         """
+        if not (self.told and _farthest(centroids) < TOLD):
+            yield 0, np.argmin(distances(self.vectors, centroids), axis=1)
+            return
         spots = centroids.astype(float)
         size = (self.center**2).sum(1)[:, None] + (spots**2).sum(1)
         squared = np.maximum(size - 2 * (self.center @ spots.T), 0)
