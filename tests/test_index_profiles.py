@@ -4,6 +4,7 @@ import json
 import random
 import re
 import shutil
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,28 @@ def test_sketches_keep_their_errors_and_read_new_files_alone(spark, tmp_path):
     assert abs(both.select(sketches.shared(F.col("u"), F.col("a")).alias("x")).first().x - exact) <= 6 * sketches.DISTINCT_ERROR * exact
 
 
+@pytest.mark.parametrize("width", [0.0, 3 * sketches.RANK_ERROR])
+def test_more_rows_than_sketches_hold_are_told_exactly(spark, tmp_path, width):
+    folder, store, exact, rng = tmp_path / "logs", str(tmp_path / "store"), str(tmp_path / "exact"), random.Random(3)
+    mapping = {"role": ("$.role", "string"), "n": ("$.n", "bigint"), "text": ("$.text", "string")}
+    shares = {"q0": Decimal("0.0"), "q1": Decimal("0.1"), "q50": Decimal("0.5"), "q90": Decimal("0.9"), "q100": Decimal("1.0")}
+    rows = []
+    folder.mkdir()
+    for k in range(2):
+        own = [(rng.choice(["u", None, "few"][: 2 + (j < 9)]), rng.randrange(10**9), f"t{rng.randrange(90_000)}") for j in range(60_000)] + [("none", None, None)]
+        (folder / f"{k}.jsonl").write_text("".join(json.dumps(dict(zip(mapping, r))) + "\n" for r in own))
+        rows += own
+        assert sketches.add_new(spark, str(folder), store, mapping, ["role"], F.col("n"), F.col("text"), exact) == 1
+    spark.read.parquet(exact).where("source_file LIKE '%1.jsonl'").write.mode("append").parquet(exact)  # as after a failure
+    found = sketches.exactly(spark.read.parquet(store), spark.read.parquet(exact), ["role"], shares, width)
+    want = set()
+    for role in {r[0] for r in rows}:
+        own = sorted(n for r, n, _ in rows if r == role and n is not None)
+        cuts = [own[max(1, -(-int(10 * q) * len(own) // 10)) - 1] if own else None for q in shares.values()]
+        want.add((role, sum(r[0] == role for r in rows), *cuts, len({t for r, _, t in rows if r == role and t is not None})))
+    assert {tuple(r[c] for c in ("role", "n", *shares, "texts")) for r in found.collect()} == want
+
+
 def test_replayed_batches_and_renamed_files_add_nothing(spark, tmp_path):
     logs, sink, checkpoint = tmp_path / "logs", str(tmp_path / "sink"), tmp_path / "ckpt"
     logs.mkdir()
