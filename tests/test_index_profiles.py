@@ -6,6 +6,7 @@ import re
 import shutil
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,24 @@ def test_searches_open_few_files(spark, tmp_path):
     assert textindex.candidates(spark, str(tmp_path / "index"), listing, textindex.of_text("nowhere")).count() == 0
 
 
+def test_trigrams_of_texts_of_any_length(spark, tmp_path, monkeypatch):
+    """The index against plain Python, in pieces of any size; and a text costs as much as it has characters (seconds here; hours if each trigram cost the whole text)."""
+    rng = random.Random(8)
+    rows = [(f"f{rng.randrange(9)}", None if rng.random() < 0.1 else "".join(rng.choice("abAB Kİé\U0001f600\n\0") for _ in range(rng.randrange(40)))) for _ in range(400)]
+    want = {(f, t.translate(textindex._FOLD)[k : k + 3]) for f, t in rows if t for k in range(len(t) - 2)}
+    table = pa.RecordBatch.from_pydict({"file": [int(f[1:]) for f, _ in rows], "text": [None if t is None else t.encode() for _, t in rows]})
+    for chars in (1, 7, 1 << 20):
+        monkeypatch.setattr(textindex, "CHARS", chars)
+        assert {(f"f{r['file']}", r["gram"]) for b in textindex.posted(iter([table])) for r in b.to_pylist()} == want
+    monkeypatch.undo()
+    words = [f"{k:x}" for k in range(200_000)]
+    long = spark.createDataFrame([("long", " ".join(words)), ("none", None)], "source_file string, text string").repartition(2)
+    textindex.build(long, str(tmp_path / "long"))
+    text = " ".join(words)
+    found = [r.gram for r in spark.read.parquet(str(tmp_path / "long")).collect()]
+    assert len(found) == len(set(found)) and set(found) == {text[k : k + 3] for k in range(len(text) - 2)}
+
+
 def unfolded(value, path, out):
     kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(value), "number")
     out.append((path, kind))

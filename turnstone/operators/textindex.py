@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import string
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ with warnings.catch_warnings():
 #: Letters are folded one by one, so that what stands around them doesn't matter; the last two are those that lower-case to ASCII letters.
 UPPER, LOWER = string.ascii_uppercase + "\u212a\u0130", string.ascii_lowercase + "ki"
 _FOLD = str.maketrans(UPPER, LOWER)
+_FOLDED = np.array([ord(chr(k).translate(_FOLD)) for k in range(max(map(ord, UPPER)) + 1)], dtype=np.uint64)
+#: Characters whose trigrams are told apart in one go.
+CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -103,16 +109,55 @@ def of_pattern(pattern: str) -> Need:
         return Need()
 
 
+def _distinct(texts: list[str]) -> list[str]:
+    """The different trigrams of some texts, letters folded."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = np.where(codes < len(_FOLDED), _FOLDED[np.minimum(codes, len(_FOLDED) - 1)], codes)
+    ends = np.cumsum([len(t) for t in texts])
+    whole = np.ones(len(codes), bool)  # a trigram starts here and ends in the same text
+    for k in (1, 2):
+        whole[np.maximum(ends - k, 0)] = False
+    at = np.flatnonzero(whole[:-2])
+    found = np.unique(codes[at] << np.uint64(42) | codes[at + 1] << np.uint64(21) | codes[at + 2])
+    told = np.stack([found >> np.uint64(42), found >> np.uint64(21), found], axis=1) & np.uint64((1 << 21) - 1)
+    text = told.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[k : k + 3] for k in range(0, len(text), 3)]
+
+
+def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, text in UTF-8) to rows (gram, file), each once for about CHARS characters of a file."""
+
+    def row_batch(file: int, texts: list[str]) -> pa.RecordBatch:
+        grams = _distinct(texts)
+        return pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string()), "file": pa.array([file] * len(grams), pa.int64())})
+
+    for batch in batches:
+        rows, files = np.argsort(batch.column(0).to_numpy(), kind="stable"), batch.column(0).to_pylist()
+        held, n, last = [], 0, None
+        for k in rows.tolist():
+            if held and (files[k] != last or n >= CHARS):
+                yield row_batch(last, held)
+                held, n = [], 0
+            last, text = files[k], (batch.column(1)[k].as_py() or b"").decode("utf-8", "replace")
+            for begin in range(0, len(text) - 2, CHARS):
+                if held and n >= CHARS:
+                    yield row_batch(last, held)
+                    held, n = [], 0
+                held.append(text[begin : begin + CHARS + 2])
+                n += len(held[-1])
+        if held:
+            yield row_batch(last, held)
+
+
 def build(records: DataFrame, path: str, file_col: str = "source_file", text_col: str = "text") -> None:
     """Write the index of the records' texts by file: rows (gram, file), file a hash of the name, sorted by gram.
 
-    A trigram that all files have is dealt over as many tasks as the range sort makes. Files may be added later, by another
+    A text costs as much as it has characters. A trigram that all files have is dealt over as many tasks as the range sort makes. Files may be added later, by another
     index in a folder beside; two names of one hash are opened together.
     """
-    folded = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    grams = F.when(F.length(folded) > 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(folded) - 2), lambda k: F.substring(folded, k, F.lit(3)))))
-    posted = records.select(F.explode(grams).alias("gram"), F.xxhash64(file_col).alias("file")).distinct()
-    posted.repartitionByRange("gram", "file").sortWithinPartitions("gram", "file").write.parquet(path)
+    texts = records.select(F.xxhash64(file_col).alias("file"), F.col(text_col).cast("binary").alias("text"))
+    rows = texts.mapInArrow(posted, "gram string, file bigint").distinct()
+    rows.repartitionByRange("gram", "file").sortWithinPartitions("gram", "file").write.parquet(path)
 
 
 def candidates(spark: SparkSession, path: str, files: DataFrame, need: Need, file_col: str = "path") -> DataFrame:
