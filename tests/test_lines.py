@@ -1,10 +1,12 @@
 """Line sources, statuses and streams against small files with known traps."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from turnstone.plans import scratch
 from turnstone.sources import lines, records
 from turnstone.streaming import follow
 
@@ -289,3 +291,17 @@ def test_windowed_counts_as_a_stream(spark, tmp_path):
     closed = drained(spark, follow.windowed_counts(stream), tmp_path)  # append mode: only windows that the watermark has closed
     want = {tuple(r) for r in batch.collect()}
     assert {tuple(r) for r in closed.collect()} <= want
+
+
+def test_many_small_files_are_written_and_listed_by_many_tasks(spark, tmp_path):
+    rows = [(k % 90, k, None if k % 50 == 7 else f"line {k} é") for k in range(1000)]
+    table = spark.createDataFrame(rows, "folder int, k int, value string").repartition(3)
+    for _ in range(2):  # files that are there already are overwritten, as by an attempt that is run again
+        assert lines.write_files(table, str(tmp_path / "tree"), "folder", ["k"]) == 90
+    (tmp_path / "tree" / "folder=3" / ".left-over.gz").write_bytes(b"of an attempt that died")
+    found = lines.read_lines(spark, str(tmp_path / "tree"))
+    manifest = scratch._written[-1]  # of the listing, one file for each task
+    assert len([x for x in os.listdir(manifest) if x.endswith(".parquet")]) > 3
+    got = sorted((int(r.source_file.split("folder=")[1].split("/")[0]), r.line_no, r.value) for r in found.collect())
+    assert got == sorted((f, k // 90, v or "") for f, k, v in rows)
+    assert lines.write_files(table.where("false"), str(tmp_path / "none"), "folder", ["k"]) == 0

@@ -73,16 +73,23 @@ def listing(spark: SparkSession, path: str, wide: int = WIDE) -> DataFrame:
         files += [(x.path, x.size) for x in found if x.is_file]
         level = [x.path for x in found if x.type == pafs.FileType.Directory]
 
+    def told(rows: list[tuple[str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in rows], pa.string()), "size": pa.array([r[1] for r in rows], pa.int64())})
+
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(path)
         for batch in batches:
+            rows: list[tuple[str, int]] = []
             for folder in batch.column(0).to_pylist():
-                rows, left = [], [folder]
+                left = [folder]
                 while left:
                     found = [x for x in fs.get_file_info(pafs.FileSelector(left.pop())) if not _hidden(x.base_name)]
                     rows += [(x.path, x.size) for x in found if x.is_file]
                     left += [x.path for x in found if x.type == pafs.FileType.Directory]
-                yield pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in rows], pa.string()), "size": pa.array([r[1] for r in rows], pa.int64())})
+                    if len(rows) >= BATCH_LINES:
+                        yield told(rows)
+                        rows = []
+            yield told(rows)
 
     here = spark.createDataFrame(files, "path string, size bigint")
     if not level:
@@ -328,6 +335,41 @@ class LinesSource(DataSource):
         return GrowingReader(*self._shape(), None if limit is None else int(limit), self.options.get("progress"))
 
 
+def write_files(rows: DataFrame, path: str, folder: str, order: list[str], value: str = "value", compression: str = "gz") -> int:
+    """Write a compressed file for each value of the column `folder`, path/folder=.../part.txt.gz, with the values as lines in that order (null: an empty line); how many.
+
+    For very many small files: a task writes its own straight to where they belong, under a hidden name until they
+    are complete, so nothing is left to move one by one at the end, and an attempt that is run again overwrites its own.
+    """
+    end = f".{compression}"
+    kind = CODECS[end]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(path)
+        file, last, n, names = None, None, 0, []
+
+        def close() -> None:
+            file.close()
+            fs.move(names[0], names[1])
+
+        for batch in batches:
+            for own, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file is None or own != last:
+                    if file is not None:
+                        close()
+                    parent = f"{root}/{folder}={own}"
+                    fs.create_dir(parent)
+                    names, last, n = [f"{parent}/.{uuid.uuid4().hex}{end}", f"{parent}/part.txt{end}"], own, n + 1
+                    file = fs.open_output_stream(names[0], compression=kind)
+                file.write((line or "").encode() + b"\n")
+        if file is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    parted = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, folder).sortWithinPartitions(folder, *order)
+    return parted.select(folder, value).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def line_status(value: Column) -> Column:
     """ok, blank (nothing but white space), malformed, duplicate_key or non_object; null for no line.
 
@@ -364,7 +406,8 @@ def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, f
     """
     spark.dataSource.register(LinesSource)
     chosen = scratch_dir(spark)
-    (listing(spark, path) if files is None else files.select("path", "size")).coalesce(1).write.parquet(chosen)
+    # not coalesced, as one task would then list the whole tree
+    (listing(spark, path) if files is None else files.select("path", "size")).write.parquet(chosen)
     options = {"range_bytes": range_bytes, "tasks": spark.sparkContext.defaultParallelism, "manifest": chosen}
     read = lambda **more: spark.read.format("lines").options(**options, **more).load(path)
     rows, number = read(), F.col("line_no")
