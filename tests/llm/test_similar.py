@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from turnstone.llm import similar
 from turnstone.llm.common import components
+from turnstone.plans import scratch
 
 SCHEMA = "doc_id bigint, text string, key string, size int, s string, id int"
 
@@ -157,5 +158,18 @@ def test_a_common_passage_and_a_large_group(spark):
     assert sorted(map(tuple, got)) == sorted((i, least(ids)) for ids in groups(rows) for i in ids)
 
 
+def test_prefixes_are_gone_when_texts_are_moved(spark, monkeypatch):
+    before, verified, seen = set(scratch._written), similar._verified, []
+
+    def run(pairs, texts):
+        seen.append([x for x in scratch._written if x not in before and "prefix" in spark.read.parquet(x).columns])
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(similar, "_verified", run)
+    rows = list(enumerate(made(5)))
+    assert similar.keep_one(table(spark, rows)).count() == len(groups(rows))
+    assert seen and not any(seen)
+
+
 def test_empty(spark):
     assert similar.near_duplicates(table(spark, [])).count() == 0

@@ -207,11 +207,12 @@ def _met(rows: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
+def links(prefixes: DataFrame, sets: DataFrame, texts_of, spent: DataFrame | None = None) -> DataFrame:
     """Links (u, v) of keys that join the same sets as all similar pairs do.
 
     prefixes: rows (key, prefix), also several equal ones; sets: each key once, with size,
-    fp and marks; texts_of: gives a row (key, text) for each row (key) of a table. Prefix
+    fp and marks; texts_of: gives a row (key, text) for each row (key) of a table; spent: a table that cut()
+    returned, which is deleted once the prefixes have been read, before texts are moved. Prefix
     filtering: in any order of the shingles that all sets share, two
     similar sets have one of their first n - ceil(0.8 n) + 1 shingles in common. Frequent
     shingles stand last in that order, so those of common lines are seldom among the first.
@@ -224,6 +225,8 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
     keyed = prefixes.select(F.posexplode("prefix").alias("at", "s"), "key")
     shared = cut(keyed.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("s"))
     many = cut(join_counted(keyed, shared, "s", "inner").select("s", "key", "at").distinct())
+    if spent is not None:
+        _drop([spent])
     # where s stands first, the fewest shingles are a set's own: such a set is the middle of its near copies
     middle = cut(many.groupBy("s").agg(F.min(F.struct("at", "key")).getField("key").alias("lo"), F.max(F.struct("at", "key")).getField("key").alias("hi")))
     of = cut(_sized(sets), n)
@@ -253,8 +256,9 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of) -> DataFrame:
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row (id, h, root, component_id) for each row of docs; root is the key of a set."""
-    rows = cut(_described(docs, id_col, text_col))
-    sets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("marks").alias("marks")))
+    described = cut(_described(docs, id_col, text_col))
+    rows, prefixes = cut(described.select("id", "h", "key")), described.select("key", "prefix")
+    sets = cut(described.groupBy("key").agg(F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("marks").alias("marks")))
 
     def texts_of(keys: DataFrame) -> DataFrame:  # by id and text hash, which spreads copies out
         wanted = cut(sets.join(keys, "key").select("key", F.col("row.id").alias("of"), F.col("row.h").alias("own")))
@@ -262,7 +266,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         found = join_counted(mine, wanted, (F.col("h") == F.col("own")) & F.col("id").eqNullSafe(F.col("of")), "inner")
         return found.groupBy("key").agg(F.min("text").alias("text"))
 
-    found = cut(links(rows.select("key", "prefix"), sets, texts_of))
+    found = cut(links(prefixes, sets, texts_of, described))
     roots = cut(components(found).toDF("key", "root"))
     rooted = cut(join_counted(sets.select("key", "least"), roots, "key").withColumn("root", F.coalesce("root", "key")))
     named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "root", "component_id"))
