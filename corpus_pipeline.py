@@ -6,9 +6,10 @@ stages before it have left in the shared folder.
 
 from __future__ import annotations
 
+import contextlib
 import contextvars
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +22,22 @@ MIX_BLOCK = 512
 
 #: Rows of an Arrow batch: whole texts stand in them, on both sides of a worker's pipe. A stage sets this for its session; run() sets it back.
 ARROW_ROWS, ARROW_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: While a stage runs, a job's shuffle files go with the job, rather than when the driver happens to collect its garbage: no later job reads them.
+SHUFFLE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The scratch tables of the stages that a run has called so far, each with the stage's place; stages called outside of run() share the default list.
 _left: contextvars.ContextVar[list[tuple[int, Recorded]]] = contextvars.ContextVar("left", default=[])
 
 
+@contextlib.contextmanager
+def _tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLE_SETTING, "false")
+    spark.conf.set(SHUFFLE_SETTING, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_SETTING, before)
+
+
 def _tidy(place: int, last: bool = False) -> Callable:
     """For a stage that drops what those before it left (but what its docs are read from), and leaves its own to a later one."""
 
@@ -36,7 +49,7 @@ def _tidy(place: int, last: bool = False) -> Callable:
                 other.drop_but(docs)
                 left.remove((k, other))
             spark.conf.set(ARROW_SETTING, ARROW_ROWS)
-            with Recorded() as own:
+            with _tidy_shuffles(spark), Recorded() as own:
                 found = stage(spark, docs, sf_dir)
             if not last:
                 left.append((place, own))
@@ -90,12 +103,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     before, run_ = spark.conf.get(ARROW_SETTING), _left.set([])
     try:
-        for _, stage in STAGES[:-1]:
-            docs = cut(stage(spark, docs, sf_dir))
-            if read is not None:
-                drop_scratch(read)
-            read = docs
-        return cut(STAGES[-1][1](spark, docs, sf_dir))
+        with _tidy_shuffles(spark):
+            for _, stage in STAGES[:-1]:
+                docs = cut(stage(spark, docs, sf_dir))
+                if read is not None:
+                    drop_scratch(read)
+                read = docs
+            return cut(STAGES[-1][1](spark, docs, sf_dir))
     finally:
         spark.conf.set(ARROW_SETTING, before)
         _left.reset(run_)

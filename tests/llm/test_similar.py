@@ -1,6 +1,8 @@
 """Near-duplicates by shingles against brute force over all pairs, and the pipeline's stage among them."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -171,5 +173,45 @@ def test_prefixes_are_gone_when_texts_are_moved(spark, monkeypatch):
     assert seen and not any(seen)
 
 
+def shuffles(spark):
+    """The numbers of the shuffles whose files are on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {int(x) for x in re.findall(r"/shuffle_(\d+)_", files)}
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    before, setting = shuffles(spark), spark.conf.get(corpus_pipeline.SHUFFLE_SETTING)
+    rows = made(5)[:60]
+    kept = corpus_pipeline.near_dedup(spark, table(spark, rows), "")
+    assert spark.conf.get(corpus_pipeline.SHUFFLE_SETTING) == setting
+    until = time.monotonic() + 20  # executors delete them on their own time
+    while shuffles(spark) - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffles(spark) - before
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(map(least, groups(rows)), key=repr)
+
+
+def test_pairs_that_are_joined_already_are_not_compared(spark, monkeypatch):
+    rng, verified, seen = random.Random(9), similar._verified, []
+    word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(6))
+    base = [word() for _ in range(120)]
+    rows = [(k, " ".join([*base[: k % 120], word(), *base[k % 120 + 1 :]])) for k in range(200)]
+
+    def run(pairs, texts):
+        seen.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(similar, "_verified", run)
+    assert {r.component_id for r in similar.near_duplicates(table(spark, rows)).collect()} == {0}
+    assert sum(seen) <= len(rows)
+
+
+def test_likeliest_and_apart(spark):
+    pairs = spark.createDataFrame([(1, 2, 5), (1, 3, 7), (2, 3, 1), (4, 5, 1), (3, 4, 9)], "u bigint, v bigint, count bigint")
+    assert sorted(map(tuple, similar._likeliest(pairs).collect())) == [(1, 2), (1, 3), (3, 4), (4, 5)]
+    roots = spark.createDataFrame([(1, 1), (2, 1), (4, 4), (5, 4)], "key bigint, root bigint")
+    assert sorted(map(tuple, similar._apart(pairs.select("u", "v"), roots).collect())) == [(1, 3), (2, 3), (3, 4)]
+
+
 def test_empty(spark):
     assert similar.near_duplicates(table(spark, [])).count() == 0

@@ -157,6 +157,20 @@ def _may_be(m: str, n: str) -> Column:
     return (WHOLE * F.least(m, n) >= PART * F.greatest(m, n)) & ((WHOLE + PART) * differ <= (WHOLE - PART) * (F.col(m) + F.col(n)))
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v, count), the one of each key that counts most: no more pairs than keys."""
+    ends = [F.struct(F.col(a).alias("key"), F.struct("count", F.col(b).alias("other")).alias("with")) for a, b in (("u", "v"), ("v", "u"))]
+    best = pairs.select(F.inline(F.array(*ends))).groupBy("key").agg(F.max("with").getField("other").alias("other"))
+    return best.select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of pairs (u, v), those whose ends aren't of one group; roots: a table from cut() with (key, root), keys without a row being their own."""
+    for k in ("u", "v"):
+        pairs = join_counted(pairs, roots.toDF(k, f"root_{k}"), k)
+    return pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
 def _drop(tables: list[DataFrame]) -> None:
     """Delete tables that cut() returned and that nothing reads any more."""
     for table in tables:
@@ -217,9 +231,10 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of, spent: DataFrame | Non
     similar sets have one of their first n - ceil(0.8 n) + 1 shingles in common. Frequent
     shingles stand last in that order, so those of common lines are seldom among the first.
     Compared first are what pigeonring filtering links, and the sets that have such a shingle
-    in common with those two of them in whose order it stands first and last; then, where that leaves more than one
+    in common with those two of them in whose order it stands first and last: for each set the likeliest pair, and then
+    those whose ends that has not joined; then, where that leaves more than one
     group, pairs of different groups (_met()). So neither a group of near copies nor the texts
-    around a passage are paired up. Every pair is verified by its texts.
+    around a passage are paired up. Every link is verified by its texts.
     """
     n = sets.count()
     keyed = prefixes.select(F.posexplode("prefix").alias("at", "s"), "key")
@@ -231,9 +246,9 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of, spent: DataFrame | Non
     middle = cut(many.groupBy("s").agg(F.min(F.struct("at", "key")).getField("key").alias("lo"), F.max(F.struct("at", "key")).getField("key").alias("hi")))
     of = cut(_sized(sets), n)
     stars = join_counted(many, middle, "s", "inner").select(F.explode(F.array("lo", "hi")).alias("u"), F.col("key").alias("v")).unionByName(_ring_pairs(sets, n))
-    stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").count()
     described = join_counted(join_counted(stars, of.toDF(*_named("u", "m")), "u", "inner", rows=n), of.toDF(*_named("v", "n")), "v", "inner", rows=n)
-    tried = cut(described.where(_may_be("m", "n")).select("u", "v"))
+    tried = cut(described.where(_may_be("m", "n")).select("u", "v", "count"))
     _drop([shared, middle])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -242,14 +257,20 @@ def links(prefixes: DataFrame, sets: DataFrame, texts_of, spent: DataFrame | Non
         _drop([texts])
         return out
 
-    found = verified(tried)
+    # most near copies are joined by the pair of theirs that shares most; what that has joined needs no further texts
+    likely = cut(_likeliest(tried))
+    found = verified(likely)
     roots = cut(components(found).toDF("key", "root"))
+    more = cut(_apart(join_counted(tried.select("u", "v"), likely, ["u", "v"], "left_anti"), roots))
+    if not more.isEmpty():
+        found = found.unionByName(verified(more))
+        roots = cut(components(found).toDF("key", "root"))
     rooted = cut(join_counted(many.select("s", "key", "at"), roots, "key").select("s", "key", "at", F.coalesce("root", "key").alias("root")))
     _drop([many])
     parted = cut(rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s"))
     left = cut(join_counted(join_counted(rooted, parted, "s", "inner"), of, "key", "inner", rows=n))
     _drop([rooted, parted])
-    rest = cut(join_counted(_met(left), tried, ["u", "v"], "left_anti"))
+    rest = cut(join_counted(_met(left), tried.select("u", "v"), ["u", "v"], "left_anti"))
     _drop([left])
     return found if rest.isEmpty() else found.unionByName(verified(rest))
 
